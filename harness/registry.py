@@ -5,12 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stallmark import taxonomy as tx
+from stallmark.functions.text import normalise
+from stallmark.functions.time import parse_ts
+from stallmark.operators import evaluate, labelling, picking, quality, replies, sqlaudit, star
+from stallmark.plans import measures as M
+from stallmark.plans import pack
 from stallmark.plans import queries as Q
-from stallmark.sources import derived
+from stallmark.schemas import LABEL_COLUMNS, REVIEW_KEY
+from stallmark.sources import derived, label_store, store
 
-from .settings import CATEGORY_ORDERS, FIRST, LAST, SELLER_ORDERS, STATE_ORDERS, TOPIC_REVIEWS, YEAR
+from . import statements
+from .settings import (
+    CATEGORY_ORDERS, FIRST, LAST, MONTH, PACK_CATEGORY_ORDERS, SAMPLE_ROWS, SEED, SELLER_ORDERS, STATE_ORDERS,
+    TOPIC_REVIEWS, YEAR)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,5 +74,245 @@ def business() -> dict[str, Query]:
     }
 
 
+def on_raw(plan: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+    return lambda spark, path: plan(derived.derive_raw(spark, path))
+
+
+def _money(table: DataFrame) -> DataFrame:
+    return table.select("order_id", *[F.col(c).cast("double").alias(c) for c in ("order_value", "freight_value")])
+
+
+def _coerced(raw: dict[str, DataFrame]) -> DataFrame:
+    text = (F.when(F.col("order_status") == "processing", "not a date")
+            .otherwise(F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss")))
+    return raw["orders"].select("order_id", parse_ts(text).alias("ts"))
+
+
+def star_schema() -> dict[str, Query]:
+    return {
+        "e01_dim_customer": on_raw(lambda raw: star.dim_customer(raw["customers"])),
+        "e01_dim_seller": on_raw(lambda raw: star.dim_seller(raw["sellers"])),
+        "e02_dim_product": on_raw(lambda raw: star.dim_product(raw["products"], raw["translation"])),
+        "e03_dim_date": on_raw(lambda raw: star.dim_date(raw["orders"])),
+        "e04_order_totals": on_raw(lambda raw: _money(star.order_totals(raw["items"]))),
+        "e05_main_payment": on_raw(lambda raw: star.main_payment(raw["payments"])),
+        "e06_fact_orders": on_raw(lambda raw: star.fact_orders(raw["orders"], raw["items"], raw["payments"])),
+        "e07_delivery_times": on_star(lambda tables: tables["fact_orders"].filter("delivered_ts is not null").select(
+            "order_id", "delivery_days", "days_late", "is_late")),
+        "e08_fact_order_items": on_raw(lambda raw: star.fact_order_items(raw["items"])),
+        "e09_dedup_reviews": on_raw(lambda raw: star.dedup_reviews(raw["reviews"])),
+        "e10_fact_reviews": on_raw(lambda raw: star.fact_reviews(raw["reviews"])),
+        "e12_review_key": on_star(lambda tables: star.review_key(tables["fact_reviews"]).select("review_key", "review_score")),
+        "s02_coerce_timestamps": on_raw(_coerced),
+        "s04_export_reviews": on_star(lambda tables: store.export_columns(tables)["fact_reviews"]),
+        "s06_best_labels": on_labels(lambda tables: label_store.best_labels(tables["review_ai_labels"]).select(
+            "review_id", "order_id", "topic", "provider")),
+    }
+
+
+def flawed(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Star tables with flaws: copies of reviews, lost keys, missing parents, labels outside their sets."""
+    tables = derived.derive_star(spark, path)
+    city = F.col("city")
+    return {
+        **tables,
+        "dim_customer": tables["dim_customer"].withColumns({
+            "customer_id": F.when(F.coalesce(city != "MACHINERY", F.lit(True)), F.col("customer_id")),
+            "customer_unique_id": F.when(F.coalesce(city != "BUILDING", F.lit(True)), F.col("customer_unique_id"))}),
+        "dim_product": tables["dim_product"].filter("category <> 'unknown'"),
+        "fact_reviews": derived.derive_raw(spark, path)["reviews"].select("review_id", "order_id", "review_score"),
+        "review_ai_labels": tables["review_ai_labels"].select(
+            "review_id", "order_id", "sentiment",
+            F.when(F.col("topic") == "praise", "applause").otherwise(F.col("topic")).alias("topic"),
+            F.when(F.col("urgency") != "low", F.col("urgency")).alias("urgency")),
+    }
+
+
+def data_quality() -> dict[str, Query]:
+    return {
+        "d01_primary_keys": lambda spark, path: quality.check_pk(flawed(spark, path)),
+        "d02_foreign_keys": lambda spark, path: quality.check_fk(flawed(spark, path)),
+        "d03_not_null": lambda spark, path: quality.check_not_null(flawed(spark, path)),
+        "d04_label_domain": lambda spark, path: quality.check_domain(flawed(spark, path)["review_ai_labels"]),
+        "d05_table_counts": on_star(quality.table_counts),
+    }
+
+
+def _human_keys(spark: SparkSession, path: str) -> DataFrame:
+    """Keys of the reviews with a human label."""
+    reviews = picking.with_text(derived.derive_star(spark, path)["fact_reviews"])
+    human = spark.read.parquet(f"{path}/labels.parquet").select(
+        F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("order_id"))
+    return reviews.join(human, "order_id").select(*REVIEW_KEY)
+
+
+def _picked(spark: SparkSession, path: str) -> DataFrame:
+    reviews = derived.derive_star(spark, path)["fact_reviews"]
+    return picking.pick_reviews(reviews, _human_keys(spark, path), SAMPLE_ROWS, SEED)
+
+
+def _todo(key) -> Query:
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        done = derived.derive_star(spark, path)["review_ai_labels"].filter("sentiment = 'negative'")
+        return picking.todo(_picked(spark, path), done, key).select(*REVIEW_KEY)
+    return run
+
+
+def _texts(tables: dict[str, DataFrame]) -> DataFrame:
+    return picking.with_text(tables["fact_reviews"])
+
+
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    texts = _texts(derived.derive_star(spark, path)).select(*REVIEW_KEY, "comment_message")
+    return replies.number_batches(texts)
+
+
+def _stand_in_replies(spark: SparkSession, path: str) -> DataFrame:
+    """Replies of a stand-in labeller in the shapes and with the faults of real ones."""
+    labels = derived.derive_star(spark, path)["review_ai_labels"]
+    batches = _batches(spark, path)
+    said = batches.join(labels, REVIEW_KEY)
+    shape, place = F.col("batch") % 7, F.col("place")
+    said_id = (F.when((shape == 1) & (place == 2), F.concat(F.lit("review "), place.cast("string")))
+               .when((shape == 2) & (place == 5), F.lit("r4")).otherwise(F.col("id")))
+    topic = F.when(place == 7, F.lit("aliens")).otherwise(F.concat(F.lit(" "), "topic"))
+    entry = F.when((shape == 3) & (place == 4), F.lit('"no entry"')).otherwise(F.format_string(
+        '{"id": "%s", "sentiment": "%s", "topic": "%s", "urgency": "%s", "summary_en": "about %s"}',
+        said_id, F.upper("sentiment"), topic, "urgency", "topic"))
+    entry = F.when(~((shape == 5) & (place == 9)), F.struct("place", entry.alias("entry")))
+    joined = said.groupBy("batch").agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(entry)).alias("e"))
+    listed = F.array_join(F.col("e.entry"), ", ")
+    reply = (F.when(shape == 0, F.concat(F.lit('{"results": ['), listed, F.lit("]}")))
+             .when(shape == 1, F.concat(F.lit('Sure!\n```json\n{"results": ['), listed, F.lit("]}\n```")))
+             .when(shape == 2, F.concat(F.lit("["), listed, F.lit("]")))
+             .when(shape == 3, F.concat(F.lit('Here it is: {"results": ['), listed, F.lit("]} as asked")))
+             .when(shape == 4, F.lit("I cannot do that"))
+             .when(shape == 5, F.concat(F.lit("```\n["), listed, F.lit("]\n```")))
+             .otherwise(F.lit('{"results": null}')))
+    return joined.select("batch", "n", reply.alias("reply"))
+
+
+def _retry(spark: SparkSession, path: str) -> DataFrame:
+    parsed = replies.parse_replies(_stand_in_replies(spark, path))
+    return replies.retry_set(_batches(spark, path), parsed).select(*REVIEW_KEY, "batch", "id")
+
+
+def _clean(tables: dict[str, DataFrame]) -> DataFrame:
+    """Labels with values outside the sets, odd spelling, and long summaries."""
+    loose = labelling.label_reviews(_texts(tables)).select(
+        *REVIEW_KEY, F.concat(F.lit(" "), F.upper("sentiment"), F.lit("\n")).alias("sentiment"),
+        F.when(F.col("topic") == "praise", "applause").otherwise(F.initcap("topic")).alias("topic"),
+        F.when(F.col("urgency") != "high", F.col("urgency")).alias("urgency"),
+        F.col("comment_message").alias("summary_en"))
+    return replies.clean_labels(loose)
+
+
+def _star_sentiment(tables: dict[str, DataFrame]) -> DataFrame:
+    return (tables["fact_reviews"]
+            .groupBy(labelling.stars_to_sentiment(F.col("review_score")).alias("sentiment"))
+            .agg(F.count(F.lit(1)).alias("reviews")))
+
+
+def _labelled_file(name: str, *keys: str) -> Query:
+    return lambda spark, path: labelling.label_reviews(
+        spark.read.parquet(f"{path}/{name}.parquet"), text="text").select(*keys, "sentiment", "topic", "urgency")
+
+
+def labels() -> dict[str, Query]:
+    return {
+        "r01_normalise": on_star(lambda tables: tables["fact_reviews"].filter("comment_message is not null").select(
+            *REVIEW_KEY, normalise(F.col("comment_message")).alias("folded"))),
+        "r02_topics": on_star(lambda tables: tables["review_ai_labels"].groupBy("topic").agg(F.count(F.lit(1)).alias("reviews"))),
+        "r06_label_reviews": on_star(lambda tables: labelling.label_reviews(_texts(tables)).select(*LABEL_COLUMNS)),
+        "r06_label_documents": _labelled_file("documents", "doc_id"),
+        "r06_label_conversations": _labelled_file("conversations", "conv_id", "turn"),
+        "r07_pick_reviews": lambda spark, path: _picked(spark, path).select(*REVIEW_KEY),
+        "r08_todo": _todo(REVIEW_KEY),
+        "r08_todo_by_review_id": _todo("review_id"),
+        "r09_pack_prompts": lambda spark, path: replies.pack_prompts(_batches(spark, path)),
+        "r10_parse_replies": lambda spark, path: replies.parse_replies(_stand_in_replies(spark, path)),
+        "r11_clean_labels": on_star(_clean),
+        "r12_retry_set": _retry,
+        "r14_star_sentiment": on_star(_star_sentiment),
+    }
+
+
+def _judge(plan: Callable[..., DataFrame]) -> Query:
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        tables = derived.derive_star(spark, path)
+        return plan(labels=derived.derive_labels(tables["fact_reviews"]), reviews=tables["fact_reviews"],
+                    gold=derived.derive_gold(spark, path, tables["fact_reviews"]))
+    return run
+
+
+def evaluation() -> dict[str, Query]:
+    ev = evaluate
+    return {
+        "v01_sentiment_vs_stars": _judge(lambda labels, reviews, gold: ev.sentiment_vs_stars(labels, reviews)),
+        "v02_gold_scores": _judge(lambda labels, reviews, gold: ev.gold_scores(gold, labels)),
+        "v04_summary": _judge(ev.summary),
+        "v04_summary_percent": _judge(lambda **given: ev.as_percent(ev.summary(**given))),
+        "v05_topic_matrix": _judge(lambda labels, reviews, gold: ev.topic_matrix(gold, labels)),
+        "v06_disagreements": _judge(lambda labels, reviews, gold: ev.disagreements(gold, labels)),
+        "v07_improvement": _judge(lambda **given: ev.improvement(ev.summary(**given))),
+    }
+
+
+def kpi_pack() -> dict[str, Query]:
+    months = {"first_month": FIRST, "last_month": LAST}
+    size = {"min_orders": PACK_CATEGORY_ORDERS}
+    monthly = lambda tables: pack.monthly(tables, **months)
+    return {
+        "k01_monthly": on_star(monthly),
+        "k02_monthly_derived": on_star(lambda tables: pack.monthly_derived(monthly(tables))),
+        "k03_categories": on_star(pack.categories, **size),
+        "k04_category_shares": on_star(lambda tables: pack.category_shares(pack.categories(tables, **size))),
+        "k05_complaints": on_star(pack.complaints),
+        "k06_complaint_shares": on_star(lambda tables: pack.complaint_shares(pack.complaints(tables))),
+        "k07_kpi_summary": on_star(lambda tables: pack.kpi_summary(monthly(tables), MONTH)),
+        "k07_kpi_summary_first_month": on_star(lambda tables: pack.kpi_summary(monthly(tables), FIRST)),
+        "k08_facts": on_star(pack.facts, **months, **size),
+        "k09_sentences": on_star(lambda tables: pack.sentences(pack.facts(tables, **months, **size))),
+    }
+
+
+def bi_measures() -> dict[str, Query]:
+    return {
+        "m00_measures_all": on_star(M.measures),
+        "m00_measures_by_month": on_star(M.measures, by=["year_month"]),
+        "m00_measures_by_category_filtered": on_star(
+            M.measures, by=["category"], filters={"year": YEAR, "state": ["NATION_1", "NATION_2", "NATION_3"]}),
+        "m00_measures_rollup": on_star(M.measures, by=["year", "payment_type"], totals="rollup"),
+        "m00_measures_cube": on_star(M.measures, by=["category", "lateness_bucket"], totals="cube"),
+        "m06_revenue_over_time": on_star(M.revenue_over_time),
+        "m06_revenue_over_time_by_state": on_star(M.revenue_over_time, by=["state"]),
+        "m13_label_measures_by_topic": on_star(M.label_measures),
+        "m14_topic_share_by_category": on_star(M.label_measures, by=["category", "topic"]),
+        "m15_overview_title": on_star(M.overview_title),
+        "m16_score_by_bucket": on_star(M.score_by_bucket),
+        "m17_seller_watch_list": on_star(M.seller_watch_list, min_orders=SELLER_ORDERS),
+        "m18_state_table": on_star(M.state_table),
+    }
+
+
+def _statements(spark: SparkSession, path: str) -> DataFrame:
+    return statements.replies(spark, path).select("event_id", sqlaudit.extract_sql(F.col("reply")).alias("stmt"))
+
+
+def statement_audit() -> dict[str, Query]:
+    return {
+        "g01_extract_sql": _statements,
+        "g02_mask": lambda spark, path: _statements(spark, path).select(
+            "event_id", sqlaudit.mask(F.col("stmt")).alias("masked")),
+        "g03_audit": lambda spark, path: sqlaudit.audit_sql(_statements(spark, path)),
+        "g03_reasons": lambda spark, path: sqlaudit.audit_sql(_statements(spark, path))
+        .groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("statements")),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**business()}
+    return {
+        **business(), **star_schema(), **data_quality(), **labels(), **evaluation(), **kpi_pack(),
+        **bi_measures(), **statement_audit(),
+    }

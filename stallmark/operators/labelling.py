@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
+from ..functions.fence import compute_once
 from ..functions.text import normalise
 
 # Patterns mean any Unicode digit or word edge, not only ASCII ones.
@@ -43,17 +44,17 @@ def label_reviews(
 ) -> DataFrame:
     """Add sentiment, topic, urgency, summary_en and provider.
 
-    The text is folded in a projection of its own and searched in a generator of one row. The optimizer
-    moves a filter on a computed column below a projection by repeating the expression, but not below a
-    generator: a filter on the sentiment reads the result and does not search the text again.
+    The text is folded in a projection of its own and searched once: a later filter on the sentiment reads
+    the result of the search and does not search again.
     """
     folded = reviews.withColumn("_text", normalise(F.coalesce(F.col(text), F.lit(""))))
-    found = folded.select(*reviews.columns, F.inline(F.array(F.struct(
+    found = compute_once(
+        folded,
         topic_of(F.col("_text"), patterns).alias("_found"),
         hits(F.col("_text"), positive).alias("_pos"),
         hits(F.col("_text"), negative).alias("_neg"),
         F.contains("_text", F.lit(tx.RETRACTION)).alias("_retracted"),
-        _any_of(F.col("_text"), tx.REFUND_WORDS).alias("_refund")))))
+        _any_of(F.col("_text"), tx.REFUND_WORDS).alias("_refund"))
     scored = found.select(
         *reviews.columns, "_found", "_refund",
         sentiment_of(F.col("_pos"), F.col("_neg"), F.col("_found"), F.col("_retracted")).alias("_sentiment"))
