@@ -25,40 +25,44 @@ def confusion(pairs: DataFrame, truth: str, label: str, by: list[str]) -> DataFr
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def scores(counts: DataFrame, by: list[str], accuracy: str, macro_f1: str) -> DataFrame:
-    """Accuracy and macro F1 of confusion counts.
+def _sides(task: str, truth: Column, label: Column, n: Column) -> list[Column]:
+    """What a count adds to its truth and to its label: hits, misses, and (once) its size."""
+    hit, zero = truth == label, F.lit(0).cast("bigint")
+    missed = F.when(hit, zero).otherwise(n).alias("missed")
+    return [
+        F.struct(F.lit(task).alias("task"), truth.alias("name"), F.when(hit, n).otherwise(zero).alias("tp"),
+                 missed, n.alias("n")),
+        F.struct(F.lit(task).alias("task"), label.alias("name"), zero.alias("tp"), missed, zero.alias("n"))]
+
+
+def _scored(sides: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy and macro F1 per (by, task).
 
     The mean runs over the labels that occur as truth or as label; they are added in sorted order so that
     the sum does not depend on the partitions.
     """
-    hit = F.col("truth") == F.col("label")
-    zero = F.lit(0).cast("bigint")
-    sides = F.array(
-        F.struct(F.col("truth").alias("name"), F.when(hit, F.col("n")).otherwise(zero).alias("tp"),
-                 F.when(hit, zero).otherwise(F.col("n")).alias("missed")),
-        F.struct(F.col("label").alias("name"), zero.alias("tp"),
-                 F.when(hit, zero).otherwise(F.col("n")).alias("missed")))
-    per_label = (counts.select(*by, F.inline(sides))
-                 .groupBy(*by, "name").agg(F.sum("tp").alias("tp"), F.sum("missed").alias("missed")))
+    per_label = sides.groupBy(*by, "task", "name").agg(*[F.sum(c).alias(c) for c in ("tp", "missed", "n")])
     f1 = F.coalesce(ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("missed")), F.lit(0.0))
-    ordered = F.array_sort(F.collect_list(F.struct("name", f1.alias("f1"))))
+    listed = per_label.groupBy(*by, "task").agg(
+        F.sum("n").alias("n"), ratio(F.sum("tp"), F.sum("n")).alias("accuracy"),
+        F.array_sort(F.collect_list(F.struct("name", f1.alias("f1")))).alias("list"))
     added = F.aggregate("list", F.lit(0.0), lambda total, entry: total + entry["f1"])
-    macro = (per_label.groupBy(*by).agg(ordered.alias("list"))
-             .select(*by, (added / F.size("list")).alias(macro_f1)))
-    exact = counts.groupBy(*by).agg(
-        ratio(F.sum(F.when(hit, F.col("n")).otherwise(0)), F.sum("n")).alias(accuracy))
-    return exact.join(macro, by)
+    return listed.select(*by, "task", "n", "accuracy", (added / F.size("list")).alias("macro_f1"))
+
 
+def scores(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy and macro F1 of confusion counts (by, truth, label, n)."""
+    sides = counts.select(*by, F.inline(F.array(*_sides("", F.col("truth"), F.col("label"), F.col("n")))))
+    return _scored(sides, by).select(*by, "n", "accuracy", "macro_f1")
 
-def star_counts(labels: DataFrame, reviews: DataFrame) -> DataFrame:
+
+def _star_sides(labels: DataFrame, reviews: DataFrame) -> DataFrame:
     pairs = (labels.select(*REVIEW_KEY, "provider", "sentiment")
              .join(reviews.select(*REVIEW_KEY, "review_score"), REVIEW_KEY)
              .withColumn("stars", stars_to_sentiment(F.col("review_score"))))
-    return confusion(pairs, "stars", "sentiment", ["provider"])
-
-
-def sentiment_vs_stars(labels: DataFrame, reviews: DataFrame) -> DataFrame:
-    return scores(star_counts(labels, reviews), ["provider"], "sentiment_vs_stars_acc", "sentiment_vs_stars_f1")
+    counts = confusion(pairs, "stars", "sentiment", ["provider"])
+    return counts.select("provider", F.inline(F.array(
+        *_sides("stars", F.col("truth"), F.col("label"), F.col("n")))))
 
 
 def gold_pairs(gold: DataFrame, labels: DataFrame) -> DataFrame:
@@ -73,36 +77,49 @@ def gold_counts(gold: DataFrame, labels: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _reduce(counts: DataFrame, truth: str, label: str) -> DataFrame:
-    return (counts.groupBy("provider", F.col(truth).alias("truth"), F.col(label).alias("label"))
-            .agg(F.sum("n").alias("n")))
+def _gold_sides(gold: DataFrame, labels: DataFrame) -> DataFrame:
+    n = F.col("n")
+    complaints = F.when(F.col("gold_sentiment") == "negative", n).otherwise(F.lit(0).cast("bigint"))
+    return gold_counts(gold, labels).select("provider", F.inline(F.array(
+        *_sides("sentiment", F.col("gold_sentiment"), F.col("sentiment"), n),
+        *_sides("topic", F.col("gold_topic"), F.col("topic"), n),
+        *_sides("complaint", F.col("gold_topic"), F.col("topic"), complaints))))
+
+
+def _wide(scored: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per source with the chosen (task, score) pairs as columns."""
+    return scored.groupBy("provider").agg(*[
+        F.max(F.when(F.col("task") == task, F.col(score))).alias(name) for name, (task, score) in columns.items()])
+
+
+STAR_SCORES = {"sentiment_vs_stars_acc": ("stars", "accuracy"), "sentiment_vs_stars_f1": ("stars", "macro_f1")}
+
+
+def sentiment_vs_stars(labels: DataFrame, reviews: DataFrame) -> DataFrame:
+    return _wide(_scored(_star_sides(labels, reviews), ["provider"]), STAR_SCORES)
 
 
 def gold_scores(gold: DataFrame, labels: DataFrame) -> DataFrame:
     """Sentiment and topic against the human labels; complaint accuracy is null without complaints."""
-    counts = gold_counts(gold, labels)
-    by = ["provider"]
-    complaint = F.col("gold_sentiment") == "negative"
-    right = F.col("gold_topic") == F.col("topic")
-    sizes = counts.groupBy(*by).agg(
-        F.sum("n").alias("gold_n"),
-        ratio(F.sum(F.when(complaint & right, F.col("n")).otherwise(0)),
-              F.sum(F.when(complaint, F.col("n")).otherwise(0))).alias("complaint_topic_acc"))
-    return (sizes
-            .join(scores(_reduce(counts, "gold_sentiment", "sentiment"), by, "gold_sentiment_acc",
-                         "gold_sentiment_macro_f1"), by)
-            .join(scores(_reduce(counts, "gold_topic", "topic"), by, "gold_topic_acc", "gold_topic_macro_f1"), by))
+    return _wide(_scored(_gold_sides(gold, labels), ["provider"]), {
+        "gold_n": ("topic", "n"),
+        "gold_sentiment_acc": ("sentiment", "accuracy"), "gold_sentiment_macro_f1": ("sentiment", "macro_f1"),
+        "gold_topic_acc": ("topic", "accuracy"), "gold_topic_macro_f1": ("topic", "macro_f1"),
+        "complaint_topic_acc": ("complaint", "accuracy")})
 
 
 def summary(labels: DataFrame, reviews: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row per label source."""
-    labelled = labels.groupBy("provider").agg(F.count(F.lit(1)).alias("labelled"))
-    return (labelled
-            .join(sentiment_vs_stars(labels, reviews), "provider", "left")
-            .join(gold_scores(gold, labels), "provider", "left")
-            .select("provider", "labelled", "sentiment_vs_stars_acc", "sentiment_vs_stars_f1",
-                    F.coalesce("gold_n", F.lit(0)).alias("gold_n"), "gold_sentiment_acc", "gold_topic_acc",
-                    "gold_topic_macro_f1", "complaint_topic_acc"))
+    """One row per label source. The counts of all tasks are stacked and scored together, without joins."""
+    zero = F.lit(0).cast("bigint")
+    sizes = labels.groupBy("provider").agg(F.count(F.lit(1)).alias("n")).select(
+        "provider", F.lit("labelled").alias("task"), F.lit("").alias("name"), zero.alias("tp"),
+        zero.alias("missed"), "n")
+    stacked = _star_sides(labels, reviews).unionByName(_gold_sides(gold, labels)).unionByName(sizes)
+    wide = _wide(_scored(stacked, ["provider"]), {
+        "labelled": ("labelled", "n"), **STAR_SCORES, "gold_n": ("topic", "n"),
+        "gold_sentiment_acc": ("sentiment", "accuracy"), "gold_topic_acc": ("topic", "accuracy"),
+        "gold_topic_macro_f1": ("topic", "macro_f1"), "complaint_topic_acc": ("complaint", "accuracy")})
+    return wide.withColumn("gold_n", F.coalesce("gold_n", F.lit(0)))
 
 
 def _percent(value: Column) -> Column:
@@ -130,7 +147,7 @@ def topic_matrix(gold: DataFrame, labels: DataFrame, topics: list[str] = tx.TOPI
 
     A topic that occurs on neither side has no row; one that occurs only as label has a row of zeros.
     """
-    counts = _reduce(gold_counts(gold, labels), "gold_topic", "topic")
+    counts = confusion(gold_pairs(gold, labels), "gold_topic", "topic", ["provider"])
     zero = F.lit(0).cast("bigint")
     cells = counts.select("provider", F.inline(F.array(
         F.struct(F.col("truth").alias("gold_topic"), "label", "n"),

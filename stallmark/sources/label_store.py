@@ -45,17 +45,31 @@ def first_per_key(labels: DataFrame) -> DataFrame:
             .select(*REVIEW_KEY, "one.*", "provider").select(*LABEL_COLUMNS))
 
 
-def append_labels(labels: DataFrame, path: str, touched: list[int] | None = None) -> None:
-    """Append the labels whose source and key are not stored yet.
+def touched_buckets(df: DataFrame) -> list[int]:
+    """The key buckets of some rows: at most ``BUCKETS`` numbers."""
+    return [row[_BUCKET] for row in with_bucket(df.select(*REVIEW_KEY)).select(_BUCKET).distinct().collect()]
 
-    ``touched`` names the key buckets in question, at most ``BUCKETS`` numbers; only their files are read.
+
+def not_stored(df: DataFrame, path: str, buckets: list[int] | None = None) -> DataFrame:
+    """Rows of ``df`` (with ``provider``) that have no label of that source yet.
+
+    With ``buckets``, the key buckets in question, only their files are read.
     """
-    stored = _stored(labels.sparkSession, path)
-    if touched is not None:
-        stored = stored.filter(F.col(_BUCKET).isin(*touched)) if touched else stored.limit(0)
-    new = with_bucket(first_per_key(labels)).join(
-        stored.select("provider", _BUCKET, *REVIEW_KEY), ["provider", _BUCKET, *REVIEW_KEY], "left_anti")
-    _write(new, path, "append")
+    stored = _stored(df.sparkSession, path)
+    if buckets is not None:
+        stored = stored.filter(F.col(_BUCKET).isin(*buckets)) if buckets else stored.filter(F.lit(False))
+    key = ["provider", _BUCKET, *REVIEW_KEY]
+    return with_bucket(df).join(stored.select(*key), key, "left_anti").drop(_BUCKET)
+
+
+def append_labels(labels: DataFrame, path: str, buckets: list[int] | None = None) -> None:
+    """Append the labels whose source and key are not stored yet."""
+    write_new(not_stored(first_per_key(labels), path, buckets), path)
+
+
+def write_new(labels: DataFrame, path: str) -> None:
+    """Append labels whose keys are known to be new."""
+    _write(with_bucket(labels), path, "append")
 
 
 def replace_labels(labels: DataFrame, path: str) -> None:
