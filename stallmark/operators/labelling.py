@@ -7,24 +7,18 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
 from ..functions.fence import compute_once
+from ..functions.patterns import found, hits
 from ..functions.text import normalise
 
-# Patterns mean any Unicode digit or word edge, not only ASCII ones.
-_UNICODE = "(?U)"
-
 
 def topic_of(text: Column, patterns: list[tuple[str, str]] = tx.TOPIC_PATTERNS) -> Column:
     """The first topic whose pattern occurs in the normalised text, else null."""
     chosen = F
     for name, pattern in patterns:
-        chosen = chosen.when(text.rlike(_UNICODE + pattern), F.lit(name))
+        chosen = chosen.when(found(text, pattern), F.lit(name))
     return chosen.otherwise(F.lit(None).cast("string"))
 
 
-def hits(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(_UNICODE + pattern))
-
-
 def sentiment_of(positive: Column, negative: Column, topic: Column, retracted: Column) -> Column:
     """Which side has more words; a topic counts as two against, a retraction takes one off the praise."""
     praise = F.when(retracted, F.greatest(positive - 1, F.lit(0))).otherwise(positive)
@@ -48,14 +42,14 @@ def label_reviews(
     the result of the search and does not search again.
     """
     folded = reviews.withColumn("_text", normalise(F.coalesce(F.col(text), F.lit(""))))
-    found = compute_once(
+    searched = compute_once(
         folded,
         topic_of(F.col("_text"), patterns).alias("_found"),
         hits(F.col("_text"), positive).alias("_pos"),
         hits(F.col("_text"), negative).alias("_neg"),
         F.contains("_text", F.lit(tx.RETRACTION)).alias("_retracted"),
         _any_of(F.col("_text"), tx.REFUND_WORDS).alias("_refund"))
-    scored = found.select(
+    scored = searched.select(
         *reviews.columns, "_found", "_refund",
         sentiment_of(F.col("_pos"), F.col("_neg"), F.col("_found"), F.col("_retracted")).alias("_sentiment"))
 

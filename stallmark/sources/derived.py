@@ -6,6 +6,8 @@ arithmetic on the keys, so any engine derives the same rows, and the number of r
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,10 @@ def _div(number: Column, by: int) -> Column:
     return F.call_function("div", number, F.lit(by).cast("bigint"))
 
 
+def _money(hundredths: Column) -> Column:
+    return (hundredths.cast("decimal(16,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def _timed_orders(orders: DataFrame) -> DataFrame:
     k, u, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
     minutes = (k * 37) % 1440
@@ -93,28 +99,27 @@ def derive_raw(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         F.col("estimated").alias("order_estimated_delivery_date"))
 
     # A line number that occurs more than once in an order is one item with the summed price.
-    price = F.col("l_extendedprice").cast(MONEY)
-    freight = F.call_function(
-        "div", (price * 100).cast("bigint") * F.round(F.col("l_tax") * 100).cast("bigint"), F.lit(100).cast("bigint"))
+    price = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    freight = _div(price * F.rint(F.col("l_tax") * 100).cast("bigint"), 100)
     lines = src["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"),
-        F.sum(price).cast(MONEY).alias("price"), F.sum(freight).alias("freight"))
+        F.sum(price).alias("price"), F.sum(freight).alias("freight"))
     items = lines.select(
         _key("o", F.col("l_orderkey")).alias("order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         _key("p", F.col("part")).alias("product_id"),
         _key("s", F.col("supp")).alias("seller_id"),
-        "price",
-        (F.col("freight").cast("decimal(18,0)") / 100).cast(MONEY).alias("freight_value"))
+        _money(F.col("price")).alias("price"),
+        _money(F.col("freight")).alias("freight_value"))
 
     payments = (src["lineitem"].groupBy("l_orderkey", "l_returnflag")
-                .agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(price).cast(MONEY).alias("value"))
+                .agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(price).alias("value"))
                 .select(
                     _key("o", F.col("l_orderkey")).alias("order_id"),
                     F.when(F.col("l_returnflag") == "R", "boleto")
                     .when(F.col("l_returnflag") == "A", "credit_card").otherwise("voucher").alias("payment_type"),
                     F.col("n").alias("payment_installments"),
-                    F.col("value").alias("payment_value")))
+                    _money(F.col("value")).alias("payment_value")))
 
     people = (src["customer"].join(src["nation"], F.col("c_nationkey") == F.col("n_nationkey"), "left")
               .select("c_custkey", "c_mktsegment", "n_name"))

@@ -61,7 +61,7 @@ def test_patterns_are_an_argument(spark):
 def test_a_filter_on_the_label_does_not_search_again(spark):
     df = spark.createDataFrame([("x",)], "comment_message string")
     plan = labelling.label_reviews(df).filter("sentiment = 'negative'")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("nunca chegou") == 1 and plan.count("insatisfeit") == 1
+    assert plan.count("|nunca chegou") == 1 and plan.count("|insatisfeit") == 1
 
 
 def test_stars(spark):
@@ -178,3 +178,29 @@ def test_outside_labeller_is_asked_again_for_what_is_missing(spark, many):
 
 def test_taxonomy_is_closed():
     assert {name for name, _ in tx.TOPIC_PATTERNS} < set(tx.TOPICS) and len(tx.TOPICS) == 8
+
+
+def test_the_word_gate_changes_nothing(spark):
+    """Counts of matches equal those of the plain expressions on texts made of their pieces."""
+    import re
+    from stallmark.functions.patterns import found, hits, needles
+    patterns = [p for _, p in tx.TOPIC_PATTERNS] + [tx.POSITIVE_WORDS, tx.NEGATIVE_WORDS, r"ab?c|x+y", r"(a|b)?cd", r"[ab|]c|de"]
+    pieces = sorted({w for p in patterns for w in re.split(r"[|()\[\]?+\\]", p) if w} | {n for p in patterns for n in needles(p)})
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice([*pieces, " ", "1", "x"]) + rnd.choice(["", " "]) for _ in range(rnd.randrange(1, 7)))
+             for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", *[hits(F.col("t"), p).alias(f"h{i}") for i, p in enumerate(patterns)],
+                    *[found(F.col("t"), p).alias(f"f{i}") for i, p in enumerate(patterns)]).collect()
+    matched = 0
+    for row in got:
+        expected = [sum(1 for _ in re.finditer(p, row[0])) for p in patterns]
+        matched += sum(map(bool, expected))
+        assert list(row)[1:] == [*expected, *[n > 0 for n in expected]], row[0]
+    assert matched > 1000
+
+
+def test_needles():
+    from stallmark.functions.patterns import needles
+    assert needles(r"falt(ou|a) (um|\d)|nao (foi )?veio|ok\b") == ["faltou ", "falta ", "nao ", "ok"]
+    assert needles(r"ab?c") == [] and needles(r"\d+x|word") == []
