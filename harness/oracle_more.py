@@ -432,5 +432,25 @@ verdict AS (SELECT event_id, stmt, tables, CASE WHEN trim(stmt) = '' THEN 'Empty
     }
 
 
+# ---- sources and sinks -------------------------------------------------------------------------
+def stores() -> dict[str, str]:
+    from .oracle_queries import oracle as business
+    named = business()
+    return {
+        "s01_raw_files": star("SELECT * FROM fact_orders"),
+        "s01_raw_reviews": star("SELECT * FROM fact_reviews"),
+        "s03_write_star": quality()["d05_table_counts"],
+        "s03_read_star": named["q02_monthly_revenue_growth"],
+        "s05_label_store": labelled("""SELECT review_id, order_id, sentiment, topic, urgency,
+            CASE WHEN sentiment = 'negative' THEN 'first' ELSE 'second' END AS summary_en, provider FROM review_ai_labels"""),
+        "s07_gold_file": judged("SELECT review_id, order_id, review_score, comment_message, gold_sentiment, gold_topic FROM gold"),
+        "s08_catalogue": named["q05_category_scorecard"],
+        "r13_label_with": star("""SELECT review_id, order_id, 'neutral' AS sentiment, 'high' AS urgency, 'seen' AS summary_en,
+            'outside' AS provider, CASE WHEN lower(substr(comment_message, 1, 1)) < 'n' THEN 'praise' ELSE 'other' END AS topic FROM with_text"""),
+        "g05_run_guarded": star("SELECT state, count(*) AS orders FROM fact_orders JOIN dim_customer USING (customer_id) GROUP BY state"),
+        "st1_incremental_labels": labelled("SELECT review_id, order_id, sentiment, topic, urgency, summary_en, provider FROM review_ai_labels"),
+    }
+
+
 def oracle() -> dict[str, str]:
-    return {**stars(), **quality(), **labels(), **evaluation(), **pack(), **measures(), **audit()}
+    return {**stars(), **quality(), **labels(), **evaluation(), **pack(), **measures(), **audit(), **stores()}

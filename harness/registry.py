@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +14,14 @@ from stallmark import taxonomy as tx
 from stallmark.functions.text import normalise
 from stallmark.functions.time import parse_ts
 from stallmark.operators import evaluate, labelling, picking, quality, replies, sqlaudit, star
+from stallmark.operators.durable import shared_folder
 from stallmark.plans import measures as M
 from stallmark.plans import pack
 from stallmark.plans import queries as Q
-from stallmark.schemas import LABEL_COLUMNS, REVIEW_KEY
-from stallmark.sources import derived, label_store, store
+from stallmark.plans.catalog import run_catalog
+from stallmark.schemas import GOLD_COLUMNS, LABEL_COLUMNS, RAW_FILES, REVIEW_KEY, STAR_TABLES
+from stallmark.sources import derived, label_store, raw, store
+from stallmark.streaming.incremental import label_stream
 
 from . import statements
 from .settings import (
@@ -311,8 +317,109 @@ def statement_audit() -> dict[str, Query]:
     }
 
 
+# ---- sources and sinks: written to the shared folder of the session and read back ----------------
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _raw_files(spark: SparkSession, path: str) -> DataFrame:
+    """Write the raw tables as CSV, read them as raw files, and build the orders from them."""
+    folder, tables = _folder(spark), derived.derive_raw(spark, path)
+    for name in RAW_FILES:
+        (tables[name].write.option("header", True).option("escape", '"')
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{name}"))
+    read = raw.read_raw(spark, folder, {name: name for name in RAW_FILES})
+    return star.fact_orders(read["orders"], read["items"], read["payments"])
+
+
+def _raw_reviews(spark: SparkSession, path: str) -> DataFrame:
+    folder, reviews = _folder(spark), derived.derive_raw(spark, path)["reviews"]
+    (reviews.write.option("header", True).option("escape", '"')
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/reviews"))
+    return star.fact_reviews(raw.read_raw(spark, folder, {"reviews": "reviews"})["reviews"])
+
+
+def _written_star(spark: SparkSession, path: str) -> DataFrame:
+    return store.write_star(derived.derive_star(spark, path), _folder(spark))
+
+
+def _read_star(spark: SparkSession, path: str) -> DataFrame:
+    folder = _folder(spark)
+    store.write_star(derived.derive_star(spark, path), folder)
+    return Q.monthly_revenue_growth(store.read_star(spark, folder, STAR_TABLES), FIRST, LAST)
+
+
+def _label_store(spark: SparkSession, path: str) -> DataFrame:
+    """Complaints are stored first, then all labels: the first label of a key stays."""
+    folder, labels = _folder(spark), derived.derive_star(spark, path)["review_ai_labels"]
+    first = labels.filter("sentiment = 'negative'").withColumn("summary_en", F.lit("first"))
+    label_store.append_labels(first, folder)
+    label_store.append_labels(labels.withColumn("summary_en", F.lit("second")), folder)
+    return label_store.load_labels(spark, folder)
+
+
+def _gold_file(spark: SparkSession, path: str) -> DataFrame:
+    folder = _folder(spark)
+    gold = derived.derive_gold(spark, path, derived.derive_star(spark, path)["fact_reviews"])
+    gold.select(*GOLD_COLUMNS).write.option("header", True).option("escape", '"').csv(folder)
+    return raw.read_gold(spark, folder).select(*GOLD_COLUMNS)
+
+
+def _catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Run the whole catalogue and read one of its results back."""
+    folder = _folder(spark)
+    run_catalog(derived.derive_star(spark, path), folder,
+                q05_category_scorecard={"min_orders": CATEGORY_ORDERS})
+    return spark.read.option("header", True).schema(
+        "revenue_rank bigint, category string, orders bigint, revenue double, avg_score double, late_pct double"
+    ).csv(f"{folder}/q05_category_scorecard")
+
+
+def _incremental(spark: SparkSession, path: str) -> DataFrame:
+    """New review files in two deliveries that overlap; each review is labelled once."""
+    folder, reviews = _folder(spark), derived.derive_star(spark, path)["fact_reviews"]
+    columns = ["review_id", "order_id", "comment_message"]
+    for delivery in (reviews.filter("review_score <= 3 or review_score is null"), reviews.filter("review_score >= 3")):
+        delivery.select(*columns).write.mode("append").parquet(f"{folder}/in")
+        label_stream(spark, f"{folder}/in", f"{folder}/labels", f"{folder}/point").awaitTermination()
+    return label_store.load_labels(spark, f"{folder}/labels")
+
+
+def stand_in_labeller(prompt: str) -> str:
+    """Answers a prompt as an outside labeller would: one entry per text, in a fence, the tenth one forgotten."""
+    texts = re.findall(r"^[0-9]+\. \[id=(r[0-9]+)\] (.*)$", prompt, flags=re.M)
+    results = [{"id": i, "topic": "praise" if text[:1].lower() < "n" else "other", "sentiment": "NEUTRAL",
+                "urgency": "high", "summary_en": "seen"} for i, text in texts[:9]]
+    return "```json\n" + json.dumps({"results": results}) + "\n```"
+
+
+def _labelled_outside(spark: SparkSession, path: str) -> DataFrame:
+    texts = _texts(derived.derive_star(spark, path))
+    return replies.label_with(texts, stand_in_labeller, "outside")
+
+
+def _guarded(spark: SparkSession, path: str) -> DataFrame:
+    stmt = "SELECT state, count(*) AS orders FROM fact_orders JOIN dim_customer USING (customer_id) GROUP BY state"
+    return sqlaudit.run_guarded(spark, derived.derive_star(spark, path), stmt)
+
+
+def stores() -> dict[str, Query]:
+    return {
+        "s01_raw_files": _raw_files,
+        "s01_raw_reviews": _raw_reviews,
+        "s03_write_star": _written_star,
+        "s03_read_star": _read_star,
+        "s05_label_store": _label_store,
+        "s07_gold_file": _gold_file,
+        "s08_catalogue": _catalogue,
+        "r13_label_with": _labelled_outside,
+        "g05_run_guarded": _guarded,
+        "st1_incremental_labels": _incremental,
+    }
+
+
 def queries() -> dict[str, Query]:
     return {
         **business(), **star_schema(), **data_quality(), **labels(), **evaluation(), **kpi_pack(),
-        **bi_measures(), **statement_audit(),
+        **bi_measures(), **statement_audit(), **stores(),
     }

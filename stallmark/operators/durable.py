@@ -9,18 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there."""
-    _ensure_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _ensure_folder(spark: SparkSession) -> None:
-    """The folder comes from ``spark.checkpoint.dir``; only a local session may fall back to its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
+
+    It comes from ``spark.checkpoint.dir``; only a local session may fall back to its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="stallmark-checkpoint-")
-    context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+            folder = tempfile.mkdtemp(prefix="stallmark-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()

@@ -116,7 +116,7 @@ def _daily(tables: Tables, by: list[str], filters: Filters | None) -> DataFrame:
     """Revenue per group and day with delivered orders; item attributes are not offered here."""
     filters = filters or {}
     orders = fr.with_month(fr.delivered_orders(tables)).withColumn("year", F.year("purchase_date"))
-    if set(by) | set(filters) & set(CUSTOMER_ATTRIBUTES):
+    if {*by, *filters} & set(CUSTOMER_ATTRIBUTES):
         people = tables["dim_customer"].select("customer_id", *CUSTOMER_ATTRIBUTES)
         orders = orders.join(people, "customer_id", "left")
     return (_keep(orders, filters)
