@@ -32,6 +32,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def on_star(plan: Callable[..., DataFrame], **arguments) -> Query:
+    """Over the star without labels."""
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        return plan(derived.derive_star(spark, path, labels=False), **arguments)
+    return run
+
+
+def on_labelled(plan: Callable[..., DataFrame], **arguments) -> Query:
+    """Over the star with the labels of the word rules."""
     def run(spark: SparkSession, path: str) -> DataFrame:
         return plan(derived.derive_star(spark, path), **arguments)
     return run
@@ -40,7 +48,7 @@ def on_star(plan: Callable[..., DataFrame], **arguments) -> Query:
 def on_labels(plan: Callable[..., DataFrame], **arguments) -> Query:
     """With the labels of all sources."""
     def run(spark: SparkSession, path: str) -> DataFrame:
-        tables = derived.derive_star(spark, path)
+        tables = derived.derive_star(spark, path, labels=False)
         tables["review_ai_labels"] = derived.derive_labels(tables["fact_reviews"])
         return plan(tables, **arguments)
     return run
@@ -57,10 +65,10 @@ def business() -> dict[str, Query]:
         "q06_state_delivery_performance": on_star(Q.state_delivery_performance, min_orders=STATE_ORDERS),
         "q07_repeat_purchase_after_bad_review": on_star(Q.repeat_purchase_after_bad_review),
         "q08_sellers_with_problems": on_star(Q.sellers_with_problems, min_orders=SELLER_ORDERS),
-        "q09_topic_breakdown": on_star(Q.topic_breakdown),
-        "q10_topic_by_category": on_star(Q.topic_by_category, min_reviews=TOPIC_REVIEWS),
+        "q09_topic_breakdown": on_labelled(Q.topic_breakdown),
+        "q10_topic_by_category": on_labelled(Q.topic_by_category, min_reviews=TOPIC_REVIEWS),
         "q11_worst_states": on_star(Q.worst_states, min_orders=STATE_ORDERS),
-        "q12_complaint_topics": on_star(Q.complaint_topics),
+        "q12_complaint_topics": on_labelled(Q.complaint_topics),
         "q13_top_categories": on_star(Q.top_categories),
         "q14_monthly_orders": on_star(Q.monthly_orders, year=YEAR),
         "q15_overview_cards": on_star(Q.overview_cards),
@@ -68,15 +76,15 @@ def business() -> dict[str, Query]:
         "q17_lateness_series": on_star(Q.lateness_series),
         "q18_late_share_by_state": on_star(Q.late_share_by_state, min_orders=STATE_ORDERS),
         "q19_labels_by_provider": on_labels(Q.labels_by_provider),
-        "q20_urgency_distribution": on_star(Q.urgency_distribution),
-        "q21_complaint_heat_map": on_star(Q.complaint_heat_map),
-        "q21_heat_map_matrix": on_star(Q.heat_map_matrix, topics=tx.TOPICS),
-        "q22_browse_reviews": on_star(
+        "q20_urgency_distribution": on_labelled(Q.urgency_distribution),
+        "q21_complaint_heat_map": on_labelled(Q.complaint_heat_map),
+        "q21_heat_map_matrix": on_labelled(Q.heat_map_matrix, topics=tx.TOPICS),
+        "q22_browse_reviews": on_labelled(
             Q.browse_reviews, urgencies=["high"], topics=["not_received", "seller_service"]),
         "q23_score_by_payment_type": on_star(Q.score_by_payment_type),
         "q24_top_categories_in_year": on_star(Q.top_categories_in_year, year=YEAR),
         "q25_late_vs_on_time_score": on_star(Q.late_vs_on_time_score),
-        "q26_topic_insight": on_star(Q.topic_insight),
+        "q26_topic_insight": on_labelled(Q.topic_insight),
     }
 
 
@@ -140,20 +148,20 @@ def data_quality() -> dict[str, Query]:
         "d02_foreign_keys": lambda spark, path: quality.check_fk(flawed(spark, path)),
         "d03_not_null": lambda spark, path: quality.check_not_null(flawed(spark, path)),
         "d04_label_domain": lambda spark, path: quality.check_domain(flawed(spark, path)["review_ai_labels"]),
-        "d05_table_counts": on_star(quality.table_counts),
+        "d05_table_counts": on_labelled(quality.table_counts),
     }
 
 
 def _human_keys(spark: SparkSession, path: str) -> DataFrame:
     """Keys of the reviews with a human label."""
-    reviews = picking.with_text(derived.derive_star(spark, path)["fact_reviews"])
-    human = spark.read.parquet(f"{path}/labels.parquet").select(
+    reviews = picking.with_text(derived.derive_star(spark, path, labels=False)["fact_reviews"])
+    human = derived.read_input(spark, path, "labels").select(
         F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("order_id"))
     return reviews.join(human, "order_id").select(*REVIEW_KEY)
 
 
 def _picked(spark: SparkSession, path: str) -> DataFrame:
-    reviews = derived.derive_star(spark, path)["fact_reviews"]
+    reviews = derived.derive_star(spark, path, labels=False)["fact_reviews"]
     return picking.pick_reviews(reviews, _human_keys(spark, path), SAMPLE_ROWS, SEED)
 
 
@@ -169,7 +177,7 @@ def _texts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _batches(spark: SparkSession, path: str) -> DataFrame:
-    texts = _texts(derived.derive_star(spark, path)).select(*REVIEW_KEY, "comment_message")
+    texts = _texts(derived.derive_star(spark, path, labels=False)).select(*REVIEW_KEY, "comment_message")
     return replies.number_batches(texts)
 
 
@@ -222,14 +230,14 @@ def _star_sentiment(tables: dict[str, DataFrame]) -> DataFrame:
 
 def _labelled_file(name: str, *keys: str) -> Query:
     return lambda spark, path: labelling.label_reviews(
-        spark.read.parquet(f"{path}/{name}.parquet"), text="text").select(*keys, "sentiment", "topic", "urgency")
+        derived.read_input(spark, path, name), text="text").select(*keys, "sentiment", "topic", "urgency")
 
 
 def labels() -> dict[str, Query]:
     return {
         "r01_normalise": on_star(lambda tables: tables["fact_reviews"].filter("comment_message is not null").select(
             *REVIEW_KEY, normalise(F.col("comment_message")).alias("folded"))),
-        "r02_topics": on_star(lambda tables: tables["review_ai_labels"].groupBy("topic").agg(F.count(F.lit(1)).alias("reviews"))),
+        "r02_topics": on_labelled(lambda tables: tables["review_ai_labels"].groupBy("topic").agg(F.count(F.lit(1)).alias("reviews"))),
         "r06_label_reviews": on_star(lambda tables: labelling.label_reviews(_texts(tables)).select(*LABEL_COLUMNS)),
         "r06_label_documents": _labelled_file("documents", "doc_id"),
         "r06_label_conversations": _labelled_file("conversations", "conv_id", "turn"),
@@ -246,7 +254,7 @@ def labels() -> dict[str, Query]:
 
 def _judge(plan: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, path: str) -> DataFrame:
-        tables = derived.derive_star(spark, path)
+        tables = derived.derive_star(spark, path, labels=False)
         return plan(labels=derived.derive_labels(tables["fact_reviews"]), reviews=tables["fact_reviews"],
                     gold=derived.derive_gold(spark, path, tables["fact_reviews"]))
     return run
@@ -274,31 +282,31 @@ def kpi_pack() -> dict[str, Query]:
         "k02_monthly_derived": on_star(lambda tables: pack.monthly_derived(monthly(tables))),
         "k03_categories": on_star(pack.categories, **size),
         "k04_category_shares": on_star(lambda tables: pack.category_shares(pack.categories(tables, **size))),
-        "k05_complaints": on_star(pack.complaints),
-        "k06_complaint_shares": on_star(lambda tables: pack.complaint_shares(pack.complaints(tables))),
+        "k05_complaints": on_labelled(pack.complaints),
+        "k06_complaint_shares": on_labelled(lambda tables: pack.complaint_shares(pack.complaints(tables))),
         "k07_kpi_summary": on_star(lambda tables: pack.kpi_summary(monthly(tables), MONTH)),
         "k07_kpi_summary_first_month": on_star(lambda tables: pack.kpi_summary(monthly(tables), FIRST)),
-        "k08_facts": on_star(pack.facts, **months, **size),
-        "k09_sentences": on_star(lambda tables: pack.sentences(pack.facts(tables, **months, **size))),
+        "k08_facts": on_labelled(pack.facts, **months, **size),
+        "k09_sentences": on_labelled(lambda tables: pack.sentences(pack.facts(tables, **months, **size))),
     }
 
 
 def bi_measures() -> dict[str, Query]:
     return {
-        "m00_measures_all": on_star(M.measures),
-        "m00_measures_by_month": on_star(M.measures, by=["year_month"]),
-        "m00_measures_by_category_filtered": on_star(
+        "m00_measures_all": on_labelled(M.measures),
+        "m00_measures_by_month": on_labelled(M.measures, by=["year_month"]),
+        "m00_measures_by_category_filtered": on_labelled(
             M.measures, by=["category"], filters={"year": YEAR, "state": ["NATION_1", "NATION_2", "NATION_3"]}),
-        "m00_measures_rollup": on_star(M.measures, by=["year", "payment_type"], totals="rollup"),
-        "m00_measures_cube": on_star(M.measures, by=["category", "lateness_bucket"], totals="cube"),
+        "m00_measures_rollup": on_labelled(M.measures, by=["year", "payment_type"], totals="rollup"),
+        "m00_measures_cube": on_labelled(M.measures, by=["category", "lateness_bucket"], totals="cube"),
         "m06_revenue_over_time": on_star(M.revenue_over_time),
         "m06_revenue_over_time_by_state": on_star(M.revenue_over_time, by=["state"]),
-        "m13_label_measures_by_topic": on_star(M.label_measures),
-        "m14_topic_share_by_category": on_star(M.label_measures, by=["category", "topic"]),
-        "m15_overview_title": on_star(M.overview_title),
-        "m16_score_by_bucket": on_star(M.score_by_bucket),
-        "m17_seller_watch_list": on_star(M.seller_watch_list, min_orders=SELLER_ORDERS),
-        "m18_state_table": on_star(M.state_table),
+        "m13_label_measures_by_topic": on_labelled(M.label_measures),
+        "m14_topic_share_by_category": on_labelled(M.label_measures, by=["category", "topic"]),
+        "m15_overview_title": on_labelled(M.overview_title),
+        "m16_score_by_bucket": on_labelled(M.score_by_bucket),
+        "m17_seller_watch_list": on_labelled(M.seller_watch_list, min_orders=SELLER_ORDERS),
+        "m18_state_table": on_labelled(M.state_table),
     }
 
 
@@ -360,7 +368,7 @@ def _label_store(spark: SparkSession, path: str) -> DataFrame:
 
 def _gold_file(spark: SparkSession, path: str) -> DataFrame:
     folder = _folder(spark)
-    gold = derived.derive_gold(spark, path, derived.derive_star(spark, path)["fact_reviews"])
+    gold = derived.derive_gold(spark, path, derived.derive_star(spark, path, labels=False)["fact_reviews"])
     gold.select(*GOLD_COLUMNS).write.option("header", True).option("escape", '"').csv(folder)
     return raw.read_gold(spark, folder).select(*GOLD_COLUMNS)
 
@@ -377,7 +385,7 @@ def _catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def _incremental(spark: SparkSession, path: str) -> DataFrame:
     """New review files in two deliveries that overlap; each review is labelled once."""
-    folder, reviews = _folder(spark), derived.derive_star(spark, path)["fact_reviews"]
+    folder, reviews = _folder(spark), derived.derive_star(spark, path, labels=False)["fact_reviews"]
     columns = ["review_id", "order_id", "comment_message"]
     for delivery in (reviews.filter("review_score <= 3 or review_score is null"), reviews.filter("review_score >= 3")):
         delivery.select(*columns).write.mode("append").parquet(f"{folder}/in")
@@ -394,13 +402,13 @@ def stand_in_labeller(prompt: str) -> str:
 
 
 def _labelled_outside(spark: SparkSession, path: str) -> DataFrame:
-    texts = _texts(derived.derive_star(spark, path))
+    texts = _texts(derived.derive_star(spark, path, labels=False))
     return replies.label_with(texts, stand_in_labeller, "outside")
 
 
 def _guarded(spark: SparkSession, path: str) -> DataFrame:
     stmt = "SELECT state, count(*) AS orders FROM fact_orders JOIN dim_customer USING (customer_id) GROUP BY state"
-    return sqlaudit.run_guarded(spark, derived.derive_star(spark, path), stmt)
+    return sqlaudit.run_guarded(spark, derived.derive_star(spark, path, labels=False), stmt)
 
 
 def stores() -> dict[str, Query]:

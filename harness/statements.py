@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stallmark.sources.derived import read_input
+
 TEMPLATES = [
     "SELECT state FROM dim_customer WHERE city = '{type}'",
     "Here you go:\n```sql\nSELECT count(*) AS n FROM fact_orders WHERE order_value > {user};\n```\nHope that helps",
@@ -26,7 +28,7 @@ TEMPLATES = [
 
 
 def replies(spark: SparkSession, path: str) -> DataFrame:
-    events = spark.read.parquet(f"{path}/events.parquet")
+    events = read_input(spark, path, "events")
     text = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("event_id") % len(TEMPLATES) + 1).cast("int"))
     for name, value in {"{user}": F.col("user_id").cast("string"), "{type}": F.col("event_type"),
                         "{props}": F.col("props"), "{value}": F.col("value").cast("string")}.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,17 +175,23 @@ ACTION = ("Recommended action: prioritise on-time delivery in the worst-performi
           "since late orders score ~1.7 stars lower.")
 
 
+def _say(template: str, *facts: Column) -> Column:
+    """The filled sentence, null when one of its facts is missing."""
+    given = reduce(Column.__and__, (fact.isNotNull() for fact in facts))
+    return F.when(given, F.format_string(template, *facts))
+
+
 def sentences(record: DataFrame) -> DataFrame:
     """One row per sentence of the executive summary."""
     words = F.replace(F.array_join(F.transform(
         "top_complaint_topics", lambda t: F.split_part(t, F.lit("="), F.lit(1))), ", "), F.lit("_"), F.lit(" "))
+    fact = {c: F.col(c) for c in record.columns}
     bullets = [
-        F.format_string(HEADLINE, "total_orders", "total_revenue_brl", "period"),
-        F.format_string(LATEST, "latest_month", "latest_month_revenue", "mom_revenue_change_pct"),
-        F.format_string(LATENESS, F.col("late_delivery_rate_pct").cast("string"),
-                        F.col("avg_review_score").cast("string")),
-        F.format_string(CATEGORY, "top_category", "lowest_rated_big_category"),
-        F.format_string(COMPLAINTS, words),
+        _say(HEADLINE, fact["total_orders"], fact["total_revenue_brl"], fact["period"]),
+        _say(LATEST, fact["latest_month"], fact["latest_month_revenue"], fact["mom_revenue_change_pct"]),
+        _say(LATENESS, fact["late_delivery_rate_pct"].cast("string"), fact["avg_review_score"].cast("string")),
+        _say(CATEGORY, fact["top_category"], fact["lowest_rated_big_category"]),
+        _say(COMPLAINTS, words),
         F.lit(ACTION),
     ]
     return record.select(F.posexplode(F.array(*bullets)).alias("position", "sentence"))

@@ -10,8 +10,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import clean_text
 from ..operators import star
 from ..operators.labelling import label_reviews
 from ..schemas import LABEL_COLUMNS, MONEY
@@ -54,7 +54,7 @@ PHRASES = [
 ]
 PHRASE_STEP = 13
 
-_TABLES = ("orders", "lineitem", "part", "customer", "supplier", "nation", "documents", "labels")
+_TABLES = ("orders", "lineitem", "part", "customer", "supplier", "nation", "documents")
 
 
 def _key(prefix: str, number: Column) -> Column:
@@ -85,8 +85,19 @@ def _timed_orders(orders: DataFrame) -> DataFrame:
         F.timestamp_add("DAY", (18 + u % 9).cast("int"), day).alias("estimated"))
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def read_input(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """An input file; its schema is read from the file once per process."""
+    file = f"{path}/{name}.parquet"
+    if file not in _schemas:
+        _schemas[file] = spark.read.parquet(file).schema
+    return spark.read.schema(_schemas[file]).parquet(file)
+
+
 def derive_raw(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    src = {name: spark.read.parquet(f"{path}/{name}.parquet") for name in _TABLES}
+    src = {name: read_input(spark, path, name) for name in _TABLES}
     timed = _timed_orders(src["orders"])
 
     orders = timed.select(
@@ -210,7 +221,7 @@ def derive_gold(spark: SparkSession, path: str, reviews: DataFrame) -> DataFrame
 
     ``gold_no`` is the order of the rows.
     """
-    human = spark.read.parquet(f"{path}/labels.parquet").select(
+    human = read_input(spark, path, "labels").select(
         _key("o", F.col("doc_id")).alias("order_id"), "doc_id", "quality", "toxic")
     ruled = label_reviews(reviews.filter(F.length("comment_message") >= 5).join(human, "order_id"))
     n = F.col("doc_id")
@@ -222,7 +233,8 @@ def derive_gold(spark: SparkSession, path: str, reviews: DataFrame) -> DataFrame
         n.alias("gold_no"))
 
 
-def derive_star(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def derive_star(spark: SparkSession, path: str, labels: bool = True) -> dict[str, DataFrame]:
     tables = star.build_star(derive_raw(spark, path))
-    tables["review_ai_labels"] = derive_labels(tables["fact_reviews"]).filter(F.col("provider") == "rules")
+    if labels:
+        tables["review_ai_labels"] = derive_labels(tables["fact_reviews"]).filter(F.col("provider") == "rules")
     return tables

@@ -20,3 +20,28 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def stored_star(spark, tmp_path_factory):
+    """The star of the smallest data, written once."""
+    from stallmark.schemas import STAR_TABLES
+    from stallmark.sources import derived, store
+    path = str(tmp_path_factory.mktemp("stored"))
+    store.write_star(derived.derive_star(spark, SMALL), path)
+    return store.read_star(spark, path, STAR_TABLES)
+
+
+@pytest.fixture
+def from_store(monkeypatch, spark, stored_star):
+    """Registered queries read the stored star instead of deriving it again."""
+    from stallmark.sources import derived
+
+    def stored(spark, path, labels=True):
+        assert path == SMALL
+        return {n: df for n, df in stored_star.items() if labels or n != "review_ai_labels"}
+
+    monkeypatch.setattr(derived, "derive_star", stored)

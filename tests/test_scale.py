@@ -20,14 +20,14 @@ def physical(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(LAZY))
-def test_no_cross_joins_and_no_row_functions(spark, name):
+def test_no_cross_joins_and_no_row_functions(spark, from_store, name):
     plan = physical(LAZY[name](spark, SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
         assert bad not in plan, f"{bad} in {name}"
 
 
 @pytest.mark.parametrize("name", ["q05_category_scorecard", "k03_categories", "q02_monthly_revenue_growth", "k04_category_shares"])
-def test_windows_over_everything_come_after_the_grouping(spark, name):
+def test_windows_over_everything_come_after_the_grouping(spark, from_store, name):
     plan = physical(LAZY[name](spark, SMALL)).split("\n")
     single = [i for i, line in enumerate(plan) if "SinglePartition" in line]
     below = [next((line for line in plan[i + 1:] if "Aggregate" in line), "") for i in single]
