@@ -315,7 +315,7 @@ def pack() -> dict[str, str]:
 
 
 # ---- measures ----------------------------------------------------------------------------------
-def _per_order(item: str | None = None) -> str:
+def _per_order(item: str | None = None, out: str = "po") -> str:
     """One row per order and item attribute, with the reviews and labels joined as lists of facts."""
     bridge = ""
     if item == "category":
@@ -323,13 +323,13 @@ def _per_order(item: str | None = None) -> str:
     elif item:
         bridge = f"JOIN (SELECT DISTINCT order_id, {item} FROM fact_order_items) b USING (order_id)"
     return f""",
-rt AS (SELECT order_id, count(*) AS rn, count(review_score) AS rs, sum(review_score) AS rp, count(*) FILTER (review_score <= 2) AS rl
+{out}_rt AS (SELECT order_id, count(*) AS rn, count(review_score) AS rs, sum(review_score) AS rp, count(*) FILTER (review_score <= 2) AS rl
     FROM fact_reviews GROUP BY order_id),
-lt AS (SELECT order_id, count(*) AS ln, count(*) FILTER (sentiment = 'negative') AS lneg, count(*) FILTER (urgency = 'high') AS lhigh
+{out}_lt AS (SELECT order_id, count(*) AS ln, count(*) FILTER (sentiment = 'negative') AS lneg, count(*) FILTER (urgency = 'high') AS lhigh
     FROM review_ai_labels GROUP BY order_id),
-po AS (SELECT *, strftime(purchase_date, '%Y-%m') AS year_month, year(purchase_date)::INT AS year,
+{out} AS (SELECT *, strftime(purchase_date, '%Y-%m') AS year_month, year(purchase_date)::INT AS year,
     CASE WHEN days_late IS NULL THEN 'Not delivered' ELSE {BUCKET} END AS lateness_bucket
-    FROM fact_orders JOIN dim_customer USING (customer_id) {bridge} LEFT JOIN rt USING (order_id) LEFT JOIN lt USING (order_id))
+    FROM fact_orders JOIN dim_customer USING (customer_id) {bridge} LEFT JOIN {out}_rt USING (order_id) LEFT JOIN {out}_lt USING (order_id))
 """
 
 
@@ -379,8 +379,14 @@ def measures() -> dict[str, str]:
             WHERE year = {YEAR} AND state IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY category"""),
         "m00_measures_rollup": labelled(_per_order() + f"""SELECT year, payment_type, grouping(year, payment_type) AS level, {ALL_MEASURES}
             FROM po GROUP BY ROLLUP (year, payment_type)"""),
-        "m00_measures_cube": labelled(_per_order("category") + f"""SELECT category, lateness_bucket, grouping(category, lateness_bucket) AS level, {ALL_MEASURES}
-            FROM po GROUP BY CUBE (category, lateness_bucket)"""),
+        "m00_measures_cube": labelled(_per_order() + _per_order("category", "pc") + f"""
+            SELECT category, lateness_bucket, 0 AS level, {ALL_MEASURES} FROM pc GROUP BY category, lateness_bucket
+            UNION ALL SELECT category, NULL, 1, {ALL_MEASURES} FROM pc GROUP BY category
+            UNION ALL SELECT NULL, lateness_bucket, 2, {ALL_MEASURES} FROM po GROUP BY lateness_bucket
+            UNION ALL SELECT NULL, NULL, 3, {ALL_MEASURES} FROM po"""),
+        "m00_measures_filtered_once": labelled(_per_order() + f"""SELECT year, {ALL_MEASURES} FROM po WHERE order_id IN (
+            SELECT order_id FROM fact_order_items JOIN dim_product USING (product_id)
+            WHERE category IN ('category_1', 'category_2') AND seller_id IN ({lst(f"s{i}" for i in range(40))[1:-1]})) GROUP BY year"""),
         "m06_revenue_over_time": star(_time("", "fact_orders")),
         "m06_revenue_over_time_by_state": star(_time("state", "fact_orders JOIN dim_customer USING (customer_id)")),
         "m13_label_measures_by_topic": labelled(f"""SELECT topic, {label},

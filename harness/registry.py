@@ -299,6 +299,8 @@ def bi_measures() -> dict[str, Query]:
             M.measures, by=["category"], filters={"year": YEAR, "state": ["NATION_1", "NATION_2", "NATION_3"]}),
         "m00_measures_rollup": on_labelled(M.measures, by=["year", "payment_type"], totals="rollup"),
         "m00_measures_cube": on_labelled(M.measures, by=["category", "lateness_bucket"], totals="cube"),
+        "m00_measures_filtered_once": on_labelled(M.measures, by=["year"], filters={
+            "category": ["category_1", "category_2"], "seller_id": [f"s{i}" for i in range(40)]}),
         "m06_revenue_over_time": on_star(M.revenue_over_time),
         "m06_revenue_over_time_by_state": on_star(M.revenue_over_time, by=["state"]),
         "m13_label_measures_by_topic": on_labelled(M.label_measures),

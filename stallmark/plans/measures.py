@@ -8,6 +8,7 @@ not added up from its groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def _keep(df: DataFrame, filters: Filters) -> DataFrame:
 def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:
     """One row per order (per order and attribute value for item attributes) with all measure parts.
 
-    An order counts once for each category or seller it has an item of.
+    An order counts once for each category or seller it has an item of, and once in a total.
     """
     filters = filters or {}
     used = list(dict.fromkeys([*by, *filters]))
@@ -52,9 +53,8 @@ def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None
     people = tables["dim_customer"].select("customer_id", "customer_unique_id", *CUSTOMER_ATTRIBUTES)
     orders = orders.join(people, "customer_id", "left")
     orders = _keep(orders, {k: v for k, v in filters.items() if k in CUSTOMER_ATTRIBUTES})
-    for attribute in (a for a in ITEM_ATTRIBUTES if a in used):
-        bridge = fr.items_by_order(tables, attribute).select("order_id", attribute)
-        orders = orders.join(_keep(bridge, {k: v for k, v in filters.items() if k == attribute}), "order_id")
+    if set(used) & set(ITEM_ATTRIBUTES):
+        orders = orders.join(_bridge(tables, by, filters), "order_id")
 
     orders = orders.join(fr.review_totals(tables), "order_id", "left")
     labels = tables["review_ai_labels"].groupBy("order_id").agg(
@@ -64,6 +64,39 @@ def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None
     return orders.join(labels, "order_id", "left")
 
 
+def _bridge(tables: Tables, by: Sequence[str], filters: Filters) -> DataFrame:
+    """Orders with an item that passes the filters, once per combination of the grouped attributes of its items."""
+    items = tables["fact_order_items"].select("order_id", "product_id", "seller_id")
+    if "category" in {*by, *filters}:
+        items = items.join(tables["dim_product"].select("product_id", "category"), "product_id")
+    items = _keep(items, {k: v for k, v in filters.items() if k in ITEM_ATTRIBUTES})
+    return items.select("order_id", *[a for a in by if a in ITEM_ATTRIBUTES]).distinct()
+
+
+def _grouping_sets(by: list[str], totals: str) -> list[list[str]]:
+    if totals == "rollup":
+        return [by[:n] for n in range(len(by), -1, -1)]
+    return [[c for i, c in enumerate(by) if not level >> (len(by) - 1 - i) & 1] for level in range(2 ** len(by))]
+
+
+def _level(by: list[str], kept: list[str]) -> int:
+    """The grouping number: one bit per column, set where it is totalled."""
+    return sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in kept)
+
+
+def _with_item_totals(tables: Tables, by: list[str], filters: Filters | None, totals: str) -> DataFrame:
+    """Totals over categories or sellers count an order once, so each level is evaluated from the orders."""
+    levels = []
+    for kept in _grouping_sets(by, totals):
+        rows = measures(tables, kept, filters)
+        for c in by:
+            if c not in kept:
+                rows = rows.withColumn(c, F.lit(None))
+        levels.append(rows.withColumn("level", F.lit(_level(by, kept)).cast("bigint"))
+                      .select(*by, "level", *[c for c in rows.columns if c not in by]))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def _measures() -> list[Column]:
     delivered = F.col("order_status") == fr.DELIVERED
     return [
@@ -87,10 +120,12 @@ def measures(tables: Tables, by: Sequence[str] = (), filters: Filters | None = N
              totals: str | None = None) -> DataFrame:
     """All measures per group. ``totals`` is ``rollup`` or ``cube`` for total rows, marked by ``level``,
     the grouping number (0 for a full group)."""
-    parts = order_parts(tables, by, filters)
     by = list(by)
+    if totals and set(by) & set(ITEM_ATTRIBUTES):
+        return _with_item_totals(tables, by, filters, totals)
+    parts = order_parts(tables, by, filters)
     if totals:
-        grouped = getattr(parts, totals)(*by).agg(F.grouping_id().alias("level"), *_measures())
+        grouped = getattr(parts, totals)(*by).agg(F.grouping_id().cast("bigint").alias("level"), *_measures())
         keys = [*by, "level"]
     else:
         grouped, keys = parts.groupBy(*by).agg(*_measures()), by

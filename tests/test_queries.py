@@ -112,3 +112,16 @@ def test_topic_counts_distinct_reviews_of_the_first_item(spark):
         spark, ("r", "o1", "negative", "other", "low"), ("r", "o2", "negative", "other", "low"))
     assert fx.rows(Q.topic_by_category(tables, min_reviews=1)) == [("a", "other", 1)]
     assert fx.rows(Q.complaint_heat_map(tables)) == [("a", "other", 2)]
+
+
+def test_an_order_of_several_categories_counts_once_in_a_total(spark):
+    tables = fx.star(spark, orders=[fx.order(1)], items=[fx.item(1), fx.item(1, 2, product="p2", seller="s2")],
+                     products=[("p1", "a", 1.0, 1), ("p2", "b", 1.0, 1)])
+    tables["review_ai_labels"] = fx.labels(spark)
+    rollup = M.measures(tables, ["category"], totals="rollup")
+    assert sorted(fx.rows(rollup, "level", "category", "delivered_orders", "revenue"), key=str) == [
+        (0, "a", 1, 20.0), (0, "b", 1, 20.0), (1, None, 1, 20.0)]
+    both = M.measures(tables, filters={"category": ["a", "b"]})
+    assert fx.rows(both, "delivered_orders") == [(1,)]
+    pairs = M.measures(tables, ["category", "seller_id"])
+    assert sorted(fx.rows(pairs, "category", "seller_id", "delivered_orders")) == [("a", "s1", 1), ("b", "s2", 1)]
