@@ -9,6 +9,9 @@ from .oracle_queries import BUCKET, TENTHS, _category
 from .settings import FIRST, LAST, MONTH, PACK_CATEGORY_ORDERS, SAMPLE_ROWS, SEED, SELLER_ORDERS, YEAR
 
 
+PLAIN_ORDERS = "SELECT * REPLACE (order_value::DOUBLE AS order_value, freight_value::DOUBLE AS freight_value) FROM fact_orders"
+
+
 # ---- star --------------------------------------------------------------------------------------
 def stars() -> dict[str, str]:
     return {
@@ -18,10 +21,10 @@ def stars() -> dict[str, str]:
         "e03_dim_date": star("SELECT * FROM dim_date"),
         "e04_order_totals": star("SELECT order_id, order_value::DOUBLE AS order_value, freight_value::DOUBLE AS freight_value FROM totals"),
         "e05_main_payment": star("SELECT * FROM main_payment"),
-        "e06_fact_orders": star("SELECT * FROM fact_orders"),
+        "e06_fact_orders": star(PLAIN_ORDERS),
         "e07_delivery_times": star("""SELECT order_id, delivery_days, days_late, is_late FROM fact_orders
             WHERE delivered_ts IS NOT NULL"""),
-        "e08_fact_order_items": star("SELECT * FROM fact_order_items"),
+        "e08_fact_order_items": star("SELECT * REPLACE (price::DOUBLE AS price, freight_value::DOUBLE AS freight_value) FROM fact_order_items"),
         "e09_dedup_reviews": star("""SELECT DISTINCT review_id, order_id, review_score, review_creation_date,
             review_comment_title, review_comment_message FROM raw_reviews"""),
         "e10_fact_reviews": star("SELECT * FROM fact_reviews"),
@@ -303,7 +306,7 @@ def pack() -> dict[str, str]:
         "k06_complaint_shares": labelled(PACK_COMPLAINTS + "SELECT *, negative_reviews::DOUBLE / (sum(negative_reviews) OVER ())::DOUBLE AS share_of_complaints FROM comp"),
         "k07_kpi_summary": star(PACK_MONTHS + summary(MONTH)),
         "k07_kpi_summary_first_month": star(PACK_MONTHS + summary(FIRST)),
-        "k08_facts": labelled(FACTS + "SELECT * FROM facts"),
+        "k08_facts": labelled(FACTS + "SELECT * REPLACE (array_to_string(top_complaint_topics, ',') AS top_complaint_topics) FROM facts"),
         "k09_sentences": labelled(FACTS + f"""SELECT * FROM (
             SELECT 0 AS position, format('{{:,}} delivered orders worth R$ {{:,}} ({{}}).', total_orders, total_revenue_brl, period) AS sentence FROM facts
             UNION ALL SELECT 1, format('{{}} revenue was R$ {{:,}}, {{:+.1f}}% vs the previous month.', latest_month, latest_month_revenue, mom_revenue_change_pct) FROM facts
@@ -432,7 +435,7 @@ verdict AS (SELECT event_id, stmt, tables, CASE WHEN trim(stmt) = '' THEN 'Empty
     return {
         "g01_extract_sql": head + "SELECT event_id, stmt FROM stmts",
         "g02_mask": head + "SELECT event_id, masked FROM masked",
-        "g03_audit": head + """SELECT event_id, stmt, reason IS NULL AS ok, reason, tables,
+        "g03_audit": head + """SELECT event_id, stmt, reason IS NULL AS ok, reason, array_to_string(tables, ',') AS tables,
             CASE WHEN reason IS NULL THEN bounded END AS safe_sql FROM verdict""",
         "g03_reasons": head + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS statements FROM verdict GROUP BY 1",
     }
@@ -443,7 +446,7 @@ def stores() -> dict[str, str]:
     from .oracle_queries import oracle as business
     named = business()
     return {
-        "s01_raw_files": star("SELECT * FROM fact_orders"),
+        "s01_raw_files": star(PLAIN_ORDERS),
         "s01_raw_reviews": star("SELECT * FROM fact_reviews"),
         "s03_write_star": quality()["d05_table_counts"],
         "s03_read_star": named["q02_monthly_revenue_growth"],

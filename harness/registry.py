@@ -92,8 +92,14 @@ def on_raw(plan: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, path: plan(derived.derive_raw(spark, path))
 
 
-def _money(table: DataFrame) -> DataFrame:
-    return table.select("order_id", *[F.col(c).cast("double").alias(c) for c in ("order_value", "freight_value")])
+def plain(table: DataFrame) -> DataFrame:
+    """Decimals as doubles and lists as text, for comparison between engines."""
+    def column(field):
+        kind = field.dataType.typeName()
+        if kind == "decimal":
+            return F.col(field.name).cast("double").alias(field.name)
+        return F.array_join(field.name, ",").alias(field.name) if kind == "array" else F.col(field.name)
+    return table.select(*[column(field) for field in table.schema.fields])
 
 
 def _coerced(raw: dict[str, DataFrame]) -> DataFrame:
@@ -108,12 +114,12 @@ def star_schema() -> dict[str, Query]:
         "e01_dim_seller": on_raw(lambda raw: star.dim_seller(raw["sellers"])),
         "e02_dim_product": on_raw(lambda raw: star.dim_product(raw["products"], raw["translation"])),
         "e03_dim_date": on_raw(lambda raw: star.dim_date(raw["orders"])),
-        "e04_order_totals": on_raw(lambda raw: _money(star.order_totals(raw["items"]))),
+        "e04_order_totals": on_raw(lambda raw: plain(star.order_totals(raw["items"]))),
         "e05_main_payment": on_raw(lambda raw: star.main_payment(raw["payments"])),
-        "e06_fact_orders": on_raw(lambda raw: star.fact_orders(raw["orders"], raw["items"], raw["payments"])),
+        "e06_fact_orders": on_raw(lambda raw: plain(star.fact_orders(raw["orders"], raw["items"], raw["payments"]))),
         "e07_delivery_times": on_star(lambda tables: tables["fact_orders"].filter("delivered_ts is not null").select(
             "order_id", "delivery_days", "days_late", "is_late")),
-        "e08_fact_order_items": on_raw(lambda raw: star.fact_order_items(raw["items"])),
+        "e08_fact_order_items": on_raw(lambda raw: plain(star.fact_order_items(raw["items"]))),
         "e09_dedup_reviews": on_raw(lambda raw: star.dedup_reviews(raw["reviews"])),
         "e10_fact_reviews": on_raw(lambda raw: star.fact_reviews(raw["reviews"])),
         "e12_review_key": on_star(lambda tables: star.review_key(tables["fact_reviews"]).select("review_key", "review_score")),
@@ -286,7 +292,7 @@ def kpi_pack() -> dict[str, Query]:
         "k06_complaint_shares": on_labelled(lambda tables: pack.complaint_shares(pack.complaints(tables))),
         "k07_kpi_summary": on_star(lambda tables: pack.kpi_summary(monthly(tables), MONTH)),
         "k07_kpi_summary_first_month": on_star(lambda tables: pack.kpi_summary(monthly(tables), FIRST)),
-        "k08_facts": on_labelled(pack.facts, **months, **size),
+        "k08_facts": on_labelled(lambda tables: plain(pack.facts(tables, **months, **size))),
         "k09_sentences": on_labelled(lambda tables: pack.sentences(pack.facts(tables, **months, **size))),
     }
 
@@ -321,7 +327,7 @@ def statement_audit() -> dict[str, Query]:
         "g01_extract_sql": _statements,
         "g02_mask": lambda spark, path: _statements(spark, path).select(
             "event_id", sqlaudit.mask(F.col("stmt")).alias("masked")),
-        "g03_audit": lambda spark, path: sqlaudit.audit_sql(_statements(spark, path)),
+        "g03_audit": lambda spark, path: plain(sqlaudit.audit_sql(_statements(spark, path))),
         "g03_reasons": lambda spark, path: sqlaudit.audit_sql(_statements(spark, path))
         .groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("statements")),
     }
@@ -339,7 +345,7 @@ def _raw_files(spark: SparkSession, path: str) -> DataFrame:
         (tables[name].write.option("header", True).option("escape", '"')
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{name}"))
     read = raw.read_raw(spark, folder, {name: name for name in RAW_FILES})
-    return star.fact_orders(read["orders"], read["items"], read["payments"])
+    return plain(star.fact_orders(read["orders"], read["items"], read["payments"]))
 
 
 def _raw_reviews(spark: SparkSession, path: str) -> DataFrame:
