@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,26 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), decoded=True))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op3_token_counts": op3_token_counts,
+        "op8_bpe": op8_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
