@@ -52,7 +52,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     chosen = grouped(docs, {"key": key}, "key", text, shingle, distance)
     chosen = chosen.select(F.inline(F.array("first"))).select(
         F.coalesce("id", F.lit(0)).alias("_id"), "last", "hash").distinct()
-    mine = [F.coalesce(docs[doc_id], F.lit(0)) == chosen["_id"], docs[doc_id].isNull() == chosen["last"],
-            F.xxhash64(docs[text]) == chosen["hash"]]
-    kept = docs.join(chosen, mine, "inner").dropDuplicates(["_id", "last", "hash"])
-    return kept.select(*(docs[c] for c in docs.columns))
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("last"),
+                       F.xxhash64(text).alias("hash"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(chosen, ["_id", "last", "hash"]).dropDuplicates(["_id", "last", "hash"])
+    return kept.select("row.*")
