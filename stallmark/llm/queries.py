@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, simhash, token_counts
+from . import bpe, line_dedup, mixing, quality, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), decoded=True))
 
@@ -45,6 +53,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op3_token_counts": op3_token_counts,
+        "op6_quality": op6_quality,
+        "op7_topk": op7_topk,
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
@@ -52,4 +62,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.oracle(), "op10_line_dedup": line_dedup.ORACLE}
+    return {"op7_topk": topk.ORACLE, "op9_mixing": mixing.oracle(), "op10_line_dedup": line_dedup.ORACLE}
