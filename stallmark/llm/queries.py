@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, quality, simhash, token_counts, topk
+from . import bpe, line_dedup, mixing, personal_data, quality, simhash, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.span_digests(personal_data.personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op3_token_counts": op3_token_counts,
+        "op4_personal_data": op4_personal_data,
         "op6_quality": op6_quality,
         "op7_topk": op7_topk,
         "op8_bpe": op8_bpe,
