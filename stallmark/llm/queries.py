@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, personal_data, quality, simhash, token_counts, topk
+from . import bpe, licenses, line_dedup, mixing, personal_data, quality, simhash, spotsigs, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
@@ -33,6 +37,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.span_digests(personal_data.personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_report(spotsigs.edited_likeness(_table(spark, sf_dir, "documents")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,8 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_licenses": op2_licenses,
         "op3_token_counts": op3_token_counts,
         "op4_personal_data": op4_personal_data,
+        "op5_spotsigs": op5_spotsigs,
         "op6_quality": op6_quality,
         "op7_topk": op7_topk,
         "op8_bpe": op8_bpe,
@@ -67,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": topk.ORACLE, "op9_mixing": mixing.oracle(), "op10_line_dedup": line_dedup.ORACLE}
+    return {"op2_licenses": licenses.oracle(), "op7_topk": topk.ORACLE, "op9_mixing": mixing.oracle(), "op10_line_dedup": line_dedup.ORACLE}
