@@ -23,14 +23,14 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-def _vocabulary() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary(), decoded=True))
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module's neighbours itself
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -73,6 +79,7 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": pipeline,
     }
 
 

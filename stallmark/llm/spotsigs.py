@@ -1,9 +1,11 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Each occurrence of an anchor, a common word of the languages at hand, gives one signature: the anchor and the next CHAIN
-content words (words that are no anchors), hashed to 32 bits. The set of a text's signatures is its fingerprint, the
-likeness of two texts the Jaccard index of their sets. A text without any signature has one, the hash of its words.
-With the content words in a list, the words after the a-th anchor, at word i, begin at i - a: no search is needed.
+content words (words that are not common; fewer at the end of the text), hashed to 32 bits. Texts with few common
+words would have hardly any, so one content word in SPARSE, told by its hash, is an anchor as well. The set of a
+text's signatures is its fingerprint, the likeness of two texts the Jaccard index of their sets. A text without any
+signature has one, the hash of its words. With the content words in a list, the words after the a-th common word, at
+word i, begin at i - a: no search is needed.
 
 ``near_pairs`` compares all texts. Equal sets collapse to one representative. Sets of lengths within a factor of the
 threshold meet only in their own or the neighbouring length class; within a class sets meet on the rarest signatures of
@@ -28,6 +30,7 @@ ANCHORS = (
     "der die das und den dem ein eine ist von mit zu auf für im nicht als auch sich des "
     "el los las y una del con para es su lo como más o pero sus al por").split()
 CHAIN = 3
+SPARSE = 8
 #: Rows between two boundaries of the id order, at least, and boundaries at most (about).
 STRETCH, BOUNDARIES = 64, 8192
 LAST = (1 << 63) - 1
@@ -45,12 +48,12 @@ def add_signatures(rows: DataFrame, text: str, name: str, anchors: list[str] | t
     content = F.col("_c")
     short = lambda h: F.shiftright(h, 32).cast("int")
 
-    def signature(i: Column, a: Column) -> Column:
-        return F.when(i - a + chain <= F.size(content), short(F.xxhash64(
-            F.get(word, i), *(F.get(content, i - a + k) for k in range(chain)))))
+    def chained(anchor: Column, at: Column) -> Column:
+        return F.when(at < F.size(content), short(F.xxhash64(anchor, *(F.get(content, at + k) for k in range(chain)))))
 
-    # array_compact comes first: null is no signature.
-    rows = compute_once(rows, F.array_distinct(F.array_compact(F.transform("_a", signature))).alias("_s"))
+    common = F.transform("_a", lambda i, a: chained(F.get(word, i), i - a))
+    sparse = F.transform(content, lambda w, k: F.when(F.pmod(F.hash(w), F.lit(SPARSE)) == 0, chained(w, k + 1)))
+    rows = compute_once(rows, F.array_distinct(F.array_compact(F.concat(common, sparse))).alias("_s"))
     alone = F.array(short(F.xxhash64(F.array_join(word, " "))))
     return rows.withColumn(name, F.when(F.size("_s") > 0, F.array_sort("_s")).otherwise(alone)).drop("_w", "_a", "_c", "_s")
 
