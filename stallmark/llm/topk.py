@@ -133,7 +133,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_i
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole(F.col(vector)).alias("v")).filter("v is not null")
     tiles = _pack(rows)
-    queries = _pack(rows.filter(F.col("vec_id") % every == 0).repartition("vec_id"))
+    queries = _pack(rows.filter(F.col("vec_id") % every == 0).distinct())
     spread = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.withColumn("part", F.pmod(F.xxhash64("vectors", "ids"), F.lit(spread)))
     blocks = queries.select("length", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
