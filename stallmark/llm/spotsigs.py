@@ -80,20 +80,25 @@ def _listed(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
+def boundaries(rows: DataFrame) -> list[tuple[int, int]]:
+    """Ascending keys (place, hash) that cut the rows into stretches: the smallest one, and those whose hash falls on a
+    grid so wide that there are BOUNDARIES of them about, or fewer. None for no rows."""
+    total, least = rows.agg(F.count(F.lit(1)), F.min(F.struct("place", "hash"))).first()
+    if not total:
+        return []
+    step = max(STRETCH, math.ceil(total / BOUNDARIES))
+    picked = rows.select("place", "hash").filter(F.pmod(F.xxhash64("place", "hash"), F.lit(step)) == 0).distinct().collect()
+    return sorted({tuple(least), *map(tuple, picked)})
+
+
+def with_next(rows: DataFrame, carried: list[str], bounds: list[tuple[int, int]]) -> DataFrame:
     """Add next_<c> for each carried column: its value in the next row by (place, hash), after the last the first.
 
-    Keys whose hash falls on a fixed grid, and the smallest one, are boundaries: BOUNDARIES of them about, or fewer. A
-    row finds its stretch by binary search; the first rows of a stretch also go to the stretch before, as its end. So each
-    stretch is complete in itself and rows move once.
+    ``bounds`` are the ``boundaries`` of the rows. A row finds its stretch by binary search; the first rows of a
+    stretch also go to the stretch before, as its end. So each stretch is complete in itself and rows move once.
     """
-    key = F.struct("place", "hash")
-    total, least = rows.agg(F.count(F.lit(1)), F.min(key)).first()
-    if not total:
+    if not bounds:
         return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    step = max(STRETCH, math.ceil(total / BOUNDARIES))
-    picked = rows.select("place", "hash").filter(F.pmod(F.xxhash64("place", "hash"), F.lit(step)) == 0).distinct().collect()
-    bounds = sorted({tuple(least), *map(tuple, picked)})
     places, hashes = _listed([b[0] for b in bounds]), _listed([b[1] for b in bounds])
     at = lambda i: (F.get(places, i), F.get(hashes, i))
 
@@ -127,7 +132,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("place"),
                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), F.coalesce(text, F.lit("")).alias("text"))
-    found = with_next(add_signatures(rows, "text", "signatures"), ["text", "signatures"])
+    found = with_next(add_signatures(rows, "text", "signatures"), ["text", "signatures"], boundaries(rows))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     found = compute_once(found.drop("place", "hash"), F.concat(

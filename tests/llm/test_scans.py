@@ -142,9 +142,10 @@ def test_next_rows_over_many_stretches(spark, monkeypatch):
     rnd = random.Random(1)
     keys = sorted((rnd.randrange(50) if rnd.random() < 0.5 else rnd.randrange(-10**12, 10**12), rnd.getrandbits(60)) for _ in range(500))
     rows = spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], "place long, hash long, n long").repartition(6)
-    got = {r.n: r.next_n for r in spotsigs.with_next(rows, ["n"]).collect()}
+    got = {r.n: r.next_n for r in spotsigs.with_next(rows, ["n"], spotsigs.boundaries(rows)).collect()}
     assert got == {i: (i + 1) % 500 for i in range(500)}
-    one = spotsigs.with_next(rows.filter("n = 7"), ["n"]).collect()
+    single = rows.filter("n = 7")
+    one = spotsigs.with_next(single, ["n"], spotsigs.boundaries(single)).collect()
     assert [(r.n, r.next_n) for r in one] == [(7, 7)]
 
 
