@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stallmark import taxonomy as tx
 
-from .oracle import judged, labelled, lst, providers, q, r, star
+from .oracle import RULED, judged, labelled, lst, providers, q, r, star
 from .oracle_queries import BUCKET, TENTHS, _category
 from .settings import FIRST, LAST, MONTH, PACK_CATEGORY_ORDERS, SAMPLE_ROWS, SEED, SELLER_ORDERS, YEAR
 
@@ -33,6 +33,7 @@ def stars() -> dict[str, str]:
             CASE WHEN order_status = 'processing' THEN NULL ELSE purchased END AS ts FROM raw_orders"""),
         "s04_export_reviews": star("""SELECT review_id, order_id, review_score, review_date,
             substr(comment_message, 1, 300) AS comment_message FROM fact_reviews"""),
+        "s04_export_reviews_full_text": star("SELECT review_id, order_id, review_score, review_date, comment_message FROM fact_reviews"),
         "s06_best_labels": providers("SELECT review_id, order_id, topic, provider FROM all_labels WHERE provider = 'ollama'"),
     }
 
@@ -122,7 +123,7 @@ entries AS (SELECT batch, place,
 joined AS (SELECT batch, string_agg(entry, ', ' ORDER BY place) AS list FROM entries GROUP BY batch),
 sizes AS (SELECT batch, count(*)::INT AS n FROM batches GROUP BY batch),
 replies AS (SELECT s.batch, n, CASE s.batch % 7 WHEN 0 THEN '{"results": [' || list || ']}'
-    WHEN 1 THEN 'Sure!' || chr(10) || '```json' || chr(10) || '{"results": [' || list || ']}' || chr(10) || '```'
+    WHEN 1 THEN 'These are the labels:' || chr(10) || '```json' || chr(10) || '{"results": [' || list || ']}' || chr(10) || '```'
     WHEN 2 THEN '[' || list || ']' WHEN 3 THEN 'Here it is: {"results": [' || list || ']} as asked'
     WHEN 4 THEN 'I cannot do that' WHEN 5 THEN '```' || chr(10) || '[' || list || ']' || chr(10) || '```'
     ELSE '{"results": null}' END AS reply FROM sizes s LEFT JOIN joined j USING (batch))
@@ -142,11 +143,14 @@ _TOPIC_OK = f"CASE WHEN t IN ({lst(tx.TOPICS)[1:-1]}) THEN t ELSE 'other' END"
 
 def labels() -> dict[str, str]:
     from stallmark.operators.replies import INSTRUCTIONS
-    from .oracle import folded
+    from .oracle import folded, rules_ctes
     return {
         "r01_normalise": star(f"SELECT review_id, order_id, {folded('comment_message')} AS folded FROM fact_reviews WHERE comment_message IS NOT NULL"),
+        "r01_normalise_documents": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {folded('text')} END AS folded FROM documents",
         "r02_topics": labelled("SELECT topic, count(*) AS reviews FROM ruled GROUP BY topic"),
         "r06_label_reviews": labelled("SELECT review_id, order_id, sentiment, topic, urgency, summary_en, provider FROM ruled"),
+        "r06_label_reviews_any_length": star(", any_text AS (SELECT * FROM fact_reviews WHERE comment_message IS NOT NULL)," + rules_ctes(
+            "any_text", "any_ruled") + " SELECT review_id, order_id, sentiment, topic, urgency, summary_en, provider FROM any_ruled"),
         "r06_label_documents": f"WITH {_documents()} SELECT doc_id, sentiment, topic, urgency FROM doc_ruled",
         "r06_label_conversations": f"WITH {_conversations()} SELECT conv_id, turn, sentiment, topic, urgency FROM conv_ruled",
         "r07_pick_reviews": star(PICKED + "SELECT review_id, order_id FROM picked"),
@@ -157,9 +161,14 @@ def labels() -> dict[str, str]:
         "r09_pack_prompts": star(BATCHES + f"""SELECT batch, count(*)::INT AS n, {q(INSTRUCTIONS)} || chr(10) || chr(10) ||
             string_agg((place + 1) || '. [id=' || id || '] ' || substr(comment_message, 1, 600), chr(10) ORDER BY place) AS prompt
             FROM batches GROUP BY batch"""),
+        "r09_pack_prompts_full_text": star(BATCHES + f"""SELECT batch, count(*)::INT AS n, {q(INSTRUCTIONS)} || chr(10) || chr(10) ||
+            string_agg((place + 1) || '. [id=' || id || '] ' || comment_message, chr(10) ORDER BY place) AS prompt
+            FROM batches GROUP BY batch"""),
         "r10_parse_replies": labelled(REPLIES + EXPECT + f"""SELECT batch, id, s AS sentiment, {_TOPIC_OK} AS topic, urgency, summary_en FROM parsed"""),
         "r11_clean_labels": labelled("""SELECT review_id, order_id, sentiment, CASE WHEN topic = 'praise' THEN 'other' ELSE topic END AS topic,
             CASE WHEN urgency = 'high' THEN 'low' ELSE urgency END AS urgency, substr(comment_message, 1, 120) AS summary_en FROM ruled"""),
+        "r11_clean_labels_full_summary": labelled("""SELECT review_id, order_id, sentiment, CASE WHEN topic = 'praise' THEN 'other' ELSE topic END AS topic,
+            CASE WHEN urgency = 'high' THEN 'low' ELSE urgency END AS urgency, comment_message AS summary_en FROM ruled"""),
         "r12_retry_set": labelled(REPLIES + EXPECT + """SELECT b.review_id, b.order_id, b.batch, b.id FROM batches b
             ANTI JOIN parsed p ON p.batch = b.batch AND p.id = b.id"""),
         "r14_star_sentiment": star("""SELECT CASE WHEN review_score <= 2 THEN 'negative' WHEN review_score = 3 THEN 'neutral' ELSE 'positive' END AS sentiment,
@@ -229,6 +238,8 @@ def evaluation() -> dict[str, str]:
             FROM both_ b LEFT JOIN gp ON gp.provider = b.provider AND gp.gold_topic = b.gold_topic GROUP BY b.provider, b.gold_topic"""),
         "v06_disagreements": judged(EVALUATED + """SELECT provider, row_number() OVER (PARTITION BY provider ORDER BY gold_no, review_id, order_id)::INT AS place,
             substr(comment_message, 1, 90) AS comment_message, gold_topic, topic FROM gp WHERE gold_topic <> topic QUALIFY place <= 8"""),
+        "v06_all_disagreements": judged(EVALUATED + """SELECT provider, row_number() OVER (PARTITION BY provider ORDER BY gold_no, review_id, order_id)::INT AS place,
+            comment_message, gold_topic, topic FROM gp WHERE gold_topic <> topic"""),
         "v07_improvement": judged(EVALUATED + f""", shown AS ({shown}),
             longer AS ({" UNION ALL ".join(f"SELECT provider, '{m}' AS metric, {m} AS pct FROM shown" for m in ACCURACIES)})
             SELECT a.provider, 'rules' AS baseline, metric, a.pct, b.pct AS baseline_pct, {_even("a.pct - b.pct")} AS points
@@ -267,14 +278,23 @@ facts AS (SELECT period, total_orders,
     {r("lv - bv", "bv", 1, 100)} AS mom_revenue_change_pct, {r("lo", "wd", 1, 100)} AS late_delivery_rate_pct,
     {r("pts", "rv * 1000000", 2)} AS avg_review_score,
     (SELECT category FROM cats ORDER BY revenue DESC, category LIMIT 1) AS top_category,
-    (SELECT category FROM cats ORDER BY avg_score, revenue DESC, category LIMIT 1) AS lowest_rated_big_category,
+    (SELECT category FROM cats WHERE avg_score IS NOT NULL ORDER BY avg_score, revenue DESC, category LIMIT 1) AS lowest_rated_big_category,
     (SELECT list(topic || '=' || negative_reviews ORDER BY negative_reviews DESC, topic)
         FROM (SELECT * FROM comp ORDER BY negative_reviews DESC, topic LIMIT 3)) AS top_complaint_topics FROM tot, prev)
 """
 
 
+def _unrated() -> str:
+    """The facts without the reviews of orders with an item of category_1."""
+    text = labelled(FACTS + "SELECT * REPLACE (array_to_string(top_complaint_topics, ',') AS top_complaint_topics) FROM facts")
+    text = text.replace("FROM fact_reviews", "FROM rated_reviews").replace(_category(PACK_CATEGORY_ORDERS), _category(1).replace("fact_reviews", "rated_reviews"))
+    return text.replace(RULED, RULED + """,
+rated_reviews AS (SELECT * FROM fact_reviews WHERE order_id NOT IN (SELECT order_id FROM fact_order_items JOIN dim_product USING (product_id)
+    WHERE category = 'category_1'))""").replace("FROM rated_reviews WHERE length", "FROM fact_reviews WHERE length")
+
+
 def pack() -> dict[str, str]:
-    from stallmark.plans.pack import ACTION
+    from stallmark.plans.pack import ACTION, STARS_LOWER
     z = lambda a, b: f"coalesce(({a})::DOUBLE / nullif(({b})::DOUBLE, 0), 0.0)"
     pick = lambda when: ", ".join([
         f"coalesce(sum(orders) FILTER ({when}), 0)::DOUBLE AS o", f"coalesce(sum(value) FILTER ({when}), 0)::DOUBLE AS v",
@@ -307,13 +327,14 @@ def pack() -> dict[str, str]:
         "k07_kpi_summary": star(PACK_MONTHS + summary(MONTH)),
         "k07_kpi_summary_first_month": star(PACK_MONTHS + summary(FIRST)),
         "k08_facts": labelled(FACTS + "SELECT * REPLACE (array_to_string(top_complaint_topics, ',') AS top_complaint_topics) FROM facts"),
+        "k08_facts_unrated_category": _unrated(),
         "k09_sentences": labelled(FACTS + f"""SELECT * FROM (
             SELECT 0 AS position, format('{{:,}} delivered orders worth R$ {{:,}} ({{}}).', total_orders, total_revenue_brl, period) AS sentence FROM facts
             UNION ALL SELECT 1, format('{{}} revenue was R$ {{:,}}, {{:+.1f}}% vs the previous month.', latest_month, latest_month_revenue, mom_revenue_change_pct) FROM facts
             UNION ALL SELECT 2, late_delivery_rate_pct::VARCHAR || '% of orders arrived late; average review score is ' || avg_review_score::VARCHAR || ' / 5.' FROM facts
             UNION ALL SELECT 3, 'Top revenue category: ' || top_category || '. Lowest-rated large category: ' || lowest_rated_big_category || '.' FROM facts
             UNION ALL SELECT 4, 'Most common complaint topics: ' || replace(array_to_string(list_transform(top_complaint_topics, lambda x: split_part(x, '=', 1)), ', '), '_', ' ') || '.' FROM facts
-            UNION ALL SELECT 5, {q(ACTION)})"""),
+            UNION ALL SELECT 5, {q(ACTION.format(STARS_LOWER))})"""),
     }
 
 
@@ -357,19 +378,25 @@ MEASURES = {
 ALL_MEASURES = ", ".join(f"{sql} AS {name}" for name, sql in MEASURES.items())
 
 
-def _time(group: str, source: str) -> str:
+def _time(group: str, source: str, orders: str = "true", shown: str = "true") -> str:
+    """``orders`` chooses the orders, ``shown`` the months of the result; the months are those of the calendar."""
     part = f"PARTITION BY {group} " if group else ""
     also = f"{group}, " if group else ""
     return f""",
-daily AS (SELECT {also}purchase_date, sum(order_value) AS v FROM {source} WHERE {_D} GROUP BY ALL),
-mon AS (SELECT {also}strftime(purchase_date, '%Y-%m') AS year_month, date_trunc('month', purchase_date)::DATE AS m0, sum(v) AS v, count(v) AS n FROM daily GROUP BY ALL),
-tl AS (SELECT {also}year_month, v,
+daily AS (SELECT {also}purchase_date, sum(order_value) AS v FROM {source} WHERE {_D} AND {orders} GROUP BY ALL),
+filled AS (SELECT {also}date_trunc('month', purchase_date)::DATE AS m0, sum(v) AS v, count(v) AS n FROM daily GROUP BY ALL),
+calendar AS (SELECT DISTINCT year_month, date_trunc('month', date_key)::DATE AS m0 FROM dim_date),
+mon AS (SELECT {"g." + group + ", " if group else ""}c.year_month, c.m0, f.v, f.n FROM calendar c
+    {f"CROSS JOIN (SELECT DISTINCT {group} FROM filled) g" if group else ""}
+    LEFT JOIN filled f ON f.m0 = c.m0 {f"AND f.{group} IS NOT DISTINCT FROM g.{group}" if group else ""}),
+tl AS (SELECT {also}year_month, m0, v,
     sum(v) OVER ({part}ORDER BY m0 RANGE BETWEEN INTERVAL 1 MONTH PRECEDING AND INTERVAL 1 DAY PRECEDING) AS pm,
     sum(v) OVER (PARTITION BY {also}year(m0) ORDER BY m0) AS ytd,
     sum(v) OVER ({part}ORDER BY m0 RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND CURRENT ROW) AS v3,
     sum(n) OVER ({part}ORDER BY m0 RANGE BETWEEN INTERVAL 2 MONTH PRECEDING AND CURRENT ROW) AS n3 FROM mon)
 SELECT {also}year_month, v::DOUBLE AS revenue, pm::DOUBLE AS revenue_pm, (v - pm)::DOUBLE / nullif(pm::DOUBLE, 0) AS revenue_mom,
-    ytd::DOUBLE AS revenue_ytd, v3::DOUBLE / nullif(n3::DOUBLE, 0) AS revenue_3m_rolling_avg FROM tl"""
+    ytd::DOUBLE AS revenue_ytd, v3::DOUBLE / nullif(n3::DOUBLE, 0) AS revenue_3m_rolling_avg FROM tl
+WHERE coalesce(v, pm, ytd, v3) IS NOT NULL AND {shown}"""
 
 
 def measures() -> dict[str, str]:
@@ -392,6 +419,26 @@ def measures() -> dict[str, str]:
             WHERE category IN ('category_1', 'category_2') AND seller_id IN ({lst(f"s{i}" for i in range(40))[1:-1]})) GROUP BY year"""),
         "m06_revenue_over_time": star(_time("", "fact_orders")),
         "m06_revenue_over_time_by_state": star(_time("state", "fact_orders JOIN dim_customer USING (customer_id)")),
+        "m06_revenue_over_time_year_filter": star(_time("", "fact_orders", shown=f"year(m0) = {YEAR}")),
+        "m06_revenue_over_time_month_filter": star(_time("state", "fact_orders JOIN dim_customer USING (customer_id)",
+                                                         shown=f"year_month IN ('{MONTH}', '{YEAR}-02')")),
+        "m06_revenue_over_time_quarter_filter": star(_time("", "fact_orders", shown="quarter(m0) = 2")),
+        "m06_revenue_over_time_category": star(_time("", "fact_orders", orders="""order_id IN (SELECT order_id FROM fact_order_items
+            JOIN dim_product USING (product_id) WHERE category IN ('category_1', 'category_2'))""", shown=f"year(m0) = {YEAR}")),
+        "m06_revenue_over_time_by_category": star(_time("category", """fact_orders JOIN (SELECT DISTINCT order_id, category
+            FROM fact_order_items JOIN dim_product USING (product_id)) USING (order_id)""")),
+        "m13_by_month": labelled(f"""SELECT strftime(purchase_date, '%Y-%m') AS year_month, {label},
+            count(*) FILTER (sentiment = 'negative')::DOUBLE / nullif(count(*) FILTER (sentiment = 'negative'), 0)::DOUBLE AS topic_share
+            FROM review_ai_labels JOIN fact_orders USING (order_id) WHERE urgency = 'high' GROUP BY 1"""),
+        "m14_topic_filter": labelled(f"""SELECT state, {label},
+            count(*) FILTER (sentiment = 'negative')::DOUBLE / nullif(max(whole), 0)::DOUBLE AS topic_share
+            FROM review_ai_labels JOIN fact_orders USING (order_id) JOIN dim_customer USING (customer_id)
+            JOIN (SELECT state, count(*) FILTER (sentiment = 'negative') AS whole FROM review_ai_labels JOIN fact_orders USING (order_id)
+                  JOIN dim_customer USING (customer_id) WHERE year(purchase_date) = {YEAR} GROUP BY state) w USING (state)
+            WHERE year(purchase_date) = {YEAR} AND topic IN ('not_received', 'seller_service') GROUP BY state"""),
+        "m13_by_seller": labelled(f"""SELECT seller_id, {label},
+            count(*) FILTER (sentiment = 'negative')::DOUBLE / nullif(count(*) FILTER (sentiment = 'negative'), 0)::DOUBLE AS topic_share
+            FROM review_ai_labels JOIN (SELECT DISTINCT order_id, seller_id FROM fact_order_items) USING (order_id) GROUP BY seller_id"""),
         "m13_label_measures_by_topic": labelled(f"""SELECT topic, {label},
             count(*) FILTER (sentiment = 'negative')::DOUBLE / nullif((sum(count(*) FILTER (sentiment = 'negative')) OVER ())::DOUBLE, 0) AS topic_share
             FROM review_ai_labels GROUP BY topic"""),
@@ -437,11 +484,24 @@ verdict AS (SELECT event_id, stmt, tables, CASE WHEN trim(stmt) = '' THEN 'Empty
         "g02_mask": head + "SELECT event_id, masked FROM masked",
         "g03_audit": head + """SELECT event_id, stmt, reason IS NULL AS ok, reason, array_to_string(tables, ',') AS tables,
             CASE WHEN reason IS NULL THEN bounded END AS safe_sql FROM verdict""",
+        "g03_audit_without_limit": head + """SELECT event_id, stmt, reason IS NULL AS ok, reason, array_to_string(tables, ',') AS tables,
+            CASE WHEN reason IS NULL THEN stmt END AS safe_sql FROM verdict""",
         "g03_reasons": head + "SELECT coalesce(reason, 'ok') AS reason, count(*) AS statements FROM verdict GROUP BY 1",
     }
 
 
 # ---- sources and sinks -------------------------------------------------------------------------
+_EXPORTED = {
+    "dim_customer": ["customer_id", "customer_unique_id", "city", "state"], "dim_product": ["product_id", "category", "weight_g", "photos_qty"],
+    "dim_seller": ["seller_id", "city", "state"], "dim_date": ["date_key", "year", "quarter", "month", "month_name", "year_month", "weekday"],
+    "fact_orders": ["order_id", "customer_id", "order_status", "purchase_ts", "purchase_date", "delivered_ts", "estimated_delivery_ts",
+                    "delivery_days", "days_late", "is_late", "order_value", "freight_value", "payment_type", "installments"],
+    "fact_order_items": ["order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"],
+    "fact_reviews": ["review_id", "order_id", "review_score", "review_date", "comment_message"],
+    "review_ai_labels": ["review_id", "order_id", "sentiment", "topic", "urgency", "summary_en", "provider"],
+}
+
+
 def stores() -> dict[str, str]:
     from .oracle_queries import oracle as business
     named = business()
@@ -453,7 +513,21 @@ def stores() -> dict[str, str]:
         "s05_label_store": labelled("""SELECT review_id, order_id, sentiment, topic, urgency,
             CASE WHEN sentiment = 'negative' THEN 'first' ELSE 'second' END AS summary_en, provider FROM review_ai_labels"""),
         "s07_gold_file": judged("SELECT review_id, order_id, review_score, comment_message, gold_sentiment, gold_topic FROM gold"),
-        "s08_catalogue": named["q05_category_scorecard"],
+        "s01_raw_tables": star(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _KEYS if t != "review_ai_labels")),
+        "s04_export_csv": labelled(" UNION ALL ".join(
+            f"SELECT '{t}' AS name, {_KEYS[t].split(',')[0]}::VARCHAR AS key, ({' + '.join(f'(nullif({c}::VARCHAR, $$$$) IS NOT NULL)::INT' for c in columns)}) AS filled FROM {t}"
+            for t, columns in _EXPORTED.items())),
+        "s08_catalogue": " UNION ALL ".join(f"SELECT '{written}' AS query, count(*) AS rows FROM ({named[asked]})" for written, asked in {
+            "q01_kpi_overview": "q01_kpi_overview", "q02_monthly_revenue_growth": "q02_monthly_revenue_growth",
+            "q03_late_delivery_vs_rating": "q03_late_delivery_vs_rating", "q04_rating_by_days_late": "q04_rating_by_days_late",
+            "q05_category_scorecard": "q05_category_scorecard", "q06_state_delivery_performance": "q06_state_delivery_performance",
+            "q07_repeat_purchase_after_bad_review": "q07_repeat_purchase_after_bad_review",
+            "q08_top_sellers_with_problems": "q08_sellers_with_problems", "q09_ai_topic_breakdown": "q09_topic_breakdown",
+            "q10_ai_topic_by_category": "q10_topic_by_category"}.items()),
+        "r13_resume": star(BATCHES + """SELECT review_id, order_id, 'neutral' AS sentiment, 'high' AS urgency,
+            CASE WHEN place = 9 OR single THEN 'again' ELSE 'seen' END AS summary_en, 'outside' AS provider,
+            CASE WHEN lower(substr(comment_message, 1, 1)) < 'n' THEN 'praise' ELSE 'other' END AS topic
+            FROM (SELECT *, count(*) OVER (PARTITION BY batch) = 1 AS single FROM batches)"""),
         "r13_label_with": star("""SELECT review_id, order_id, 'neutral' AS sentiment, 'high' AS urgency, 'seen' AS summary_en,
             'outside' AS provider, CASE WHEN lower(substr(comment_message, 1, 1)) < 'n' THEN 'praise' ELSE 'other' END AS topic FROM with_text"""),
         "g05_run_guarded": star("SELECT state, count(*) AS orders FROM fact_orders JOIN dim_customer USING (customer_id) GROUP BY state"),

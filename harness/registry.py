@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,7 @@ def business() -> dict[str, Query]:
         "q11_worst_states": on_star(Q.worst_states, min_orders=STATE_ORDERS),
         "q12_complaint_topics": on_labelled(Q.complaint_topics),
         "q13_top_categories": on_star(Q.top_categories),
+        "q13_all_categories": on_star(Q.top_categories, top=None),
         "q14_monthly_orders": on_star(Q.monthly_orders, year=YEAR),
         "q15_overview_cards": on_star(Q.overview_cards),
         "q16_monthly_revenue": on_star(Q.monthly_revenue, **months),
@@ -125,6 +128,7 @@ def star_schema() -> dict[str, Query]:
         "e12_review_key": on_star(lambda tables: star.review_key(tables["fact_reviews"]).select("review_key", "review_score")),
         "s02_coerce_timestamps": on_raw(_coerced),
         "s04_export_reviews": on_star(lambda tables: store.export_columns(tables)["fact_reviews"]),
+        "s04_export_reviews_full_text": on_star(lambda tables: store.export_columns(tables, None)["fact_reviews"]),
         "s06_best_labels": on_labels(lambda tables: label_store.best_labels(tables["review_ai_labels"]).select(
             "review_id", "order_id", "topic", "provider")),
     }
@@ -204,7 +208,7 @@ def _stand_in_replies(spark: SparkSession, path: str) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(entry)).alias("e"))
     listed = F.array_join(F.col("e.entry"), ", ")
     reply = (F.when(shape == 0, F.concat(F.lit('{"results": ['), listed, F.lit("]}")))
-             .when(shape == 1, F.concat(F.lit('Sure!\n```json\n{"results": ['), listed, F.lit("]}\n```")))
+             .when(shape == 1, F.concat(F.lit('These are the labels:\n```json\n{"results": ['), listed, F.lit("]}\n```")))
              .when(shape == 2, F.concat(F.lit("["), listed, F.lit("]")))
              .when(shape == 3, F.concat(F.lit('Here it is: {"results": ['), listed, F.lit("]} as asked")))
              .when(shape == 4, F.lit("I cannot do that"))
@@ -218,14 +222,14 @@ def _retry(spark: SparkSession, path: str) -> DataFrame:
     return replies.retry_set(_batches(spark, path), parsed).select(*REVIEW_KEY, "batch", "id")
 
 
-def _clean(tables: dict[str, DataFrame]) -> DataFrame:
+def _clean(tables: dict[str, DataFrame], **limits) -> DataFrame:
     """Labels with values outside the sets, odd spelling, and long summaries."""
     loose = labelling.label_reviews(_texts(tables)).select(
         *REVIEW_KEY, F.concat(F.lit(" "), F.upper("sentiment"), F.lit("\n")).alias("sentiment"),
         F.when(F.col("topic") == "praise", "applause").otherwise(F.initcap("topic")).alias("topic"),
         F.when(F.col("urgency") != "high", F.col("urgency")).alias("urgency"),
         F.col("comment_message").alias("summary_en"))
-    return replies.clean_labels(loose)
+    return replies.clean_labels(loose, **limits)
 
 
 def _star_sentiment(tables: dict[str, DataFrame]) -> DataFrame:
@@ -243,16 +247,22 @@ def labels() -> dict[str, Query]:
     return {
         "r01_normalise": on_star(lambda tables: tables["fact_reviews"].filter("comment_message is not null").select(
             *REVIEW_KEY, normalise(F.col("comment_message")).alias("folded"))),
+        "r01_normalise_documents": lambda spark, path: derived.read_input(spark, path, "documents").select(
+            "doc_id", normalise(F.col("text")).alias("folded")),
         "r02_topics": on_labelled(lambda tables: tables["review_ai_labels"].groupBy("topic").agg(F.count(F.lit(1)).alias("reviews"))),
         "r06_label_reviews": on_star(lambda tables: labelling.label_reviews(_texts(tables)).select(*LABEL_COLUMNS)),
+        "r06_label_reviews_any_length": on_star(lambda tables: labelling.label_reviews(
+            picking.with_text(tables["fact_reviews"], min_length=None)).select(*LABEL_COLUMNS)),
         "r06_label_documents": _labelled_file("documents", "doc_id"),
         "r06_label_conversations": _labelled_file("conversations", "conv_id", "turn"),
         "r07_pick_reviews": lambda spark, path: _picked(spark, path).select(*REVIEW_KEY),
         "r08_todo": _todo(REVIEW_KEY),
         "r08_todo_by_review_id": _todo("review_id"),
         "r09_pack_prompts": lambda spark, path: replies.pack_prompts(_batches(spark, path)),
+        "r09_pack_prompts_full_text": lambda spark, path: replies.pack_prompts(_batches(spark, path), max_text=None),
         "r10_parse_replies": lambda spark, path: replies.parse_replies(_stand_in_replies(spark, path)),
         "r11_clean_labels": on_star(_clean),
+        "r11_clean_labels_full_summary": on_star(_clean, max_summary=None),
         "r12_retry_set": _retry,
         "r14_star_sentiment": on_star(_star_sentiment),
     }
@@ -275,10 +285,20 @@ def evaluation() -> dict[str, Query]:
         "v04_summary_percent": _judge(lambda **given: ev.as_percent(ev.summary(**given))),
         "v05_topic_matrix": _judge(lambda labels, reviews, gold: ev.topic_matrix(gold, labels)),
         "v06_disagreements": _judge(lambda labels, reviews, gold: ev.disagreements(gold, labels)),
+        "v06_all_disagreements": _judge(lambda labels, reviews, gold: ev.disagreements(gold, labels, None, None)),
         "v07_improvement": _judge(lambda **given: ev.improvement(ev.summary(**given))),
     }
 
 
+def _unrated(spark: SparkSession, path: str) -> DataFrame:
+    """Facts where the orders of one category have no review."""
+    tables = derived.derive_star(spark, path)
+    unrated = (tables["fact_order_items"].join(tables["dim_product"].filter("category = 'category_1'"), "product_id")
+               .select("order_id").distinct())
+    tables["fact_reviews"] = tables["fact_reviews"].join(unrated, "order_id", "left_anti")
+    return plain(pack.facts(tables, first_month=FIRST, last_month=LAST, min_orders=1))
+
+
 def kpi_pack() -> dict[str, Query]:
     months = {"first_month": FIRST, "last_month": LAST}
     size = {"min_orders": PACK_CATEGORY_ORDERS}
@@ -293,6 +313,7 @@ def kpi_pack() -> dict[str, Query]:
         "k07_kpi_summary": on_star(lambda tables: pack.kpi_summary(monthly(tables), MONTH)),
         "k07_kpi_summary_first_month": on_star(lambda tables: pack.kpi_summary(monthly(tables), FIRST)),
         "k08_facts": on_labelled(lambda tables: plain(pack.facts(tables, **months, **size))),
+        "k08_facts_unrated_category": _unrated,
         "k09_sentences": on_labelled(lambda tables: pack.sentences(pack.facts(tables, **months, **size))),
     }
 
@@ -309,6 +330,17 @@ def bi_measures() -> dict[str, Query]:
             "category": ["category_1", "category_2"], "seller_id": [f"s{i}" for i in range(40)]}),
         "m06_revenue_over_time": on_star(M.revenue_over_time),
         "m06_revenue_over_time_by_state": on_star(M.revenue_over_time, by=["state"]),
+        "m06_revenue_over_time_year_filter": on_star(M.revenue_over_time, filters={"year": YEAR}),
+        "m06_revenue_over_time_month_filter": on_star(
+            M.revenue_over_time, by=["state"], filters={"year_month": [MONTH, f"{YEAR}-02"]}),
+        "m06_revenue_over_time_quarter_filter": on_star(M.revenue_over_time, filters={"quarter": 2}),
+        "m06_revenue_over_time_category": on_star(
+            M.revenue_over_time, filters={"year": YEAR, "category": ["category_1", "category_2"]}),
+        "m06_revenue_over_time_by_category": on_star(M.revenue_over_time, by=["category"]),
+        "m13_by_month": on_labelled(M.label_measures, by=["year_month"], filters={"urgency": "high"}),
+        "m13_by_seller": on_labelled(M.label_measures, by=["seller_id"]),
+        "m14_topic_filter": on_labelled(
+            M.label_measures, by=["state"], filters={"year": YEAR, "topic": ["not_received", "seller_service"]}),
         "m13_label_measures_by_topic": on_labelled(M.label_measures),
         "m14_topic_share_by_category": on_labelled(M.label_measures, by=["category", "topic"]),
         "m15_overview_title": on_labelled(M.overview_title),
@@ -328,6 +360,7 @@ def statement_audit() -> dict[str, Query]:
         "g02_mask": lambda spark, path: _statements(spark, path).select(
             "event_id", sqlaudit.mask(F.col("stmt")).alias("masked")),
         "g03_audit": lambda spark, path: plain(sqlaudit.audit_sql(_statements(spark, path))),
+        "g03_audit_without_limit": lambda spark, path: plain(sqlaudit.audit_sql(_statements(spark, path), row_limit=None)),
         "g03_reasons": lambda spark, path: sqlaudit.audit_sql(_statements(spark, path))
         .groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("statements")),
     }
@@ -381,14 +414,42 @@ def _gold_file(spark: SparkSession, path: str) -> DataFrame:
     return raw.read_gold(spark, folder).select(*GOLD_COLUMNS)
 
 
+def _raw_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Write all raw tables as CSV, build the whole star from the files, and count its tables."""
+    folder, tables = _folder(spark), derived.derive_raw(spark, path)
+    for name in RAW_FILES:
+        (tables[name].write.option("header", True).option("escape", '"')
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{folder}/{name}"))
+    return quality.table_counts(star.build_star(raw.read_raw(spark, folder, {name: name for name in RAW_FILES})))
+
+
+def _exported(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV export of all tables, read back: rows, and how many values of each row are there."""
+    folder, tables = _folder(spark), derived.derive_star(spark, path)
+    store.export_csv(tables, folder, max_text=None)
+    read = [spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/{name}")
+            .select(F.lit(name).alias("name"), F.col(key).alias("key"), F.array_size(F.array_compact(F.array(
+                *(F.col(c) for c in store.export_columns(tables)[name].columns)))).alias("filled"))
+            for name, key in EXPORT_KEYS.items()]
+    return reduce(DataFrame.unionByName, read)
+
+
+EXPORT_KEYS = {"dim_customer": "customer_id", "dim_product": "product_id", "dim_seller": "seller_id", "dim_date": "date_key",
+               "fact_orders": "order_id", "fact_order_items": "order_id", "fact_reviews": "review_id",
+               "review_ai_labels": "review_id"}
+
+
 def _catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Run the whole catalogue and read one of its results back."""
+    """Run the whole catalogue and read all of its results back."""
     folder = _folder(spark)
-    run_catalog(derived.derive_star(spark, path), folder,
-                q05_category_scorecard={"min_orders": CATEGORY_ORDERS})
-    return spark.read.option("header", True).schema(
-        "revenue_rank bigint, category string, orders bigint, revenue double, avg_score double, late_pct double"
-    ).csv(f"{folder}/q05_category_scorecard")
+    written = run_catalog(
+        derived.derive_star(spark, path), folder,
+        q02_monthly_revenue_growth={"first_month": FIRST, "last_month": LAST},
+        q05_category_scorecard={"min_orders": CATEGORY_ORDERS}, q06_state_delivery_performance={"min_orders": STATE_ORDERS},
+        q08_top_sellers_with_problems={"min_orders": SELLER_ORDERS}, q10_ai_topic_by_category={"min_reviews": TOPIC_REVIEWS})
+    counts = [spark.read.option("header", True).csv(f"{folder}/{name}").agg(
+        F.lit(name).alias("query"), F.count(F.lit(1)).alias("rows")) for name in written]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _incremental(spark: SparkSession, path: str) -> DataFrame:
@@ -409,9 +470,35 @@ def stand_in_labeller(prompt: str) -> str:
     return "```json\n" + json.dumps({"results": results}) + "\n```"
 
 
+def failing_labeller(prompt: str) -> str:
+    """The stand-in, failing on some of the prompts with several texts."""
+    if " [id=r1] " in prompt and hashlib.md5(prompt.encode()).hexdigest() < "4":
+        raise TimeoutError("no answer")
+    return stand_in_labeller(prompt)
+
+
+def unhelpful_labeller(prompt: str) -> str:
+    """The stand-in, failing on every prompt with one text."""
+    if " [id=r1] " not in prompt:
+        raise TimeoutError("no answer")
+    return stand_in_labeller(prompt)
+
+
+def second_labeller(prompt: str) -> str:
+    return stand_in_labeller(prompt).replace('"seen"', '"again"')
+
+
 def _labelled_outside(spark: SparkSession, path: str) -> DataFrame:
     texts = _texts(derived.derive_star(spark, path, labels=False))
-    return replies.label_with(texts, stand_in_labeller, "outside")
+    return replies.label_with(texts, failing_labeller, "outside", max_text=None, parallelism=8)
+
+
+def _resumed(spark: SparkSession, path: str) -> DataFrame:
+    """A first run whose second round fails, and a second run that asks only for what is missing."""
+    texts, folder = _texts(derived.derive_star(spark, path, labels=False)), _folder(spark)
+    replies.label_into(texts, unhelpful_labeller, "outside", folder, parallelism=8)
+    replies.label_into(texts, second_labeller, "outside", folder, parallelism=8)
+    return label_store.load_labels(spark, folder)
 
 
 def _guarded(spark: SparkSession, path: str) -> DataFrame:
@@ -428,7 +515,10 @@ def stores() -> dict[str, Query]:
         "s05_label_store": _label_store,
         "s07_gold_file": _gold_file,
         "s08_catalogue": _catalogue,
+        "s01_raw_tables": _raw_tables,
+        "s04_export_csv": _exported,
         "r13_label_with": _labelled_outside,
+        "r13_resume": _resumed,
         "g05_run_guarded": _guarded,
         "st1_incremental_labels": _incremental,
     }

@@ -9,12 +9,12 @@ from stallmark.sources.derived import read_input
 
 TEMPLATES = [
     "SELECT state FROM dim_customer WHERE city = '{type}'",
-    "Here you go:\n```sql\nSELECT count(*) AS n FROM fact_orders WHERE order_value > {user};\n```\nHope that helps",
-    "WITH t AS (SELECT * FROM fact_orders) SELECT count(*) FROM t LIMIT {user}",
-    "DELETE FROM fact_orders WHERE order_id = '{user}'",
-    "SELECT 1; DROP TABLE fact_orders",
-    "SELECT * FROM fact_reviews WHERE comment_message LIKE '%delete {type}%'",
-    "SELECT * FROM secret_{type} JOIN dim_seller ON true",
+    "This counts them:\n```sql\nSELECT count(*) AS n FROM fact_orders WHERE order_value > {user};\n```\nAnything else?",
+    "WITH big AS (SELECT order_id FROM fact_orders) SELECT max(order_id) FROM big LIMIT {user}",
+    "TRUNCATE TABLE dim_seller -- {user}",
+    "SELECT 2 AS two; SELECT city FROM dim_seller",
+    "SELECT * FROM fact_reviews WHERE comment_message LIKE '%insert; {type}%'",
+    "SELECT * FROM hidden_{type} JOIN dim_seller ON true",
     "Sure. select a.state /* drop everything */ from dim_customer a join dim_date d on true -- update later\n where a.city = 'x;y'",
     "I cannot answer that, {type}",
     "   \n ",

@@ -52,16 +52,3 @@ def ratio_or_zero(num: Column, den: Column) -> Column:
 def half_even_tenths(value: Column) -> Column:
     """A double rounded half to even at one decimal, on the scaled double as numeric libraries do."""
     return F.rint(value * F.lit(10.0)) / F.lit(10.0)
-
-
-def count_when(condition: Column) -> Column:
-    return F.count_if(condition)
-
-
-def sum_when(condition: Column, value: Column) -> Column:
-    return F.sum(F.when(condition, value))
-
-
-def as_flag(condition: Column) -> Column:
-    """A condition as 1 / 0, null where it is unknown, so that it can be averaged."""
-    return condition.cast("int")

@@ -34,13 +34,13 @@ def _base(char: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Derive the folding table from the Unicode database.
+def _folding() -> tuple[str, str, str, tuple[str, ...]]:
+    """Derive the folding tables from the Unicode database.
 
-    Returns the characters that fold to one character (followed by the marks that are dropped), their
-    targets, and the Latin letters and signs that fold to several characters.
+    Characters that fold to one character (followed by the marks that are dropped) with their targets, and characters
+    that fold to several with theirs. Composed Hangul syllables are left out: their parts follow from their number.
     """
-    single, target, dropped, several = [], [], [], []
+    single, target, dropped, several, parts = [], [], [], [], []
     for cp in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
             continue
@@ -53,24 +53,47 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
         elif len(base) == 1:
             single.append(char)
             target.append(base)
-        elif cp < 0x250 or cp in (0x1E9A, 0x2026, 0x2116, 0x2122) or 0xFB00 <= cp <= 0xFB06:
-            several.append((char, base))
-    return "".join(single + dropped), "".join(target), tuple(several)
+        else:
+            several.append(char)
+            parts.append(base)
+    return "".join(single + dropped), "".join(target), "".join(several), tuple(parts)
+
+
+# Hangul syllables are numbered by leading consonant, vowel and trailing consonant (or none).
+_HANGUL, _LEAD, _VOWEL, _TRAIL, _VOWELS, _TRAILS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
+
+
+def _char(point: Column) -> Column:
+    """The character of a code point below U+10000."""
+    return F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
+
+
+def _hangul(char: Column) -> Column:
+    """The parts of a composed syllable."""
+    n = F.conv(F.hex(F.encode(char, "UTF-16BE")), 16, 10).cast("int") - _HANGUL
+    per_lead = _VOWELS * _TRAILS
+    trail = n % _TRAILS
+    return F.concat(_char(F.floor(n / per_lead) + _LEAD), _char(F.floor(n % per_lead / _TRAILS) + _VOWEL),
+                    F.when(trail > 0, _char(trail + _TRAIL)).otherwise(""))
 
 
 def normalise(text: Column) -> Column:
-    """Lower case without accents: compatibility decomposition minus combining marks.
+    """Lower case without accents: compatibility decomposition minus combining marks, for every script.
 
-    ``translate`` handles one-to-one folds and the dropped marks in one pass and is skipped for plain
-    ASCII. Ligatures and similar signs are replaced only in rows that contain one.
+    ``translate`` handles one-to-one folds and the dropped marks in one pass and is skipped for plain ASCII. Rows with
+    a character that folds to several go character by character.
     """
     low = F.lower(text)
-    source, target, several = _folding()
-    folded = F.translate(low, source, target)
-    spread = folded
-    for char, base in several:
-        spread = F.replace(spread, F.lit(char), F.lit(base))
-    has_several = low.rlike("[" + "".join(char for char, _ in several) + "]")
+    source, target, several, parts = _folding()
+    listed = F.split(F.lit("\x00".join(parts)), "\x00")
+
+    def spread(char: Column) -> Column:
+        at = F.instr(F.lit(several), char)
+        return (F.when(char.between(chr(_HANGUL), "\ud7a3"), _hangul(char))
+                .when(at > 0, F.element_at(listed, at)).otherwise(char))
+
+    apart = F.translate(F.array_join(F.transform(F.split(low, ""), spread), ""), source, target)
+    has_several = low.rlike("[\uac00-\ud7a3" + "".join(several) + "]")
     return (F.when(F.octet_length(low) == F.char_length(low), low)
-            .when(has_several, spread)
-            .otherwise(folded))
+            .when(has_several, apart)
+            .otherwise(F.translate(low, source, target)))

@@ -158,14 +158,16 @@ def topic_matrix(gold: DataFrame, labels: DataFrame, topics: list[str] = tx.TOPI
             .withColumn("total", sum((F.col(t) for t in topics), F.lit(0).cast("bigint"))))
 
 
-def disagreements(gold: DataFrame, labels: DataFrame, rows: int = 8, width: int = 90) -> DataFrame:
+def disagreements(gold: DataFrame, labels: DataFrame, rows: int | None = 8, width: int | None = 90) -> DataFrame:
     """The first disagreements on the topic per source, in the order of the human labels.
 
-    The row limit per source is applied before the shuffle as well, so no task gets all of a source's rows.
+    The row limit per source is applied before the shuffle as well, so no task gets all of a source's rows; without a
+    limit (None) one task numbers all disagreements of a source, which human labels bound.
     """
     order = Window.partitionBy("provider").orderBy("gold_no", *REVIEW_KEY)
+    message = F.col("comment_message") if width is None else F.substring("comment_message", 1, width)
     return (gold_pairs(gold, labels).filter(F.col("gold_topic") != F.col("topic"))
             .withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= rows)
-            .select("provider", "place", F.substring("comment_message", 1, width).alias("comment_message"),
+            .filter(F.lit(True) if rows is None else F.col("place") <= rows)
+            .select("provider", "place", message.alias("comment_message"),
                     "gold_topic", "topic"))

@@ -12,6 +12,7 @@ from .. import taxonomy as tx
 from ..functions.fence import compute_once
 from ..functions.text import strip
 from ..schemas import LABEL_COLUMNS, REVIEW_KEY
+from ..sources import label_store
 from .durable import settle
 from .ordering import number_rows
 
@@ -20,9 +21,20 @@ BATCH_SIZE = 10
 MAX_TEXT = 600
 MAX_SUMMARY = 120
 
-INSTRUCTIONS = (
-    'Label every review below. Answer with one JSON object {"results": [...]} holding, per review and in this '
-    'order, its "id", "sentiment", "topic", "urgency" and a short English "summary_en".')
+
+
+def label_instructions(topics: dict[str, str] = tx.TOPIC_MEANINGS, urgencies: dict[str, str] = tx.URGENCY_MEANINGS,
+                       sentiments: list[str] = tx.SENTIMENTS) -> str:
+    """What a labeller must know: the form of the answer, and every allowed value with its meaning."""
+    listed = lambda meanings: "\n".join(f"- {name}: {meaning}" for name, meaning in meanings.items())
+    return (
+        'Label every review below. Answer with one JSON object {"results": [...]} holding, per review and in this '
+        'order, its "id", "sentiment", "topic", "urgency" and a short English "summary_en".\n'
+        f"sentiment is one of: {', '.join(sentiments)}.\n"
+        f"topic is the main one of:\n{listed(topics)}\nurgency is one of:\n{listed(urgencies)}")
+
+
+INSTRUCTIONS = label_instructions()
 
 _FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 _BRACKETS = r"(?s)(\{.*\}|\[.*\])"
@@ -39,13 +51,20 @@ def number_batches(reviews: DataFrame, size: int = BATCH_SIZE, seed: int = 0) ->
         F.concat(F.lit("r"), place.cast("string")).alias("id"), place.cast("int").alias("place"))
 
 
+def cut_text(text: Column, max_text: int | None = MAX_TEXT) -> Column:
+    """The stripped text, cut to ``max_text`` characters; whole with None."""
+    return strip(text) if max_text is None else F.substring(strip(text), 1, max_text)
+
+
 def pack_prompts(
-    numbered: DataFrame, text: str = "comment_message", instructions: str = INSTRUCTIONS,
+    numbered: DataFrame, text: str = "comment_message", instructions: str = INSTRUCTIONS, max_text: int | None = MAX_TEXT,
 ) -> DataFrame:
-    """One prompt per batch; a batch has no more rows than its size, so collecting it is bounded."""
+    """One prompt per batch; a batch has no more rows than its size, so collecting it is bounded.
+
+    Texts are cut to ``max_text`` characters, or go whole with None.
+    """
     line = F.concat(
-        (F.col("place") + 1).cast("string"), F.lit(". [id="), F.col("id"), F.lit("] "),
-        F.substring(strip(F.col(text)), 1, MAX_TEXT))
+        (F.col("place") + 1).cast("string"), F.lit(". [id="), F.col("id"), F.lit("] "), cut_text(F.col(text), max_text))
     lines = F.array_sort(F.collect_list(F.struct(F.col("place"), line.alias("line"))))
     return (numbered.groupBy("batch").agg(lines.alias("lines"))
             .select(
@@ -85,7 +104,7 @@ def read_replies(replies: DataFrame) -> DataFrame:
     return compute_once(inner, items.alias("items")).select(*replies.columns, "items")
 
 
-def parse_replies(replies: DataFrame) -> DataFrame:
+def parse_replies(replies: DataFrame, max_summary: int | None = MAX_SUMMARY) -> DataFrame:
     """Replies (batch, n, reply) -> labels (batch, id, sentiment, topic, urgency, summary_en).
 
     An entry that is no object is skipped but keeps its place; an entry with an unknown id belongs to the
@@ -103,7 +122,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
         entries, F.when(known, told).otherwise(by_place).alias("id"), *fields).filter("id is not null")
     last = (raw.groupBy("batch", "id").agg(F.max_by(F.struct(*_LABEL_FIELDS), "pos").alias("label"))
             .select("batch", "id", "label.*"))
-    return clean_labels(last)
+    return clean_labels(last, max_summary)
 
 
 def _allowed(value: Column, allowed: list[str], default: str) -> Column:
@@ -111,13 +130,16 @@ def _allowed(value: Column, allowed: list[str], default: str) -> Column:
     return F.when(tidy.isin(*allowed), tidy).otherwise(F.lit(default))
 
 
-def clean_labels(labels: DataFrame) -> DataFrame:
-    """Force the label columns into the allowed sets; a missing summary is an empty one."""
+def clean_labels(labels: DataFrame, max_summary: int | None = MAX_SUMMARY) -> DataFrame:
+    """Force the label columns into the allowed sets; a missing summary is an empty one.
+
+    Summaries are cut to ``max_summary`` characters, or stay whole with None."""
+    summary = F.coalesce("summary_en", F.lit(""))
     return labels.withColumns({
         "sentiment": _allowed(F.col("sentiment"), tx.SENTIMENTS, tx.DEFAULT_SENTIMENT),
         "topic": _allowed(F.col("topic"), tx.TOPICS, tx.DEFAULT_TOPIC),
         "urgency": _allowed(F.col("urgency"), tx.URGENCY, tx.DEFAULT_URGENCY),
-        "summary_en": F.substring(F.coalesce("summary_en", F.lit("")), 1, MAX_SUMMARY)})
+        "summary_en": summary if max_summary is None else F.substring(summary, 1, max_summary)})
 
 
 def retry_set(sent: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -125,33 +147,88 @@ def retry_set(sent: DataFrame, parsed: DataFrame) -> DataFrame:
     return sent.join(parsed.select("batch", "id"), ["batch", "id"], "left_anti")
 
 
-def ask_all(prompts: DataFrame, ask: Callable[[str], str | None]) -> DataFrame:
-    """Replies to the prompts. ``ask`` runs in the tasks; an empty reply stands for a failed call."""
+def ask_all(prompts: DataFrame, ask: Callable[[str], str | None], parallelism: int | None = None) -> DataFrame:
+    """(batch, n, reply, error) of the prompts. ``ask`` runs in the tasks, at most ``parallelism`` at once.
+
+    A call that raises leaves an empty reply and its error, and never ends the job. Prompts are dealt out by batch to
+    as many tasks as calls may run at once (by default one for each shuffle partition), whatever their size in bytes.
+    """
+    width = parallelism or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def answer(prompt: str) -> tuple[str, str | None]:
+        try:
+            return ask(prompt) or "", None
+        except Exception as error:  # the caller's function may fail in any way
+            return "", f"{type(error).__name__}: {error}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["batch", "n"]].assign(reply=[ask(prompt) or "" for prompt in batch["prompt"]])
+            told = [answer(prompt) for prompt in batch["prompt"]]
+            yield batch[["batch", "n"]].assign(reply=[t[0] for t in told], error=[t[1] for t in told])
+
+    return (prompts.repartition(width, "batch")
+            .mapInPandas(run, "batch bigint, n int, reply string, error string"))
 
-    return prompts.mapInPandas(run, "batch bigint, n int, reply string")
+
+def _asked(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
+    """Labels of numbered reviews, and the kept replies."""
+    prompts = pack_prompts(sent, options["text"], options["instructions"], options["max_text"])
+    said = settle(ask_all(prompts, ask, options["parallelism"]))
+    return parse_replies(said, options["max_summary"]), said
+
+
+def _two_rounds(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
+    """Labels (key, fields) of numbered reviews after a second round for what is missing, and all replies."""
+    first, said = _asked(sent, ask, options)
+    again = settle(number_batches(retry_set(sent, first).select(*REVIEW_KEY, options["text"]), 1))
+    second, said_again = _asked(again, ask, options)
+    both = (sent.join(first, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)
+            .unionByName(again.join(second, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)))
+    return both, said.unionByName(said_again)
+
+
+def _options(text, instructions, max_text, max_summary, parallelism) -> dict:
+    return {"text": text, "instructions": instructions, "max_text": max_text, "max_summary": max_summary,
+            "parallelism": parallelism}
 
 
 def label_with(
     reviews: DataFrame, ask: Callable[[str], str | None], provider: str, size: int = BATCH_SIZE,
-    text: str = "comment_message",
+    text: str = "comment_message", instructions: str = INSTRUCTIONS, max_text: int | None = MAX_TEXT,
+    max_summary: int | None = MAX_SUMMARY, parallelism: int | None = None,
 ) -> DataFrame:
     """Label reviews with any function from prompt to reply; what a batch misses is asked for once more alone.
 
-    Replies are kept before they are read, so that no prompt is sent twice. Reviews still without a
-    label are absent from the result and are picked up by the next run.
+    Both rounds of calls run when this function is called; replies are kept before they are read, so that no prompt is
+    sent twice. A call that raises counts as an empty reply. Reviews still without a label are absent from the
+    result and are picked up by the next run. ``max_text=None`` sends whole texts.
     """
-    def round_of(rows: DataFrame, per_call: int) -> tuple[DataFrame, DataFrame]:
-        sent = number_batches(rows.select(*REVIEW_KEY, text), per_call)
-        labels = parse_replies(settle(ask_all(pack_prompts(sent, text), ask)))
-        return sent, labels
-
-    sent, first = round_of(reviews, size)
-    missing = retry_set(sent, first).select(*REVIEW_KEY, text)
-    again, second = round_of(missing, 1)
-    both = (sent.join(first, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)
-            .unionByName(again.join(second, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)))
+    cut = reviews.select(*REVIEW_KEY, cut_text(F.col(text), max_text).alias(text))
+    sent = settle(number_batches(cut, size))
+    both, _ = _two_rounds(sent, ask, _options(text, instructions, max_text, max_summary, parallelism))
     return both.withColumn("provider", F.lit(provider)).select(*LABEL_COLUMNS)
+
+
+def label_into(
+    reviews: DataFrame, ask: Callable[[str], str | None], provider: str, path: str, size: int = BATCH_SIZE,
+    text: str = "comment_message", instructions: str = INSTRUCTIONS, max_text: int | None = MAX_TEXT,
+    max_summary: int | None = MAX_SUMMARY, parallelism: int | None = None, per_wave: int = 10_000,
+) -> dict[str, int]:
+    """Label what the label store at ``path`` has no label of this provider for, and store it wave by wave.
+
+    After every ``per_wave`` batches the labels are appended, so a run that is stopped loses one wave at most and the
+    next run asks only for the rest. Returns the numbers of calls, of calls that failed, and of labels stored.
+    """
+    options = _options(text, instructions, max_text, max_summary, parallelism)
+    cut = reviews.select(*REVIEW_KEY, cut_text(F.col(text), max_text).alias(text), F.lit(provider).alias("provider"))
+    sent = settle(number_batches(label_store.not_stored(cut, path).drop("provider"), size))
+    last = sent.agg(F.max("batch")).first()[0]
+    total = {"calls": 0, "failed": 0, "labels": 0}
+    for wave in range(0 if last is None else last // per_wave + 1):
+        rows = sent.filter(F.col("batch").between(wave * per_wave, (wave + 1) * per_wave - 1))
+        both, said = _two_rounds(rows, ask, options)
+        labels = settle(both.withColumn("provider", F.lit(provider)).select(*LABEL_COLUMNS))
+        label_store.append_labels(labels, path)
+        calls, failed = said.agg(F.count(F.lit(1)), F.count("error")).first()
+        total = {"calls": total["calls"] + calls, "failed": total["failed"] + failed, "labels": total["labels"] + labels.count()}
+    return total

@@ -6,6 +6,9 @@ Judged on the text alone: quoted table names, comma joins and recursive definiti
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +50,8 @@ def _names(code: Column, pattern: str) -> Column:
 
 
 def audit_sql(log: DataFrame, stmt: str = "stmt", allowed: list[str] = STAR_TABLES,
-              row_limit: int = tx.STATEMENT_ROW_LIMIT) -> DataFrame:
-    """Add ok, reason, tables and safe_sql. The first broken rule gives the reason."""
+              row_limit: int | None = tx.STATEMENT_ROW_LIMIT) -> DataFrame:
+    """Add ok, reason, tables and safe_sql. The first broken rule gives the reason; ``row_limit=None`` adds no limit."""
     sql = F.col(stmt)
     code = F.col("_code")
     masked = log.withColumn("_code", F.lower(mask(sql)))
@@ -65,7 +68,7 @@ def audit_sql(log: DataFrame, stmt: str = "stmt", allowed: list[str] = STAR_TABL
               .when(F.col("_keyword") != "", F.concat(F.lit("Forbidden keyword: "), F.upper("_keyword")))
               .when(F.size("_unknown") > 0, F.concat(
                   F.lit("Unknown or not allowed table(s): "), F.array_join(F.array_sort("_unknown"), ", "))))
-    limited = F.when(strip(code).rlike(_UNICODE + FINAL_LIMIT), sql).otherwise(
+    limited = sql if row_limit is None else F.when(strip(code).rlike(_UNICODE + FINAL_LIMIT), sql).otherwise(
         F.concat(rstrip(sql), F.lit(f"\nLIMIT {row_limit}")))
     return (compute_once(found, reason.alias("reason"))
             .select(*log.columns, F.col("reason").isNull().alias("ok"), "reason", "tables",
@@ -76,13 +79,53 @@ class UnsafeStatement(ValueError):
     """The statement broke a rule; the message says which."""
 
 
+def _parsed(spark: SparkSession, stmt: str) -> str:
+    """Spark's own reading of the statement, before any name is looked up."""
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt).toString()
+
+
+# Functions that call into the virtual machine; what the parser prints of tables and of names defined by WITH.
+UNSAFE_CALLS = r"(?i)\b(reflect|try_reflect|java_method)\b"
+_RELATION = r"UnresolvedRelation \[([^\]]*)\]"
+_DEFINED = r"\bCTE \[([^\]]*)\]"
+
+
+def refused_names(spark: SparkSession, stmt: str, allowed: Iterable[str]) -> list[str]:
+    """What a statement uses beyond the allowed tables and its own definitions, as Spark reads it: comma joins, quoted
+    names, files and other catalogues included."""
+    plan = _parsed(spark, stmt)
+    defined = {n.strip().lower() for names in re.findall(_DEFINED, plan) for n in names.split(",")}
+    used = {", ".join(p.strip() for p in names.split(",")).lower() for names in re.findall(_RELATION, plan)}
+    known = {a.lower() for a in allowed} | defined
+    functions = re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", plan)
+    return sorted(used - known) + sorted(functions) + sorted({c.lower() for c in re.findall(UNSAFE_CALLS, plan)})
+
+
 def run_guarded(spark: SparkSession, tables: dict[str, DataFrame], stmt: str,
-                row_limit: int = tx.STATEMENT_ROW_LIMIT) -> DataFrame:
-    """Run one statement over views of the tables if it passes the audit, with at most ``row_limit`` rows."""
-    verdict = audit_sql(spark.createDataFrame([(stmt,)], "stmt string"), row_limit=row_limit).first()
+                row_limit: int | None = tx.STATEMENT_ROW_LIMIT) -> DataFrame:
+    """Run one statement over the given tables, with at most ``row_limit`` rows (None: all).
+
+    Two layers: the audit of the text, and the names and calls that Spark itself reads in the statement. Only the
+    given tables can be reached. Their views exist while the statement is resolved; views of the same names come back after.
+    """
+    verdict = audit_sql(spark.createDataFrame([(stmt,)], "stmt string"), allowed=list(tables), row_limit=row_limit).first()
     if not verdict["ok"]:
         raise UnsafeStatement(verdict["reason"])
-    for name in verdict["tables"]:
-        if name in tables:
-            tables[name].createOrReplaceTempView(name)
-    return spark.sql(verdict["safe_sql"]).limit(row_limit)
+    refused = refused_names(spark, verdict["safe_sql"], tables)
+    if refused:
+        raise UnsafeStatement(f"Not allowed: {', '.join(refused)}")
+    before = {name: spark.table(name) for name in tables if any(
+        t.isTemporary and t.name == name.lower() for t in spark.catalog.listTables(pattern=name))}
+    files = spark.conf.get("spark.sql.runSQLOnFiles")
+    try:
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+        for name, table in tables.items():
+            table.createOrReplaceTempView(name)
+        result = spark.sql(verdict["safe_sql"])
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)
+        for name in tables:
+            spark.catalog.dropTempView(name)
+        for name, table in before.items():
+            table.createOrReplaceTempView(name)
+    return result if row_limit is None else result.limit(row_limit)

@@ -29,6 +29,9 @@ def run_catalog(tables: Tables, out: str, **arguments: dict) -> list[str]:
 
     Queries on labels are skipped while there are none. ``arguments`` holds keyword arguments per query name.
     """
+    unknown = set(arguments) - set(CATALOG)
+    if unknown:
+        raise ValueError(f"no such query: {', '.join(sorted(unknown))}")
     labelled = "review_ai_labels" in tables and not tables["review_ai_labels"].isEmpty()
     written = []
     for name, query in CATALOG.items():

@@ -96,8 +96,14 @@ def items_by_order(tables: Tables, attribute: str) -> DataFrame:
         F.count(F.lit(1)).alias("items"), F.sum("price").alias("amount"))
 
 
-def first_item_category(tables: Tables) -> DataFrame:
-    """Category of item number 1 of each order."""
+def with_first_category(rows: DataFrame, tables: Tables) -> DataFrame:
+    """Rows with ``category``, that of item number 1 of their order. The rows, few beside all items, meet the items before
+    the items meet the products."""
     first = tables["fact_order_items"].filter(F.col("order_item_id") == 1).select("order_id", "product_id")
-    return (first.join(tables["dim_product"].select("product_id", "category"), "product_id")
-            .select("order_id", "category"))
+    return (rows.join(first, "order_id")
+            .join(tables["dim_product"].select("product_id", "category"), "product_id").drop("product_id"))
+
+
+def first_rows(rows: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows; all with None."""
+    return rows if n is None else rows.limit(n)

@@ -8,7 +8,6 @@ not added up from its groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,16 +22,45 @@ CUSTOMER_ATTRIBUTES = ["state", "city"]
 ITEM_ATTRIBUTES = ["category", "seller_id"]
 LABEL_ATTRIBUTES = ["topic", "sentiment", "urgency", "provider"]
 
+DATE_ATTRIBUTES = ["year", "quarter", "year_month"]
+
 Filters = dict[str, object]
 
 
+def _values(value: object) -> list:
+    return list(value) if isinstance(value, (list, tuple, set)) else [value]
+
+
 def _keep(df: DataFrame, filters: Filters) -> DataFrame:
     for name, value in filters.items():
-        values = value if isinstance(value, (list, tuple, set)) else [value]
-        df = df.filter(F.col(name).isin(*values))
+        df = df.filter(F.col(name).isin(*_values(value)))
     return df
 
 
+def _only(filters: Filters, names: Sequence[str]) -> Filters:
+    return {k: v for k, v in filters.items() if k in names}
+
+
+def _months_between(filters: Filters, before: int = 0, from_january: bool = False) -> Column | None:
+    """A range of ``year_month`` that holds all months the date filters allow, and as many before as are needed.
+
+    Stored orders are partitioned by the month, which this range reaches; a function of the date would not.
+    """
+    spans = []
+    if "year" in filters:
+        years = [int(y) for y in _values(filters["year"])]
+        spans.append((min(years) * 12, max(years) * 12 + 11))
+    if "year_month" in filters:
+        months = [int(m[:4]) * 12 + int(m[5:7]) - 1 for m in _values(filters["year_month"])]
+        spans.append((min(months), max(months)))
+    if not spans:
+        return None
+    low, high = max(a for a, _ in spans), min(b for _, b in spans)
+    low = min(low - before, low // 12 * 12) if from_january else low - before
+    label = lambda n: f"{n // 12:04d}-{n % 12 + 1:02d}"
+    return F.col("year_month").between(label(low), label(high))
+
+
 def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:
     """One row per order (per order and attribute value for item attributes) with all measure parts.
 
@@ -49,10 +77,11 @@ def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None
     orders = orders.withColumns({
         "year_month": month, "year": F.year("purchase_date"), "quarter": F.quarter("purchase_date"),
         "lateness_bucket": fr.lateness_bucket(F.col("days_late"), fr.NOT_DELIVERED)})
-    orders = _keep(orders, {k: v for k, v in filters.items() if k in ORDER_ATTRIBUTES})
+    months = _months_between(filters)
+    orders = _keep(orders if months is None else orders.filter(months), _only(filters, ORDER_ATTRIBUTES))
     people = tables["dim_customer"].select("customer_id", "customer_unique_id", *CUSTOMER_ATTRIBUTES)
     orders = orders.join(people, "customer_id", "left")
-    orders = _keep(orders, {k: v for k, v in filters.items() if k in CUSTOMER_ATTRIBUTES})
+    orders = _keep(orders, _only(filters, CUSTOMER_ATTRIBUTES))
     if set(used) & set(ITEM_ATTRIBUTES):
         orders = orders.join(_bridge(tables, by, filters), "order_id")
 
@@ -69,7 +98,7 @@ def _bridge(tables: Tables, by: Sequence[str], filters: Filters) -> DataFrame:
     items = tables["fact_order_items"].select("order_id", "product_id", "seller_id")
     if "category" in {*by, *filters}:
         items = items.join(tables["dim_product"].select("product_id", "category"), "product_id")
-    items = _keep(items, {k: v for k, v in filters.items() if k in ITEM_ATTRIBUTES})
+    items = _keep(items, _only(filters, ITEM_ATTRIBUTES))
     return items.select("order_id", *[a for a in by if a in ITEM_ATTRIBUTES]).distinct()
 
 
@@ -84,31 +113,53 @@ def _level(by: list[str], kept: list[str]) -> int:
     return sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in kept)
 
 
-def _with_item_totals(tables: Tables, by: list[str], filters: Filters | None, totals: str) -> DataFrame:
-    """Totals over categories or sellers count an order once, so each level is evaluated from the orders."""
-    levels = []
-    for kept in _grouping_sets(by, totals):
-        rows = measures(tables, kept, filters)
-        for c in by:
-            if c not in kept:
-                rows = rows.withColumn(c, F.lit(None))
-        levels.append(rows.withColumn("level", F.lit(_level(by, kept)).cast("bigint"))
-                      .select(*by, "level", *[c for c in rows.columns if c not in by]))
-    return reduce(DataFrame.unionByName, levels)
+def _with_item_totals(tables: Tables, by: list[str], filters: Filters, totals: str) -> DataFrame:
+    """Order parts once per grouping set, with ``level``: everything is read and joined once.
 
-
-def _measures() -> list[Column]:
-    delivered = F.col("order_status") == fr.DELIVERED
+    A total over categories or sellers counts an order once. So the orders' item attributes are first reduced to one
+    row per order and kept combination for each choice of kept item attributes; orders join that, and each
+    row is then repeated for the grouping sets that keep the same item attributes.
+    """
+    sets = _grouping_sets(by, totals)
+    of_items, of_orders = ([c for c in by if (c in ITEM_ATTRIBUTES) == wanted] for wanted in (True, False))
+    choices = list(dict.fromkeys(tuple(c for c in kept if c in of_items) for kept in sets))
+    bridge = _bridge(tables, of_items, filters)
+    pick = lambda names, kept: [F.when(F.lit(c in kept), F.col(c)).alias(c) for c in names]
+    chosen = F.array(*(F.struct(*pick(of_items, kept), F.lit(i).alias("_choice")) for i, kept in enumerate(choices)))
+    reduced = bridge.select("order_id", F.inline(chosen)).distinct()
+    rows = order_parts(tables, of_orders, {k: v for k, v in filters.items() if k not in ITEM_ATTRIBUTES})
+    # An order without items counts in the totals, unless items are filtered.
+    loose = () in choices and not set(filters) & set(ITEM_ATTRIBUTES)
+    rows = rows.join(reduced, "order_id", "left" if loose else "inner")
+    if loose:
+        rows = rows.withColumn("_choice", F.coalesce("_choice", F.lit(choices.index(()))))
+
+    def repeated(choice: tuple[str, ...]) -> Column:
+        return F.array(*(F.struct(*(c.alias(f"_{n}") for n, c in zip(of_orders, pick(of_orders, kept))),
+                                  F.lit(_level(by, kept)).cast("bigint").alias("level"))
+                         for kept in sets if tuple(c for c in kept if c in of_items) == choice))
+
+    each = F.element_at(F.array(*map(repeated, choices)), F.col("_choice") + 1)
+    spread = rows.select("*", F.inline(each)).select(
+        *(c for c in rows.columns if c not in by), *of_items, *(F.col(f"_{c}").alias(c) for c in of_orders), "level",
+        *(F.col(c).alias(f"_own_{c}") for c in of_orders))
+    return spread
+
+
+def _measures(own: str = "") -> list[Column]:
+    """Sums of order parts. ``own`` prefixes the order attributes where the plain names are grouping columns."""
+    status, is_late = F.col(own + "order_status"), F.col(own + "is_late")
+    delivered = status == fr.DELIVERED
     return [
         F.count_if(delivered).alias("delivered_orders"),
         F.sum(F.when(delivered, F.col("order_value"))).alias("_revenue"),
         F.count_distinct(F.when(delivered, F.col("customer_unique_id"))).alias("customers"),
-        F.count_if(F.col("is_late") == 1).alias("late_orders"),
-        F.count("is_late").alias("_known"),
+        F.count_if(is_late == 1).alias("late_orders"),
+        F.count(is_late).alias("_known"),
         F.sum(F.when(delivered, fr.tenths(F.col("delivery_days")))).alias("_days"),
         F.count(F.when(delivered, F.col("delivery_days"))).alias("_timed"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_{c}") for c in ("reviews", "scored", "points", "low")],
-        *[F.sum(F.when(F.col("is_late") == flag, F.col(c))).alias(f"_{c}_{flag}")
+        *[F.sum(F.when(is_late == flag, F.col(c))).alias(f"_{c}_{flag}")
           for c in ("scored", "points") for flag in (0, 1)],
         F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled_reviews"),
         F.coalesce(F.sum("negative"), F.lit(0)).alias("negative_reviews"),
@@ -122,13 +173,18 @@ def measures(tables: Tables, by: Sequence[str] = (), filters: Filters | None = N
     the grouping number (0 for a full group)."""
     by = list(by)
     if totals and set(by) & set(ITEM_ATTRIBUTES):
-        return _with_item_totals(tables, by, filters, totals)
-    parts = order_parts(tables, by, filters)
-    if totals:
-        grouped = getattr(parts, totals)(*by).agg(F.grouping_id().cast("bigint").alias("level"), *_measures())
-        keys = [*by, "level"]
+        spread = _with_item_totals(tables, by, filters or {}, totals)
+        for c in ("order_status", "is_late"):
+            if c not in by:
+                spread = spread.withColumn(f"_own_{c}", F.col(c))
+        grouped, keys = spread.groupBy(*by, "level").agg(*_measures("_own_")), [*by, "level"]
     else:
-        grouped, keys = parts.groupBy(*by).agg(*_measures()), by
+        parts = order_parts(tables, by, filters)
+        if totals:
+            grouped = getattr(parts, totals)(*by).agg(F.grouping_id().cast("bigint").alias("level"), *_measures())
+            keys = [*by, "level"]
+        else:
+            grouped, keys = parts.groupBy(*by).agg(*_measures()), by
     score = {flag: ratio(F.col(f"_points_{flag}"), F.col(f"_scored_{flag}")) for flag in (0, 1)}
     return grouped.select(
         *keys,
@@ -147,28 +203,48 @@ def measures(tables: Tables, by: Sequence[str] = (), filters: Filters | None = N
         "high_urgency_reviews")
 
 
-def _daily(tables: Tables, by: list[str], filters: Filters | None) -> DataFrame:
-    """Revenue per group and day with delivered orders; item attributes are not offered here."""
-    filters = filters or {}
-    orders = fr.with_month(fr.delivered_orders(tables)).withColumn("year", F.year("purchase_date"))
+def _daily(tables: Tables, by: list[str], filters: Filters, months: Column | None) -> DataFrame:
+    """Revenue per group and day with delivered orders. Item attributes count an order once per kept value."""
+    orders = fr.with_month(fr.delivered_orders(tables))
+    orders = orders if months is None else orders.filter(months)
     if {*by, *filters} & set(CUSTOMER_ATTRIBUTES):
         people = tables["dim_customer"].select("customer_id", *CUSTOMER_ATTRIBUTES)
         orders = orders.join(people, "customer_id", "left")
-    return (_keep(orders, filters)
-            .groupBy(*by, "purchase_date", "year_month").agg(F.sum("order_value").alias("value")))
+    orders = _keep(orders, {k: v for k, v in filters.items() if k not in ITEM_ATTRIBUTES})
+    if {*by, *filters} & set(ITEM_ATTRIBUTES):
+        orders = orders.join(_bridge(tables, by, filters), "order_id")
+    return orders.groupBy(*by, "purchase_date", "year_month").agg(F.sum("order_value").alias("value"))
 
 
 def revenue_over_time(tables: Tables, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:
     """Per month: revenue, previous calendar month, change, year to date, and the three-month day mean.
 
-    The previous month is the calendar month before, null when it has no revenue. The rolling mean is the
-    mean of the revenue of days that have any, over the month and the two calendar months before it. All
-    windows run over one row per group and month.
+    Months come from the calendar, so a month without a delivered order still has a year to date; a month without any
+    value is left out. The previous month is the calendar month before, null when it has no revenue. The rolling mean
+    is the mean of the revenue of days that have any, over the month and the two calendar months before it. Date
+    filters (year, quarter, year_month) choose the months shown and leave their values as they are; all
+    other filters choose the orders. All windows run over one row per group and month.
     """
-    by = list(by)
-    monthly = _daily(tables, by, filters).groupBy(*by, "year_month").agg(
+    by, filters = list(by), filters or {}
+    shown = _only(filters, DATE_ATTRIBUTES)
+    unknown = {*by, *filters} - {*ORDER_ATTRIBUTES, *CUSTOMER_ATTRIBUTES, *ITEM_ATTRIBUTES}
+    if unknown or set(by) & set(DATE_ATTRIBUTES):
+        raise ValueError(f"cannot group or filter by {', '.join(sorted(unknown or set(by) & set(DATE_ATTRIBUTES)))}")
+    needed = _months_between(shown, before=2, from_january=True)
+    chosen = {k: v for k, v in filters.items() if k not in shown}
+    monthly = _daily(tables, by, chosen, needed).groupBy(*by, "year_month").agg(
         F.sum("value").alias("value"), F.count("value").alias("days"))
-    monthly = monthly.withColumn("_month", month_index(F.col("year_month")))
+    calendar = tables["dim_date"].select("year_month").distinct()
+    axis = calendar if needed is None else calendar.filter(needed)
+    if by:
+        # The months of the calendar are few, twelve a year; each group of the result gets them all.
+        months = sorted(row["year_month"] for row in axis.collect())
+        listed = F.array(*map(F.lit, months)).cast("array<string>")
+        axis = monthly.select(*by).distinct().select(*by, F.explode(listed).alias("year_month"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"m.{c}")) for c in [*by, "year_month"]]
+    monthly = (axis.alias("a").join(monthly.alias("m"), same, "left")
+               .select(*(F.col(f"a.{c}").alias(c) for c in [*by, "year_month"]), "value", "days")
+               .withColumn("_month", month_index(F.col("year_month"))))
     months = Window.partitionBy(*by).orderBy("_month")
     year = Window.partitionBy(*by, F.substring("year_month", 1, 4)).orderBy("_month")
     wide = monthly.select(
@@ -177,6 +253,11 @@ def revenue_over_time(tables: Tables, by: Sequence[str] = (), filters: Filters |
         F.sum("value").over(year.rowsBetween(Window.unboundedPreceding, 0)).alias("to_date"),
         F.sum("value").over(months.rangeBetween(-2, 0)).alias("near"),
         F.sum("days").over(months.rangeBetween(-2, 0)).alias("near_days"))
+    wide = wide.filter(F.coalesce("value", "before", "to_date", "near").isNotNull())
+    if shown:
+        month = F.substring("year_month", 6, 2).cast("int")
+        wide = _keep(wide.withColumns({"year": F.substring("year_month", 1, 4).cast("int"),
+                                       "quarter": F.ceil(month / 3).cast("int")}), shown)
     return wide.select(
         *by, "year_month",
         F.col("value").cast("double").alias("revenue"),
@@ -186,28 +267,59 @@ def revenue_over_time(tables: Tables, by: Sequence[str] = (), filters: Filters |
         ratio(F.col("near"), F.col("near_days")).alias("revenue_3m_rolling_avg"))
 
 
-def label_measures(tables: Tables, by: Sequence[str] = ("topic",)) -> DataFrame:
-    """Label counts per group, where groups may be label attributes; ``topic_share`` is the share of the
-    complaints of a group in those of the same group over all topics."""
-    by = list(by)
-    labels = tables["review_ai_labels"]
-    if "category" in by:
-        labels = labels.join(fr.first_item_category(tables), "order_id")
-    if set(by) & set(CUSTOMER_ATTRIBUTES):
-        people = tables["fact_orders"].select("order_id", "customer_id").join(
-            tables["dim_customer"].select("customer_id", *CUSTOMER_ATTRIBUTES), "customer_id")
-        labels = labels.join(people, "order_id", "left")
+def _labelled_rows(tables: Tables, used: set[str], filters: Filters) -> DataFrame:
+    """Labels with the attributes in use. The category of an order is that of its first item; an order counts once for each
+    seller it has an item of."""
+    labels = _keep(tables["review_ai_labels"], _only(filters, LABEL_ATTRIBUTES))
+    if used & {*ORDER_ATTRIBUTES, *CUSTOMER_ATTRIBUTES}:
+        orders = tables["fact_orders"]
+        if "year_month" not in orders.columns:
+            orders = orders.withColumn("year_month", F.date_format("purchase_date", "yyyy-MM"))
+        orders = orders.withColumns({
+            "year": F.year("purchase_date"), "quarter": F.quarter("purchase_date"),
+            "lateness_bucket": fr.lateness_bucket(F.col("days_late"), fr.NOT_DELIVERED)})
+        months = _months_between(filters)
+        orders = _keep(orders if months is None else orders.filter(months), _only(filters, ORDER_ATTRIBUTES))
+        if used & set(CUSTOMER_ATTRIBUTES):
+            people = tables["dim_customer"].select("customer_id", *CUSTOMER_ATTRIBUTES)
+            orders = _keep(orders.join(people, "customer_id", "left"), _only(filters, CUSTOMER_ATTRIBUTES))
+        wanted = [c for c in (*ORDER_ATTRIBUTES, *CUSTOMER_ATTRIBUTES) if c in used]
+        labels = labels.join(orders.select("order_id", *wanted), "order_id")
+    if "category" in used:
+        labels = _keep(fr.with_first_category(labels, tables), _only(filters, ["category"]))
+    if "seller_id" in used:
+        sellers = tables["fact_order_items"].select("order_id", "seller_id").distinct()
+        labels = labels.join(_keep(sellers, _only(filters, ["seller_id"])), "order_id")
+    return labels
+
+
+def label_measures(tables: Tables, by: Sequence[str] = ("topic",), filters: Filters | None = None) -> DataFrame:
+    """Label counts per group; ``topic_share`` is the share of the complaints of a group in those of the same group over
+    all topics.
+
+    Groups and filters may be label, order, customer and item attributes. A topic filter chooses what is counted and
+    is left out of the whole that the share is taken of.
+    """
+    by, filters = list(by), filters or {}
+    used = {*by, *filters}
+    unknown = used - {*LABEL_ATTRIBUTES, *ORDER_ATTRIBUTES, *CUSTOMER_ATTRIBUTES, *ITEM_ATTRIBUTES}
+    if unknown:
+        raise ValueError(f"no such attribute: {', '.join(sorted(unknown))}")
+    labels = _labelled_rows(tables, used, {k: v for k, v in filters.items() if k != "topic"})
+    wanted = F.col("topic").isin(*_values(filters["topic"])) if "topic" in filters else F.lit(True)
+    negative = F.col("sentiment") == "negative"
     grouped = labels.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("labelled_reviews"),
-        F.count_if(F.col("sentiment") == "negative").alias("negative_reviews"),
-        F.count_if(F.col("urgency") == "high").alias("high_urgency_reviews"))
+        F.count_if(wanted).alias("labelled_reviews"),
+        F.count_if(wanted & negative).alias("negative_reviews"),
+        F.count_if(wanted & (F.col("urgency") == "high")).alias("high_urgency_reviews"),
+        F.count_if(negative).alias("_complaints"))
     # Over the grouped rows: one per group and topic.
-    all_topics = F.sum("negative_reviews").over(Window.partitionBy(*[c for c in by if c != "topic"]))
+    all_topics = F.sum("_complaints").over(Window.partitionBy(*[c for c in by if c != "topic"]))
     return grouped.select(
         *by, "labelled_reviews", "negative_reviews",
         ratio(F.col("negative_reviews"), F.col("labelled_reviews")).alias("negative_share"),
         "high_urgency_reviews",
-        ratio(F.col("negative_reviews"), all_topics).alias("topic_share"))
+        ratio(F.col("negative_reviews"), all_topics).alias("topic_share")).filter("labelled_reviews > 0")
 
 
 def overview_title(tables: Tables, filters: Filters | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.numbers import cents, ratio, ratio_or_zero, round_ratio
 from . import frames as fr
 from . import queries as Q
 from .frames import Tables
+from .measures import measures
 
 # Parts of a star that a mean review score of one order is counted in, so that sums are exact.
 _SCALE = 10**12
@@ -130,7 +131,7 @@ def kpi_summary(table: DataFrame, month: str) -> DataFrame:
 
 
 def facts(tables: Tables, first_month: str = Q.FIRST_MONTH, last_month: str = Q.LAST_MONTH,
-          min_orders: int = 300, topics: int = 3) -> DataFrame:
+          min_orders: int = 300, topics: int | None = 3) -> DataFrame:
     """One row with the facts of the pack; the three small tables are each reduced to one row and combined."""
     months = monthly(tables, first_month, last_month)
     money = F.col("revenue").cast("decimal(28,2)")
@@ -154,9 +155,10 @@ def facts(tables: Tables, first_month: str = Q.FIRST_MONTH, last_month: str = Q.
         round_ratio(points, F.col("_reviews") * 10**6, 2).alias("avg_review_score"))
     groups = categories(tables, min_orders).agg(
         F.min(F.struct((-F.col("revenue")).alias("r"), "category"))["category"].alias("top_category"),
-        F.min(F.struct("avg_score", (-F.col("revenue")).alias("r"), "category"))["category"]
-        .alias("lowest_rated_big_category"))
-    worst = (complaints(tables).orderBy(F.desc("negative_reviews"), "topic").limit(topics)
+        # A category without any score is no lowest one.
+        F.min(F.when(F.col("avg_score").isNotNull(), F.struct("avg_score", (-F.col("revenue")).alias("r"), "category")))
+        ["category"].alias("lowest_rated_big_category"))
+    worst = (complaints(tables).orderBy(F.desc("negative_reviews"), "topic").transform(fr.first_rows, topics)
              .agg(F.transform(
                  F.array_sort(F.collect_list(F.struct((-F.col("negative_reviews")).alias("o"), "topic"))),
                  lambda t: F.concat(t["topic"], F.lit("="), (-t["o"]).cast("string"))).alias("top_complaint_topics")))
@@ -172,7 +174,8 @@ LATENESS = "%s%% of orders arrived late; average review score is %s / 5."
 CATEGORY = "Top revenue category: %s. Lowest-rated large category: %s."
 COMPLAINTS = "Most common complaint topics: %s."
 ACTION = ("Recommended action: prioritise on-time delivery in the worst-performing states, "
-          "since late orders score ~1.7 stars lower.")
+          "since late orders score ~{} stars lower.")
+STARS_LOWER = "1.7"  # as published; ``stars_lower`` measures it
 
 
 def _say(template: str, *facts: Column) -> Column:
@@ -181,8 +184,18 @@ def _say(template: str, *facts: Column) -> Column:
     return F.when(given, F.format_string(template, *facts))
 
 
-def sentences(record: DataFrame) -> DataFrame:
-    """One row per sentence of the executive summary."""
+def stars_lower(tables: Tables) -> DataFrame:
+    """(stars_lower): by how much the average score of late orders is below that of the others, one decimal."""
+    gap = F.round(F.col("score_gap_late_vs_on_time").cast("decimal(20,15)"), 1)
+    return measures(tables).select(F.format_number(gap, 1).alias("stars_lower"))
+
+
+def sentences(record: DataFrame, lower: DataFrame | None = None) -> DataFrame:
+    """One row per sentence of the executive summary. ``lower``, from ``stars_lower``, takes the place of the
+    published distance between late and other orders."""
+    if lower is not None:
+        # One row each.
+        record = record.withColumn("_one", F.lit(1)).join(F.broadcast(lower.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
     words = F.replace(F.array_join(F.transform(
         "top_complaint_topics", lambda t: F.split_part(t, F.lit("="), F.lit(1))), ", "), F.lit("_"), F.lit(" "))
     fact = {c: F.col(c) for c in record.columns}
@@ -192,6 +205,7 @@ def sentences(record: DataFrame) -> DataFrame:
         _say(LATENESS, fact["late_delivery_rate_pct"].cast("string"), fact["avg_review_score"].cast("string")),
         _say(CATEGORY, fact["top_category"], fact["lowest_rated_big_category"]),
         _say(COMPLAINTS, words),
-        F.lit(ACTION),
+        F.lit(ACTION.format(STARS_LOWER)) if lower is None else F.replace(
+            F.lit(ACTION), F.lit("{}"), F.coalesce("stars_lower", F.lit(STARS_LOWER))),
     ]
     return record.select(F.posexplode(F.array(*bullets)).alias("position", "sentence"))

@@ -112,7 +112,7 @@ def category_rows(tables: Tables, min_orders: int) -> DataFrame:
             .filter(F.col("orders") >= min_orders))
 
 
-def category_scorecard(tables: Tables, min_orders: int = 500, top: int = 15) -> DataFrame:
+def category_scorecard(tables: Tables, min_orders: int = 500, top: int | None = 15) -> DataFrame:
     """Categories by revenue. Ranked after the grouping: one row per category."""
     return (category_rows(tables, min_orders)
             .select(
@@ -121,7 +121,7 @@ def category_scorecard(tables: Tables, min_orders: int = 500, top: int = 15) ->
                 round_money(F.col("value")).alias("revenue"),
                 _avg_score(),
                 round_ratio(F.col("late"), F.col("known"), 1, 100).alias("late_pct"))
-            .orderBy("revenue_rank", "category").limit(top))
+            .orderBy("revenue_rank", "category").transform(fr.first_rows, top))
 
 
 def state_delivery_performance(tables: Tables, min_orders: int = 300) -> DataFrame:
@@ -173,7 +173,7 @@ def repeat_purchase_after_bad_review(tables: Tables) -> DataFrame:
         .orderBy("first_order_rating"))
 
 
-def sellers_with_problems(tables: Tables, min_orders: int = 100, worst: int = 10) -> DataFrame:
+def sellers_with_problems(tables: Tables, min_orders: int = 100, worst: int | None = 10) -> DataFrame:
     """Large sellers with the lowest ratings. The seller table is joined to the grouped rows."""
     late = F.col("is_late").cast("bigint")
     per_row = F.col("items") * F.col("reviews")
@@ -189,7 +189,7 @@ def sellers_with_problems(tables: Tables, min_orders: int = 100, worst: int = 10
             .select(
                 "seller_id", "seller_state", "orders", _avg_score(),
                 round_ratio(F.col("late"), F.col("known"), 1, 100).alias("late_pct"))
-            .orderBy("avg_score", "seller_id").limit(worst))
+            .orderBy("avg_score", "seller_id").transform(fr.first_rows, worst))
 
 
 def _complaints(tables: Tables) -> DataFrame:
@@ -212,13 +212,13 @@ def topic_breakdown(tables: Tables) -> DataFrame:
             .orderBy(F.desc("reviews"), "topic"))
 
 
-def topic_by_category(tables: Tables, min_reviews: int = 5, top: int = 20) -> DataFrame:
+def topic_by_category(tables: Tables, min_reviews: int = 5, top: int | None = 20) -> DataFrame:
     return (_complaints(tables).select("review_id", "order_id", "topic")
-            .join(fr.first_item_category(tables), "order_id")
+            .transform(fr.with_first_category, tables)
             .groupBy("category", "topic")
             .agg(F.count_distinct("review_id").alias("negative_reviews"))
             .filter(F.col("negative_reviews") >= min_reviews)
-            .orderBy(F.desc("negative_reviews"), "category", "topic").limit(top))
+            .orderBy(F.desc("negative_reviews"), "category", "topic").transform(fr.first_rows, top))
 
 
 def _late_by_state(tables: Tables, min_orders: int) -> DataFrame:
@@ -229,10 +229,10 @@ def _late_by_state(tables: Tables, min_orders: int) -> DataFrame:
             .filter(F.col("orders") >= min_orders))
 
 
-def worst_states(tables: Tables, min_orders: int = 300, worst: int = 5) -> DataFrame:
+def worst_states(tables: Tables, min_orders: int = 300, worst: int | None = 5) -> DataFrame:
     return (_late_by_state(tables, min_orders)
             .select("state", "orders", round_ratio(F.col("late"), F.col("known"), 1, 100).alias("late_pct"))
-            .orderBy(F.desc("late_pct"), "state").limit(worst))
+            .orderBy(F.desc("late_pct"), "state").transform(fr.first_rows, worst))
 
 
 def complaint_topics(tables: Tables) -> DataFrame:
@@ -248,10 +248,10 @@ def _category_revenue(tables: Tables, orders: DataFrame) -> DataFrame:
             .groupBy("category").agg(F.sum("value").alias("value")))
 
 
-def top_categories(tables: Tables, top: int = 10) -> DataFrame:
+def top_categories(tables: Tables, top: int | None = 10) -> DataFrame:
     return (_category_revenue(tables, fr.delivered_orders(tables))
             .select("category", round_money(F.col("value")).alias("revenue"))
-            .orderBy(F.desc("revenue"), "category").limit(top))
+            .orderBy(F.desc("revenue"), "category").transform(fr.first_rows, top))
 
 
 def monthly_orders(tables: Tables, year: int = 2018) -> DataFrame:
@@ -261,8 +261,10 @@ def monthly_orders(tables: Tables, year: int = 2018) -> DataFrame:
 
 
 def _in_year(orders: DataFrame, year: int) -> DataFrame:
-    """A range on the date, which reaches the file scan; a function of the date would not."""
+    """A range on the date and on the month that stored orders are partitioned by, which reach the file scan; a function
+    of the date would not."""
     day = F.col("purchase_date")
+    orders = fr.with_month(orders).filter(F.col("year_month").between(f"{year:04d}-01", f"{year:04d}-12"))
     return orders.filter((day >= F.lit(date(year, 1, 1))) & (day < F.lit(date(year + 1, 1, 1))))
 
 
@@ -314,29 +316,29 @@ def urgency_distribution(tables: Tables) -> DataFrame:
     return tables["review_ai_labels"].groupBy("urgency").agg(F.count(F.lit(1)).alias("reviews"))
 
 
-def complaint_heat_map(tables: Tables, top: int = 10) -> DataFrame:
+def complaint_heat_map(tables: Tables, top: int | None = 10) -> DataFrame:
     """Complaints per category and topic for the categories with most of them.
 
     The windows run over the grouped rows, at most one per category and topic.
     """
     pairs = (_complaints(tables).select("order_id", "topic")
-             .join(fr.first_item_category(tables), "order_id")
+             .transform(fr.with_first_category, tables)
              .groupBy("category", "topic").agg(F.count(F.lit(1)).alias("n")))
     total = F.sum("n").over(Window.partitionBy("category"))
     place = F.dense_rank().over(Window.orderBy(F.desc("total"), "category"))
     return (pairs.withColumn("total", total).withColumn("place", place)
-            .filter(F.col("place") <= top)
+            .filter(F.lit(True) if top is None else F.col("place") <= top)
             .select("category", "topic", "n"))
 
 
-def heat_map_matrix(tables: Tables, topics: list[str], top: int = 10) -> DataFrame:
+def heat_map_matrix(tables: Tables, topics: list[str], top: int | None = 10) -> DataFrame:
     """The heat map with one column per topic."""
     return (complaint_heat_map(tables, top).groupBy("category").pivot("topic", topics)
             .agg(F.sum("n")).na.fill(0, topics))
 
 
 def browse_reviews(
-    tables: Tables, topics: list[str] | None = None, urgencies: list[str] | None = None, rows: int = 300,
+    tables: Tables, topics: list[str] | None = None, urgencies: list[str] | None = None, rows: int | None = 300,
 ) -> DataFrame:
     """Labelled reviews with their text; a filter that is not given does not filter."""
     labels = tables["review_ai_labels"]
@@ -346,7 +348,7 @@ def browse_reviews(
         labels = labels.filter(F.col("urgency").isin(*urgencies))
     reviews = tables["fact_reviews"].select(*REVIEW_KEY, "review_score", "comment_message")
     return (labels.join(reviews, REVIEW_KEY)
-            .orderBy(*REVIEW_KEY).limit(rows)
+            .orderBy(*REVIEW_KEY).transform(fr.first_rows, rows)
             .select(F.col("review_score").alias("stars"), "sentiment", "topic", "urgency", "summary_en",
                     "comment_message"))
 
@@ -360,10 +362,10 @@ def score_by_payment_type(tables: Tables) -> DataFrame:
             .orderBy(F.desc("avg_score"), "payment_type"))
 
 
-def top_categories_in_year(tables: Tables, year: int = 2018, top: int = 5) -> DataFrame:
+def top_categories_in_year(tables: Tables, year: int = 2018, top: int | None = 5) -> DataFrame:
     return (_category_revenue(tables, _in_year(fr.delivered_orders(tables), year))
             .select("category", round_money(F.col("value")).alias("revenue"))
-            .orderBy(F.desc("revenue"), "category").limit(top))
+            .orderBy(F.desc("revenue"), "category").transform(fr.first_rows, top))
 
 
 def late_vs_on_time_score(tables: Tables) -> DataFrame:

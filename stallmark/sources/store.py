@@ -42,21 +42,22 @@ def read_star(spark: SparkSession, path: str, names: list[str]) -> dict[str, Dat
     return tables
 
 
-def export_columns(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """What the export holds: all tables, review text cut short and without titles."""
+def export_columns(tables: dict[str, DataFrame], max_text: int | None = EXPORT_TEXT) -> dict[str, DataFrame]:
+    """What the export holds: all tables, review text cut to ``max_text`` characters (whole with None), no titles."""
+    message = F.col("comment_message") if max_text is None else F.substring("comment_message", 1, max_text)
     out = dict(tables)
     if "fact_orders" in out:
         out["fact_orders"] = out["fact_orders"].drop("year_month")
     if "fact_reviews" in out:
         out["fact_reviews"] = out["fact_reviews"].select(
             "review_id", "order_id", "review_score", "review_date",
-            F.substring("comment_message", 1, EXPORT_TEXT).alias("comment_message"))
+            message.alias("comment_message"))
     return out
 
 
-def export_csv(tables: dict[str, DataFrame], path: str) -> DataFrame:
+def export_csv(tables: dict[str, DataFrame], path: str, max_text: int | None = EXPORT_TEXT) -> DataFrame:
     """One CSV folder per table; returns (name, rows)."""
-    chosen = export_columns(tables)
+    chosen = export_columns(tables, max_text)
     for name, df in chosen.items():
         (df.write.mode("overwrite").option("header", True).option("escape", '"')
          .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("dateFormat", "yyyy-MM-dd")

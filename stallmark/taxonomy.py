@@ -19,6 +19,23 @@ TOPICS = [
     "other",
 ]
 
+# What a labeller is told about the labels; wording is free, names are those above.
+TOPIC_MEANINGS = {
+    "late_delivery": "it came, but after the promised day",
+    "not_received": "it has not come, or only part of the order was ever sent",
+    "wrong_or_missing_item": "another article, size, colour or amount than ordered",
+    "damaged_or_defective": "broken, dented or not working when it came",
+    "quality_not_as_described": "works, but is worse than or unlike its description, or a fake",
+    "seller_service": "about answers, cancelling, exchange or money back",
+    "praise": "content, without a problem to name",
+    "other": "none of these",
+}
+URGENCY_MEANINGS = {
+    "high": "the buyer has no usable goods or wants the money back",
+    "medium": "there is a problem, but the goods are there",
+    "low": "nothing to do",
+}
+
 # ---- Fixed values: what falls outside the sets ------------------------------------------------
 DEFAULT_SENTIMENT = "neutral"
 DEFAULT_TOPIC = "other"

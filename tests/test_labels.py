@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import unicodedata
 
 import pytest
@@ -26,6 +27,14 @@ def test_folding_equals_decomposition(spark):
     assert [r for r in fx.rows(df.select("t", normalise(F.col("t")))) if r[1] != _fold(r[0])] == []
 
 
+def test_every_code_point_folds_as_it_decomposes(spark):
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).lower() == chr(c)]
+    df = spark.createDataFrame([("".join(points[at:at + 64]),) for at in range(0, len(points), 64)], "t string")
+    got = fx.rows(df.filter(F.lower("t") == F.col("t")).select("t", normalise(F.col("t"))))
+    assert len(got) > len(points) / 64 * 0.95
+    assert [r for r in got if r[1] != _fold(r[0])] == []
+
+
 def test_strip_drops_every_kind_of_white_space(spark):
     df = spark.createDataFrame([("\n  ",), (" ok\t",), ("\u00a0a b\u2003\r\n",), (None,)], "t string")
     assert fx.rows(df.select(clean_text(F.col("t")))) == [(None,), ("ok",), ("a b",), (None,)]
@@ -33,9 +42,9 @@ def test_strip_drops_every_kind_of_white_space(spark):
 
 
 CASES = [
-    ("Ainda não recebi o produto", "negative", "not_received", "high"),
-    ("Produto chegou quebrado", "negative", "damaged_or_defective", "medium"),
-    ("Ótimo produto, chegou antes do prazo, recomendo!", "positive", "praise", "low"),
+    ("Até hoje não chegou o meu pedido", "negative", "not_received", "high"),
+    ("A tampa veio rachada", "negative", "damaged_or_defective", "medium"),
+    ("Chegou rápido, gostei, nota 10", "positive", "praise", "low"),
     ("Não gostei, mas chegou rápido", "negative", "quality_not_as_described", "medium"),
     ("não recomendo", "negative", "other", "medium"),
     ("Adorei, lindo, excelente, mas veio com defeito", "neutral", "damaged_or_defective", "low"),
@@ -122,8 +131,8 @@ OTHER = ("neutral", "other", "low", "")
 
 
 @pytest.mark.parametrize("reply, n, expected", [
-    ('Sure!\n```json\n{"results": [{"id": "r0", "topic": "praise"}]}\n```', 1, {"r0": ("neutral", "praise", "low", "")}),
-    ('blah {"results": [{"id": "r0"}]} blah', 1, {"r0": OTHER}),
+    ('The labels:\n```json\n{"results": [{"id": "r0", "topic": "praise"}]}\n```', 1, {"r0": ("neutral", "praise", "low", "")}),
+    ('no labels today {"results": [{"id": "r0"}]} no labels today', 1, {"r0": OTHER}),
     ('[{"id": "r0"}, {"id": "r1", "urgency": " HIGH\\n"}]', 2, {"r0": OTHER, "r1": ("neutral", "other", "high", "")}),
     ('{"id": "r1"}', 2, {"r1": OTHER}),
     ('{"id": "1", "sentiment": "negative"}', 1, {"r0": ("negative", "other", "low", "")}),
@@ -142,7 +151,7 @@ def test_replies_of_all_shapes(spark, reply, n, expected):
 
 
 def test_labels_are_forced_into_the_sets(spark):
-    df = spark.createDataFrame([("VERY ANGRY", "aliens", "HIGH", "s" * 130)],
+    df = spark.createDataFrame([("FURIOUS", "weather", "HIGH", "s" * 130)],
                                "sentiment string, topic string, urgency string, summary_en string")
     assert fx.rows(replies.clean_labels(df)) == [("neutral", "other", "high", "s" * 120)]
 
@@ -176,6 +185,57 @@ def test_outside_labeller_is_asked_again_for_what_is_missing(spark, many):
     assert all(s == f"texto {r[1:]}" and t == "praise" and p == "stand_in" for r, s, t, p in found)
 
 
+def test_prompts_name_every_value_and_go_whole_on_request(spark, many):
+    long = many.limit(2).withColumn("comment_message", F.lit("x" * 5000))
+    prompt = replies.pack_prompts(replies.number_batches(long), max_text=None).first()["prompt"]
+    assert all(value in prompt for value in [*tx.SENTIMENTS, *tx.TOPICS, *tx.URGENCY, "x" * 5000])
+    assert set(tx.TOPIC_MEANINGS) == set(tx.TOPICS) and set(tx.URGENCY_MEANINGS) == set(tx.URGENCY)
+
+
+def test_a_failing_call_costs_its_reviews_only(spark, many):
+    def ask(prompt):
+        if "texto 7\n" in prompt + "\n":
+            raise OSError("line is dead")
+        return _stand_in(prompt)
+
+    texts = many.limit(25).withColumn("comment_message", F.concat(F.lit("texto "), F.substring("review_id", 2, 9), F.lit(" ")))
+    found = {r[0] for r in fx.rows(replies.label_with(texts, ask, "x", size=10), "review_id")}
+    assert found == {r[0] for r in fx.rows(texts, "review_id")} - {"r7"}
+    told = replies.ask_all(replies.pack_prompts(replies.number_batches(texts, 1)), ask)
+    assert [r[0] for r in fx.rows(told.filter("error is not null"), "error")] == ["OSError: line is dead"]
+
+
+def test_calls_spread_over_the_asked_number_of_tasks(spark, many):
+    prompts = replies.pack_prompts(replies.number_batches(many, 1))
+    told = replies.ask_all(prompts, lambda prompt: "x", parallelism=16)
+    assert told.rdd.getNumPartitions() == 16
+    sizes = told.rdd.glom().map(len).collect()
+    assert min(sizes) > 30 and max(sizes) < 100
+
+
+def test_a_second_run_asks_for_the_rest_only(spark, many, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def dead_line(prompt):
+        asked.add(1)
+        if "texto 3" in prompt:
+            raise OSError("line is dead")
+        return _stand_in(prompt)
+
+    def alive(prompt):
+        asked.add(1)
+        return _stand_in(prompt)
+
+    texts = many.limit(25).withColumn("comment_message", F.concat(F.lit("texto "), F.substring("review_id", 2, 9), F.lit(" ")))
+    first = replies.label_into(texts, dead_line, "x", str(tmp_path / "s"), size=5, per_wave=2)
+    missing = 25 - first["labels"]
+    assert first["failed"] > 0 and missing == texts.filter("comment_message like 'texto 3%'").count()
+    asked.value = 0
+    second = replies.label_into(texts, alive, "x", str(tmp_path / "s"), size=1)
+    assert second == {"calls": missing, "failed": 0, "labels": missing} and asked.value == missing
+    assert replies.label_into(texts, alive, "x", str(tmp_path / "s")) == {"calls": 0, "failed": 0, "labels": 0}
+
+
 def test_taxonomy_is_closed():
     assert {name for name, _ in tx.TOPIC_PATTERNS} < set(tx.TOPICS) and len(tx.TOPICS) == 8
 

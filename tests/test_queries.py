@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from stallmark.plans import measures as M
 from stallmark.plans import pack
 from stallmark.plans import queries as Q
@@ -29,7 +31,26 @@ def test_previous_row_against_previous_calendar_month(spark):
     growth = fx.rows(Q.monthly_revenue_growth(tables), "year_month", "mom_growth_pct")
     assert growth == [("2018-01", None), ("2018-03", 50.0)]
     time = sorted(fx.rows(M.revenue_over_time(tables), "year_month", "revenue_pm", "revenue_mom", "revenue_ytd"))
-    assert time == [("2018-01", None, None, 10.0), ("2018-03", None, None, 25.0)]
+    assert time == [("2018-01", None, None, 10.0), ("2018-02", 10.0, None, 10.0), ("2018-03", None, None, 25.0)]
+
+
+def test_date_filters_choose_months_and_not_their_values(spark):
+    tables = _months(spark, ("2017-11", 4), ("2017-12", 8), ("2018-01", 10), ("2018-02", 5), ("2018-03", 7))
+    every = {r[0]: r for r in fx.rows(M.revenue_over_time(tables), "year_month", "revenue", "revenue_pm", "revenue_ytd",
+                                      "revenue_3m_rolling_avg")}
+    for filters, months in [({"year": 2018}, ["2018-01", "2018-02", "2018-03"]), ({"year_month": ["2018-02"]}, ["2018-02"]),
+                            ({"quarter": 4}, ["2017-11", "2017-12"]), ({"year": [2018], "year_month": "2018-03"}, ["2018-03"])]:
+        got = fx.rows(M.revenue_over_time(tables, filters=filters), "year_month", "revenue", "revenue_pm", "revenue_ytd",
+                      "revenue_3m_rolling_avg")
+        assert sorted(got) == [every[m] for m in months]
+    with pytest.raises(ValueError):
+        M.revenue_over_time(tables, filters={"planet": 1})
+
+
+def test_a_category_without_scores_is_not_the_lowest_rated(spark):
+    orders = [fx.order(i, bought="2018-01-01 00:00:00") for i in (1, 2)]
+    tables = fx.star(spark, orders=orders, items=[fx.item(1, price=10), fx.item(2, price=20)])
+    assert pack.facts(tables, min_orders=0).first()["lowest_rated_big_category"] is None
 
 
 def test_growth_starts_anew_at_the_first_chosen_month(spark):
