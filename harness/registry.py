@@ -455,7 +455,7 @@ def _catalogue(spark: SparkSession, path: str) -> DataFrame:
 def _incremental(spark: SparkSession, path: str) -> DataFrame:
     """New review files in two deliveries that overlap; each review is labelled once."""
     folder, reviews = _folder(spark), derived.derive_star(spark, path, labels=False)["fact_reviews"]
-    columns = ["review_id", "order_id", "comment_message"]
+    columns = ["review_id", "order_id", "comment_message", "review_date"]
     for delivery in (reviews.filter("review_score <= 3 or review_score is null"), reviews.filter("review_score >= 3")):
         delivery.select(*columns).write.mode("append").parquet(f"{folder}/in")
         label_stream(spark, f"{folder}/in", f"{folder}/labels", f"{folder}/point").awaitTermination()

@@ -220,14 +220,16 @@ def label_into(
     next run asks only for the rest. Returns the numbers of calls, of calls that failed, and of labels stored.
     """
     options = _options(text, instructions, max_text, max_summary, parallelism)
-    cut = reviews.select(*REVIEW_KEY, cut_text(F.col(text), max_text).alias(text), F.lit(provider).alias("provider"))
+    dated = label_store.with_month(reviews)
+    cut = dated.select(*REVIEW_KEY, "month", cut_text(F.col(text), max_text).alias(text), F.lit(provider).alias("provider"))
     sent = settle(number_batches(label_store.not_stored(cut, path).drop("provider"), size))
     last = sent.agg(F.max("batch")).first()[0]
     total = {"calls": 0, "failed": 0, "labels": 0}
     for wave in range(0 if last is None else last // per_wave + 1):
         rows = sent.filter(F.col("batch").between(wave * per_wave, (wave + 1) * per_wave - 1))
         both, said = _two_rounds(rows, ask, options)
-        labels = settle(both.withColumn("provider", F.lit(provider)).select(*LABEL_COLUMNS))
+        labels = settle(both.withColumn("provider", F.lit(provider)).join(rows.select(*REVIEW_KEY, "month"), REVIEW_KEY)
+                        .select(*LABEL_COLUMNS, "month"))
         label_store.append_labels(labels, path)
         calls, failed = said.agg(F.count(F.lit(1)), F.count("error")).first()
         total = {"calls": total["calls"] + calls, "failed": total["failed"] + failed, "labels": total["labels"] + labels.count()}

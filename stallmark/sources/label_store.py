@@ -1,4 +1,9 @@
-"""Labels kept between runs: append once per key, read, choose the best source."""
+"""Labels kept between runs: append once per key, read, choose the best source.
+
+Files are split by source and by the month of the review, where it is known (rows may carry ``review_date``; labels
+without one share a part of their own). A batch is checked against the months it has reviews of, so what an append reads
+and writes follows the batch and not the store. A review keeps its date, so its key is always looked for in one month.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +13,24 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from .. import taxonomy as tx
+from ..functions.time import year_month
+from ..operators.durable import settle
 from ..schemas import LABEL_COLUMNS, REVIEW_KEY
 
-# Files are split by source and by a hash of the key, so that looking up keys reads only their buckets.
-BUCKETS = 256
-_BUCKET = "bucket"
+DATE = "review_date"
+_MONTH = "month"
+#: The part of labels without a date.
+_UNDATED = "none"
 
-_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LABEL_COLUMNS]
-                       + [T.StructField(_BUCKET, T.IntegerType())])
+_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LABEL_COLUMNS] + [T.StructField(_MONTH, T.StringType())])
 
 
-def with_bucket(df: DataFrame) -> DataFrame:
-    return df.withColumn(_BUCKET, F.pmod(F.xxhash64(*REVIEW_KEY), F.lit(BUCKETS)).cast("int"))
+def with_month(df: DataFrame) -> DataFrame:
+    """Rows with the month of their review."""
+    if _MONTH in df.columns:
+        return df
+    dated = year_month(F.col(DATE)) if DATE in df.columns else F.lit(None).cast("string")
+    return df.withColumn(_MONTH, F.coalesce(dated, F.lit(_UNDATED)))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -40,46 +51,64 @@ def load_labels(spark: SparkSession, path: str, provider: str | None = None) ->
 
 def first_per_key(labels: DataFrame) -> DataFrame:
     """One label per source and key; combined before the shuffle."""
-    rest = [c for c in LABEL_COLUMNS if c not in (*REVIEW_KEY, "provider")]
-    return (labels.groupBy("provider", *REVIEW_KEY).agg(F.min(F.struct(*rest)).alias("one"))
-            .select(*REVIEW_KEY, "one.*", "provider").select(*LABEL_COLUMNS))
+    dated = with_month(labels)
+    rest = [c for c in (*LABEL_COLUMNS, _MONTH) if c not in (*REVIEW_KEY, "provider")]
+    return (dated.groupBy("provider", *REVIEW_KEY).agg(F.min(F.struct(*rest)).alias("one"))
+            .select(*REVIEW_KEY, "one.*", "provider").select(*LABEL_COLUMNS, _MONTH))
 
 
-def touched_buckets(df: DataFrame) -> list[int]:
-    """The key buckets of some rows: at most ``BUCKETS`` numbers."""
-    return [row[_BUCKET] for row in with_bucket(df.select(*REVIEW_KEY)).select(_BUCKET).distinct().collect()]
+def touched_months(df: DataFrame) -> list[str]:
+    """The months of some rows: twelve a year at most."""
+    return [row[_MONTH] for row in with_month(df).select(_MONTH).distinct().collect()]
 
 
-def not_stored(df: DataFrame, path: str, buckets: list[int] | None = None) -> DataFrame:
+def not_stored(df: DataFrame, path: str, months: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` (with ``provider``) that have no label of that source yet.
 
-    With ``buckets``, the key buckets in question, only their files are read.
+    With ``months``, those of the rows, only their files are read; without, those of the rows are looked up first.
     """
+    dated = with_month(df)
+    months = touched_months(dated) if months is None else months
     stored = _stored(df.sparkSession, path)
-    if buckets is not None:
-        stored = stored.filter(F.col(_BUCKET).isin(*buckets)) if buckets else stored.filter(F.lit(False))
-    key = ["provider", _BUCKET, *REVIEW_KEY]
-    return with_bucket(df).join(stored.select(*key), key, "left_anti").drop(_BUCKET)
+    stored = stored.filter(F.col(_MONTH).isin(*months)) if months else stored.filter(F.lit(False))
+    key = ["provider", _MONTH, *REVIEW_KEY]
+    left = dated.join(stored.select(*key), key, "left_anti")
+    return left if _MONTH in df.columns else left.drop(_MONTH)
 
 
-def append_labels(labels: DataFrame, path: str, buckets: list[int] | None = None) -> None:
+def append_labels(labels: DataFrame, path: str, months: list[str] | None = None) -> None:
     """Append the labels whose source and key are not stored yet."""
-    write_new(not_stored(first_per_key(labels), path, buckets), path)
+    write_new(not_stored(first_per_key(labels), path, months), path)
 
 
 def write_new(labels: DataFrame, path: str) -> None:
-    """Append labels whose keys are known to be new."""
-    _write(with_bucket(labels), path, "append")
+    """Append labels whose keys are known to be new: about one file for each source and month among them."""
+    _write(with_month(labels), path, "append")
 
 
 def replace_labels(labels: DataFrame, path: str) -> None:
     """Write the store anew with one label per source and key."""
-    _write(with_bucket(first_per_key(labels)), path, "overwrite")
+    _write(first_per_key(labels), path, "overwrite")
+
+
+def compact(spark: SparkSession, path: str, files: int = 8) -> list[tuple[str, str]]:
+    """Rewrite the parts (source, month) that have more than ``files`` files, and return them.
+
+    A part is kept in the checkpoint folder before it is replaced. Run it while nothing is appended.
+    """
+    stored = _stored(spark, path)
+    crowded = [(r["provider"], r[_MONTH]) for r in stored.select("provider", _MONTH, F.input_file_name().alias("file")).distinct()
+               .groupBy("provider", _MONTH).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > files).collect()]
+    for provider, month in crowded:
+        kept = settle(stored.filter((F.col("provider") == provider) & (F.col(_MONTH) == month)))
+        (kept.select(*LABEL_COLUMNS, _MONTH).hint("rebalance", "provider", _MONTH).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("provider", _MONTH).parquet(path))
+    return crowded
 
 
 def _write(labels: DataFrame, path: str, mode: str) -> None:
-    (labels.select(*LABEL_COLUMNS, _BUCKET).hint("rebalance", "provider", _BUCKET)
-     .write.mode(mode).partitionBy("provider", _BUCKET).parquet(path))
+    (labels.select(*LABEL_COLUMNS, _MONTH).hint("rebalance", "provider", _MONTH)
+     .write.mode(mode).partitionBy("provider", _MONTH).parquet(path))
 
 
 def best_labels(labels: DataFrame, priority: list[str] = tx.PROVIDER_PRIORITY) -> DataFrame:

@@ -15,19 +15,21 @@ from ..sources import label_store
 PROVIDER = "rules"
 REVIEW_SCHEMA = T.StructType([
     T.StructField("review_id", T.StringType()), T.StructField("order_id", T.StringType()),
-    T.StructField("comment_message", T.StringType())])
+    T.StructField("comment_message", T.StringType()), T.StructField("review_date", T.DateType())])
 
 
 def label_batch(batch: DataFrame, store: str) -> None:
     """Label the reviews of a batch that have no label yet and append them.
 
-    Keys are checked against the store before the text is searched. A batch that is run again after a
-    failure finds its keys stored and adds nothing. The batch is read twice, for its buckets and for its
-    rows, which costs less than keeping it in memory.
+    Keys are checked against the stored labels of the batch's months before the text is searched. A batch that is run
+    again after a failure finds its keys stored and adds nothing. The batch is read twice, for its months and for
+    its rows, which costs less than keeping it in memory.
     """
-    texts = (with_text(batch).groupBy(*REVIEW_KEY).agg(F.min("comment_message").alias("comment_message"))
+    batch = label_store.with_month(batch)
+    texts = (with_text(batch).groupBy(*REVIEW_KEY)
+             .agg(F.min("comment_message").alias("comment_message"), F.min("month").alias("month"))
              .withColumn("provider", F.lit(PROVIDER)))
-    new = label_store.not_stored(texts, store, label_store.touched_buckets(batch))
+    new = label_store.not_stored(texts, store, label_store.touched_months(batch))
     label_store.write_new(label_reviews(new.drop("provider"), provider=PROVIDER), store)
 
 

@@ -112,7 +112,7 @@ def test_label_store_appends_once_per_key(spark, tmp_path):
     label_store.append_labels(first, path)
     label_store.append_labels(first, path)
     more = fx.labels(spark, ("r", "o", "positive", "praise", "low"), ("r", "o2", "neutral", "other", "low"))
-    label_store.append_labels(more, path, label_store.touched_buckets(more))
+    label_store.append_labels(more, path, label_store.touched_months(more))
     got = sorted(fx.rows(label_store.load_labels(spark, path, "rules"), "order_id", "sentiment"))
     assert got == [("o", "negative"), ("o2", "neutral")]
     label_store.replace_labels(more, path + "2")
@@ -127,6 +127,40 @@ def test_best_source(spark):
     assert fx.rows(label_store.best_labels(both, ["rules", "gemini"]), "provider") == [("rules",)]
 
 
+def _dated(spark, *rows):
+    return fx.labels(spark, *[r[:5] for r in rows]).join(
+        spark.createDataFrame([(r[1], r[5]) for r in rows], "order_id string, day string"), "order_id").select(
+        "*", F.to_date("day").alias("review_date")).drop("day")
+
+
+def test_a_batch_reads_and_writes_its_own_months_only(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    january = _dated(spark, *[(f"r{i}", f"o{i}", "negative", "other", "low", "2018-01-05") for i in range(50)])
+    march = _dated(spark, *[(f"r{i}", f"o{i}", "neutral", "other", "low", "2018-03-05") for i in range(50, 90)])
+    label_store.append_labels(january, path)
+    label_store.append_labels(march.unionByName(january.limit(5)), path)
+    label_store.append_labels(march, path)
+    assert label_store.load_labels(spark, path).count() == 90
+    parts = sorted(p.relative_to(path).as_posix() for p in (tmp_path / "labels").glob("*/*") if p.is_dir())
+    assert parts == ["provider=rules/month=2018-01", "provider=rules/month=2018-03"]
+    assert len(list((tmp_path / "labels").glob("*/*/*.parquet"))) <= 3
+    plan = label_store.not_stored(march, path)._jdf.queryExecution().executedPlan().toString()
+    filters = [f.split("]")[0] for f in plan.split("PartitionFilters: [")[1:]]
+    assert any("2018-03" in f and "month" in f for f in filters)
+
+
+def test_crowded_parts_are_compacted(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    for i in range(6):
+        label_store.append_labels(_dated(spark, (f"r{i}", f"o{i}", "negative", "other", "low", "2018-01-05")), path)
+    label_store.append_labels(_dated(spark, ("x", "x", "negative", "other", "low", "2018-02-05")), path)
+    before = sorted(map(tuple, label_store.load_labels(spark, path).collect()))
+    assert label_store.compact(spark, path, files=5) == [("rules", "2018-01")]
+    assert len(list((tmp_path / "labels").glob("*/month=2018-01/*.parquet"))) == 1
+    assert sorted(map(tuple, label_store.load_labels(spark, path).collect())) == before
+    assert label_store.compact(spark, path, files=5) == []
+
+
 def test_incremental_labels(spark, tmp_path):
     source, path, point = (str(tmp_path / n) for n in ("in", "store", "point"))
     reviews = derive_star(spark, SMALL)["fact_reviews"].select("review_id", "order_id", "comment_message")
