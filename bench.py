@@ -8,19 +8,23 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import subprocess
+import sys
 import tempfile
 import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from harness import registry, settings, statements
+from harness import derived, registry, settings, statements
 from stallmark.operators import evaluate, labelling, picking, quality, replies, sqlaudit
 from stallmark.plans import measures as M
 from stallmark.plans import pack
 from stallmark.plans import queries as Q
 from stallmark.schemas import REVIEW_KEY, STAR_TABLES
-from stallmark.sources import derived, label_store, store
+from stallmark.sources import label_store, store
+from stallmark.streaming.incremental import label_batch
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -35,6 +39,22 @@ def session() -> SparkSession:
     return spark
 
 
+def scaling() -> dict[str, float]:
+    """Seconds of rule labelling on 1, 2, 4 and all cores, each in a session of its own."""
+    code = ("import time, bench; bench.CPUS = '{n}'; spark = bench.session(); t = bench.derived.derive_star(spark, bench.SF_DIR, labels=False);"
+            "texts = bench.picking.with_text(t['fact_reviews']).select('review_id', 'order_id', 'comment_message').cache(); texts.count();"
+            "run = lambda: bench.labelling.label_reviews(texts).write.format('noop').mode('overwrite').save();"
+            "run(); s = time.perf_counter(); run(); print('took', time.perf_counter() - s)")
+    out = {}
+    for n in sorted({1, 2, 4, int(CPUS)}):
+        said = subprocess.run([sys.executable, "-c", code.format(n=n)], capture_output=True, text=True, timeout=600,
+                              cwd=os.path.dirname(os.path.abspath(__file__)))
+        took = re.search(r"took ([0-9.]+)", said.stdout)
+        if took:
+            out[str(n)] = round(float(took[1]), 3)
+    return out
+
+
 def main() -> None:
     spark, times = session(), {}
     spark.range(10_000_000).selectExpr("sum(id * 3)").collect()
@@ -103,17 +123,28 @@ def main() -> None:
             "event_id", sqlaudit.extract_sql(F.col("reply")).alias("stmt"))),
         "e2e_q03_from_input": lambda: registry.queries()["q03_late_delivery_vs_rating"](spark, SF_DIR),
     }
+    dated = texts.withColumn("month", F.substring(F.col("review_date").cast("string"), 1, 7))
+    months_of = sorted(r[0] for r in dated.select("month").distinct().collect())[:20]
+    for i, month in enumerate(months_of, 1):
+        one = dated.filter(F.col("month") == month).drop("month")
+        if i in (1, 20):
+            timed(f"st1_label_batch_{i}", lambda: label_batch(one, f"{work}/stream"))
+        else:
+            label_batch(one, f"{work}/stream")
+    timed("r13_label_with", lambda: replies.label_with(
+        texts.limit(20_000), registry.stand_in_labeller, "outside").write.format("noop").mode("overwrite").save())
     for name, plan in runs.items():
         timed(name, lambda: plan().write.format("noop").mode("overwrite").save())
 
+    spark.stop()
     print(json.dumps({
         "metric": "total seconds of star build, labelling and queries", "value": round(sum(times.values()), 3),
         "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")), "cpus": int(CPUS),
         "rows": {**counts, "labelled_reviews": amount[0], "labelled_characters": amount[1]},
         "labelled_reviews_per_sec": round(amount[0] / times["r06_label_reviews"]),
         "labelled_chars_per_sec": round(amount[1] / times["r06_label_reviews"]),
+        "labelling_sec_by_cores": scaling(),
     }))
-    spark.stop()
 
 
 if __name__ == "__main__":

@@ -10,12 +10,11 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from ..operators import star
-from ..operators.labelling import label_reviews
-from ..schemas import LABEL_COLUMNS, MONEY
-from ..taxonomy import SENTIMENTS, TOPICS
+from stallmark.operators import star
+from stallmark.operators.labelling import label_reviews
+from stallmark.schemas import LABEL_COLUMNS, MONEY
+from stallmark.taxonomy import SENTIMENTS, TOPICS
 
 # Review texts, one is chosen per review by its key.
 PHRASES = [
@@ -85,15 +84,8 @@ def _timed_orders(orders: DataFrame) -> DataFrame:
         F.timestamp_add("DAY", (18 + u % 9).cast("int"), day).alias("estimated"))
 
 
-_schemas: dict[str, StructType] = {}
-
-
 def read_input(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """An input file; its schema is read from the file once per process."""
-    file = f"{path}/{name}.parquet"
-    if file not in _schemas:
-        _schemas[file] = spark.read.parquet(file).schema
-    return spark.read.schema(_schemas[file]).parquet(file)
+    return spark.read.parquet(f"{path}/{name}.parquet")
 
 
 def derive_raw(spark: SparkSession, path: str) -> dict[str, DataFrame]:

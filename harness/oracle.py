@@ -6,10 +6,11 @@ is put after it.
 
 from __future__ import annotations
 
-from stallmark.sources.derived import PHRASES
 from stallmark import taxonomy as tx
 from stallmark.functions.text import WHITESPACE
 
+from .derived import PHRASES
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -22,10 +22,10 @@ from stallmark.plans import pack
 from stallmark.plans import queries as Q
 from stallmark.plans.catalog import run_catalog
 from stallmark.schemas import GOLD_COLUMNS, LABEL_COLUMNS, RAW_FILES, REVIEW_KEY, STAR_TABLES
-from stallmark.sources import derived, label_store, raw, store
+from stallmark.sources import label_store, raw, store
 from stallmark.streaming.incremental import label_stream
 
-from . import statements
+from . import derived, statements
 from .settings import (
     CATEGORY_ORDERS, FIRST, LAST, MONTH, PACK_CATEGORY_ORDERS, SAMPLE_ROWS, SEED, SELLER_ORDERS, STATE_ORDERS,
     TOPIC_REVIEWS, YEAR)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallmark.sources.derived import read_input
+from .derived import read_input
 
 TEMPLATES = [
     "SELECT state FROM dim_customer WHERE city = '{type}'",

@@ -58,10 +58,18 @@ def with_month(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("purchase_date").isNotNull())
 
 
-def review_totals(tables: Tables) -> DataFrame:
+def of_months(table: DataFrame, months: tuple[str, str] | None) -> DataFrame:
+    """Items or reviews of orders bought from the first to the last month given; a stored table reads only those files.
+    Tables that do not carry the month stay as they are, to be joined with the orders chosen."""
+    if months is None or "purchase_month" not in table.columns:
+        return table
+    return table.filter(F.col("purchase_month").between(*months))
+
+
+def review_totals(tables: Tables, months: tuple[str, str] | None = None) -> DataFrame:
     """One row per order with reviews: how many, how many with a score, and the score sums."""
     score = F.col("review_score")
-    return tables["fact_reviews"].groupBy("order_id").agg(
+    return of_months(tables["fact_reviews"], months).groupBy("order_id").agg(
         F.count(F.lit(1)).alias("reviews"),
         F.count(score).alias("scored"),
         F.coalesce(F.sum(score), F.lit(0).cast("bigint")).alias("points"),

@@ -41,8 +41,8 @@ def _only(filters: Filters, names: Sequence[str]) -> Filters:
     return {k: v for k, v in filters.items() if k in names}
 
 
-def _months_between(filters: Filters, before: int = 0, from_january: bool = False) -> Column | None:
-    """A range of ``year_month`` that holds all months the date filters allow, and as many before as are needed.
+def _months_between(filters: Filters, before: int = 0, from_january: bool = False) -> tuple[str, str] | None:
+    """The first and last month of a range that holds all months the date filters allow, and as many before as are needed.
 
     Stored orders are partitioned by the month, which this range reaches; a function of the date would not.
     """
@@ -58,7 +58,11 @@ def _months_between(filters: Filters, before: int = 0, from_january: bool = Fals
     low, high = max(a for a, _ in spans), min(b for _, b in spans)
     low = min(low - before, low // 12 * 12) if from_january else low - before
     label = lambda n: f"{n // 12:04d}-{n % 12 + 1:02d}"
-    return F.col("year_month").between(label(low), label(high))
+    return label(low), label(high)
+
+
+def _in_range(orders: DataFrame, months: tuple[str, str] | None) -> DataFrame:
+    return orders if months is None else orders.filter(F.col("year_month").between(*months))
 
 
 def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None = None) -> DataFrame:
@@ -78,14 +82,14 @@ def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None
         "year_month": month, "year": F.year("purchase_date"), "quarter": F.quarter("purchase_date"),
         "lateness_bucket": fr.lateness_bucket(F.col("days_late"), fr.NOT_DELIVERED)})
     months = _months_between(filters)
-    orders = _keep(orders if months is None else orders.filter(months), _only(filters, ORDER_ATTRIBUTES))
+    orders = _keep(_in_range(orders, months), _only(filters, ORDER_ATTRIBUTES))
     people = tables["dim_customer"].select("customer_id", "customer_unique_id", *CUSTOMER_ATTRIBUTES)
     orders = orders.join(people, "customer_id", "left")
     orders = _keep(orders, _only(filters, CUSTOMER_ATTRIBUTES))
     if set(used) & set(ITEM_ATTRIBUTES):
-        orders = orders.join(_bridge(tables, by, filters), "order_id")
+        orders = orders.join(_bridge(tables, by, filters, months), "order_id")
 
-    orders = orders.join(fr.review_totals(tables), "order_id", "left")
+    orders = orders.join(fr.review_totals(tables, months), "order_id", "left")
     labels = tables["review_ai_labels"].groupBy("order_id").agg(
         F.count(F.lit(1)).alias("labelled"),
         F.count_if(F.col("sentiment") == "negative").alias("negative"),
@@ -93,9 +97,9 @@ def order_parts(tables: Tables, by: Sequence[str] = (), filters: Filters | None
     return orders.join(labels, "order_id", "left")
 
 
-def _bridge(tables: Tables, by: Sequence[str], filters: Filters) -> DataFrame:
+def _bridge(tables: Tables, by: Sequence[str], filters: Filters, months: tuple[str, str] | None = None) -> DataFrame:
     """Orders with an item that passes the filters, once per combination of the grouped attributes of its items."""
-    items = tables["fact_order_items"].select("order_id", "product_id", "seller_id")
+    items = fr.of_months(tables["fact_order_items"], months).select("order_id", "product_id", "seller_id")
     if "category" in {*by, *filters}:
         items = items.join(tables["dim_product"].select("product_id", "category"), "product_id")
     items = _keep(items, _only(filters, ITEM_ATTRIBUTES))
@@ -123,7 +127,7 @@ def _with_item_totals(tables: Tables, by: list[str], filters: Filters, totals: s
     sets = _grouping_sets(by, totals)
     of_items, of_orders = ([c for c in by if (c in ITEM_ATTRIBUTES) == wanted] for wanted in (True, False))
     choices = list(dict.fromkeys(tuple(c for c in kept if c in of_items) for kept in sets))
-    bridge = _bridge(tables, of_items, filters)
+    bridge = _bridge(tables, of_items, filters, _months_between(filters))
     pick = lambda names, kept: [F.when(F.lit(c in kept), F.col(c)).alias(c) for c in names]
     chosen = F.array(*(F.struct(*pick(of_items, kept), F.lit(i).alias("_choice")) for i, kept in enumerate(choices)))
     reduced = bridge.select("order_id", F.inline(chosen)).distinct()
@@ -203,16 +207,16 @@ def measures(tables: Tables, by: Sequence[str] = (), filters: Filters | None = N
         "high_urgency_reviews")
 
 
-def _daily(tables: Tables, by: list[str], filters: Filters, months: Column | None) -> DataFrame:
+def _daily(tables: Tables, by: list[str], filters: Filters, months: tuple[str, str] | None) -> DataFrame:
     """Revenue per group and day with delivered orders. Item attributes count an order once per kept value."""
     orders = fr.with_month(fr.delivered_orders(tables))
-    orders = orders if months is None else orders.filter(months)
+    orders = _in_range(orders, months)
     if {*by, *filters} & set(CUSTOMER_ATTRIBUTES):
         people = tables["dim_customer"].select("customer_id", *CUSTOMER_ATTRIBUTES)
         orders = orders.join(people, "customer_id", "left")
     orders = _keep(orders, {k: v for k, v in filters.items() if k not in ITEM_ATTRIBUTES})
     if {*by, *filters} & set(ITEM_ATTRIBUTES):
-        orders = orders.join(_bridge(tables, by, filters), "order_id")
+        orders = orders.join(_bridge(tables, by, filters, months), "order_id")
     return orders.groupBy(*by, "purchase_date", "year_month").agg(F.sum("order_value").alias("value"))
 
 
@@ -235,7 +239,7 @@ def revenue_over_time(tables: Tables, by: Sequence[str] = (), filters: Filters |
     monthly = _daily(tables, by, chosen, needed).groupBy(*by, "year_month").agg(
         F.sum("value").alias("value"), F.count("value").alias("days"))
     calendar = tables["dim_date"].select("year_month").distinct()
-    axis = calendar if needed is None else calendar.filter(needed)
+    axis = _in_range(calendar, needed)
     if by:
         # The months of the calendar are few, twelve a year; each group of the result gets them all.
         months = sorted(row["year_month"] for row in axis.collect())
@@ -279,7 +283,7 @@ def _labelled_rows(tables: Tables, used: set[str], filters: Filters) -> DataFram
             "year": F.year("purchase_date"), "quarter": F.quarter("purchase_date"),
             "lateness_bucket": fr.lateness_bucket(F.col("days_late"), fr.NOT_DELIVERED)})
         months = _months_between(filters)
-        orders = _keep(orders if months is None else orders.filter(months), _only(filters, ORDER_ATTRIBUTES))
+        orders = _keep(_in_range(orders, months), _only(filters, ORDER_ATTRIBUTES))
         if used & set(CUSTOMER_ATTRIBUTES):
             people = tables["dim_customer"].select("customer_id", *CUSTOMER_ATTRIBUTES)
             orders = _keep(orders.join(people, "customer_id", "left"), _only(filters, CUSTOMER_ATTRIBUTES))

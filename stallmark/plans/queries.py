@@ -240,9 +240,9 @@ def complaint_topics(tables: Tables) -> DataFrame:
             .orderBy(F.desc("negative_reviews"), "topic"))
 
 
-def _category_revenue(tables: Tables, orders: DataFrame) -> DataFrame:
+def _category_revenue(tables: Tables, orders: DataFrame, months: tuple[str, str] | None = None) -> DataFrame:
     """Revenue per category without reviews: summed per product first, then per category."""
-    by_product = (tables["fact_order_items"].join(orders.select("order_id"), "order_id")
+    by_product = (fr.of_months(tables["fact_order_items"], months).join(orders.select("order_id"), "order_id")
                   .groupBy("product_id").agg(F.sum("price").alias("value")))
     return (by_product.join(tables["dim_product"].select("product_id", "category"), "product_id")
             .groupBy("category").agg(F.sum("value").alias("value")))
@@ -260,11 +260,15 @@ def monthly_orders(tables: Tables, year: int = 2018) -> DataFrame:
             .orderBy("year_month"))
 
 
+def _months_of(year: int) -> tuple[str, str]:
+    return f"{year:04d}-01", f"{year:04d}-12"
+
+
 def _in_year(orders: DataFrame, year: int) -> DataFrame:
     """A range on the date and on the month that stored orders are partitioned by, which reach the file scan; a function
     of the date would not."""
     day = F.col("purchase_date")
-    orders = fr.with_month(orders).filter(F.col("year_month").between(f"{year:04d}-01", f"{year:04d}-12"))
+    orders = fr.with_month(orders).filter(F.col("year_month").between(*_months_of(year)))
     return orders.filter((day >= F.lit(date(year, 1, 1))) & (day < F.lit(date(year + 1, 1, 1))))
 
 
@@ -363,7 +367,7 @@ def score_by_payment_type(tables: Tables) -> DataFrame:
 
 
 def top_categories_in_year(tables: Tables, year: int = 2018, top: int | None = 5) -> DataFrame:
-    return (_category_revenue(tables, _in_year(fr.delivered_orders(tables), year))
+    return (_category_revenue(tables, _in_year(fr.delivered_orders(tables), year), _months_of(year))
             .select("category", round_money(F.col("value")).alias("revenue"))
             .orderBy(F.desc("revenue"), "category").transform(fr.first_rows, top))
 

@@ -10,23 +10,32 @@ from pyspark.sql import functions as F
 from ..functions.time import year_month
 from ..operators.quality import table_counts
 
+PURCHASE_MONTH = "purchase_month"
+BY_ORDER = ("fact_order_items", "fact_reviews")
 EXPORT_TEXT = 300  # fixed value: review text in the export is cut to this length
 
 
 def write_star(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Write every table anew and return (name, rows).
 
-    Orders are partitioned by month. The rebalance hint gives each month files of the advised size: small
+    Orders are partitioned by month, items and reviews by the month their order was bought in (``purchase_month``), so
+    that a period of orders is a period of all three. The rebalance hint gives each month files of the advised size: small
     months share a task, a month with a large part of the rows is spread over many. The tables are written
     side by side, so that the last tasks of one do not leave the executors idle.
     """
     def write(name: str) -> None:
         df = tables[name]
-        if name != "fact_orders":
+        if name == "fact_orders":
+            month, df = "year_month", df.withColumn("year_month", year_month(F.col("purchase_date")))
+        elif name in BY_ORDER and "fact_orders" in tables:
+            month, df = PURCHASE_MONTH, df.drop(PURCHASE_MONTH).join(tables["fact_orders"].select(
+                "order_id", year_month(F.col("purchase_date")).alias(PURCHASE_MONTH)), "order_id", "left").select(
+                *(c for c in df.columns if c != PURCHASE_MONTH), PURCHASE_MONTH)
+        else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
             return
-        (df.withColumn("year_month", year_month(F.col("purchase_date"))).hint("rebalance", "year_month")
-         .write.mode("overwrite").partitionBy("year_month").parquet(f"{path}/{name}"))
+        (df.hint("rebalance", month)
+         .write.mode("overwrite").partitionBy(month).parquet(f"{path}/{name}"))
 
     with ThreadPoolExecutor(len(tables)) as pool:
         list(pool.map(write, tables))
@@ -37,15 +46,17 @@ def write_star(tables: dict[str, DataFrame], path: str) -> DataFrame:
 def read_star(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
     """Stored tables. Month labels stay text."""
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in names}
-    if "fact_orders" in tables:
-        tables["fact_orders"] = tables["fact_orders"].withColumn("year_month", F.col("year_month").cast("string"))
+    for name, df in tables.items():
+        for month in {"year_month", PURCHASE_MONTH} & set(df.columns) if name.startswith("fact_") else ():
+            df = df.withColumn(month, F.col(month).cast("string"))
+        tables[name] = df
     return tables
 
 
 def export_columns(tables: dict[str, DataFrame], max_text: int | None = EXPORT_TEXT) -> dict[str, DataFrame]:
     """What the export holds: all tables, review text cut to ``max_text`` characters (whole with None), no titles."""
     message = F.col("comment_message") if max_text is None else F.substring("comment_message", 1, max_text)
-    out = dict(tables)
+    out = {name: df.drop(PURCHASE_MONTH) for name, df in tables.items()}
     if "fact_orders" in out:
         out["fact_orders"] = out["fact_orders"].drop("year_month")
     if "fact_reviews" in out:

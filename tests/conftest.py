@@ -29,7 +29,8 @@ SMALL = "/root/testdata/sf0.001"
 def stored_star(spark, tmp_path_factory):
     """The star of the smallest data, written once."""
     from stallmark.schemas import STAR_TABLES
-    from stallmark.sources import derived, store
+    from harness import derived
+    from stallmark.sources import store
     path = str(tmp_path_factory.mktemp("stored"))
     store.write_star(derived.derive_star(spark, SMALL), path)
     return store.read_star(spark, path, STAR_TABLES)
@@ -38,7 +39,7 @@ def stored_star(spark, tmp_path_factory):
 @pytest.fixture
 def from_store(monkeypatch, spark, stored_star):
     """Registered queries read the stored star instead of deriving it again."""
-    from stallmark.sources import derived
+    from harness import derived
 
     def stored(spark, path, labels=True):
         assert path == SMALL

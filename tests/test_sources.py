@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from stallmark.operators.picking import with_text
 from stallmark.operators.star import build_star
+from stallmark.plans import measures as M
+from stallmark.plans import queries as Q
 from stallmark.plans.catalog import CATALOG, run_catalog
 from stallmark.schemas import RAW_SCHEMAS, STAR_TABLES
 from stallmark.sources import label_store, raw, store
-from stallmark.sources.derived import derive_star
+from harness.derived import derive_star
 from stallmark.streaming.incremental import label_stream
 from tests import fixtures as fx
 
@@ -127,6 +129,37 @@ def test_best_source(spark):
     assert fx.rows(label_store.best_labels(both, ["rules", "gemini"]), "provider") == [("rules",)]
 
 
+def _month_filters(df) -> dict[str, str]:
+    """Partition filters of the scans of the facts, by folder."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    out = {}
+    for scan in plan.split("FileScan parquet ")[1:]:
+        for name in ("fact_orders", "fact_order_items", "fact_reviews"):
+            if f"/{name}]" in scan.split("PartitionFilters")[0] or f"/{name}," in scan.split("PartitionFilters")[0]:
+                out[name] = scan.split("PartitionFilters: [")[1].split("]")[0]
+    return out
+
+
+@pytest.mark.parametrize("plan, facts", [
+    (lambda t: Q.monthly_orders(t, 1998), ["fact_orders"]),
+    (lambda t: Q.top_categories_in_year(t, 1998), ["fact_orders", "fact_order_items"]),
+    (lambda t: M.measures(t, ["category"], {"year": 1998}), ["fact_orders", "fact_order_items", "fact_reviews"]),
+    (lambda t: M.measures(t, ["year"], {"year_month": ["1998-03", "1998-05"]}), ["fact_orders", "fact_reviews"]),
+    (lambda t: M.measures(t, ["category", "is_late"], {"year": [1998]}, "cube"), ["fact_orders", "fact_order_items", "fact_reviews"]),
+    (lambda t: M.revenue_over_time(t, ["category"], {"year": 1998}), ["fact_orders", "fact_order_items"]),
+    (lambda t: M.label_measures(t, ["topic"], {"year": 1998}), ["fact_orders"]),
+])
+def test_periods_reach_the_scans(stored_star, plan, facts):
+    found = _month_filters(plan(stored_star))
+    for name in facts:
+        assert "month" in found.get(name, "") and ("1998" in found[name] or "1997" in found[name]), (name, found)
+
+
+def test_the_cube_reads_each_table_once(stored_star):
+    plan = M.measures(stored_star, ["category", "lateness_bucket"], totals="cube")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 6
+
+
 def _dated(spark, *rows):
     return fx.labels(spark, *[r[:5] for r in rows]).join(
         spark.createDataFrame([(r[1], r[5]) for r in rows], "order_id string, day string"), "order_id").select(
