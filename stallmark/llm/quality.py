@@ -74,11 +74,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
              .filter("mean <> 0.5 and id is not null").filter(fold(F.col("id")) != 1)
              .select("id", (F.col("mean") > 0.5).cast("int").alias("y"))
              .orderBy(F.xxhash64("id"), "id").limit(sample))
-    # At most ``sample`` ids, so the broadcast is bounded.
+    # At most ``sample`` ids, so the broadcast is bounded. Texts are measured where they are; figures are gathered.
     rows = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(voted), "id")
-            .orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample))
+            .select("y", F.xxhash64("id").alias("a"), F.xxhash64("text").alias("b"), "text"))
     matrix = _measured(rows, "text", "x", T.ArrayType(T.DoubleType()), lambda x: pa.array(list(x), pa.list_(pa.float64())))
-    learnt = matrix.select("y", "x").toArrow()
+    learnt = matrix.orderBy("a", "b").limit(sample).select("y", "x").toArrow()
     x = np.array(learnt["x"].to_pylist(), float).reshape(-1, WIDTH)
     return fit(x, learnt["y"].to_numpy().astype(float))
 
@@ -107,7 +107,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
               label: str = "quality", sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, with a score of 0.5 or more."""
     trees = train(docs, labels, doc_id, text, label, sample)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.expr("struct(*)").alias("row"))
     schema = rows.schema
     place = docs.columns.index(text)
 
