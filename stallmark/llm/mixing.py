@@ -103,7 +103,7 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sized = docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size"),
                         step_of(F.col(doc_id), F.col(text), seed).alias("step"))
     plan = plan_sources(sized, weights, share, most)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("source"),
+    whole = docs.select(F.expr("struct(*)").alias("_row"), F.col(source).alias("source"),
                         step_of(F.col(doc_id), F.col(text), seed).alias("step"))
     copies = _with_plan(whole, plan).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), _taken() + 1)).alias("_copy"))
     return copies.filter("_copy > 1").select("_row.*")

@@ -53,6 +53,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     chosen = chosen.select(F.inline(F.array("first"))).select(
         F.coalesce("id", F.lit(0)).alias("_id"), "last", "hash").distinct()
     rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("_id"), F.col(doc_id).isNull().alias("last"),
-                       F.xxhash64(text).alias("hash"), F.struct(*docs.columns).alias("row"))
+                       F.xxhash64(text).alias("hash"), F.expr("struct(*)").alias("row"))
     kept = rows.join(chosen, ["_id", "last", "hash"]).dropDuplicates(["_id", "last", "hash"])
     return kept.select("row.*")
