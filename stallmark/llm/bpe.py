@@ -19,22 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vocabulary import Cutter, Vocabulary, map_texts, merge, once, share
+from .vocabulary import LOW, Cutter, Vocabulary, map_texts, merge, once, share
 
-REMEMBERED = 300_000
-PAIRS = 500_000
+#: Entries of one generation of remembered pre-tokens and of remembered pairs.
+REMEMBERED = 120_000
+PAIRS = 200_000
 
 
-class _Pieces(dict):
-    """Pre-token to its ids."""
+class Recent(dict):
+    """Values computed when first asked for. Of those, two generations of at most ``most`` entries stay: what is asked for
+    again moves on to the younger one, so frequent keys are never lost."""
 
-    def __init__(self, encode):
+    def __init__(self, compute, most: int):
         super().__init__()
-        self.encode = encode
+        self.compute, self.most, self.before = compute, most, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self[piece] = self.encode(piece.encode())
-        return ids
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Codec:
@@ -42,35 +50,27 @@ class Codec:
         self.tokens, self.merges, self.special = vocabulary.tokens, vocabulary.merges, vocabulary.special
         self.whole = vocabulary.whole
         self.bytes = {i: t for t, i in vocabulary.tokens.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.cutter, self.pieces = Cutter(vocabulary), _Pieces(self.encode_piece)
-        self.compatible: dict[int, bool] = {}
+        self.cutter = Cutter(vocabulary)
+        self.pieces = Recent(lambda piece: self.encode_piece(piece.encode()), REMEMBERED)
+        self.compatible = Recent(self.fits, PAIRS)
         self.automaton = ahocorasick.Automaton()
         for token, i in vocabulary.tokens.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
 
-    def fits(self, left: int, right: int) -> bool:
-        found = merge(self.bytes[left] + self.bytes[right], self.tokens, self.merges) == [left, right]
-        if len(self.compatible) >= PAIRS:
-            self.compatible.clear()
-        self.compatible[left << 32 | right] = found
-        return found
+    def fits(self, pair: int) -> bool:
+        left, right = pair >> 32, pair & LOW
+        return merge(self.bytes[left] + self.bytes[right], self.tokens, self.merges) == [left, right]
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        n, known = len(piece), self.compatible.get
+        n, compatible = len(piece), self.compatible
         last, size = [-1] * (n + 1), [0] * (n + 1)
         for at, (token, length) in self.automaton.iter(piece.decode("latin-1")):
             end = at + 1
             if size[end]:
                 continue
             start = end - length
-            if start:
-                fits = known(last[start] << 32 | token)
-                if fits is None:
-                    fits = self.fits(last[start], token)
-            else:
-                fits = token in self.whole
-            if fits:
+            if compatible[last[start] << 32 | token] if start else token in self.whole:
                 last[end], size[end] = token, length
         ids, at = [], n
         while at:
@@ -84,8 +84,6 @@ class Codec:
             ids.extend(chain.from_iterable(map(self.pieces.__getitem__, self.cutter.pieces(plain))))
             if special is not None:
                 ids.append(self.special[special])
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
         return ids
 
     def decode(self, ids: list[int]) -> str:
