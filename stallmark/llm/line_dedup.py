@@ -60,8 +60,9 @@ def later_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def _cleaned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``docs`` with _lines (as they are) and _kept (what stays); each is computed once for a row."""
-    places = later_places(docs, doc_id, text).select(
-        F.col("place").alias("_place"), F.col("hash").alias("_hash"), F.col("later").alias("_later"))
+    # Stored, so that the join has two plain exchanges and rows that repeat very often are split.
+    places = settle(later_places(docs, doc_id, text).select(
+        F.col("place").alias("_place"), F.col("hash").alias("_hash"), F.col("later").alias("_later")))
     rows = docs.join(places, (F.coalesce(docs[doc_id], F.lit(LAST)) == F.col("_place"))
                      & (F.xxhash64(docs[text]) == F.col("_hash")), "left")
     rows = compute_once(rows, F.split(docs[text], "\n").alias("_lines"))
@@ -87,7 +88,7 @@ def clean_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """All columns of ``docs`` with the shortened text, and its length in ``n_chars`` if it changed."""
     rest = [c for c in docs.columns if c != text]
     rows = _cleaned(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                                F.struct(*(docs[c] for c in rest)).alias("row")), "doc_id", "text")
+                                F.struct(*(docs[f"`{c}`"] for c in rest)).alias("row")), "doc_id", "text")
     after = F.array_join("_kept", "\n")
     out = {c: F.col("row")[c] for c in rest} | {text: after}
     if n_chars:
