@@ -189,7 +189,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     shaped = lambda s, k: F.struct(s["start"].alias("start"), F.lit((*KINDS, FOUND).index(k)).alias("order"),
                                    s["end"].alias("end"), F.lit(k).alias("kind"))
-    added = (found.filter(F.size(FOUND) > 0).select("place", "hash", F.inline(FOUND)).join(good, "before", "left_semi")
+    # Stored, so that the join has two plain exchanges and rows that repeat very often are split.
+    added = settle(found.filter(F.size(FOUND) > 0).select("place", "hash", F.inline(FOUND)).join(good, "before", "left_semi")
              .groupBy("place", "hash").agg(F.collect_set(shaped({c: F.col(c) for c in ("start", "end")}, FOUND)).alias("added")))
     every = lambda kind: F.transform(kind, lambda s: shaped(s, kind))
     base = F.concat(*map(every, KINDS))
