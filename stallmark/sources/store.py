@@ -23,23 +23,31 @@ def write_star(tables: dict[str, DataFrame], path: str) -> DataFrame:
     months share a task, a month with a large part of the rows is spread over many. The tables are written
     side by side, so that the last tasks of one do not leave the executors idle.
     """
+    spark = next(iter(tables.values())).sparkSession
+
+    def by_month(df: DataFrame, month: str, name: str) -> None:
+        df.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(f"{path}/{name}")
+
     def write(name: str) -> None:
-        df = tables[name]
         if name == "fact_orders":
-            month, df = "year_month", df.withColumn("year_month", year_month(F.col("purchase_date")))
-        elif name in BY_ORDER and "fact_orders" in tables:
-            month, df = PURCHASE_MONTH, df.drop(PURCHASE_MONTH).join(tables["fact_orders"].select(
-                "order_id", year_month(F.col("purchase_date")).alias(PURCHASE_MONTH)), "order_id", "left").select(
-                *(c for c in df.columns if c != PURCHASE_MONTH), PURCHASE_MONTH)
+            by_month(tables[name].withColumn("year_month", year_month(F.col("purchase_date"))), "year_month", name)
         else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
-            return
-        (df.hint("rebalance", month)
-         .write.mode("overwrite").partitionBy(month).parquet(f"{path}/{name}"))
+            tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
 
+    def write_with_orders(name: str) -> None:
+        """After the orders: their month is read back, not computed again."""
+        months = spark.read.parquet(f"{path}/fact_orders").select(
+            "order_id", F.col("year_month").cast("string").alias(PURCHASE_MONTH))
+        rows = tables[name].drop(PURCHASE_MONTH)
+        by_month(rows.join(months, "order_id", "left").select(*rows.columns, PURCHASE_MONTH), PURCHASE_MONTH, name)
+
+    after = [name for name in BY_ORDER if name in tables and "fact_orders" in tables]
     with ThreadPoolExecutor(len(tables)) as pool:
-        list(pool.map(write, tables))
-    spark = next(iter(tables.values())).sparkSession
+        first = {name: pool.submit(write, name) for name in tables if name not in after}
+        if after:
+            first["fact_orders"].result()
+        for job in [*first.values(), *[pool.submit(write_with_orders, name) for name in after]]:
+            job.result()
     return table_counts(read_star(spark, path, list(tables)))
 
 
