@@ -78,6 +78,8 @@ def not_stored(df: DataFrame, path: str, months: list[str] | None = None) -> Dat
 
 def append_labels(labels: DataFrame, path: str, months: list[str] | None = None) -> None:
     """Append the labels whose source and key are not stored yet."""
+    if months is None and not {DATE, _MONTH} & set(labels.columns):
+        months = [_UNDATED]
     write_new(not_stored(first_per_key(labels), path, months), path)
 
 
