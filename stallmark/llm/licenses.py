@@ -2,7 +2,8 @@
 
 A text is looked at as a whole, by paragraph (blank lines between) and by line. Each such unit is brought to
 lower-case words; its set of bigrams is compared with those templates only whose size allows the threshold:
-2 min / (a + b) bounds the coefficient. Before that, a text must contain one of a few words: for each template enough words are
+2 min / (a + b) bounds the coefficient. With ``inside``, lines that belong to no hit are also searched for notices within
+longer texts and across lines: windows as long as a template, from each place where one of its bigrams stands. Before that, a text must contain one of a few words: for each template enough words are
 chosen that a unit without all of them has lost too many bigrams to reach the threshold. Both bounds are exact.
 Everything runs in DataFrame operations, row by row, without a shuffle.
 """
@@ -102,19 +103,50 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SIGNS, " "))
 
 
+def _with_windows(rows: DataFrame, known: Column, low: float, threshold: float) -> DataFrame:
+    """``_h`` with one more unit for each different window of the lines outside the units ``_hit``."""
+    # A sign that is no word stands for the lines left out, so that nothing matches across them.
+    lines = F.transform(F.split("_l", "\n"), _normal)
+    covered = lambda line: F.exists("_hit", lambda u: F.contains(F.concat(F.lit(" "), u, F.lit(" ")), F.concat(F.lit(" "), line, F.lit(" "))))
+    rest = F.filter(F.transform(lines, lambda x: F.when((x != "") & covered(x), F.lit("|")).otherwise(x)), lambda x: x != "")
+    rows = compute_once(rows, F.split(F.array_join(rest, " "), " ").alias("_r")).drop("_l", "_hit")
+    n = F.size("_r") - 1
+    rows = compute_once(rows, F.when(n > 0, F.zip_with(F.slice("_r", F.lit(1), n), F.slice("_r", F.lit(2), n), lambda a, b: F.concat_ws(
+        " ", a, b))).alias("_g")).drop("_r")
+    rows = compute_once(rows, F.filter(known, lambda k: F.size(F.array_intersect("_g", k["b"])) >= k["n"] * low - 1e-9).alias("_k"))
+
+    def window(k: Column, p: Column) -> Column:
+        unit = F.array_distinct(F.slice("_g", p + 1, k["w"]))
+        dice = F.size(F.array_intersect(unit, k["b"])) * F.lit(-2.0) / (k["n"] + F.size(unit))
+        return F.struct(dice.alias("minus"), k["name"].alias("name"), p.alias("p"), k["w"].alias("n"))
+
+    places = lambda k: F.filter(F.sequence(F.lit(0), F.size("_g") - 1), lambda i: F.array_contains(k["b"], F.get("_g", i)))
+    near = F.transform("_k", lambda k: F.filter(F.transform(places(k), lambda p: window(k, p)), lambda w: w["minus"] <= -threshold))
+    rows = compute_once(rows, F.flatten(near).alias("_w")).drop("_k")
+    order = lambda w: F.struct(-w["n"], w["minus"], w["p"], w["name"])
+    overlap = lambda v, w: (v["p"] < w["p"] + w["n"]) & (w["p"] < v["p"] + v["n"])
+    best = F.filter("_w", lambda w: ~F.exists("_w", lambda v: overlap(v, w) & (order(v) < order(w))))
+    one = lambda w: F.struct(w["minus"].alias("minus"), w["name"].alias("name"), F.array_join(
+        F.slice("_g", w["p"] + 1, w["n"]), ",").alias("unit"))
+    rows = compute_once(rows, F.array_distinct(F.transform(best, one)).alias("_v")).drop("_w", "_g")
+    more = F.transform("_v", lambda w: F.array(F.struct(w["minus"].alias("minus"), w["name"].alias("name"))))
+    return rows.withColumn("_h", F.when(F.col("_v").isNull(), F.col("_h")).otherwise(F.concat("_h", more))).drop("_v")
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id",
-         text: str = "text") -> DataFrame:
+         text: str = "text", inside: bool = False) -> DataFrame:
     """doc_id, license, dice, units and licenses of each row.
 
     ``license`` is the template with the highest coefficient of any unit (ties: the first by name), ``dice`` that
     coefficient, ``licenses`` all templates that a unit reaches the threshold with, by name, and ``units`` the
-    number of different units that do. Without any, license is null, dice 0 and the others empty. Null, empty and very short
+    number of different units that do. With ``inside``, windows of words outside of those units count as units; of
+    windows that overlap, the longest template stays, then the highest coefficient, then the first. Without any, license is null, dice 0 and the others empty. Null, empty and very short
     texts have none. Repeated rows stay repeated, other columns are not read, an empty table gives an empty result.
     """
     templates = TEMPLATES if templates is None else templates
     listed = sorted((name, bigrams_of(t)) for name, t in templates.items())
-    known = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.split(F.lit("|".join(b)), r"\|").alias("b"))
-                      for name, b in listed))
+    known = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.split(F.lit("|".join(b)), r"\|").alias("b"),
+                               F.lit(len(words_of(templates[name])) - 1).alias("w")) for name, b in listed))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     fewest = math.ceil(low * min(len(b) for _, b in listed) - 1e-9)
     needed = r"(?<![\p{L}\p{N}])(?:" + "|".join(needed_words(templates, threshold)) + r")(?![\p{L}\p{N}])"
@@ -134,10 +166,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     rows = compute_once(rows, F.when(F.lower("_t").rlike(needed), F.col("_t")).alias("_l")).drop("_t")
     rows = compute_once(rows, F.when(F.col("_l").isNotNull(), F.array_distinct(F.transform(F.concat(
-        F.array("_l"), F.split("_l", r"\n[ \t]*\n"), F.split("_l", "\n")), _normal))).alias("_u")).drop("_l")
+        F.array("_l"), F.split("_l", r"\n[ \t]*\n"), F.split("_l", "\n")), _normal))).alias("_u"))
     long = F.filter("_u", lambda u: F.length(F.translate(u, " ", "")) <= F.length(u) - fewest)
-    rows = compute_once(rows, F.transform(long, bigrams).alias("_b")).drop("_u")
-    rows = compute_once(rows, F.filter(F.transform("_b", hits), lambda h: F.size(h) > 0).alias("_h")).drop("_b")
+    rows = compute_once(rows.withColumn("_u", long), F.transform(long, bigrams).alias("_b"))
+    rows = compute_once(rows, F.transform("_b", hits).alias("_all")).drop("_b")
+    rows = compute_once(rows, F.filter("_all", lambda h: F.size(h) > 0).alias("_h"), F.filter(
+        "_u", lambda u, i: F.size(F.get("_all", i)) > 0).alias("_hit")).drop("_all", "_u")
+    if inside:
+        rows = _with_windows(rows, known, low, threshold)
     best, names = F.array_min(F.flatten("_h")), F.transform(F.flatten("_h"), lambda h: h["name"])
     return rows.select(
         "doc_id", best["name"].alias("license"), F.coalesce(-best["minus"], F.lit(0.0)).alias("dice"),

@@ -20,7 +20,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_table(spark, sf_dir, "documents"), inside=True)
 
 
 def vocabulary_path() -> str:
