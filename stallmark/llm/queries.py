@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, line_dedup, mixing, personal_data, quality, simhash, spotsigs, token_counts, topk
+from stallmark.operators.durable import shared_folder
+
+from . import (alignment, bpe, licenses, line_dedup, mixing, personal_data, quality, simhash, spotsigs, token_counts, token_files,
+               topk)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +27,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), inside=True)
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +65,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_counts(_table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), end_id=2)
+    return token_files.checksums(spark, path)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module's neighbours itself
 
@@ -79,6 +93,8 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
+        "op11_alignment": op11_alignment,
+        "op13_token_files": op13_token_files,
         "pipeline": pipeline,
     }
 
