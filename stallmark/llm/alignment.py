@@ -8,17 +8,19 @@ the two incidences of ids with groups holds the links of tokens that share a gro
 Texts are cut at spaces between two characters that are no white space. There tokens of both end, and what each side is
 cut into depends on nothing beyond, so chunks are aligned once and remembered (tests hold this against whole texts).
 
-Counting over the corpus takes two passes. The first counts the documents of each pair, combined in tasks before the shuffle. The
-second meets the counts: at most FREQUENT of the most frequent pairs are broadcast, the others go through a join of
-what is left of each document.
+Each document's pairs are kept in the shared folder. A first pass over them counts the documents of each pair, combined in tasks
+before the shuffle. A second one meets the counts: at most FREQUENT of the most frequent pairs are broadcast, the others go
+through a join of what is left of each document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import uuid
+from array import array
+from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +29,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stallmark.operators.durable import settle
+from stallmark.operators.durable import settle, shared_folder
 
-from .chunks import Memory, slices
+from .chunks import WORD, Memory, slices
 from .sparse import Csr, spread, summed
 
 #: Most pairs that are broadcast, of 17 bytes each.
 FREQUENT = 1 << 18
-#: Bytes of text aligned at once, and units of remembered chunks in each generation.
-AT_ONCE, REMEMBERED = 1 << 20, 6 << 20
+#: Bytes of text aligned at once.
+AT_ONCE = 2 << 20
 #: Bits of an id in a pair.
 BITS = 21
 #: A space between two characters that are no white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-@dataclass(frozen=True)
-class Chunk:
-    """The alignment of one chunk with the space before it."""
-    ids_a: np.ndarray
-    ids_b: np.ndarray
-    #: Tokens of each group on both sides.
-    many_a: np.ndarray
-    many_b: np.ndarray
-    #: First token, second token and shared bytes of each overlap.
-    overlaps: np.ndarray
-    #: first id << BITS | second id, ascending, with the links of each.
-    pairs: np.ndarray
-    links: np.ndarray
-    #: Groups in writing.
-    text: str
-
-
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for ids in lists for x in ids), np.int64, int(sizes.sum())), sizes
+def _edges(sizes) -> np.ndarray:
+    return np.append(0, np.cumsum(np.asarray(sizes, np.int64)))
 
 
 class Aligner:
+    """Token ids of chunks on both sides, remembered."""
+
     def __init__(self, spec: str, model: bytes):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -87,112 +73,134 @@ class Aligner:
             raise ValueError(f"ids of more than {BITS} bits")
         self.size_a = np.array([len(t) for t in self.bytes_a])
         self.size_b = np.array([len(t) for t in self.bytes_b])
-        self.names = np.array([str(i) + end for end in ",|;" for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object)
-        self.memory = Memory(self.align, REMEMBERED, 512)
-
-    def align(self, chunks: list[str]) -> list[Chunk | None]:
-        """The alignment of each chunk; none if the tokens of a side do not give its bytes back."""
-        a = [e.ids for e in self.first.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)]
-        b = self.second.encode(chunks, num_threads=1)
+        #: Ids in writing with what follows: another token, the other side, the next group, the next chunk.
+        self.names = [str(i) + end for end in ",|;\n" for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        letters = {b: c for c, b in alphabet.items()}
+        self.letters = "".join(letters[b] for b in range(256))
+        # Marks that no piece of the second side has after a letter: nothing is merged across. The first side cuts there.
+        joined = "\n".join(map(piece, range(self.second.get_piece_size())))
+        self.apart = {m for m in map(chr, range(0x21, 0x7F)) if not re.search(f"[A-Za-zÀ-ÿ]{re.escape(m)}", joined)}
+        self.before = len(self.second.encode("z"))
+        self.words, self.marks, self.memory = Memory(self._words), Memory(self._marks), Memory(self._chunks, fixed=200)
+
+    def _first(self, piece: str) -> bytes:
+        """Ids of a pre-token on the first side."""
+        return array("i", [t.id for t in self.first.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _words(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        for word, b in zip(words, self.second.encode(words, num_threads=1)):
+            yield self._first(" " + word), array("i", b).tobytes()
+
+    def _marks(self, marks: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        for run, b in zip(marks, self.second.encode(["z" + m for m in marks], num_threads=1)):
+            yield self._first(run), array("i", b[self.before:]).tobytes()
+
+    def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """32-bit ids on both sides; none if a side does not give the chunk's bytes back. Marks apart from the word before them."""
+        apart = self.apart
+        found = [m if (m := WORD.fullmatch(c)) and (not m[2] or m[2][0] in apart) else None for c in chunks]
+        words = self.words.ready({m[1] for m in found if m})
+        marks = self.marks.ready({m[2] for m in found if m and m[2]})
+        out: list[tuple[bytes, bytes] | None] = []
+        for m in found:
+            pair = words[m[1]] if m else None
+            if pair and m[2]:
+                a, b = marks[m[2]]
+                pair = pair[0] + a, pair[1] + b
+            out.append(pair)
+        others = [k for k, m in enumerate(found) if m is None]
+        texts = [chunks[k] for k in others]
+        first = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         join = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        whole = [k for k, c in enumerate(chunks)
-                 if join(a[k], self.bytes_a) == join(b[k], self.bytes_b) == b" " + c.encode()]
-        out: list[Chunk | None] = [None] * len(chunks)
-        at = 0
-        while at < len(whole):  # a long chunk alone, short ones together
-            to, size = at, 0
-            while to < len(whole) and size < AT_ONCE // 4:
-                size += len(a[whole[to]]) + len(b[whole[to]])
-                to += 1
-            for k, chunk in zip(whole[at:to], self._aligned([a[k] for k in whole[at:to]], [b[k] for k in whole[at:to]])):
-                out[k] = chunk
-            at = to
+        for k, text, a, b in zip(others, texts, first, self.second.encode(texts, num_threads=1)):
+            if join(a.ids, self.bytes_a) == join(b, self.bytes_b) == b" " + text.encode():
+                out[k] = array("i", a.ids).tobytes(), array("i", b).tobytes()
         return out
 
-    def _aligned(self, a: list[list[int]], b: list[list[int]]) -> Iterator[Chunk]:
-        (ids_a, n_a), (ids_b, n_b) = _flat(a), _flat(b)
-        size_a, size_b = self.size_a[ids_a], self.size_b[ids_b]
-        n = int(size_a.sum())  # bytes of all chunks, one after the other
+    def align(self, texts: list[bytes]) -> Alignment:
+        split = [CUT.split(t.decode()) if t else [] for t in texts]
+        every = set().union(*split)
+        known = self.memory.ready(every)
+        lost = {c for c in every if known[c] is None}
+        if lost:
+            split = [[] if lost.intersection(chunks) else chunks for chunks in split]
+        place = {c: k for k, c in enumerate(set().union(*split))}
+        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+        return Alignment(self, [known[c] for c in place], flat, _edges([len(chunks) for chunks in split]))
+
+
+class Alignment:
+    """Some texts aligned: arrays over their distinct chunks, one after the other, with edges of the chunks' parts.
+
+    ``chunk`` names the chunks of the texts in order, ``edge`` where each text's begin. ``ids_a``, ``ids_b`` are tokens; ``many_a``,
+    ``many_b`` the tokens of each group; ``overlaps`` have the place of a token on both sides and the bytes they share;
+    ``pair`` (first id << BITS | second id, ascending in a chunk) and ``links`` are the links by ids.
+    """
+
+    def __init__(self, aligner: Aligner, coded: list[tuple[bytes, bytes]], chunk: np.ndarray, edge: np.ndarray):
+        self.aligner, self.chunk, self.edge = aligner, chunk, edge
+        sides = [[pair[side] for pair in coded] for side in (0, 1)]
+        self.ids_a, self.ids_b = (np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in sides)
+        self.edge_a, self.edge_b = (_edges([len(x) // 4 for x in side]) for side in sides)
+        size_a, size_b = aligner.size_a[self.ids_a], aligner.size_b[self.ids_b]
+        n = int(size_a.sum())
         ones = np.ones(n, np.int64)
-        bytes_of = lambda sizes: Csr(np.append(0, np.cumsum(sizes)), np.arange(n), ones, n)
+        bytes_of = lambda sizes: Csr(_edges(sizes), np.arange(n), ones, n)
         overlap = bytes_of(size_a).times(bytes_of(size_b).transposed())
-        i, j, shared = overlap.rows(), overlap.indices, overlap.data
+        i, j = overlap.rows(), overlap.indices
+        self.overlaps = np.stack([i, j, overlap.data])
+        self.edge_o = np.searchsorted(i, self.edge_a)
         # Overlaps go up one token of either side at a time, or both: then a group ends.
-        new = np.append(True, (np.diff(i) > 0) & (np.diff(j) > 0))
-        group = np.cumsum(new) - 1
-        groups = int(group[-1]) + 1
-        group_a, group_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-        group_a[i], group_b[j] = group, group
-        many_a, many_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        group = np.cumsum(np.append(False, (np.diff(i) > 0) & (np.diff(j) > 0))[:len(i)])
+        groups = int(group[-1]) + 1 if len(group) else 0
+        self.group_a, self.group_b = np.zeros(len(self.ids_a), np.int64), np.zeros(len(self.ids_b), np.int64)
+        self.group_a[i], self.group_b[j] = group, group
+        self.many_a, self.many_b = (np.bincount(g, minlength=groups) for g in (self.group_a, self.group_b))
         # Distinct ids of a group stand for their tokens, so a long group costs its ids, not its tokens.
         held = lambda group, ids: summed(group << BITS | ids, np.ones(len(ids), np.int64))
-        (key_a, times_a), (key_b, times_b) = held(group_a, ids_a), held(group_b, ids_b)
+        (key_a, times_a), (key_b, times_b) = held(self.group_a, self.ids_a), held(self.group_b, self.ids_b)
         rows = lambda key, times: Csr(np.arange(len(key) + 1), key >> BITS, times, groups)
         linked = rows(key_a, times_a).times(rows(key_b, times_b).transposed())
-        mask = (1 << BITS) - 1
-        pair = (key_a & mask)[linked.rows()] << BITS | (key_b & mask)[linked.indices]
-        chunk_a = np.repeat(np.arange(len(a)), n_a)
-        chunk_of_group = np.zeros(groups, np.int64)
-        chunk_of_group[group_a] = chunk_a
-        chunk_of_link = chunk_of_group[(key_a >> BITS)[linked.rows()]]
-        text = self._written(ids_a, ids_b, group_a, group_b, many_a, many_b)
-        tokens = np.append(0, np.cumsum(many_a + many_b))
-        edge_a, edge_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
-        each = np.arange(len(a) + 1)
-        edge_g, edge_l = np.searchsorted(chunk_of_group, each), np.searchsorted(chunk_of_link, each)
-        edge_o = np.searchsorted(i, edge_a)
-        overlaps = np.stack([i, j, shared])
-        for k in range(len(a)):
-            g, own = slice(edge_g[k], edge_g[k + 1]), slice(edge_l[k], edge_l[k + 1])
-            pairs, links = summed(pair[own], linked.data[own])
-            yield Chunk(ids_a[edge_a[k]:edge_a[k + 1]].copy(), ids_b[edge_b[k]:edge_b[k + 1]].copy(), many_a[g].copy(), many_b[g].copy(),
-                        overlaps[:, edge_o[k]:edge_o[k + 1]] - np.array([[edge_a[k]], [edge_b[k]], [0]]), pairs, links,
-                        "".join(text[tokens[edge_g[k]]:tokens[edge_g[k + 1]]])[:-1])
-
-    def _written(self, ids_a, ids_b, group_a, group_b, many_a, many_b) -> np.ndarray:
-        """Names of all tokens with what follows each, by group, those of the first side before those of the second."""
-        step = len(self.names) // 3
-        last = lambda group: np.append(group[1:] != group[:-1], True)
-        before = np.append(0, np.cumsum(many_a + many_b))[:-1]
-        place_a = before[group_a] + np.arange(len(ids_a)) - np.append(0, np.cumsum(many_a))[:-1][group_a]
-        place_b = before[group_b] + many_a[group_b] + np.arange(len(ids_b)) - np.append(0, np.cumsum(many_b))[:-1][group_b]
-        code = np.zeros(len(ids_a) + len(ids_b), np.int64)
-        code[place_a] = ids_a + step * last(group_a)
-        code[place_b] = ids_b + 2 * step * last(group_b)
-        return self.names[code]
-
-    def texts(self, texts: list[bytes]) -> tuple[list[list[str]], dict]:
-        """The chunks of each text, none of a text without tokens, and what is known of them."""
-        split = [CUT.split(t.decode()) if t else [] for t in texts]
-        known = self.memory.ready(set().union(*split))
-        return [chunks if all(known[c] is not None for c in set(chunks)) else [] for chunks in split], known
-
-
-class Pairs:
-    """Distinct pairs of ids of each of some texts, sorted by text, with their links."""
-
-    def __init__(self, split: list[list[str]], known: dict):
-        place: dict[str, int] = {}
-        flat = np.fromiter((place.setdefault(c, len(place)) for chunks in split for c in chunks), np.int64)
-        self.chunks = [known[c] for c in place]
-        self.text = np.repeat(np.arange(len(split)), [len(c) for c in split])
-        self.flat = flat
-        held, times = summed(self.text * max(1, len(place)) + flat, np.ones(len(flat), np.int64))
-        text, chunk = held // max(1, len(place)), held % max(1, len(place))
-        sizes = np.array([len(c.pairs) for c in self.chunks], np.int64)
-        none = [np.zeros(0, np.int64)]
-        pairs = np.concatenate([c.pairs for c in self.chunks] or none)
-        links = np.concatenate([c.links for c in self.chunks] or none)
-        at = spread((np.cumsum(sizes) - sizes)[chunk], sizes[chunk])
-        distinct, index = np.unique(pairs, return_inverse=True)
-        keys, self.links = summed(np.repeat(text, sizes[chunk]) * max(1, len(distinct)) + index[at],
-                                  links[at] * np.repeat(times, sizes[chunk]))
-        self.owner = keys // max(1, len(distinct))
-        self.pair = distinct[keys % max(1, len(distinct))]
-
-    def total(self, value: Callable[[Chunk], int], texts: int) -> np.ndarray:
-        each = np.array([value(c) for c in self.chunks], np.int64)
-        return np.bincount(self.text, each[self.flat], texts).astype(np.int64)
+        a, mask = key_a[linked.rows()], (1 << BITS) - 1
+        of_group = np.zeros(groups, np.int64)
+        of_group[self.group_a] = np.repeat(np.arange(len(coded)), np.diff(self.edge_a))
+        self.edge_g = np.searchsorted(of_group, np.arange(len(coded) + 1))
+        distinct, index = np.unique((a & mask) << BITS | (key_b & mask)[linked.indices], return_inverse=True)
+        keys, self.links = summed(of_group[a >> BITS] * max(1, len(distinct)) + index, linked.data)
+        self.pair, self.distinct = keys % max(1, len(distinct)), distinct
+        self.edge_l = np.searchsorted(keys // max(1, len(distinct)), np.arange(len(coded) + 1))
+
+    def written(self) -> list[str]:
+        """The groups of each text: ids of the first side, ids of the second."""
+        step, a, b = len(self.aligner.names) // 4, self.many_a, self.many_b
+        last = lambda group: np.append(np.diff(group) > 0, True)[:len(group)]
+        before = _edges(a + b)[:-1]
+        place_a = before[self.group_a] + np.arange(len(self.ids_a)) - _edges(a)[:-1][self.group_a]
+        place_b = (before + a)[self.group_b] + np.arange(len(self.ids_b)) - _edges(b)[:-1][self.group_b]
+        code = np.zeros(len(self.ids_a) + len(self.ids_b), np.int64)
+        code[place_a] = self.ids_a + step * last(self.group_a)
+        code[place_b] = self.ids_b + 2 * step * last(self.group_b)
+        code[place_b[self.edge_b[1:] - 1]] += step
+        chunks = "".join(map(self.aligner.names.__getitem__, code.tolist())).split("\n")
+        names = list(map(chunks.__getitem__, self.chunk.tolist()))
+        return [";".join(names[x:y]) for x, y in zip(self.edge[:-1].tolist(), self.edge[1:].tolist())]
+
+    def totals(self) -> list[np.ndarray]:
+        """Tokens on both sides, groups and links of each text."""
+        links = np.append(0, np.cumsum(self.links))[self.edge_l]
+        each = [np.diff(x)[self.chunk] for x in (self.edge_a, self.edge_b, self.edge_g, links)]
+        return [np.diff(_edges(x)[self.edge]) for x in each]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, pair and links: the distinct pairs of each text, sorted by text."""
+        n = max(1, len(self.edge_a) - 1)
+        text = np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
+        held, times = summed(text * n + self.chunk, np.ones(len(text), np.int64))
+        chunk, sizes = held % n, np.diff(self.edge_l)
+        at, each = spread(self.edge_l[chunk], sizes[chunk]), sizes[chunk]
+        width = max(1, len(self.distinct))
+        keys, links = summed(np.repeat(held // n, each) * width + self.pair[at], self.links[at] * np.repeat(times, each))
+        return keys // width, self.distinct[keys % width], links
 
 
 _ALIGNERS: dict[tuple[int, int], Aligner] = {}
@@ -241,48 +249,65 @@ def align(docs: DataFrame, first: str, second: str, doc_id: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared)
         for part, texts in slices(batches, "text", AT_ONCE):
-            split, known = aligner.texts(texts)
-            a_ids, b_ids, groups, overlaps = [], [], [], []
-            for chunks in split:
-                own = [known[c] for c in chunks]
-                of = lambda get, empty: np.concatenate([get(c) for c in own], axis=-1) if own else empty  # noqa: E731,B023
-                a_ids.append(of(lambda c: c.ids_a, np.zeros(0)))
-                b_ids.append(of(lambda c: c.ids_b, np.zeros(0)))
-                groups.append(of(lambda c: np.stack([c.many_a, c.many_b]), np.zeros((2, 0))))
-                found = of(lambda c: c.overlaps, np.zeros((3, 0)))
-                sizes = [c.overlaps.shape[1] for c in own]
-                for side, get in ((0, lambda c: len(c.ids_a)), (1, lambda c: len(c.ids_b))):
-                    before = np.cumsum([0, *map(get, own)])[:-1]
-                    found[side] += np.repeat(before, sizes)
-                overlaps.append(found)
+            found = aligner.align(texts)
+            groups, a_ids, b_ids, many, overlaps = np.stack([found.many_a, found.many_b]), [], [], [], []
+            for own in np.split(found.chunk, found.edge[1:-1]):
+                of = lambda edge: spread(edge[own], np.diff(edge)[own])  # noqa: E731,B023
+                a_ids.append(found.ids_a[of(found.edge_a)])
+                b_ids.append(found.ids_b[of(found.edge_b)])
+                many.append(groups[:, of(found.edge_g)])
+                each = found.overlaps[:, of(found.edge_o)]
+                for side, edge in enumerate((found.edge_a, found.edge_b)):  # from places among chunks to places in the text
+                    each[side] += np.repeat(_edges(np.diff(edge)[own])[:-1] - edge[own], np.diff(found.edge_o)[own])
+                overlaps.append(each)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], lists(a_ids), lists(b_ids), lists(groups, ["a", "b"]), lists(overlaps, ["a", "b", "bytes"])],
+                [part["doc_id"], lists(a_ids), lists(b_ids), lists(many, ["a", "b"]), lists(overlaps, ["a", "b", "bytes"])],
                 schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _held(rows: DataFrame, shared: Broadcast) -> DataFrame:
-    """(pair, docs): documents that hold a pair linked, counted within parts of a task."""
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+
+
+def _linked(docs: DataFrame, shared: Broadcast, doc_id: str, text: str) -> DataFrame:
+    """A row's number, doc_id, NUMBERS, groups_sha256, and its distinct pairs with the links of each, in the shared folder."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in NUMBERS),
+                           T.StructField("groups_sha256", T.StringType()), T.StructField("pairs", T.ArrayType(T.LongType())),
+                           T.StructField("links", T.ArrayType(T.IntegerType()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(shared)
-        for _, texts in slices(batches, "text", AT_ONCE):
-            pair, docs = np.unique(Pairs(*aligner.texts(texts)).pair, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(docs, pa.int64())], ["pair", "docs"])
+        for part, texts in slices(batches, "text", AT_ONCE):
+            found = aligner.align(texts)
+            owner, pair, links = found.pairs()
+            offsets = pa.array(_edges(np.bincount(owner, minlength=len(texts))).astype(np.int32))
+            digests = [sha256(t.encode()).hexdigest() if t else "" for t in found.written()]
+            yield pa.RecordBatch.from_arrays(
+                [part["row"], part["doc_id"], *(pa.array(c, pa.int64()) for c in found.totals()), pa.array(digests, pa.string()),
+                 pa.ListArray.from_arrays(offsets, pa.array(pair)), pa.ListArray.from_arrays(offsets, pa.array(links.astype(np.int32)))],
+                schema.names)
 
-    return rows.select("text").mapInArrow(run, "pair long, docs long")
+    path = f"{shared_folder(docs.sparkSession)}/{uuid.uuid4().hex}"
+    rows.mapInArrow(run, schema).write.parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def pair_counts(docs: DataFrame, first: str, second: str, text: str = "text") -> DataFrame:
+def _counted(linked: DataFrame) -> DataFrame:
     """pair, docs and best: how many rows hold a pair of ids linked, and whether no pair of its first id is in more.
 
-    ``pair`` is first id << BITS | second id. What is broadcast has one row for each id of the first vocabulary at most.
+    Rows are counted within a batch before the shuffle. What is broadcast has one row for each id of the first vocabulary at most.
     """
-    counts = settle(_held(docs.select(F.col(text).alias("text")), _shared(docs, first, second))
-                    .groupBy("pair").agg(F.sum("docs").alias("docs")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, docs = np.unique(batch["pairs"].flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(docs, pa.int64())], ["pair", "docs"])
+
+    counts = settle(linked.select("pairs").mapInArrow(run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")))
     a = F.shiftright("pair", BITS)
     most = counts.groupBy(a.alias("a")).agg(F.max("docs").alias("most"))
-    return counts.join(F.broadcast(most), a == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best"))
+    return settle(counts.join(F.broadcast(most), a == F.col("a")).select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")))
 
 
 def _frequent(counts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -307,40 +332,31 @@ def alignment_counts(docs: DataFrame, first: str, second: str, doc_id: str = "do
     ``n_best`` counts the links of which no pair of their first id has a higher one. ``frequent`` bounds the pairs that are
     broadcast and changes no result. Repeated rows and null ids count as rows of their own.
     """
-    shared = _shared(docs, first, second)
-    counts = settle(pair_counts(docs, first, second, text))
-    top, others = _frequent(counts, frequent)
+    linked = _linked(docs, _shared(docs, first, second), doc_id, text)
+    top, others = _frequent(_counted(linked), frequent)
     table = top.orderBy("pair").toArrow()
     known = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "docs", "best")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = T.StructType([T.StructField("row", T.LongType()), rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in numbers),
-                           T.StructField("groups_sha256", T.StringType()),
-                           T.StructField("rest", T.ArrayType(T.StructType().add("pair", "long").add("links", "long")))])
+    rest = T.ArrayType(T.StructType().add("pair", "long").add("links", "integer"))
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType()),
+                           T.StructField("rest", rest)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (pairs, docs, best) = _aligner(shared), known.value
-        for part, texts in slices(batches, "text", AT_ONCE):
-            split, chunks = aligner.texts(texts)
-            n, found = len(texts), Pairs(split, chunks)
-            at = np.minimum(np.searchsorted(pairs, found.pair), max(0, len(pairs) - 1))
-            hit = pairs[at] == found.pair if len(pairs) else np.zeros(len(at), bool)
-            add = lambda values: np.bincount(found.owner[hit], values, n).astype(np.int64)  # noqa: E731,B023
-            links, at, left = found.links[hit], at[hit], ~hit
-            columns = [found.total(lambda c: len(c.ids_a), n), found.total(lambda c: len(c.ids_b), n),
-                       found.total(lambda c: len(c.many_a), n), found.total(lambda c: int(c.links.sum()), n),
-                       add(links * best[at]), add(links * docs[at])]
-            offsets = np.append(0, np.cumsum(np.bincount(found.owner[left], minlength=n))).astype(np.int32)
-            rest = pa.StructArray.from_arrays([pa.array(found.pair[left]), pa.array(found.links[left])], ["pair", "links"])
-            digests = [sha256(";".join([chunks[c].text for c in own]).encode()).hexdigest() if own else "" for own in split]
-            yield pa.RecordBatch.from_arrays(
-                [part["row"], part["doc_id"], *(pa.array(c, pa.int64()) for c in columns), pa.array(digests, pa.string()),
-                 pa.ListArray.from_arrays(pa.array(offsets), rest)], schema.names)
-
-    each = settle(rows.mapInArrow(run, schema))
-    more = (each.select("row", F.inline("rest")).join(others, "pair").groupBy("row")
-            .agg(F.sum(F.col("links") * F.col("docs")).alias("more_sum"),
-                 F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("more_best")))
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return each.join(more, "row", "left").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", plus("n_best", "more_best"), plus("count_sum", "more_sum"), "groups_sha256")
+        pairs, docs, best = known.value
+        for batch in batches:
+            n, pair, links = batch.num_rows, batch["pairs"].flatten().to_numpy(), batch["links"].flatten().to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(n), batch["pairs"].value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+            hit = pairs[at] == pair if len(pairs) else np.zeros(len(at), bool)
+            add = lambda values: pa.array(np.bincount(owner[hit], values, n).astype(np.int64))  # noqa: E731,B023
+            at, left = at[hit], ~hit
+            offsets = pa.array(_edges(np.bincount(owner[left], minlength=n)).astype(np.int32))
+            rest = pa.StructArray.from_arrays([pa.array(pair[left]), pa.array(links[left].astype(np.int32))], ["pair", "links"])
+            yield pa.RecordBatch.from_arrays([batch["row"], add(links[hit] * best[at]), add(links[hit] * docs[at]),
+                                              pa.ListArray.from_arrays(offsets, rest)], schema.names)
+
+    met = settle(linked.select("row", "pairs", "links").mapInArrow(run, schema))
+    more = met.select("row", F.inline("rest")).join(others, "pair").select(
+        "row", F.when(F.col("best"), F.col("links")).otherwise(0).cast("long").alias("n_best"), (F.col("links") * F.col("docs")).alias("count_sum"))
+    sums = met.select("row", "n_best", "count_sum").union(more).groupBy("row").agg(
+        F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    return linked.join(sums, "row").select("doc_id", *NUMBERS, "n_best", "count_sum", "groups_sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ class Memory:
     again moves on to the younger one, so frequent keys are never lost. Results do not depend on what is remembered.
     """
 
-    def __init__(self, compute: Callable[[list], Iterable], most: int = 8 << 20, fixed: int = 64):
+    def __init__(self, compute: Callable[[list], Iterable], most: int = 24 << 20, fixed: int = 100):
         self.compute, self.most, self.fixed = compute, most, fixed
         self.young: dict = {}
         self.old: dict = {}
@@ -24,12 +25,14 @@ class Memory:
         """A mapping with at least ``keys``."""
         if self.weight > self.most:
             self.old, self.young, self.weight = self.young, {}, 0
-        missing = [k for k in keys if k not in self.young]
-        self.weight += sum(map(len, missing)) + self.fixed * len(missing)
-        kept = [k for k in missing if k in self.old]
-        self.young.update((k, self.old[k]) for k in kept)
-        new = [k for k in missing if k not in self.old]
-        self.young.update(zip(new, self.compute(new)))
+        missing = keys.difference(self.young)
+        if missing:
+            new = missing.difference(self.old)
+            if len(new) < len(missing):
+                self.young.update((k, self.old[k]) for k in missing - new)
+            self.weight += sum(map(len, missing)) + self.fixed * len(missing)
+            listed = list(new)
+            self.young.update(zip(listed, self.compute(listed)))
         return self.young
 
 
@@ -46,3 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
                 out.append(value)
             yield batch.slice(at, len(out)), out
             at += len(out)
+
+
+#: Letters of ASCII and Latin-1, which are letters for every Unicode version and composed, and ASCII marks after them.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
