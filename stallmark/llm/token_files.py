@@ -16,6 +16,7 @@ around it. Each worker asks the tokenizer once for each chunk that it remembers.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simple8b
-from .chunks import Memory, slices
+from .chunks import WORD, Memory, slices
+from .vocabulary import _alphabet
 
 #: Ids of a block; one document more may begin below it.
 BLOCK = 1 << 16
@@ -38,7 +40,7 @@ ROWS = 1 << 12
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit integers, by a vocabulary that drops white space and starts anew after it."""
+    """Ids of texts as 32-bit integers, by a vocabulary that drops white space, starts anew after it and makes letters small."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -46,11 +48,27 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = Memory(self._encode)
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode() for c in chunks]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = {b: c for c, b in _alphabet().items()}
+        self.alphabet = "".join(letters[b] for b in range(256))
+        self.parts, self.memory = Memory(self._ids), Memory(self._chunks)
+
+    def _ids(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of pre-tokens in small letters."""
+        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
+        for part in parts:
+            yield array("I", [t.id for t in tokenize(part.encode().decode("latin-1").translate(alphabet))]).tobytes()
+
+    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks. A word and the marks after it are pre-tokens of their own, as long as no mark is an apostrophe."""
+        found = [WORD.fullmatch(c.decode()) for c in chunks]
+        pairs = [(m[1].lower(), m[2]) if m else ("", "") for m in found]
+        ids = self.parts.ready({part for pair in pairs for part in pair if part})
+        out = [ids[word] + ids[marks] if marks else ids[word] if word else b"" for word, marks in pairs]
+        others = [k for k, m in enumerate(found) if m is None]
+        coded = self.tokenizer.encode_batch_fast([chunks[k].decode() for k in others], add_special_tokens=False)
+        for k, one in zip(others, coded):
+            out[k] = array("I", one.ids).tobytes()
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # Bytes split at the six ASCII white spaces only; what else drops out does so within a chunk.
