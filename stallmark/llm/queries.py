@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stallmark.operators.durable import shared_folder
 
-from . import (alignment, bpe, licenses, line_dedup, mixing, personal_data, quality, simhash, spotsigs, token_counts, token_files,
-               topk)
+from . import (alignment, bpe, licenses, line_dedup, mixing, personal_data, quality, simhash, spelling, spotsigs, token_counts,
+               token_files, topk)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_counts(_table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), drop_every=97)
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), end_id=2)
@@ -94,6 +98,7 @@ def queries() -> dict[str, Query]:
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
         "op11_alignment": op11_alignment,
+        "op12_spelling": op12_spelling,
         "op13_token_files": op13_token_files,
         "pipeline": pipeline,
     }
