@@ -5,25 +5,32 @@ compatible with that prefix's own last token. An automaton over the vocabulary g
 position, longest first; the first compatible one is stored. Going back from the end emits the ids. Time follows the
 length of a pre-token, however long it is.
 
-Two tokens are compatible if merging their joined bytes gives the same two tokens back. Results of the test and of
-pre-tokens are remembered in the worker, up to a fixed number of entries.
+Two tokens are compatible if merging their joined bytes gives the same two tokens back. Texts are cut before spaces between
+two characters that are no white space, where a pre-token begins in any case. Results of the test, of pre-tokens and of such
+chunks are remembered in the worker, up to a fixed size.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import re
+from array import array
+from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vocabulary import LOW, Cutter, Vocabulary, map_texts, merge, once, share
+from .chunks import WORD, Memory, slices
+from .vocabulary import BATCH_BYTES, LOW, NEVER, Cutter, Vocabulary, merge, once, share
 
-#: Entries of one generation of remembered pre-tokens and of remembered pairs.
-REMEMBERED = 120_000
+#: Units of one generation of remembered chunks and of pre-tokens, and entries of one of pairs.
+REMEMBERED = 20 << 20
 PAIRS = 200_000
+#: Where a space follows a character that is no white space and precedes another.
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Recent(dict):
@@ -51,16 +58,39 @@ class Codec:
         self.whole = vocabulary.whole
         self.bytes = {i: t for t, i in vocabulary.tokens.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cutter = Cutter(vocabulary)
-        self.pieces = Recent(lambda piece: self.encode_piece(piece.encode()), REMEMBERED)
+        self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.pieces, self.chunks = Memory(self._pieces, REMEMBERED), Memory(self._chunks, REMEMBERED)
         self.compatible = Recent(self.fits, PAIRS)
+        # Rank of the merge that makes each token, and what it merges; none if a token comes of several merges.
+        self.halves = {found & LOW: (pair >> 32, pair & LOW) for pair, found in self.merges.items()}
+        ranks = {found & LOW: found >> 32 for found in self.merges.values()}
+        self.made = [ranks.get(i, -1) for i in range(len(self.table))] if len(ranks) == len(self.merges) else None
+        # A token that is not whole alone is in no encoding.
         self.automaton = ahocorasick.Automaton()
         for token, i in vocabulary.tokens.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            if i in self.whole:
+                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
 
     def fits(self, pair: int) -> bool:
+        """Whether two tokens side by side stay apart.
+
+        Going back in time, the one made later is undone. What then lies at the border must not have a merge that comes before
+        the one undone; of equal merges the left one comes first.
+        """
         left, right = pair >> 32, pair & LOW
-        return merge(self.bytes[left] + self.bytes[right], self.tokens, self.merges) == [left, right]
+        if self.made is None:
+            return merge(self.bytes[left] + self.bytes[right], self.tokens, self.merges) == [left, right]
+        made, halves, limit = self.made, self.halves, NEVER
+        while self.merges.get(left << 32 | right, NEVER) >> 32 >= limit >> 32:
+            before, after = made[left], made[right]
+            if before > after:
+                limit, left = before << 32, halves[left][1]
+            elif after >= 0:
+                limit, right = after + 1 << 32, halves[right][0]
+            else:
+                return True
+        return False
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         n, compatible = len(piece), self.compatible
@@ -70,7 +100,7 @@ class Codec:
             if size[end]:
                 continue
             start = end - length
-            if compatible[last[start] << 32 | token] if start else token in self.whole:
+            if not start or compatible[last[start] << 32 | token]:
                 last[end], size[end] = token, length
         ids, at = [], n
         while at:
@@ -78,16 +108,34 @@ class Codec:
             at -= size[at]
         return tuple(reversed(ids))
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array("i", self.encode_piece(piece.encode())).tobytes() for piece in pieces]
+
+    def _cut(self, chunk: str) -> list[str | int]:
+        """The pre-tokens of a chunk, and the ids of special strings in it."""
+        # A word with the space before it and the marks after it are two; an apostrophe may belong to either.
+        if found := WORD.fullmatch(chunk, 1 if chunk[:1] == " " else 0):
+            return [chunk[:found.end(1)], found[2]] if found[2] else [chunk]
+        return [x for plain, special in self.cutter.parts(chunk)
+                for x in (*self.cutter.pieces(plain), *([] if special is None else [self.special[special]]))]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        cut = [self._cut(c) for c in chunks]
+        ids = self.pieces.ready({x for parts in cut for x in parts if isinstance(x, str)})
+        return [ids[parts[0]] if len(parts) == 1 and parts[0] in ids else
+                b"".join([ids[x] if isinstance(x, str) else array("i", [x]).tobytes() for x in parts]) for parts in cut]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers."""
+        split = [CUT.split(t) if t else [] for t in texts]
+        known = self.chunks.ready(set().union(*split)).__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for plain, special in self.cutter.parts(text):
-            ids.extend(chain.from_iterable(map(self.pieces.__getitem__, self.cutter.pieces(plain))))
-            if special is not None:
-                ids.append(self.special[special])
-        return ids
+        return array("i", self.encode_all([text])[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
@@ -99,20 +147,20 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     """
     shared = share(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    outputs = pa.schema([("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decoded)
     schema = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
                           + [T.StructField("decoded", T.StringType())] * decoded)
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec, shared)
+        for part, texts in slices(batches, "_text", BATCH_BYTES):
+            coded = codec.encode_all([t.decode() for t in texts])
+            offsets = pa.array(np.append(0, np.cumsum([len(c) // 4 for c in coded])).astype(np.int32))
+            columns = [part["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), np.int32)))]
+            if decoded:
+                columns.append(pa.array([codec.decode(array("i", c).tolist()) for c in coded], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-        def each(value: str) -> tuple:
-            ids = codec.encode(value)
-            return (ids, codec.decode(ids)) if decoded else (ids,)
-
-        return each
-
-    return map_texts(rows, "_text", make, outputs, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -131,7 +179,10 @@ def decode(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str
 
 
 def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the comma-joined ids and of the decoded text."""
+    """doc_id, n_tokens, and SHA-256 of the comma-joined ids and of the decoded text, from ``encode(..., decoded=True)``.
+
+    No ids give the digests of the empty text. Repeated rows stay repeated; further columns are not read.
+    """
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

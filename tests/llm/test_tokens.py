@@ -54,6 +54,24 @@ def test_both_merges_agree():
         assert vocabulary.merge(piece, v.tokens, v.merges) == vocabulary._merge_long(ids, v.merges)
 
 
+def test_pairs_fit_as_merging_says():
+    v = vocabulary.load(PATH)
+    codec, rnd = bpe.Codec(v), random.Random(5)
+    assert codec.made is not None
+    text = "the quick aaaaaaaa hahahahaha  ---- ==== 1234 therein of in the".split(" ")
+    tokens = [i for i in v.whole if rnd.random() < 0.02] + [i for t, i in v.tokens.items() if i in v.whole and any(w and w in t.decode("latin-1") for w in text)]
+    pairs = [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(20_000)] + [(t, t) for t in tokens]
+    # Cuts of tokens are close to merging.
+    for t in rnd.sample(sorted(v.whole), 4000):
+        raw = codec.bytes[t]
+        for k in range(1, len(raw)):
+            if (a := v.tokens.get(raw[:k])) in v.whole and (b := v.tokens.get(raw[k:])) in v.whole:
+                pairs.append((a, b))
+    got = [codec.fits(a << 32 | b) for a, b in pairs]
+    codec.made = None
+    assert got == [codec.fits(a << 32 | b) for a, b in pairs] and 0 < sum(got) < len(got)
+
+
 def test_memories_start_anew(monkeypatch, library):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     monkeypatch.setattr(bpe, "PAIRS", 5)
