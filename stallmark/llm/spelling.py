@@ -3,7 +3,7 @@
 1. Words are counted by built-in expressions, combined before the shuffle.
 2. A word is a vector of letter counts. One edit changes it by an L1 distance of two at most, of one if the lengths differ.
    Words of length n are compared with those of lengths n - 1, n and n + 1, each pair of lengths by itself.
-3. Words of one length are dealt to cells, the leaves of a k-d tree built of a sample of at most SAMPLE words. (The sample
+3. Words of one length are dealt to cells, the leaves of a k-d tree built of a sample of about SAMPLE words. (The sample
    only decides how even the cells are.) A word looks into the cells whose box is within the distance. Cells and the words
    that look into them are cut into tiles of at most about TILE letters a side, so no word or length makes a task large.
 4. In a tile a k-d tree of its words leaves out boxes out of reach; the rest is compared by its letter counts, then letter
@@ -143,8 +143,11 @@ class Cells:
 def _tiles(words: DataFrame, sample: int, tile: int) -> DataFrame:
     """(tile, stored, word, n): every word in its cell's tiles and in those it looks into."""
     length = F.char_length("word")
-    loads = {r["length"]: r["letters"] for r in words.groupBy(length.alias("length")).agg(F.sum(length).alias("letters")).collect()}
-    drawn = [r.word for r in words.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    lengths = words.groupBy(length.alias("length")).agg(F.sum(length).alias("letters"), F.count(F.lit(1)).alias("words")).collect()
+    # A share of the words by their hash, about ``sample`` of them in all.
+    share = int(min(1, sample / max(1, sum(r["words"] for r in lengths))) * (1 << 40))
+    drawn = [r.word for r in words.select("word").filter(F.pmod(F.xxhash64("word"), F.lit(1 << 40)) < share).collect()]
+    loads = {r["length"]: r["letters"] for r in lengths}
     shared = words.sparkSession.sparkContext.broadcast(Cells(drawn, loads, tile))
 
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
