@@ -93,7 +93,8 @@ def normalise(text: Column) -> Column:
                 .when(at > 0, F.element_at(listed, at)).otherwise(char))
 
     apart = F.translate(F.array_join(F.transform(F.split(low, ""), spread), ""), source, target)
-    has_several = low.rlike("[\uac00-\ud7a3" + "".join(several) + "]")
+    # Both tests look a character up or compare it with two bounds; a class of all these characters would be walked.
+    has_several = (F.char_length(F.translate(low, several, "")) < F.char_length(low)) | low.rlike("[\uac00-\ud7a3]")
     return (F.when(F.octet_length(low) == F.char_length(low), low)
             .when(has_several, apart)
             .otherwise(F.translate(low, source, target)))
