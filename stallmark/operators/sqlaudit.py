@@ -7,9 +7,13 @@ Judged on the text alone: quoted table names, comma joins and recursive definiti
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import threading
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .. import taxonomy as tx
@@ -79,53 +83,142 @@ class UnsafeStatement(ValueError):
     """The statement broke a rule; the message says which."""
 
 
-def _parsed(spark: SparkSession, stmt: str) -> str:
-    """Spark's own reading of the statement, before any name is looked up."""
-    return spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt).toString()
-
-
-# Functions that call into the virtual machine; what the parser prints of tables and of names defined by WITH.
-UNSAFE_CALLS = r"(?i)\b(reflect|try_reflect|java_method)\b"
-_RELATION = r"UnresolvedRelation \[([^\]]*)\]"
-_DEFINED = r"\bCTE \[([^\]]*)\]"
-
-
-def refused_names(spark: SparkSession, stmt: str, allowed: Iterable[str]) -> list[str]:
-    """What a statement uses beyond the allowed tables and its own definitions, as Spark reads it: comma joins, quoted
-    names, files and other catalogues included."""
-    plan = _parsed(spark, stmt)
-    defined = {n.strip().lower() for names in re.findall(_DEFINED, plan) for n in names.split(",")}
-    used = {", ".join(p.strip() for p in names.split(",")).lower() for names in re.findall(_RELATION, plan)}
-    known = {a.lower() for a in allowed} | defined
-    functions = re.findall(r"UnresolvedTableValuedFunction \[([^\]]*)\]", plan)
-    return sorted(used - known) + sorted(functions) + sorted({c.lower() for c in re.findall(UNSAFE_CALLS, plan)})
+class StatementTimeout(UnsafeStatement):
+    """The statement ran longer than its limit."""
+
+
+# Nodes of a resolved plan, by class, that a statement may have beside the tables it was given.
+PLAN_NODES = frozenset(
+    "Aggregate CTERelationDef CTERelationRef Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect Join "
+    "LateralJoin LocalLimit Offset OneRowRelation Project Repartition RepartitionByExpression ResolvedHint Sample Sort "
+    "SubqueryAlias Tail Union Window WithCTE".split())
+SUBQUERIES = frozenset("Exists LateralSubquery ListQuery ScalarSubquery".split())
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+#: Groups of built-in functions that a statement may not call: they reach beyond the data (``reflect``, sessions, files).
+REFUSED_GROUPS = frozenset({"misc_funcs", ""})
+
+
+def _each(seq) -> Iterator:
+    for i in range(seq.size()):
+        yield seq.apply(i)
+
+
+@lru_cache(maxsize=1)
+def _refused_classes(application: str) -> frozenset[str]:
+    """Expression classes of the built-in functions in refused groups that no other group has; once for each application."""
+    builtin = SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    infos = [builtin.lookupFunction(name).get() for name in _each(builtin.listFunction().toSeq())]
+    by_group = [(info.getGroup() or "", info.getClassName()) for info in infos]
+    fine = {name for group, name in by_group if group not in REFUSED_GROUPS}
+    return frozenset(name for group, name in by_group if group in REFUSED_GROUPS and name not in fine)
+
+
+def _refused_in(plan, allowed: set[str], refused: frozenset[str]) -> Iterator[str]:
+    """What a resolved plan has beyond the allowed views and nodes, down to every expression and subquery."""
+    plans, expressions = [plan], []
+    while plans or expressions:
+        if expressions:
+            node = expressions.pop()
+            name = node.getClass().getName()
+            short = name.rpartition(".")[2]
+            if not name.startswith(_EXPRESSIONS) or name in refused or re.search(r"UDA?T?F|Reflect", short):
+                yield short
+                continue
+            expressions += _each(node.children())
+            if short in SUBQUERIES:
+                plans.append(node.plan())
+            elif "Subquery" in short and short != "InSubquery":
+                yield short
+            continue
+        node = plans.pop()
+        short = node.getClass().getName().rpartition(".")[2].rstrip("$")
+        if short == "View":
+            table = node.desc().identifier()
+            if not node.isTempView() or table.database().isDefined() or table.table().lower() not in allowed:
+                yield table.unquotedString()
+            continue  # what a given table is made of is its owner's business
+        if short not in PLAN_NODES:
+            yield short
+            continue
+        expressions += _each(node.expressions())
+        plans += _each(node.children())
+
+
+def refused_names(spark: SparkSession, plan, allowed: Iterable[str]) -> list[str]:
+    """What the resolved ``plan`` uses beyond the allowed views: other relations, functions of Spark's session or the virtual
+    machine, user-defined functions, table functions, files. Its nodes are visited, not its printed form."""
+    return sorted(set(_refused_in(plan, {a.lower() for a in allowed}, _refused_classes(spark.sparkContext.applicationId))))
+
+
+def _resolved(spark: SparkSession, tables: dict[str, DataFrame], stmt: str) -> DataFrame:
+    """The statement over ``tables`` alone, resolved in a session of its own that no other view is in, then judged."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    for name, value in spark.conf.getAll.items():
+        if name.startswith(("spark.sql.session.", "spark.sql.ansi.", "spark.sql.caseSensitive")):
+            own.conf.set(name, value)
+    session, dataset = own._jsparkSession, spark._jvm.org.apache.spark.sql.classic.Dataset
+    for name, table in tables.items():
+        dataset.ofRows(session, table._jdf.logicalPlan()).createOrReplaceTempView(name)
+    try:
+        plan = own.sql(stmt)._jdf.queryExecution().analyzed()
+        refused = refused_names(spark, plan, tables)
+    finally:
+        for name in tables:
+            own.catalog.dropTempView(name)
+    if refused:
+        raise UnsafeStatement(f"Not allowed: {', '.join(refused)}")
+    return DataFrame(dataset.ofRows(spark._jsparkSession, plan), spark)
 
 
 def run_guarded(spark: SparkSession, tables: dict[str, DataFrame], stmt: str,
                 row_limit: int | None = tx.STATEMENT_ROW_LIMIT) -> DataFrame:
     """Run one statement over the given tables, with at most ``row_limit`` rows (None: all).
 
-    Two layers: the audit of the text, and the names and calls that Spark itself reads in the statement. Only the
-    given tables can be reached. Their views exist while the statement is resolved; views of the same names come back after.
+    Two layers: the audit of the text, and the nodes of the plan that Spark resolves it to. Only the given tables and plain
+    functions of their values can be reached. The session of the caller, its views included, is neither seen nor changed.
+    A statement that does not resolve over these tables fails as Spark fails it.
     """
     verdict = audit_sql(spark.createDataFrame([(stmt,)], "stmt string"), allowed=list(tables), row_limit=row_limit).first()
     if not verdict["ok"]:
         raise UnsafeStatement(verdict["reason"])
-    refused = refused_names(spark, verdict["safe_sql"], tables)
-    if refused:
-        raise UnsafeStatement(f"Not allowed: {', '.join(refused)}")
-    before = {name: spark.table(name) for name in tables if any(
-        t.isTemporary and t.name == name.lower() for t in spark.catalog.listTables(pattern=name))}
-    files = spark.conf.get("spark.sql.runSQLOnFiles")
+    result = _resolved(spark, tables, verdict["safe_sql"])
+    return result if row_limit is None else result.limit(row_limit)
+
+
+def within(spark: SparkSession, seconds: float, action: Callable[[], object]):
+    """What ``action`` returns, unless its jobs take longer than ``seconds``: then they are cancelled and the call fails.
+
+    Only jobs that this thread starts are touched; the session stays usable.
+    """
+    context = spark.sparkContext
+    tag, over, late = f"guarded-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            late.set()
+            while not over.wait(0.1):  # jobs that begin later are cancelled as well
+                context.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
     try:
-        spark.conf.set("spark.sql.runSQLOnFiles", "false")
-        for name, table in tables.items():
-            table.createOrReplaceTempView(name)
-        result = spark.sql(verdict["safe_sql"])
+        result = action()
+    except Exception as error:
+        if late.is_set():
+            raise StatementTimeout(f"The statement took more than {seconds:g} seconds.") from error
+        raise
     finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
-        for name in tables:
-            spark.catalog.dropTempView(name)
-        for name, table in before.items():
-            table.createOrReplaceTempView(name)
-    return result if row_limit is None else result.limit(row_limit)
+        over.set()
+        context.removeJobTag(tag)
+        watcher.join()
+    if late.is_set():
+        raise StatementTimeout(f"The statement took more than {seconds:g} seconds.")
+    return result
+
+
+def fetch_guarded(spark: SparkSession, tables: dict[str, DataFrame], stmt: str, seconds: float = tx.STATEMENT_SECONDS,
+                  row_limit: int = tx.STATEMENT_ROW_LIMIT) -> list[Row]:
+    """The rows of a guarded statement, at most ``row_limit``, within ``seconds`` from the call on."""
+    return within(spark, seconds, lambda: run_guarded(spark, tables, stmt, row_limit).collect())

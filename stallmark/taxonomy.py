@@ -77,3 +77,4 @@ FORBIDDEN_KEYWORDS = [
     "pragma", "vacuum", "reindex", "truncate", "grant",
 ]
 STATEMENT_ROW_LIMIT = 500
+STATEMENT_SECONDS = 10

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from stallmark.operators import sqlaudit
@@ -80,12 +83,59 @@ def test_guarded_run(spark, orders):
     "SELECT * FROM fact_orders, other_view", "SELECT * FROM `other_view`",
     "SELECT x FROM fact_orders WHERE x IN (SELECT y FROM (SELECT 1 AS y), `other_view`)",
     "SELECT * FROM range(10), fact_orders",
+    "SELECT " + ", ".join(f"x AS c{i}" for i in range(40)) + ", reflect('java.lang.System', 'getProperty', 'user.home') AS home FROM fact_orders",
+    "WITH other_view AS (SELECT * FROM other_view) SELECT * FROM other_view",
+    "SELECT * FROM other_view s JOIN (WITH other_view AS (SELECT 1 AS id) SELECT * FROM other_view) t ON true",
+    "SELECT * FROM fact_orders WHERE EXISTS (SELECT nvl(reflect('java.lang.Math', 'random'), '1'))",
+    "SELECT transform(array(x), y -> reflect('java.lang.Math', 'random')) AS a FROM fact_orders",
+    "SELECT max(x) OVER (ORDER BY reflect('java.lang.Math', 'random')) AS a FROM fact_orders",
+    "SELECT own_udf(x) AS a FROM fact_orders", "SELECT input_file_name() AS a FROM fact_orders", "SELECT current_user() AS a FROM fact_orders",
+    "SELECT * FROM global_temp.shared_view", "SELECT * FROM VALUES (1), (2)", "SELECT 1 AS a FROM fact_orders LATERAL VIEW own_udtf() t AS b",
 ])
 def test_what_spark_reads_is_checked_too(spark, orders, stmt):
     spark.range(3).createOrReplaceTempView("other_view")
-    with pytest.raises(sqlaudit.UnsafeStatement):
-        sqlaudit.run_guarded(spark, orders, stmt)
+    spark.range(3).createOrReplaceGlobalTempView("shared_view")
+    spark.udf.register("own_udf", lambda x: x)
+    given = {**orders, "shared_view": spark.range(1)} if "shared_view" in stmt else orders
+    with pytest.raises((sqlaudit.UnsafeStatement, AnalysisException)):
+        sqlaudit.run_guarded(spark, given, stmt).collect()
     spark.catalog.dropTempView("other_view")
+    spark.catalog.dropGlobalTempView("shared_view")
+
+
+@pytest.mark.parametrize("stmt, rows", [
+    ("WITH a AS (SELECT x, x % 3 AS k FROM fact_orders WHERE x < 9) SELECT k, count(*) AS n, sum(x) AS s FROM a GROUP BY k ORDER BY k",
+     [(0, 3, 9), (1, 3, 12), (2, 3, 15)]),
+    ("SELECT x FROM fact_orders WHERE x IN (SELECT max(x) FROM fact_orders UNION SELECT 1) ORDER BY x", [(1,), (699,)]),
+    ("SELECT x, rank() OVER (PARTITION BY x % 2 ORDER BY x DESC) AS r FROM fact_orders WHERE x < 4 ORDER BY x", [(0, 2), (1, 2), (2, 1), (3, 1)]),
+    ("SELECT a.x, upper(lpad(nvl(string(b.x), 'none'), 5, '*')) AS t FROM fact_orders a LEFT JOIN fact_orders b ON a.x = b.x + 1 WHERE a.x < 2 "
+     "ORDER BY 1", [(0, "*NONE"), (1, "****0")]),
+    ("SELECT round(avg(x), 1) AS m, date_trunc('month', timestamp'2020-02-03') IS NULL AS d, ceil(1.2) AS c, percentile_approx(x, 0.5) AS p "
+     "FROM fact_orders f WHERE x = (SELECT max(x) FROM fact_orders g WHERE g.x = f.x)", [(349.5, False, 2, 349)]),
+    ("SELECT y, count(*) AS n FROM fact_orders LATERAL VIEW explode(array(1, 2)) t AS y GROUP BY y HAVING count(*) > 1 ORDER BY y", [(1, 700), (2, 700)]),
+    ("SELECT DISTINCT CASE WHEN x BETWEEN 1 AND 2 THEN 'a' WHEN x LIKE '3%' THEN 'b' ELSE NULL END AS c FROM fact_orders ORDER BY c",
+     [(None,), ("a",), ("b",)]),
+])
+def test_plain_statements_run(spark, orders, stmt, rows):
+    assert [tuple(r) for r in sqlaudit.run_guarded(spark, orders, stmt).collect()] == rows
+
+
+def test_given_tables_may_hold_anything(spark):
+    made = spark.range(4).selectExpr("id", "uuid() AS u", "reflect('java.lang.Math', 'abs', -1) AS r")
+    assert sqlaudit.run_guarded(spark, {"fact_orders": made}, "SELECT r, count(*) AS n FROM fact_orders GROUP BY r").collect() == [("1", 4)]
+
+
+def test_a_slow_statement_ends_at_its_limit(spark, orders):
+    many = {"fact_orders": spark.range(0, 200_000_000, 1, 800).withColumnRenamed("id", "x")}
+    slow = "SELECT sum(length(sha2(sha2(sha2(string(x), 512), 512), 512))) AS n FROM fact_orders"
+    began = time.monotonic()
+    with pytest.raises(sqlaudit.StatementTimeout, match="4 seconds"):
+        sqlaudit.fetch_guarded(spark, many, slow, seconds=4)
+    assert time.monotonic() - began < 8
+    assert not spark.sparkContext.getJobTags()
+    assert [r.n for r in sqlaudit.fetch_guarded(spark, orders, "SELECT count(*) AS n FROM fact_orders")] == [700]
+    with pytest.raises(ZeroDivisionError):
+        sqlaudit.within(spark, 5, lambda: 1 / 0)
 
 
 def test_views_of_the_caller_come_back_and_none_is_left(spark, orders):
