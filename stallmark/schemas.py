@@ -44,8 +44,7 @@ RAW_FILES: dict[str, str] = {
     "sellers": "*_sellers_dataset.csv",
     "translation": "product_category_name_translation.csv",
 }
-# Only these hold line breaks inside quotes. A multi-line file cannot be split between tasks, so the
-# other files are read line by line.
+# Only these hold line breaks inside quotes; the other files are read line by line.
 MULTILINE_FILES = {"reviews"}
 
 LABEL_COLUMNS = ["review_id", "order_id", "sentiment", "topic", "urgency", "summary_en", "provider"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import GOLD_COLUMNS, MULTILINE_FILES, RAW_FILES, RAW_SCHEMAS
+from .records import read_quoted
 
 
 def _csv(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
@@ -25,11 +26,11 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_raw(spark: SparkSession, folder: str, files: dict[str, str] = RAW_FILES) -> dict[str, DataFrame]:
     """The raw tables of a folder. Columns are found by name, so further columns and their order do not matter.
 
-    A value may be a file, a folder of files or a pattern; large tables should come in many files, as a
-    file with line breaks inside quotes is read by one task.
+    A value may be a file, a folder of files or a pattern. Files are read in splits, those with line breaks inside quotes too.
     """
     return {
-        name: _typed(_csv(spark, f"{folder}/{file}", name in MULTILINE_FILES), RAW_SCHEMAS[name])
+        name: _typed(read_quoted(spark, f"{folder}/{file}") if name in MULTILINE_FILES else _csv(spark, f"{folder}/{file}", False),
+                     RAW_SCHEMAS[name])
         for name, file in files.items()}
 
 
