@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from harness import derived, registry, settings, statements
 from stallmark.operators import evaluate, labelling, picking, quality, replies, sqlaudit
 from stallmark.plans import measures as M
+from stallmark.plans import stored_measures
 from stallmark.plans import pack
 from stallmark.plans import queries as Q
 from stallmark.schemas import REVIEW_KEY, STAR_TABLES
@@ -115,6 +116,8 @@ def main() -> None:
         "k08_facts": lambda: pack.facts(tables, **months, **size),
         "m00_measures_by_month": lambda: M.measures(tables, ["year_month"]),
         "m00_measures_cube": lambda: M.measures(tables, ["category", "lateness_bucket"], totals="cube"),
+        "m00_measures_cube_stored": lambda: stored_measures.stored_measures(spark, f"{work}/measures", ["category", "lateness_bucket"], totals="cube"),
+        "m00_measures_rollup_stored": lambda: stored_measures.stored_measures(spark, f"{work}/measures", ["year", "payment_type"], totals="rollup"),
         "m06_revenue_over_time": lambda: M.revenue_over_time(tables),
         "r07_pick_reviews": lambda: picking.pick_reviews(reviews, gold, settings.SAMPLE_ROWS),
         "r09_pack_prompts": lambda: replies.pack_prompts(replies.number_batches(texts.select(*REVIEW_KEY, "comment_message"))),
@@ -133,6 +136,8 @@ def main() -> None:
             label_batch(one, f"{work}/stream")
     timed("r13_label_with", lambda: replies.label_with(
         texts.limit(20_000), registry.stand_in_labeller, "outside").write.format("noop").mode("overwrite").save())
+    timed("m00_store_measures", lambda: stored_measures.store_measures(
+        tables, f"{work}/measures", ["category", "lateness_bucket", "payment_type"]))
     for name, plan in runs.items():
         timed(name, lambda: plan().write.format("noop").mode("overwrite").save())
 

@@ -402,7 +402,7 @@ WHERE coalesce(v, pm, ytd, v3) IS NOT NULL AND {shown}"""
 def measures() -> dict[str, str]:
     label = """count(*) AS labelled_reviews, count(*) FILTER (sentiment = 'negative') AS negative_reviews,
         count(*) FILTER (sentiment = 'negative')::DOUBLE / count(*) AS negative_share, count(*) FILTER (urgency = 'high') AS high_urgency_reviews"""
-    return {
+    texts = {
         "m00_measures_all": labelled(_per_order() + f"SELECT {ALL_MEASURES} FROM po"),
         "m00_measures_by_month": labelled(_per_order() + f"SELECT year_month, {ALL_MEASURES} FROM po GROUP BY year_month"),
         "m00_measures_by_category_filtered": labelled(_per_order("category") + f"""SELECT category, {ALL_MEASURES} FROM po
@@ -456,6 +456,10 @@ def measures() -> dict[str, str]:
         "m18_state_table": labelled(_per_order() + f"""SELECT state, {MEASURES["late_delivery_pct"]} AS late_delivery_pct,
             {MEASURES["avg_delivery_days"]} AS avg_delivery_days, {MEASURES["avg_review_score"]} AS avg_review_score FROM po GROUP BY state"""),
     }
+    # The same results from a store.
+    for name, same in (("rollup", "rollup"), ("cube", "cube"), ("by_category", "by_category_filtered")):
+        texts[f"m00_measures_{name}_stored"] = texts[f"m00_measures_{same}"]
+    return texts
 
 
 # ---- statement audit ---------------------------------------------------------------------------

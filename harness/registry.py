@@ -18,7 +18,7 @@ from stallmark.functions.time import parse_ts
 from stallmark.operators import evaluate, labelling, picking, quality, replies, sqlaudit, star
 from stallmark.operators.durable import shared_folder
 from stallmark.plans import measures as M
-from stallmark.plans import pack
+from stallmark.plans import pack, stored_measures
 from stallmark.plans import queries as Q
 from stallmark.plans.catalog import run_catalog
 from stallmark.schemas import GOLD_COLUMNS, LABEL_COLUMNS, RAW_FILES, REVIEW_KEY, STAR_TABLES
@@ -318,6 +318,18 @@ def kpi_pack() -> dict[str, Query]:
     }
 
 
+def _from_store(**arguments) -> Query:
+    """Measures from a store of the star with the labels of the word rules, half of whose months were made anew."""
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        tables, folder = derived.derive_star(spark, path), _folder(spark)
+        stored_measures.store_measures(tables, folder, ["category", "lateness_bucket", "payment_type", "state"])
+        months = sorted(r[0] for r in spark.read.parquet(f"{folder}/cells").select(
+            F.col("year_month").cast("string")).distinct().collect() if r[0])
+        stored_measures.refresh_months(tables, folder, months[::2])
+        return stored_measures.stored_measures(spark, folder, **arguments)
+    return run
+
+
 def bi_measures() -> dict[str, Query]:
     return {
         "m00_measures_all": on_labelled(M.measures),
@@ -326,6 +338,10 @@ def bi_measures() -> dict[str, Query]:
             M.measures, by=["category"], filters={"year": YEAR, "state": ["NATION_1", "NATION_2", "NATION_3"]}),
         "m00_measures_rollup": on_labelled(M.measures, by=["year", "payment_type"], totals="rollup"),
         "m00_measures_cube": on_labelled(M.measures, by=["category", "lateness_bucket"], totals="cube"),
+        "m00_measures_rollup_stored": _from_store(by=["year", "payment_type"], totals="rollup"),
+        "m00_measures_cube_stored": _from_store(by=["category", "lateness_bucket"], totals="cube"),
+        "m00_measures_by_category_stored": _from_store(
+            by=["category"], filters={"year": YEAR, "state": ["NATION_1", "NATION_2", "NATION_3"]}),
         "m00_measures_filtered_once": on_labelled(M.measures, by=["year"], filters={
             "category": ["category_1", "category_2"], "seller_id": [f"s{i}" for i in range(40)]}),
         "m06_revenue_over_time": on_star(M.revenue_over_time),

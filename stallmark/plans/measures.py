@@ -151,13 +151,18 @@ def _with_item_totals(tables: Tables, by: list[str], filters: Filters, totals: s
 
 
 def _measures(own: str = "") -> list[Column]:
+    """Sums of order parts, and the customers with a delivered order."""
+    delivered = F.col(own + "order_status") == fr.DELIVERED
+    return [*_sums(own), F.count_distinct(F.when(delivered, F.col("customer_unique_id"))).alias("customers")]
+
+
+def _sums(own: str = "") -> list[Column]:
     """Sums of order parts. ``own`` prefixes the order attributes where the plain names are grouping columns."""
     status, is_late = F.col(own + "order_status"), F.col(own + "is_late")
     delivered = status == fr.DELIVERED
     return [
         F.count_if(delivered).alias("delivered_orders"),
         F.sum(F.when(delivered, F.col("order_value"))).alias("_revenue"),
-        F.count_distinct(F.when(delivered, F.col("customer_unique_id"))).alias("customers"),
         F.count_if(is_late == 1).alias("late_orders"),
         F.count(is_late).alias("_known"),
         F.sum(F.when(delivered, fr.tenths(F.col("delivery_days")))).alias("_days"),
@@ -189,6 +194,11 @@ def measures(tables: Tables, by: Sequence[str] = (), filters: Filters | None = N
             keys = [*by, "level"]
         else:
             grouped, keys = parts.groupBy(*by).agg(*_measures()), by
+    return _finished(grouped, keys)
+
+
+def _finished(grouped: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Measures from their sums."""
     score = {flag: ratio(F.col(f"_points_{flag}"), F.col(f"_scored_{flag}")) for flag in (0, 1)}
     return grouped.select(
         *keys,
