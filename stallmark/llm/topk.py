@@ -3,8 +3,8 @@
 Vectors are packed into blocks: queries by hash into blocks of BLOCK rows about, candidates into tiles of the same
 kind, both within tasks. Every tile meets every block of queries once: tiles are spread over twice as many groups as
 there are shuffle partitions, and the blocks, which are the smaller side, go to each group. A task multiplies a tile with a block, keeps the k best of each
-query, and merges what it has by query before it passes them on. A last grouping by query merges the lists of the tasks in
-a bounded buffer. Nothing but one tile, one block and k results a query is in memory at once.
+query, and merges what it has by query before it passes them on. The lists of the tasks are merged in a tree: a node takes about FAN lists
+of a query, which its number of tasks does not change. Nothing but one tile, one block and k results a query is in a search at once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Lists of a query that meet in a node of the tree.
+FAN = 64
 #: Results of a task that are merged before they leave it.
 HELD = 1 << 18
 #: Products below this are exact in double precision.
@@ -139,12 +141,21 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_i
     blocks = queries.select("length", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("part"))
     found = _searched(tiles.join(blocks, ["length", "part"]), k)
-    top = found.groupBy("query_id", "query").agg(F.slice(F.sort_array(F.collect_list(F.struct(
-        (-F.col("score")).alias("s"), F.col("vec_id").isNull().alias("n"), "vec_id", "score"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top")).select(
+    lists = spread
+    while lists > FAN:
+        lists = -(-lists // FAN)
+        node = F.pmod(F.xxhash64("vec_id", "score"), F.lit(lists)).alias("node")
+        found = _top(found, k, "query_id", "query", node).select("query_id", "query", F.inline("top")).drop("s", "n")
+    return _top(found, k, "query_id", "query").select("query_id", F.posexplode("top")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", "col.score")
 
 
+def _top(found: DataFrame, k: int, *keys) -> DataFrame:
+    """``top``, the k best of each group."""
+    one = F.struct((-F.col("score")).alias("s"), F.col("vec_id").isNull().alias("n"), "vec_id", "score")
+    return found.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(one)), 1, k).alias("top"))
+
+
 ORACLE = """
     WITH v AS (
         SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings

@@ -83,6 +83,7 @@ def best(rows: list[tuple], k: int, every: int) -> list[tuple]:
 def test_search_is_exact(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "HELD", 20)
+    monkeypatch.setattr(topk, "FAN", 2 if block == 4 else 64)
     rnd = random.Random(4)
     # Few different values: ties everywhere, one vector that a third of all rows share.
     rows = [(i, [0.5, 0.25, -1.0] if i % 3 == 0 else [rnd.choice([-1.0, 0.0, 0.5, 0.3]) for _ in range(3)]) for i in range(300)]
