@@ -6,9 +6,9 @@ Filled like vessels: sources in order of (stop / weight) are full one after the
 meets none of their stops, which one running sum over the sources finds.
 
 A source's rate is its target over its words. A document comes floor(rate) times, and once more if its draw, a hash
-of seed, id and text, is under the fraction. So few documents would miss a target by chance, so the draws are cut
-into GRID steps per source and the step is taken at which the words drawn come nearest to the fraction: averaged over seeds that
-is the fraction itself. All figures are sums that are combined before the shuffle; only one row for each source and
+of seed, id and text, is under a cut. With the fraction as the cut, a source of few documents would miss its target by chance. So
+draws are cut into GRID steps per source, and the cut is the step at which the words drawn come nearest to the target. Thus no single
+document has a fixed probability; averaged over seeds it is about the fraction. All figures are sums that are combined before the shuffle; only one row for each source and
 step (a fixed number) is ever sorted together.
 """
 
