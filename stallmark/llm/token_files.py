@@ -10,12 +10,13 @@ documents of one range of ids. A row is a block of whole documents, about BLOCK
     sizes          number of ids of each, Simple-8b
     ids            all of their ids, Simple-8b (see ``simple8b``)
 
-Texts are encoded between white space, as this kind of vocabulary drops it: a chunk's ids do not depend on what stands
-around it. Each worker asks the tokenizer once for each chunk that it remembers.
+Texts are encoded by the tokenizer's model between white space, as this kind of vocabulary drops it: a pre-token's ids do not depend
+on what stands around it. Each worker asks once for each pre-token that it remembers.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -28,19 +29,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simple8b
-from .chunks import WORD, Memory, slices
+from .bpe import Recent
+from .chunks import Memory, slices
 from .vocabulary import _alphabet
 
 #: Ids of a block; one document more may begin below it.
 BLOCK = 1 << 16
 #: Bytes of text encoded at once.
 AT_ONCE = 2 << 20
+#: Remembered pre-tokens of one generation.
+REMEMBERED = 120_000
 #: Documents of one batch of results.
 ROWS = 1 << 12
 
 
-class ChunkEncoder:
-    """Ids of texts as 32-bit integers, by a vocabulary that drops white space, starts anew after it and makes letters small."""
+# White space, letters and numbers of Latin-1, and this kind of vocabulary's pattern of pre-tokens over them.
+_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+").findall
+
+
+class WordEncoder:
+    """Ids of texts as 32-bit integers, by a vocabulary that drops white space and makes letters small.
+
+    Latin-1 texts without special strings are cut into pre-tokens here; these characters are composed already, and their classes
+    are those of any Unicode version. Other texts are cut at ASCII white space, and each chunk goes through the tokenizer.
+    """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -48,45 +61,50 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = {b: c for c, b in _alphabet().items()}
         self.alphabet = "".join(letters[b] for b in range(256))
-        self.parts, self.memory = Memory(self._ids), Memory(self._chunks)
-
-    def _ids(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of pre-tokens in small letters."""
-        tokenize, alphabet = self.tokenizer.model.tokenize, self.alphabet
-        for part in parts:
-            yield array("I", [t.id for t in tokenize(part.encode().decode("latin-1").translate(alphabet))]).tobytes()
-
-    def _chunks(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of chunks. A word and the marks after it are pre-tokens of their own, as long as no mark is an apostrophe."""
-        found = [WORD.fullmatch(c.decode()) for c in chunks]
-        pairs = [(m[1].lower(), m[2]) if m else ("", "") for m in found]
-        ids = self.parts.ready({part for pair in pairs for part in pair if part})
-        out = [ids[word] + ids[marks] if marks else ids[word] if word else b"" for word, marks in pairs]
-        others = [k for k, m in enumerate(found) if m is None]
-        coded = self.tokenizer.encode_batch_fast([chunks[k].decode() for k in others], add_special_tokens=False)
-        for k, one in zip(others, coded):
-            out[k] = array("I", one.ids).tobytes()
-        return out
+        self.pieces, self.chunks = Recent(self._piece, REMEMBERED), Memory(self._chunks, 4 << 20)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token in small letters."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def _chunks(self, chunks: list[bytes]) -> Iterator[bytes]:
+        texts = [c.decode() for c in chunks]
+        for coded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", coded.ids).tobytes()
+
+    def _cut(self, text: bytes) -> list[str] | None:
+        if any(s.encode() in text for s in self.special):
+            return None
+        decoded = text.decode()
+        if not decoded.isascii():
+            try:
+                decoded.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return PIECES(decoded.lower())
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [self._cut(t) for t in texts]
         # Bytes split at the six ASCII white spaces only; what else drops out does so within a chunk.
-        split = [t.split() for t in texts]
-        known = self.memory.ready(set().union(*split)).__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        chunks = [t.split() if p is None else () for t, p in zip(texts, pieces)]
+        known = self.pieces.__getitem__
+        other = self.chunks.ready(set().union(*chunks)).__getitem__
+        return [b"".join(map(other, c)) if p is None else b"".join(map(known, p)) for p, c in zip(pieces, chunks)]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _encoder(spec: Broadcast) -> ChunkEncoder:
+def _encoder(spec: Broadcast) -> WordEncoder:
     """One encoder for each vocabulary and Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
     if spec.value not in _ENCODERS:
-        _ENCODERS[spec.value] = ChunkEncoder(spec.value)
+        _ENCODERS[spec.value] = WordEncoder(spec.value)
     return _ENCODERS[spec.value]
 
 
