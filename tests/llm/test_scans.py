@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import regex
 
@@ -64,6 +66,95 @@ def test_contexts_are_learnt(spark):
         assert got[doc_id] == joined(spans), text
 
 
+def learnt(rows: list[tuple], confidence: float, support: int) -> tuple[dict, dict]:
+    """Good contexts with their generations, and the added spans of each document, in plain Python."""
+    def around(text: str, start: int, end: int) -> set:
+        space = "[ \\n\\t\\r\\f\\v]+"
+        before, after = re.split(space, text[:start].lower()), re.split(space, text[end:].lower())
+        out = set()
+        if not regex.search(r"[\p{L}\p{N}]", before[-1]):
+            words = [w for w in before[:-1] if w]
+            out |= {" ".join(words[-k:]) + " " for k in (1, 2, 3) if len(words) >= k}
+        if not regex.search(r"[\p{L}\p{N}]", after[0]) and len(after) > 1 and after[1]:
+            out.add(" " + after[1])
+        return out
+
+    edges, known, tokens, times = Counter(), set(), [], Counter()
+    for doc_id, text in rows:
+        words = text.lower().split()
+        times.update(" ".join(words[i:i + k]) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+        spans = base(text)
+        for start, _, end in spans:
+            known.add(text[start:end])
+            edges.update((c, text[start:end]) for c in around(text, start, end))
+        for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", text):
+            if any(s[0] < m.end() and m.start() < s[2] for s in spans):
+                continue
+            core = regex.search(r"[\p{L}\p{N}](.*[\p{L}\p{N}])?", m.group())
+            start, end = m.start() + core.start(), m.start() + core.end()
+            if end - start >= 6 and len(re.findall("[0-9@]", core.group())) >= 2:
+                own = around(text, start, end)
+                tokens.append((doc_id, start, end, own))
+                edges.update((c, core.group()) for c in own)
+    good: dict = {}
+    for generation in range(1, 100):
+        def sure(v: str) -> float:
+            return 1 if v in known else 1 - math.prod(1 - good[c][0] for c, w in edges if w == v and c in good)
+        new = {}
+        for c in {c for c, _ in edges} - set(good):
+            own = [(n, sure(v)) for (d, v), n in edges.items() if d == c]
+            score = min(1, sum(n * s for n, s in own) / times[c.strip(" ")])
+            if score >= confidence and sum(s >= confidence for _, s in own) >= support:
+                new[c] = (score, generation)
+        if not new:
+            break
+        good |= new
+    added: dict = {}
+    for doc_id, start, end, own in tokens:
+        if own & set(good):
+            added.setdefault(doc_id, []).append((start, 4, end))
+    return good, added
+
+
+def test_contexts_of_several_generations(spark):
+    rnd = random.Random(11)
+    words = "river stone walk under bright sky winter friend house tree".split()
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    code = lambda a, i: f"{a}-{7000 + i}"
+    texts = [f"{prose(5)} contact: user{i}@mail.example.com {prose(4)}" for i in range(60)]
+    texts += [f"{prose(5)} contact: <{code('U', i)}>, {prose(4)}" for i in range(6)]         # learnt behind contact:
+    texts += [f"{prose(3)} ref: {code('U', i)}\n{prose(4)}" for i in range(6)]               # which teach ref:
+    texts += [f"{prose(3)} ref: {code('V', i)} {prose(4)}" for i in range(1)]
+    texts += [f"{prose(3)} my number is {code('V', 0)} {prose(2)}"] * 2
+    texts += [f"{prose(3)} my number is {code('U', i)} {prose(2)}" for i in range(6)]        # "is" alone is no context
+    texts += [f"{prose(3)} my number is {code('W', i)} {prose(2)}" for i in range(1)]
+    texts += [f"the sky is {w} and is {w}" for w in words]
+    texts += [f"{prose(2)} {code('U', i)} (account) {prose(2)}" for i in range(5)] + [f"{code('X', 1)} (account)"]   # right context
+    texts += [f"under user{i}@mail.example.com and under {code('Z', i)} sky" for i in range(5)]
+    texts += [f"mail:user{i}@mail.example.com glued:{code('Y', i)}" for i in range(8)]
+    texts += ["", "_ _ 123456 _", f"{code('U', 1)} {code('U', 2)} {code('U', 3)}"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    good, added = learnt(rows, 0.8, 3)
+    assert max(g for _, g in good.values()) >= 3 and {"ref: ", "number is ", " (account)"} <= set(good) and "is " not in good
+    found = personal_data.base_spans(docs)
+    got = {r.context: (r.score, r.generation) for r in personal_data.good_contexts(found, docs).collect()}
+    assert {c: g for c, (_, g) in got.items()} == {c: g for c, (_, g) in good.items()}
+    assert all(abs(got[c][0] - good[c][0]) < 1e-5 for c in good)
+    spans = {r.doc_id: r.spans for r in personal_data.span_digests(personal_data.personal_data(docs)).collect()}
+    assert spans == {i: joined(sorted(base(t) + added.get(i, []))) for i, t in rows}
+    first = {r.context for r in personal_data.good_contexts(found, docs, rounds=1).collect()}
+    assert first == {c for c, (_, g) in good.items() if g == 1}
+
+
+def test_contexts_counted_without_broadcast(spark, monkeypatch):
+    rows = [(i, f"contact: user{i}@mail.example.com end") for i in range(20)] + [(50, "contact: U-123456 end"), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, personal_data.good_contexts(personal_data.base_spans(docs), docs).collect()))
+    monkeypatch.setattr(personal_data, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, personal_data.good_contexts(personal_data.base_spans(docs), docs).collect())) == want != []
+
+
 def test_personal_data_of_odd_documents(odd, none):
     rows = personal_data.span_digests(personal_data.personal_data(odd)).collect()
     assert len(rows) == odd.count() and all(r.spans == "" for r in rows)
