@@ -224,7 +224,7 @@ def _even(x: str) -> str:
 def evaluation() -> dict[str, str]:
     from stallmark.operators.evaluate import ACCURACIES, PERCENTS
     shown = "SELECT provider, " + ", ".join(f"{_even(c + ' * 100.0::DOUBLE')} AS {c}" for c in PERCENTS) + " FROM summary"
-    return {
+    texts = {
         "v01_sentiment_vs_stars": judged(EVALUATED + """SELECT provider, acc AS sentiment_vs_stars_acc, f1 AS sentiment_vs_stars_f1
             FROM sa JOIN f_star USING (provider)"""),
         "v02_gold_scores": judged(EVALUATED + """SELECT provider, gold_n, complaint_acc AS complaint_topic_acc, sent_acc AS gold_sentiment_acc,
@@ -245,6 +245,8 @@ def evaluation() -> dict[str, str]:
             SELECT a.provider, 'rules' AS baseline, metric, a.pct, b.pct AS baseline_pct, {_even("a.pct - b.pct")} AS points
             FROM longer a JOIN longer b USING (metric) WHERE a.provider <> 'rules' AND b.provider = 'rules'"""),
     }
+    # The same results from stored counts.
+    return texts | {f"{name}_stored": texts[name] for name in ("v04_summary", "v05_topic_matrix")}
 
 
 # ---- pack --------------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ from stallmark.functions.time import parse_ts
 from stallmark.operators import evaluate, labelling, picking, quality, replies, sqlaudit, star
 from stallmark.operators.durable import shared_folder
 from stallmark.plans import measures as M
-from stallmark.plans import pack, stored_measures
+from stallmark.plans import pack, stored_evaluation, stored_measures
 from stallmark.plans import queries as Q
 from stallmark.plans.catalog import run_catalog
 from stallmark.schemas import GOLD_COLUMNS, LABEL_COLUMNS, RAW_FILES, REVIEW_KEY, STAR_TABLES
@@ -276,12 +276,28 @@ def _judge(plan: Callable[..., DataFrame]) -> Query:
     return run
 
 
+def _from_counts(plan: Callable[[DataFrame], DataFrame]) -> Query:
+    """From stored counts: two deliveries of labels, one of them repeated, and human labels in two deliveries."""
+    def run(spark: SparkSession, path: str) -> DataFrame:
+        reviews, folder = derived.derive_star(spark, path, labels=False)["fact_reviews"], _folder(spark)
+        labels, gold = derived.derive_labels(reviews), derived.derive_gold(spark, path, reviews)
+        half = lambda df, i: df.filter(F.pmod(F.xxhash64(*REVIEW_KEY), F.lit(2)) == i)
+        for delivery in ("first", "first"):
+            stored_evaluation.add_labels(half(labels, 0), reviews, half(gold, 0), folder, delivery)
+        stored_evaluation.add_gold(half(gold, 1), half(labels, 0), reviews, folder, "human")
+        stored_evaluation.add_labels(half(labels, 1), reviews, gold, folder, "second")
+        return plan(stored_evaluation.read_counts(spark, folder))
+    return run
+
+
 def evaluation() -> dict[str, Query]:
     ev = evaluate
     return {
         "v01_sentiment_vs_stars": _judge(lambda labels, reviews, gold: ev.sentiment_vs_stars(labels, reviews)),
         "v02_gold_scores": _judge(lambda labels, reviews, gold: ev.gold_scores(gold, labels)),
         "v04_summary": _judge(ev.summary),
+        "v04_summary_stored": _from_counts(stored_evaluation.summary_of),
+        "v05_topic_matrix_stored": _from_counts(stored_evaluation.topic_matrix_of),
         "v04_summary_percent": _judge(lambda **given: ev.as_percent(ev.summary(**given))),
         "v05_topic_matrix": _judge(lambda labels, reviews, gold: ev.topic_matrix(gold, labels)),
         "v06_disagreements": _judge(lambda labels, reviews, gold: ev.disagreements(gold, labels)),
