@@ -20,16 +20,18 @@ from .ordering import number_rows
 BATCH_SIZE = 10
 MAX_TEXT = 600
 MAX_SUMMARY = 120
+SUMMARY_WORDS = 12  # fixed value: what the labeller is asked for
 
 
 
 def label_instructions(topics: dict[str, str] = tx.TOPIC_MEANINGS, urgencies: dict[str, str] = tx.URGENCY_MEANINGS,
-                       sentiments: list[str] = tx.SENTIMENTS) -> str:
+                       sentiments: list[str] = tx.SENTIMENTS, summary_words: int = SUMMARY_WORDS) -> str:
     """What a labeller must know: the form of the answer, and every allowed value with its meaning."""
     listed = lambda meanings: "\n".join(f"- {name}: {meaning}" for name, meaning in meanings.items())
     return (
         'Label every review below. Answer with one JSON object {"results": [...]} holding, per review and in this '
-        'order, its "id", "sentiment", "topic", "urgency" and a short English "summary_en".\n'
+        'order, its "id", "sentiment", "topic", "urgency" and "summary_en", '
+        f"an English summary of at most {summary_words} words.\n"
         f"sentiment is one of: {', '.join(sentiments)}.\n"
         f"topic is the main one of:\n{listed(topics)}\nurgency is one of:\n{listed(urgencies)}")
 
