@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and go on from there: later steps read the columns they need, and with ``by``
+    only the rows of the values they ask for. Column names must differ."""
+    path, schema = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}", df.schema
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path).select(*df.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 

@@ -13,7 +13,7 @@ from ..functions.fence import compute_once
 from ..functions.text import strip
 from ..schemas import LABEL_COLUMNS, REVIEW_KEY
 from ..sources import label_store
-from .durable import settle
+from .durable import keep
 from .ordering import number_rows
 
 # Limits of the exchange with the labeller.
@@ -175,14 +175,14 @@ def ask_all(prompts: DataFrame, ask: Callable[[str], str | None], parallelism: i
 def _asked(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
     """Labels of numbered reviews, and the kept replies."""
     prompts = pack_prompts(sent, options["text"], options["instructions"], options["max_text"])
-    said = settle(ask_all(prompts, ask, options["parallelism"]))
-    return parse_replies(said, options["max_summary"]), said
+    said = keep(ask_all(prompts, ask, options["parallelism"]))
+    return keep(parse_replies(said, options["max_summary"])), said
 
 
 def _two_rounds(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
     """Labels (key, fields) of numbered reviews after a second round for what is missing, and all replies."""
     first, said = _asked(sent, ask, options)
-    again = settle(number_batches(retry_set(sent, first).select(*REVIEW_KEY, options["text"]), 1))
+    again = keep(number_batches(retry_set(sent, first).select(*REVIEW_KEY, options["text"]), 1))
     second, said_again = _asked(again, ask, options)
     both = (sent.join(first, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)
             .unionByName(again.join(second, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)))
@@ -206,7 +206,7 @@ def label_with(
     result and are picked up by the next run. ``max_text=None`` sends whole texts.
     """
     cut = reviews.select(*REVIEW_KEY, cut_text(F.col(text), max_text).alias(text))
-    sent = settle(number_batches(cut, size))
+    sent = keep(number_batches(cut, size))
     both, _ = _two_rounds(sent, ask, _options(text, instructions, max_text, max_summary, parallelism))
     return both.withColumn("provider", F.lit(provider)).select(*LABEL_COLUMNS)
 
@@ -219,20 +219,32 @@ def label_into(
     """Label what the label store at ``path`` has no label of this provider for, and store it wave by wave.
 
     After every ``per_wave`` batches the labels are appended, so a run that is stopped loses one wave at most and the
-    next run asks only for the rest. Returns the numbers of calls, of calls that failed, and of labels stored.
+    next run asks only for the rest. Returns the numbers of calls, of calls that failed, and of labels stored. A wave reads its
+    own rows only and not the labels stored before it: nothing else may store labels of this provider meanwhile.
     """
     options = _options(text, instructions, max_text, max_summary, parallelism)
     dated = label_store.with_month(reviews)
-    cut = dated.select(*REVIEW_KEY, "month", cut_text(F.col(text), max_text).alias(text), F.lit(provider).alias("provider"))
-    sent = settle(number_batches(label_store.not_stored(cut, path).drop("provider"), size))
-    last = sent.agg(F.max("batch")).first()[0]
+    cut = keep(dated.select(*REVIEW_KEY, "month", cut_text(F.col(text), max_text).alias(text), F.lit(provider).alias("provider")))
+    numbered = number_batches(label_store.not_stored(cut, path).drop("provider"), size)
+    sent = keep(numbered.withColumn("wave", F.call_function("div", F.col("batch"), F.lit(per_wave).cast("bigint"))), "wave")
+    last = sent.agg(F.max("wave")).first()[0]
+    keys = sent.groupBy(*REVIEW_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("wave").alias("low"), F.max("wave").alias("high"))
+    repeated = keep(keys.filter("n > 1"))
+    unique = repeated.isEmpty()
+    # Rows of one key have neighbouring numbers, so few keys reach into a second wave.
+    crossing = repeated.filter("low < high").select(*REVIEW_KEY)
+    width = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = {"calls": 0, "failed": 0, "labels": 0}
-    for wave in range(0 if last is None else last // per_wave + 1):
-        rows = sent.filter(F.col("batch").between(wave * per_wave, (wave + 1) * per_wave - 1))
+    for wave in range(0 if last is None else last + 1):
+        rows = sent.filter(F.col("wave") == wave).drop("wave")
         both, said = _two_rounds(rows, ask, options)
-        labels = settle(both.withColumn("provider", F.lit(provider)).join(rows.select(*REVIEW_KEY, "month"), REVIEW_KEY)
-                        .select(*LABEL_COLUMNS, "month"))
-        label_store.append_labels(labels, path)
+        labels = keep(both.withColumn("provider", F.lit(provider)).join(rows.select(*REVIEW_KEY, "month"), REVIEW_KEY)
+                      .select(*LABEL_COLUMNS, "month"))
+        if unique:
+            label_store.write_new(labels, path, width)
+        else:
+            label_store.append_labels(labels.join(crossing, REVIEW_KEY, "left_semi"), path)
+            label_store.write_new(label_store.first_per_key(labels.join(crossing, REVIEW_KEY, "left_anti")), path, width)
         calls, failed = said.agg(F.count(F.lit(1)), F.count("error")).first()
         total = {"calls": total["calls"] + calls, "failed": total["failed"] + failed, "labels": total["labels"] + labels.count()}
     return total

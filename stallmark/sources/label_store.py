@@ -83,9 +83,11 @@ def append_labels(labels: DataFrame, path: str, months: list[str] | None = None)
     write_new(not_stored(first_per_key(labels), path, months), path)
 
 
-def write_new(labels: DataFrame, path: str) -> None:
-    """Append labels whose keys are known to be new: about one file for each source and month among them."""
-    _write(with_month(labels), path, "append")
+def write_new(labels: DataFrame, path: str, width: int | None = None) -> None:
+    """Append labels whose keys are known to be new: about one file for each source and month among them.
+
+    With ``width`` the months of a small batch are written by so many tasks, each month by one."""
+    _write(with_month(labels), path, "append", width)
 
 
 def replace_labels(labels: DataFrame, path: str) -> None:
@@ -108,8 +110,9 @@ def compact(spark: SparkSession, path: str, files: int = 8) -> list[tuple[str, s
     return crowded
 
 
-def _write(labels: DataFrame, path: str, mode: str) -> None:
-    (labels.select(*LABEL_COLUMNS, _MONTH).hint("rebalance", "provider", _MONTH)
+def _write(labels: DataFrame, path: str, mode: str, width: int | None = None) -> None:
+    rows, parts = labels.select(*LABEL_COLUMNS, _MONTH), ["provider", _MONTH]
+    ((rows.repartition(width, *parts) if width else rows.hint("rebalance", *parts))
      .write.mode(mode).partitionBy("provider", _MONTH).parquet(path))
 
 
