@@ -2,8 +2,8 @@
 
 A store has three tables. ``cells`` holds the sums of all measures for each month and combination of the attributes it was made
 for. ``people`` gives each customer a number, in the order of their first month, so that those of a month lie close
-together. ``buyers`` holds, for the same combinations, bitmaps of the numbers of customers with a delivered order: bits
-of 32,768 numbers each, merged by OR, so distinct customers stay exact under any merging.
+together. ``buyers`` holds, for the same combinations, bitmaps of the numbers of customers with a delivered order: words
+of 64 numbers each, merged by OR, so distinct customers stay exact under any merging, and few customers take little room.
 
 An order counts once for each category or seller it has an item of and once in a total, which sums of categories would not
 give. So rows are stored for each choice of item attributes that are told apart (``choice``), and a query reads those of
@@ -24,6 +24,8 @@ from . import measures as M
 from .frames import Tables
 
 PERSON = "customer_unique_id"
+#: Numbers of customers in a word of bits.
+WORD = 64
 _COUNTS = ["delivered_orders", "late_orders", "_known", "_timed", "_reviews", "_scored", "_points", "_low",
            "labelled_reviews", "negative_reviews", "high_urgency_reviews"]
 _SUMS = ["_revenue", "_days", "_scored_0", "_scored_1", "_points_0", "_points_1"]
@@ -71,8 +73,9 @@ def _write(tables: Tables, path: str, by: list[str], months: Sequence[str] | Non
 
     store(rows.groupBy("year_month", *keys).agg(*M._sums()), "cells")
     delivered = rows.filter(F.col("order_status") == fr.DELIVERED).join(people, PERSON)
-    store(delivered.groupBy("year_month", *keys, F.bitmap_bucket_number("person").alias("bucket"))
-          .agg(F.bitmap_construct_agg(F.bitmap_bit_position("person")).alias("bits")), "buyers")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("person") % WORD).cast("int"))
+    store(delivered.groupBy("year_month", *keys, F.call_function("div", F.col("person"), F.lit(WORD).cast("bigint")).alias("word"))
+          .agg(F.bit_or(one).alias("bits")), "buyers")
 
 
 def _customers(tables: Tables, months: Sequence[str] | None) -> DataFrame:
@@ -148,8 +151,8 @@ def stored_measures(spark: SparkSession, path: str, by: Sequence[str] = (), filt
 
     keys = [*by, "level"]
     sums = of_sets(_table(spark, path, "cells", filters))
-    merged = of_sets(_table(spark, path, "buyers", filters)).groupBy(*keys, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    people = merged.select(*keys, F.bitmap_count("bits").alias("customers"))
+    merged = of_sets(_table(spark, path, "buyers", filters)).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+    people = merged.select(*keys, F.bit_count("bits").cast("long").alias("customers"))
     rows = sums.select(*keys, *_COUNTS, *_SUMS).unionByName(people, allowMissingColumns=True)
     grouped = rows.groupBy(*keys) if by or totals else rows.groupBy()
     done = grouped.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*_COUNTS, "customers")), *(F.sum(c).alias(c) for c in _SUMS))
