@@ -28,7 +28,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the smallest id: five words, Jaccard index of 0.8."""
+    """One document of each group of near-duplicates, the smallest id: five words, Jaccard index of 0.8. Candidates come from
+    SimHash fingerprints by the generalised pigeonhole, and from keys of minima for what lies beyond their distance."""
     return similar.keep_one(docs)
 
 
@@ -37,9 +38,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+#: What a worker of the last stage remembers, half of the default: the executors still hold what the stages before took.
+REMEMBERED, PAIRS = bpe.REMEMBERED // 2, bpe.PAIRS // 2
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the text that the ids decode to."""
-    coded = bpe.encode(docs, vocabulary_path(), decoded=True)
+    coded = bpe.encode(docs, vocabulary_path(), decoded=True, remembered=REMEMBERED, pairs=PAIRS)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import WORD, Memory, slices
+from .chunks import WORD, Memory, frugal, slices
 from .vocabulary import BATCH_BYTES, LOW, NEVER, Cutter, Vocabulary, merge, once, share
 
 #: Units of one generation of remembered chunks and of pre-tokens, and entries of one of pairs.
@@ -53,14 +53,14 @@ class Recent(dict):
 
 
 class Codec:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED, pairs: int = PAIRS):
         self.tokens, self.merges, self.special = vocabulary.tokens, vocabulary.merges, vocabulary.special
         self.whole = vocabulary.whole
         self.bytes = {i: t for t, i in vocabulary.tokens.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cutter = Cutter(vocabulary)
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
-        self.pieces, self.chunks = Memory(self._pieces, REMEMBERED), Memory(self._chunks, REMEMBERED)
-        self.compatible = Recent(self.fits, PAIRS)
+        self.pieces, self.chunks = Memory(self._pieces, remembered), Memory(self._chunks, remembered)
+        self.compatible = Recent(self.fits, pairs)
         # Rank of the merge that makes each token, and what it merges; none if a token comes of several merges.
         self.halves = {found & LOW: (pair >> 32, pair & LOW) for pair, found in self.merges.items()}
         ranks = {found & LOW: found >> 32 for found in self.merges.values()}
@@ -139,11 +139,12 @@ class Codec:
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
-           decoded: bool = False) -> DataFrame:
+           decoded: bool = False, remembered: int = REMEMBERED, pairs: int = PAIRS) -> DataFrame:
     """doc_id and ids (array<int>) of each row; with ``decoded`` also the text that the ids decode to.
 
     Special strings inside texts become their special id, nothing is added at the ends. Null and empty texts have no
-    ids. Repeated rows stay repeated, other columns are not read, an empty table gives an empty result.
+    ids. Repeated rows stay repeated, other columns are not read, an empty table gives an empty result. ``remembered``
+    and ``pairs`` bound what a worker keeps in memory and change no result.
     """
     shared = share(docs.sparkSession, vocabulary)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
@@ -151,7 +152,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                           + [T.StructField("decoded", T.StringType())] * decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = once(Codec, shared)
+        codec = once(Codec, shared, remembered, pairs)
         for part, texts in slices(batches, "_text", BATCH_BYTES):
             coded = codec.encode_all([t.decode() for t in texts])
             offsets = pa.array(np.append(0, np.cumsum([len(c) // 4 for c in coded])).astype(np.int32))
@@ -160,7 +161,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                 columns.append(pa.array([codec.decode(array("i", c).tolist()) for c in coded], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -21,6 +21,16 @@ SEED = 42
 BLOCK = 1 << 16
 
 
+def ones_in(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits, highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def of_majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits more than half of ``n`` hashes have, unsigned."""
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The fingerprint of one text, unsigned."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -35,9 +45,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         pairs = zip(starts[at:min(n, at + BLOCK)].tolist(), ends[at:at + BLOCK].tolist())
-        hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in pairs], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        ones += ones_in(np.array([xxh64_intdigest(line[a:b], SEED) for a, b in pairs], np.uint64))
+    return of_majority(ones, n)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes at hand; of none, 0."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += ones_in(hashes[at:at + BLOCK])
+    return of_majority(ones, len(hashes))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: dict[str, Column] | None = None,

@@ -1,11 +1,13 @@
-"""Near-duplicates by the Jaccard index of word shingles: candidates by MinHash bands, every link checked exactly.
-
-1. A text is its set of hashed shingles (words as in ``fingerprint64``). ``bands`` keys are made of ``rows`` minima of the set
-   each: two texts at index J share one with a chance of 1 - (1 - J^rows)^bands. ``banding`` chooses both for a threshold
-   and a recall. Equal sets collapse first, so exact copies cost one row.
-2. In each key all texts are compared with the one that shares most keys with others. That is near the text that copies were
-   made of, so a group of near copies mostly hangs together after as many comparisons as it has texts.
-3. Keys whose texts are not connected by then are cut into tiles of TILE texts a side. A task compares the sets of a tile by a
+"""Near-duplicates by the Jaccard index of word shingles: candidates by SimHash and by MinHash bands, every link checked exactly.
+
+1. A text is its set of hashed shingles (words as in ``fingerprint64``). Equal sets collapse first, so exact copies cost one row.
+2. The SimHash of a set is the majority of its hashes, bit by bit. ``pigeonhole`` connects fingerprints of at most DISTANCE
+   bits; its edges, and sets of one fingerprint, are candidates. At an index of 0.8 about 10 bits differ, so further ones are needed:
+3. ``bands`` keys are made of ``rows`` minima of the set each: two texts at index J share one with a chance of
+   1 - (1 - J^rows)^bands. ``banding`` chooses both for a threshold and a recall. In each key all texts are compared with the
+   one that shares most keys with others. That is near the text that copies were made of, so a group of near copies mostly
+   hangs together after as many comparisons as it has texts.
+4. Keys whose texts are not connected by then are cut into tiles of TILE texts a side. A task compares the sets of a tile by a
    matrix product and gives back a spanning forest of its links, so no pair becomes a row. Connectivity is exact for
    the texts that share a key.
 """
@@ -23,12 +25,17 @@ from xxhash import xxh64_intdigest
 
 from stallmark.operators.durable import settle
 
+from .chunks import frugal, slices
 from .components import components
-from .fingerprint64 import SEED
+from .fingerprint64 import SEED, set_fingerprint
 from .pigeonhole import Forest
+from .pigeonhole import links as fingerprint_links
 from .spotsigs import likeness
+from .vocabulary import BATCH_BYTES
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Bits in which fingerprints of candidates differ at most.
+DISTANCE = 3
 #: Chance that two texts at the threshold share a key, and most keys, unless keys of two minima need more.
 RECALL, BANDS = 0.9999, 32
 #: Hashes whose minima are taken at once.
@@ -86,35 +93,50 @@ def _lists(values: list, sizes: list[int]) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, key: Column, text: str, shingle: int, shape: tuple[int, int]) -> DataFrame:
-    """(key, fp, n, bands): the name of the text's set, its size and its band keys."""
+    """(key, fp, n, simhash, bands): the name of the text's set, its size, fingerprint and band keys."""
     rows = docs.select(key.alias("key"), F.col(text).alias("text"))
-    schema = rows.select("key", F.lit(0).cast("long").alias("fp"), F.lit(0).alias("n"), F.array().cast("array<long>").alias("bands")).schema
+    long = F.lit(0).cast("long")
+    schema = rows.select("key", long.alias("fp"), F.lit(0).alias("n"), long.alias("simhash"),
+                         F.array().cast("array<long>").alias("bands")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permutations = _permutations(math.prod(shape))
-        for batch in batches:
-            names, sizes, bands = [], [], []
-            for t in batch["text"]:
-                found = shingles(t.as_py(), shingle)
+        for part, texts in slices(batches, "text", BATCH_BYTES):
+            names, sizes, prints, bands, many = [], [], [], [], []
+            for t in texts:
+                found = shingles(t.decode(), shingle)
+                own = band_keys(found, *shape, permutations) if len(found) else []
                 names.append(_name(found))
                 sizes.append(len(found))
-                bands.append(band_keys(found, *shape, permutations) if len(found) else [])
+                prints.append(set_fingerprint(found))
+                bands.extend(own)
+                many.append(len(own))
             yield pa.RecordBatch.from_arrays(
-                [batch["key"], _signed(names), pa.array(sizes, pa.int32()), _lists(sum(bands, []), [len(b) for b in bands])],
-                ["key", "fp", "n", "bands"])
+                [part["key"], _signed(names), pa.array(sizes, pa.int32()), _signed(prints), _lists(bands, many)], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(fp, found): the sets of ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch["text"]:
-                found = shingles(t.as_py(), shingle)
-                yield pa.RecordBatch.from_arrays([_signed([_name(found)]), _lists(found, [len(found)])], ["fp", "found"])
+        for _, own in slices(batches, "text", BATCH_BYTES):
+            found = [shingles(t.decode(), shingle) for t in own]
+            yield pa.RecordBatch.from_arrays(
+                [_signed([_name(f) for f in found]), _lists(np.concatenate(found), [len(f) for f in found])], ["fp", "found"])
+
+    return texts.select("text").mapInArrow(frugal(run), "fp long, found array<long>")
+
 
-    return texts.select("text").mapInArrow(run, "fp long, found array<long>")
+def _near_fingerprints(each: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of sets: those of one fingerprint with one of them, and those that stand for fingerprints with an edge."""
+    marked = each.filter("n > 0").select("fp", "simhash")
+    marks = settle(marked.groupBy("simhash").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("many")))
+    edges = settle(fingerprint_links(marks.select(F.col("simhash").alias("fp")), distance))
+    end = lambda c: marks.select(F.col("simhash").alias(c), F.col("hub").alias(f"hub_{c}"))
+    same = (marked.join(marks.filter("many > 1"), "simhash").filter("fp <> hub")
+            .select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+    return same.union(edges.join(end("a"), "a").join(end("b"), "b").select("hub_a", "hub_b"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -179,15 +201,16 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                 threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+                 threshold: float = THRESHOLD, recall: float = RECALL, distance: int = DISTANCE) -> DataFrame:
     """(key, root): the first row (last, id, hash) of each set of shingles, and the name of its group.
 
-    ``recall`` is the chance of a pair at the threshold to be compared at all; pairs above it have a higher one. Null and blank
-    texts have one and the same empty set. Extra columns are not read; an empty table gives an empty result.
+    ``recall`` is the chance of a pair at the threshold to share a key, so to be compared at all; pairs above it have a higher
+    one, and fingerprints of at most ``distance`` bits add to it. Null and blank texts have one and the same empty set. Extra columns are not read; an empty table gives an empty result.
     """
     key = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"))
     each = settle(_sketches(docs, key, text, shingle, banding(threshold, recall)).groupBy("fp").agg(
-        F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+        F.min("key").alias("key"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands")))
+    near = settle(_near_fingerprints(each, distance))
     banded = each.select("fp", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     met = settle(banded.join(shared, "band"))
@@ -196,8 +219,10 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     hubs = met.groupBy("band").agg(F.max(F.struct("score", "fp", "n")).alias("hub"))
     alike = F.least("n", "hub.n") >= F.greatest("n", "hub.n") * threshold - 1e-9
     stars = (met.join(hubs, "band").filter(F.col("fp") != F.col("hub.fp")).filter(alike)
-             .select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct())
-    wanted = each.join(scores.select("fp"), "fp", "left_semi")
+             .select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).union(near)
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp"))
+    wanted = each.join(scores.select("fp").union(ends).distinct(), "fp", "left_semi")
     sets = settle(_sets(_joined(wanted, _rows(docs, doc_id, text, F.col(text).alias("text"))), shingle))
     links = settle(_linked(stars, sets, threshold))
     roots = components(links)
@@ -211,11 +236,11 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-             threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+             threshold: float = THRESHOLD, recall: float = RECALL, distance: int = DISTANCE) -> DataFrame:
     """Rows of ``docs`` with one document of each group: the smallest id, null ids last, ties by a hash of the text.
 
     Documents whose sets of shingles have a Jaccard index of ``threshold`` or more are linked; groups are what links
     connect. Blank and null texts are one group. All columns stay. Of repeated rows one stays.
     """
-    chosen = similar_sets(docs, doc_id, text, shingle, threshold, recall).groupBy("root").agg(F.min("key").alias("key"))
+    chosen = similar_sets(docs, doc_id, text, shingle, threshold, recall, distance).groupBy("root").agg(F.min("key").alias("key"))
     return _joined(settle(chosen), _rows(docs, doc_id, text, F.expr("struct(*)").alias("row"))).select("row.*")

@@ -170,15 +170,15 @@ class Cutter:
         yield text[at:], None
 
 
-_BUILT: dict[tuple[str, str], object] = {}
+_BUILT: dict[tuple, object] = {}
 
 
-def once(kind: Callable, shared: Broadcast):
-    """One ``kind(vocabulary)`` for each vocabulary and Python worker."""
+def once(kind: Callable, shared: Broadcast, *limits: int):
+    """One ``kind(vocabulary, *limits)`` for each vocabulary, limits and Python worker."""
     vocabulary = shared.value
-    key = (kind.__name__, vocabulary.digest)
+    key = (kind.__name__, vocabulary.digest, *limits)
     if key not in _BUILT:
-        _BUILT[key] = kind(vocabulary)
+        _BUILT[key] = kind(vocabulary, *limits)
     return _BUILT[key]
 
 

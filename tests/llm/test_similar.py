@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from stallmark.llm import similar
+from stallmark.llm import bpe, similar
+from stallmark.llm.queries import vocabulary_path
 from tests.conftest import SMALL
 
 
@@ -104,3 +105,28 @@ def test_odd_documents(odd, none):
     want = firsts([(last(r.doc_id), r.text or "") for r in rows])
     assert Counter(last(r.doc_id) for r in got.collect()) == Counter(d for d, _ in want.elements())
     assert similar.keep_one(none).collect() == []
+
+
+def test_near_fingerprints_are_candidates(spark, monkeypatch):
+    """Without any key, sets whose fingerprints differ in few bits are still compared, and linked if their index allows it."""
+    monkeypatch.setattr(similar, "band_keys", lambda found, *shape: [])
+    rnd = random.Random(3)
+    rows = []
+    for i in range(30):
+        text = [f"w{rnd.randrange(4000)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-1], "other"]))]
+    found = [similar.shingles(t) for _, t in rows]
+    prints = [similar.set_fingerprint(f) for f in found]
+    near = {i for i in range(0, 60, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= similar.DISTANCE}
+    assert len(near) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == set(range(60)) - {i + 1 for i in near}
+    # Fingerprints may be as far as they like: texts that are not alike stay.
+    apart = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e x y z")], "doc_id long, text string")
+    assert similar.keep_one(apart, distance=20).count() == 2
+
+
+def test_what_is_remembered_changes_no_ids(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    little = bpe.encode(docs, vocabulary_path(), decoded=True, remembered=1 << 10, pairs=50)
+    assert sorted(little.collect()) == sorted(bpe.encode(docs, vocabulary_path(), decoded=True).collect())
