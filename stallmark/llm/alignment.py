@@ -83,17 +83,21 @@ class Aligner:
         self.before = len(self.second.encode("z"))
         self.words, self.marks, self.memory = Memory(self._words), Memory(self._marks), Memory(self._chunks, fixed=200)
 
-    def _first(self, piece: str) -> bytes:
-        """Ids of a pre-token on the first side."""
-        return array("i", [t.id for t in self.first.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+    def _first(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of pre-tokens without line breaks on the first side; their bytes become letters in one go."""
+        letters = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        tokenize = self.first.model.tokenize
+        return (array("i", [t.id for t in tokenize(piece)]).tobytes() for piece in letters)
 
     def _words(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for word, b in zip(words, self.second.encode(words, num_threads=1)):
-            yield self._first(" " + word), array("i", b).tobytes()
+        if words:
+            for a, b in zip(self._first([" " + w for w in words]), self.second.encode(words, num_threads=1)):
+                yield a, array("i", b).tobytes()
 
     def _marks(self, marks: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for run, b in zip(marks, self.second.encode(["z" + m for m in marks], num_threads=1)):
-            yield self._first(run), array("i", b[self.before:]).tobytes()
+        if marks:
+            for a, b in zip(self._first(marks), self.second.encode(["z" + m for m in marks], num_threads=1)):
+                yield a, array("i", b[self.before:]).tobytes()
 
     def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
         """32-bit ids on both sides; none if a side does not give the chunk's bytes back. Marks apart from the word before them."""

@@ -122,3 +122,11 @@ def test_products_of_sparse_matrices(monkeypatch):
         assert (dense == a @ b).all()
         back = of(a).transposed()
         assert back.height == m and (back.indices < n).all()
+
+
+def test_pre_tokens_are_encoded_together():
+    with open(FIRST, encoding="utf-8") as a, open(SECOND, "rb") as b:
+        aligner = alignment.Aligner(a.read(), b.read())
+    pieces = [" a", " ÿÀé", "!?", " Straße", " " + "x" * 300]
+    assert [np.frombuffer(i, np.int32).tolist() for i in aligner._first(pieces)] == [
+        aligner.first.encode(p, add_special_tokens=False).ids for p in pieces]
