@@ -162,23 +162,27 @@ def data_quality() -> dict[str, Query]:
     }
 
 
-def _human_keys(spark: SparkSession, path: str) -> DataFrame:
+def _reviews(spark: SparkSession, path: str) -> DataFrame:
+    """The reviews, derived once and kept: what is picked or numbered reads them several times."""
+    return keep(derived.derive_star(spark, path, labels=False)["fact_reviews"])
+
+
+def _human_keys(spark: SparkSession, path: str, reviews: DataFrame) -> DataFrame:
     """Keys of the reviews with a human label."""
-    reviews = picking.with_text(derived.derive_star(spark, path, labels=False)["fact_reviews"])
     human = derived.read_input(spark, path, "labels").select(
         F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("order_id"))
-    return reviews.join(human, "order_id").select(*REVIEW_KEY)
+    return picking.with_text(reviews).join(human, "order_id").select(*REVIEW_KEY)
 
 
-def _picked(spark: SparkSession, path: str) -> DataFrame:
-    reviews = derived.derive_star(spark, path, labels=False)["fact_reviews"]
-    return picking.pick_reviews(reviews, _human_keys(spark, path), SAMPLE_ROWS, SEED)
+def _picked(spark: SparkSession, path: str, reviews: DataFrame) -> DataFrame:
+    return picking.pick_reviews(reviews, _human_keys(spark, path, reviews), SAMPLE_ROWS, SEED)
 
 
 def _todo(key) -> Query:
     def run(spark: SparkSession, path: str) -> DataFrame:
-        done = derived.derive_star(spark, path)["review_ai_labels"].filter("sentiment = 'negative'")
-        return picking.todo(_picked(spark, path), done, key).select(*REVIEW_KEY)
+        tables = derived.derive_star(spark, path)
+        done = tables["review_ai_labels"].filter("sentiment = 'negative'")
+        return picking.todo(_picked(spark, path, tables["fact_reviews"]), done, key).select(*REVIEW_KEY)
     return run
 
 
@@ -186,16 +190,13 @@ def _texts(tables: dict[str, DataFrame]) -> DataFrame:
     return picking.with_text(tables["fact_reviews"])
 
 
-def _batches(spark: SparkSession, path: str) -> DataFrame:
-    texts = _texts(derived.derive_star(spark, path, labels=False)).select(*REVIEW_KEY, "comment_message")
-    return replies.number_batches(texts)
+def _batches(reviews: DataFrame) -> DataFrame:
+    return replies.number_batches(picking.with_text(reviews).select(*REVIEW_KEY, "comment_message"))
 
 
-def _stand_in_replies(spark: SparkSession, path: str) -> DataFrame:
+def _stand_in_replies(tables: dict[str, DataFrame]) -> DataFrame:
     """Replies of a stand-in labeller in the shapes and with the faults of real ones."""
-    labels = derived.derive_star(spark, path)["review_ai_labels"]
-    batches = _batches(spark, path)
-    said = batches.join(labels, REVIEW_KEY)
+    said = _batches(tables["fact_reviews"]).join(tables["review_ai_labels"], REVIEW_KEY)
     shape, place = F.col("batch") % 7, F.col("place")
     said_id = (F.when((shape == 1) & (place == 2), F.concat(F.lit("review "), place.cast("string")))
                .when((shape == 2) & (place == 5), F.lit("r4")).otherwise(F.col("id")))
@@ -218,8 +219,9 @@ def _stand_in_replies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _retry(spark: SparkSession, path: str) -> DataFrame:
-    parsed = replies.parse_replies(_stand_in_replies(spark, path))
-    return replies.retry_set(_batches(spark, path), parsed).select(*REVIEW_KEY, "batch", "id")
+    tables = derived.derive_star(spark, path)
+    parsed = replies.parse_replies(_stand_in_replies(tables))
+    return replies.retry_set(_batches(tables["fact_reviews"]), parsed).select(*REVIEW_KEY, "batch", "id")
 
 
 def _clean(tables: dict[str, DataFrame], **limits) -> DataFrame:
@@ -255,12 +257,12 @@ def labels() -> dict[str, Query]:
             picking.with_text(tables["fact_reviews"], min_length=None)).select(*LABEL_COLUMNS)),
         "r06_label_documents": _labelled_file("documents", "doc_id"),
         "r06_label_conversations": _labelled_file("conversations", "conv_id", "turn"),
-        "r07_pick_reviews": lambda spark, path: _picked(spark, path).select(*REVIEW_KEY),
+        "r07_pick_reviews": lambda spark, path: _picked(spark, path, _reviews(spark, path)).select(*REVIEW_KEY),
         "r08_todo": _todo(REVIEW_KEY),
         "r08_todo_by_review_id": _todo("review_id"),
-        "r09_pack_prompts": lambda spark, path: replies.pack_prompts(_batches(spark, path)),
-        "r09_pack_prompts_full_text": lambda spark, path: replies.pack_prompts(_batches(spark, path), max_text=None),
-        "r10_parse_replies": lambda spark, path: replies.parse_replies(_stand_in_replies(spark, path)),
+        "r09_pack_prompts": lambda spark, path: replies.pack_prompts(_batches(_reviews(spark, path))),
+        "r09_pack_prompts_full_text": lambda spark, path: replies.pack_prompts(_batches(_reviews(spark, path)), max_text=None),
+        "r10_parse_replies": on_labelled(lambda tables: replies.parse_replies(_stand_in_replies(tables))),
         "r11_clean_labels": on_star(_clean),
         "r11_clean_labels_full_summary": on_star(_clean, max_summary=None),
         "r12_retry_set": _retry,

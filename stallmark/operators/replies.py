@@ -80,7 +80,8 @@ def _json(text: Column) -> Column:
     The parser stops after the first value, so the text is read as the single element of an array.
     """
     wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(wrapped) == 1, wrapped[0])
+    # As the argument of a function the text is parsed once, however often the result is named.
+    return F.get(F.transform(F.array(wrapped), lambda w: F.when(F.size(w) == 1, F.get(w, 0))), 0)
 
 
 def read_replies(replies: DataFrame) -> DataFrame:
@@ -95,14 +96,12 @@ def read_replies(replies: DataFrame) -> DataFrame:
         replies.withColumn("_body", body),
         F.coalesce(_json(F.col("_body")), _json(F.regexp_extract("_body", _BRACKETS, 1))).alias("_value"))
     value = F.col("_value")
-    listed = (F.schema_of_variant(value).startswith("OBJECT")
-              & F.array_contains(F.json_object_keys(F.to_json(value)), "results"))
-    inner = read.withColumn(
-        "_inner", F.when(listed, F.try_variant_get(value, "$.results", "variant")).otherwise(value))
-    kind = F.schema_of_variant("_inner")
-    items = (F.when(kind.startswith("ARRAY"), F.try_variant_get("_inner", "$", "array<variant>"))
-             .when(kind.startswith("OBJECT"), F.array("_inner"))
-             .when(value.isNotNull(), F.array().cast("array<variant>")))
+    # A key that is there has a value, be it the null of JSON; what is no list is none of variants.
+    inner = compute_once(read, F.coalesce(F.try_variant_get(value, "$.results", "variant"), value).alias("_inner"))
+    items = F.coalesce(
+        F.try_variant_get("_inner", "$", "array<variant>"),
+        F.when(F.schema_of_variant("_inner").startswith("OBJECT"), F.array("_inner"))
+        .when(value.isNotNull(), F.array().cast("array<variant>")))
     return compute_once(inner, items.alias("items")).select(*replies.columns, "items")
 
 
@@ -149,14 +148,22 @@ def retry_set(sent: DataFrame, parsed: DataFrame) -> DataFrame:
     return sent.join(parsed.select("batch", "id"), ["batch", "id"], "left_anti")
 
 
+def dealt(rows: DataFrame, parallelism: int | None = None) -> DataFrame:
+    """Rows dealt out by batch to as many tasks as calls may run at once, by default one for each shuffle partition."""
+    return rows.repartition(parallelism or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch")
+
+
 def ask_all(prompts: DataFrame, ask: Callable[[str], str | None], parallelism: int | None = None) -> DataFrame:
     """(batch, n, reply, error) of the prompts. ``ask`` runs in the tasks, at most ``parallelism`` at once.
 
     A call that raises leaves an empty reply and its error, and never ends the job. Prompts are dealt out by batch to
     as many tasks as calls may run at once (by default one for each shuffle partition), whatever their size in bytes.
     """
-    width = parallelism or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _answers(dealt(prompts, parallelism), ask)
+
 
+def _answers(prompts: DataFrame, ask: Callable[[str], str | None]) -> DataFrame:
+    """As ``ask_all``, where the prompts are."""
     def answer(prompt: str) -> tuple[str, str | None]:
         try:
             return ask(prompt) or "", None
@@ -168,14 +175,14 @@ def ask_all(prompts: DataFrame, ask: Callable[[str], str | None], parallelism: i
             told = [answer(prompt) for prompt in batch["prompt"]]
             yield batch[["batch", "n"]].assign(reply=[t[0] for t in told], error=[t[1] for t in told])
 
-    return (prompts.repartition(width, "batch")
-            .mapInPandas(run, "batch bigint, n int, reply string, error string"))
+    return prompts.mapInPandas(run, "batch bigint, n int, reply string, error string")
 
 
 def _asked(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
-    """Labels of numbered reviews, and the kept replies."""
-    prompts = pack_prompts(sent, options["text"], options["instructions"], options["max_text"])
-    said = keep(ask_all(prompts, ask, options["parallelism"]))
+    """Labels of numbered reviews, and the kept replies. Reviews are dealt out before they are packed: a batch lies in one
+    task then, and what is shuffled has no instructions yet."""
+    prompts = pack_prompts(dealt(sent, options["parallelism"]), options["text"], options["instructions"], options["max_text"])
+    said = keep(_answers(prompts, ask))
     return keep(parse_replies(said, options["max_summary"])), said
 
 

@@ -55,3 +55,26 @@ def test_buyers_are_kept_in_short_words(spark, stored_star, tmp_path):
 def test_tables_of_the_catalogue_are_derived_once(spark):
     tables = derived.kept_star(spark, SMALL)
     assert not [name for name, df in tables.items() if "lineitem" in _plan(df) or "orders.parquet" in _plan(df)]
+
+
+@pytest.mark.parametrize("name", ["r07_pick_reviews", "r08_todo", "r09_pack_prompts", "r10_parse_replies", "r12_retry_set"])
+def test_reviews_are_derived_once(spark, name):
+    assert "o_orderkey" not in _plan(registry.queries()[name](spark, SMALL))
+
+
+def test_prompts_are_packed_where_they_are_asked(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(replies, "keep", lambda df: plans.append(_plan(df)) or derived.keep(df))
+    replies.label_with(_texts(spark, range(40)), registry.stand_in_labeller, "x", parallelism=3)
+    asked = [p for p in plans if "MapInPandas" in p]
+    assert len(asked) == 2 and all(p.count("Exchange hashpartitioning(batch") == 1 for p in asked)
+
+
+def test_replies_are_parsed_once_for_each_form(spark):
+    said = spark.createDataFrame([(1, 2, '{"results": null}'), (2, 2, '[{"id": "r1"}, {"id": "r0"}]'), (3, 1, '{"id": "r0"}'), (4, 1, '"x"'),
+                                  (5, 1, "x {} y"), (6, 1, "none"), (7, 2, '{"results": {"id": "r1"}}'), (8, 1, "[] []")],
+                                 "batch long, n int, reply string")
+    read = replies.read_replies(said)
+    assert {r.batch: r.n_items for r in read.selectExpr("batch", "array_size(items) as n_items").collect()} == {
+        1: 0, 2: 2, 3: 1, 4: 0, 5: 1, 6: None, 7: 1, 8: None}
+    assert read._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json(") == 2
