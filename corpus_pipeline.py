@@ -38,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-#: What a worker of the last stage remembers, half of the default: the executors still hold what the stages before took.
-REMEMBERED, PAIRS = bpe.REMEMBERED // 2, bpe.PAIRS // 2
+#: What a worker of the last stage remembers, a quarter of the default: the executors still hold what the stages before took.
+REMEMBERED, PAIRS = bpe.REMEMBERED // 4, bpe.PAIRS // 4
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,7 +161,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                 columns.append(pa.array([codec.decode(array("i", c).tolist()) for c in coded], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(frugal(run), schema)
+    return rows.mapInArrow(frugal(run, built=True), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -16,9 +16,21 @@ def give_back() -> None:
         trim(0)
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` over the batches of a task, after which the worker gives back what it has freed."""
+#: What this worker has built from vocabularies, with all that it remembers, for later tasks of the same kind.
+BUILT: dict[tuple, object] = {}
+
+
+def forget() -> None:
+    BUILT.clear()
+    give_back()
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], built: bool = False):
+    """``run`` over the batches of a task, after which the worker gives back what it has freed. Unless the task works with what
+    was ``built``, that of tasks before it goes first."""
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            forget()
         yield from run(batches)
         give_back()
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, fit
+from .chunks import frugal
 
 #: Labelled rows the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -116,4 +117,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             x = np.array([statistics(t.as_py()) for t in batch["row"].field(place)]).reshape(-1, WIDTH)
             yield batch.filter(pa.array(trees.score(x) >= 0.5))
 
-    return rows.mapInArrow(run, schema).select("row.*")
+    return rows.mapInArrow(frugal(run), schema).select("row.*")

@@ -18,6 +18,8 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+from .chunks import BUILT
+
 # The pattern of pre-tokens and the byte alphabet of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{L}{N}]+|{S}+(?!{R})|{S}+"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -170,16 +172,13 @@ class Cutter:
         yield text[at:], None
 
 
-_BUILT: dict[tuple, object] = {}
-
-
 def once(kind: Callable, shared: Broadcast, *limits: int):
     """One ``kind(vocabulary, *limits)`` for each vocabulary, limits and Python worker."""
     vocabulary = shared.value
     key = (kind.__name__, vocabulary.digest, *limits)
-    if key not in _BUILT:
-        _BUILT[key] = kind(vocabulary, *limits)
-    return _BUILT[key]
+    if key not in BUILT:
+        BUILT[key] = kind(vocabulary, *limits)
+    return BUILT[key]
 
 
 def map_texts(rows: DataFrame, text: str, make: Callable, outputs: pa.Schema, schema) -> DataFrame:

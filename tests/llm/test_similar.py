@@ -130,3 +130,10 @@ def test_what_is_remembered_changes_no_ids(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     little = bpe.encode(docs, vocabulary_path(), decoded=True, remembered=1 << 10, pairs=50)
     assert sorted(little.collect()) == sorted(bpe.encode(docs, vocabulary_path(), decoded=True).collect())
+
+
+def test_other_tasks_drop_what_was_built():
+    from stallmark.llm import chunks
+    chunks.BUILT["x",] = object()
+    assert list(chunks.frugal(iter, built=True)([1])) == [1] and ("x",) in chunks.BUILT
+    assert list(chunks.frugal(iter)([1])) == [1] and not chunks.BUILT
