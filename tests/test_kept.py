@@ -77,4 +77,4 @@ def test_replies_are_parsed_once_for_each_form(spark):
     read = replies.read_replies(said)
     assert {r.batch: r.n_items for r in read.selectExpr("batch", "array_size(items) as n_items").collect()} == {
         1: 0, 2: 2, 3: 1, 4: 0, 5: 1, 6: None, 7: 1, 8: None}
-    assert read._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json(") == 2
+    assert read._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 2
