@@ -3,11 +3,11 @@
 The encoding of a prefix ends in exactly one token: the one whose start is the end of a shorter prefix and that is
 compatible with that prefix's own last token. An automaton over the vocabulary gives the tokens that end at each
 position, longest first; the first compatible one is stored. Going back from the end emits the ids. Time follows the
-length of a pre-token, however long it is.
+length of a pre-token, however long it is. Pre-tokens of up to TOGETHER bytes are taken many at once (``prefixes``).
 
 Two tokens are compatible if merging their joined bytes gives the same two tokens back. Texts are cut before spaces between
-two characters that are no white space, where a pre-token begins in any case. Results of the test, of pre-tokens and of such
-chunks are remembered in the worker, up to a fixed size.
+two characters that are no white space, where a pre-token begins in any case. Results of the test and of such chunks are
+remembered in the worker, up to a fixed size.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import WORD, Memory, frugal, slices
-from .vocabulary import BATCH_BYTES, LOW, NEVER, Cutter, Vocabulary, merge, once, share
+from .prefixes import Prefixes
+from .vocabulary import LOW, NEVER, Cutter, Vocabulary, merge, once, share
 
-#: Units of one generation of remembered chunks and of pre-tokens, and entries of one of pairs.
+#: Units of one generation of remembered chunks, and entries of one of pairs.
 REMEMBERED = 20 << 20
 PAIRS = 200_000
+#: Bytes of text encoded at once.
+AT_ONCE = 2 << 20
+#: Longer pre-tokens are encoded one by one.
+TOGETHER = 128
 #: Where a space follows a character that is no white space and precedes another.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -59,18 +64,29 @@ class Codec:
         self.bytes = {i: t for t, i in vocabulary.tokens.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cutter = Cutter(vocabulary)
         self.table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
-        self.pieces, self.chunks = Memory(self._pieces, remembered), Memory(self._chunks, remembered)
+        self.binary = pa.array(self.table, pa.binary())
+        self.chunks = Memory(self._chunks, remembered)
         self.compatible = Recent(self.fits, pairs)
-        # Rank of the merge that makes each token, and what it merges; none if a token comes of several merges.
-        self.halves = {found & LOW: (pair >> 32, pair & LOW) for pair, found in self.merges.items()}
+        # Rank of the merge that makes each token; none if a token comes of several merges.
         ranks = {found & LOW: found >> 32 for found in self.merges.values()}
         self.made = [ranks.get(i, -1) for i in range(len(self.table))] if len(ranks) == len(self.merges) else None
-        # A token that is not whole alone is in no encoding.
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocabulary.tokens.items():
-            if i in self.whole:
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self.automaton.make_automaton()
+        self.prefixes = None if self.made is None else Prefixes(vocabulary.tokens, vocabulary.merges, self.whole, pairs.bit_length())
+
+    @cached_property
+    def halves(self) -> dict[int, tuple[int, int]]:
+        """What the merge that makes a token merges."""
+        return {found & LOW: (pair >> 32, pair & LOW) for pair, found in self.merges.items()}
+
+    @cached_property
+    def automaton(self):
+        import ahocorasick
+
+        out = ahocorasick.Automaton()
+        for token, i in self.tokens.items():
+            if i in self.whole:  # others are in no encoding
+                out.add_word(token.decode("latin-1"), (i, len(token)))
+        out.make_automaton()
+        return out
 
     def fits(self, pair: int) -> bool:
         """Whether two tokens side by side stay apart.
@@ -109,27 +125,66 @@ class Codec:
         return tuple(reversed(ids))
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        return [array("i", self.encode_piece(piece.encode())).tobytes() for piece in pieces]
+        """32-bit ids of pre-tokens."""
+        raw = [piece.encode() for piece in pieces]
+        longest = -1 if self.prefixes is None else TOGETHER
+        together = [piece for piece in raw if len(piece) <= longest]
+        found = iter(self.prefixes.encode(together) if together else ())
+        return [next(found) if len(piece) <= longest else array("i", self.encode_piece(piece)).tobytes() for piece in raw]
 
     def _cut(self, chunk: str) -> list[str | int]:
         """The pre-tokens of a chunk, and the ids of special strings in it."""
-        # A word with the space before it and the marks after it are two; an apostrophe may belong to either.
-        if found := WORD.fullmatch(chunk, 1 if chunk[:1] == " " else 0):
-            return [chunk[:found.end(1)], found[2]] if found[2] else [chunk]
         return [x for plain, special in self.cutter.parts(chunk)
                 for x in (*self.cutter.pieces(plain), *([] if special is None else [self.special[special]]))]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [self._cut(c) for c in chunks]
-        ids = self.pieces.ready({x for parts in cut for x in parts if isinstance(x, str)})
-        return [ids[parts[0]] if len(parts) == 1 and parts[0] in ids else
-                b"".join([ids[x] if isinstance(x, str) else array("i", [x]).tobytes() for x in parts]) for parts in cut]
+    def _chunks(self, keys: list[str]) -> list[bytes | None]:
+        """32-bit ids of chunks by their keys; none for a key that comes of a cut beside white space."""
+        known, known_before = self.chunks.young.get, self.chunks.old.get
+        cut: list[str | list[str | int | bytes] | None] = []
+        for key in keys:
+            if key.isascii() and key.isalpha():
+                cut.append(" " + key)
+                continue
+            space, body = (" ", key) if key[:1] != " " else ("", key[1:]) if key[:2] != "  " else ("", key[2:])
+            if key[:2] != "  " and body.strip() != body or not body:
+                cut.append(None)
+            # A word with the space before it and the marks after it are two; an apostrophe may belong to either.
+            elif not (found := WORD.fullmatch(body)):
+                cut.append(self._cut(space + body))
+            elif found[2]:
+                word = found[1]
+                cut.append([(space and (known(word) or known_before(word))) or space + word, found[2]])
+            else:
+                cut.append(space + body)
+        new = list({x for parts in cut if parts for x in ((parts,) if isinstance(parts, str) else parts) if isinstance(x, str)})
+        ids = dict(zip(new, self._pieces(new)))
+        return [ids[parts] if isinstance(parts, str) else None if parts is None else
+                b"".join([ids[x] if isinstance(x, str) else x if isinstance(x, bytes) else array("i", [x]).tobytes() for x in parts])
+                for parts in cut]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers."""
-        split = [CUT.split(t) if t else [] for t in texts]
+        """Ids of each text as 32-bit integers.
+
+        Keys of chunks are what stands between two spaces; after one space is the first chunk of a text, after two any chunk as
+        it is. Texts with a space beside other white space are cut by the exact rule.
+        """
+        split = [t.split(" ") for t in texts]
+        for parts in split:
+            parts[0] = " " + parts[0]
         known = self.chunks.ready(set().union(*split)).__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        out: list[bytes] = []
+        odd: list[tuple[int, list[str]]] = []
+        for at, parts in enumerate(split):
+            try:
+                out.append(b"".join(map(known, parts)))
+            except TypeError:  # a chunk without ids
+                out.append(b"")
+                if texts[at]:
+                    odd.append((at, [c[1:] if k and c[-1:].strip() else "  " + c for k, c in enumerate(CUT.split(texts[at]))]))
+        known = self.chunks.ready(set().union(*(parts for _, parts in odd))).__getitem__
+        for at, parts in odd:
+            out[at] = b"".join(map(known, parts))
+        return out
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_all([text])[0]).tolist()
@@ -137,6 +192,22 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_all(self, coded: pa.ListArray) -> pa.StringArray:
+        """The text of each row of ids."""
+        joined = self.binary.take(coded.flatten())
+        of_tokens = np.frombuffer(joined.buffers()[1], np.int32)[:len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+        edges = of_tokens[coded.offsets.to_numpy() - coded.offsets[0].as_py()]
+        data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
+        raw = np.frombuffer(data, np.uint8)[:edges[-1]]
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer(edges.tobytes()), data])
+        try:
+            str(memoryview(raw), "utf-8")
+            if not (raw[edges[edges < len(raw)]] & 0xC0 == 0x80).any():  # no text begins inside a character
+                return out.cast(pa.string())
+        except UnicodeDecodeError:
+            pass
+        return pa.array([text.decode("utf-8", "replace") for text in out.to_pylist()], pa.string())
+
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
            decoded: bool = False, remembered: int = REMEMBERED, pairs: int = PAIRS) -> DataFrame:
@@ -153,13 +224,11 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec, shared, remembered, pairs)
-        for part, texts in slices(batches, "_text", BATCH_BYTES):
+        for part, texts in slices(batches, "_text", AT_ONCE):
             coded = codec.encode_all([t.decode() for t in texts])
             offsets = pa.array(np.append(0, np.cumsum([len(c) // 4 for c in coded])).astype(np.int32))
-            columns = [part["doc_id"], pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), np.int32)))]
-            if decoded:
-                columns.append(pa.array([codec.decode(array("i", c).tolist()) for c in coded], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], ids, *([codec.decode_all(ids)] if decoded else [])], schema.names)
 
     return rows.mapInArrow(frugal(run, built=True), schema)
 

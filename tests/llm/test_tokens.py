@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+from array import array
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from stallmark.llm import bpe, token_counts, vocabulary
+from stallmark.llm import bpe, prefixes, token_counts, vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,6 +86,41 @@ def test_memories_start_anew(monkeypatch, library):
         assert codec.encode(text) == want and count(text) == len(want)
 
 
+def test_pre_tokens_together_are_as_merged_one_by_one(library):
+    v, rnd = vocabulary.load(PATH), random.Random(7)
+    some = [bytes(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for letters in (b" aeinthor", b"=- \n", bytes(range(256)), "é漢ïa".encode())
+            for _ in range(800)] + [b"the" * 60, b"", b"a" * 300, *rnd.sample(sorted(v.tokens), 500)]
+    want = [array("i", vocabulary.merge(x, v.tokens, v.merges)).tobytes() for x in some]
+    for bits in (2, 18):  # pairs that drive each other out change nothing
+        made = prefixes.Prefixes(v.tokens, v.merges, v.whole, bits)
+        assert made.encode(some) == want and made.encode(some[::-1]) == want[::-1] and made.encode([]) == []
+    codec = bpe.Codec(v)
+    assert "automaton" not in vars(codec) and not hasattr(codec, "pieces")  # what a worker keeps is small
+    pairs = [(rnd.choice(sorted(v.whole)), rnd.choice(sorted(v.whole))) for _ in range(3000)]
+    got = codec.prefixes.fits(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [codec.fits(a << 32 | b) for a, b in pairs]
+
+
+def test_spaces_beside_other_white_space(library):
+    v, rnd = vocabulary.load(PATH), random.Random(8)
+    pool = [" ", " ", "\n", "\t", "\x1c", "\u00a0", "\u2003", "the", "Été", "a,", "x--", "'s", "12", "<|endoftext|>", "漢"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(4000)] + ["", " ", "  ", " a", "a ", "a b", "a \n b"]
+    for codec in (bpe.Codec(v), bpe.Codec(v, 50, 50)):
+        for at in range(0, len(texts), 300):
+            own = texts[at:at + 300]
+            assert [array("i", x).tolist() for x in codec.encode_all(own)] == [library.encode(t, add_special_tokens=False).ids for t in own]
+
+
+def test_rows_decode_as_one_by_one():
+    codec, rnd = bpe.Codec(vocabulary.load(PATH)), random.Random(9)
+    halves = codec.encode("漢字é")  # rows that end inside characters
+    rows = [[rnd.choice(halves) for _ in range(rnd.randint(0, 5))] for _ in range(200)] + [[], codec.encode("the end"), halves[:1], halves[1:]]
+    for own in (rows, rows[-4:], [halves, [], halves], [], [[]], [halves[:1], halves[1:]]):
+        coded = pa.array(own, pa.list_(pa.int32()))
+        assert codec.decode_all(coded).to_pylist() == [codec.decode(ids) for ids in own]
+        assert codec.decode_all(coded.slice(1)).to_pylist() == [codec.decode(ids) for ids in own[1:]]
+
+
 def test_odd_documents(odd, library):
     want = sorted((r.doc_id if r.doc_id is not None else -1, len((r.text or "").encode()),
                    len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in odd.collect())
