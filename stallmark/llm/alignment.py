@@ -38,6 +38,8 @@ from .sparse import Csr, spread, summed
 FREQUENT = 1 << 18
 #: Bytes of text aligned at once.
 AT_ONCE = 2 << 20
+#: Units of one generation of remembered chunks.
+REMEMBERED = 40 << 20
 #: Bits of an id in a pair.
 BITS = 21
 #: A space between two characters that are no white space.
@@ -48,6 +50,11 @@ def _edges(sizes) -> np.ndarray:
     return np.append(0, np.cumsum(np.asarray(sizes, np.int64)))
 
 
+def _coded(first: bytes, second: list[int]) -> bytes:
+    """Ids of both sides in 32 bits, those of the second inverted; two of them joined are the ids of both, side by side."""
+    return first + array("i", [~i for i in second]).tobytes()
+
+
 class Aligner:
     """Token ids of chunks on both sides, remembered."""
 
@@ -81,7 +88,7 @@ class Aligner:
         joined = "\n".join(map(piece, range(self.second.get_piece_size())))
         self.apart = {m for m in map(chr, range(0x21, 0x7F)) if not re.search(f"[A-Za-zÀ-ÿ]{re.escape(m)}", joined)}
         self.before = len(self.second.encode("z"))
-        self.words, self.marks, self.memory = Memory(self._words), Memory(self._marks), Memory(self._chunks, fixed=200)
+        self.marks, self.memory = Memory(self._marks), Memory(self._chunks, REMEMBERED)
 
     def _first(self, pieces: list[str]) -> Iterator[bytes]:
         """Ids of pre-tokens without line breaks on the first side; their bytes become letters in one go."""
@@ -89,48 +96,82 @@ class Aligner:
         tokenize = self.first.model.tokenize
         return (array("i", [t.id for t in tokenize(piece)]).tobytes() for piece in letters)
 
-    def _words(self, words: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        if words:
-            for a, b in zip(self._first([" " + w for w in words]), self.second.encode(words, num_threads=1)):
-                yield a, array("i", b).tobytes()
-
-    def _marks(self, marks: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        if marks:
-            for a, b in zip(self._first(marks), self.second.encode(["z" + m for m in marks], num_threads=1)):
-                yield a, array("i", b[self.before:]).tobytes()
-
-    def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """32-bit ids on both sides; none if a side does not give the chunk's bytes back. Marks apart from the word before them."""
-        apart = self.apart
-        found = [m if (m := WORD.fullmatch(c)) and (not m[2] or m[2][0] in apart) else None for c in chunks]
-        words = self.words.ready({m[1] for m in found if m})
-        marks = self.marks.ready({m[2] for m in found if m and m[2]})
-        out: list[tuple[bytes, bytes] | None] = []
-        for m in found:
-            pair = words[m[1]] if m else None
-            if pair and m[2]:
-                a, b = marks[m[2]]
-                pair = pair[0] + a, pair[1] + b
-            out.append(pair)
-        others = [k for k, m in enumerate(found) if m is None]
-        texts = [chunks[k] for k in others]
+    def _words(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        return [_coded(a, b) for a, b in zip(self._first([" " + w for w in words]), self.second.encode(words, num_threads=1))]
+
+    def _marks(self, marks: list[str]) -> list[bytes]:
+        if not marks:
+            return []
+        second = self.second.encode(["z" + m for m in marks], num_threads=1)
+        return [_coded(a, b[self.before:]) for a, b in zip(self._first(marks), second)]
+
+    def _chunks(self, keys: list[str]) -> list[bytes | None | bool]:
+        """Ids on both sides of chunks by their keys, as of ``_coded``; none if a side does not give the chunk's bytes back, false for a key
+        that comes of a cut beside white space. Marks apart from the word before them."""
+        known, known_before, apart = self.memory.young.get, self.memory.old.get, self.apart
+        out: list = [None] * len(keys)
+        words: dict[str, bytes | None] = {}
+        plain: list[tuple[int, str]] = []
+        marked: list[tuple[int, str, str]] = []
+        others: list[tuple[int, str]] = []
+        for at, key in enumerate(keys):
+            if key.isascii() and key.isalpha():
+                words[key] = None
+                plain.append((at, key))
+                continue
+            text = key[2:] if key[:2] == "  " else key
+            if not text or text is key and text.strip() != text:
+                out[at] = False
+            elif not (m := WORD.fullmatch(text)) or m[2] and m[2][0] not in apart:
+                others.append((at, text))
+            elif m[2]:
+                words.setdefault(m[1], known(m[1]) or known_before(m[1]))
+                marked.append((at, m[1], m[2]))
+            else:
+                words[text] = None
+                plain.append((at, text))
+        new = [w for w, ids in words.items() if ids is None]
+        words.update(zip(new, self._words(new)))
+        for at, word in plain:
+            out[at] = words[word]
+        marks = self.marks.ready({m for _, _, m in marked})
+        for at, word, mark in marked:
+            out[at] = words[word] + marks[mark]
+        texts = [text for _, text in others]
         first = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         join = lambda ids, table: b"".join(map(table.__getitem__, ids))
-        for k, text, a, b in zip(others, texts, first, self.second.encode(texts, num_threads=1)):
+        for (at, text), a, b in zip(others, first, self.second.encode(texts, num_threads=1)):
             if join(a.ids, self.bytes_a) == join(b, self.bytes_b) == b" " + text.encode():
-                out[k] = array("i", a.ids).tobytes(), array("i", b).tobytes()
+                out[at] = _coded(array("i", a.ids).tobytes(), b)
         return out
 
     def align(self, texts: list[bytes]) -> Alignment:
-        split = [CUT.split(t.decode()) if t else [] for t in texts]
+        """Keys of chunks are what stands between two spaces, after two spaces any chunk. Texts with a space beside other white
+        space are cut by the exact rule."""
+        split = [t.decode().split(" ") if t else [] for t in texts]
+        every, coded = self._known(split)
+        if False in coded:
+            odd = {c for c, ids in zip(every, coded) if ids is False}
+            for at, chunks in enumerate(split):
+                if not odd.isdisjoint(chunks):
+                    split[at] = [c if c.strip() == c else "  " + c for c in CUT.split(texts[at].decode())]
+            every, coded = self._known(split)
+        if None in coded:
+            lost = {c for c, ids in zip(every, coded) if ids is None}
+            split = [chunks if lost.isdisjoint(chunks) else [] for chunks in split]
+            every, coded = self._known(split)
+        place = dict(zip(every, range(len(every))))
+        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+        return Alignment(self, coded, flat, _edges([len(chunks) for chunks in split]))
+
+    def _known(self, split: list[list[str]]) -> tuple[list[str], list[bytes | None | bool]]:
+        """The distinct keys of chunks, and what is remembered of each."""
         every = set().union(*split)
         known = self.memory.ready(every)
-        lost = {c for c in every if known[c] is None}
-        if lost:
-            split = [[] if lost.intersection(chunks) else chunks for chunks in split]
-        place = {c: k for k, c in enumerate(set().union(*split))}
-        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
-        return Alignment(self, [known[c] for c in place], flat, _edges([len(chunks) for chunks in split]))
+        listed = list(every)
+        return listed, list(map(known.__getitem__, listed))
 
 
 class Alignment:
@@ -141,11 +182,13 @@ class Alignment:
     ``pair`` (first id << BITS | second id, ascending in a chunk) and ``links`` are the links by ids.
     """
 
-    def __init__(self, aligner: Aligner, coded: list[tuple[bytes, bytes]], chunk: np.ndarray, edge: np.ndarray):
+    def __init__(self, aligner: Aligner, coded: list[bytes], chunk: np.ndarray, edge: np.ndarray):
         self.aligner, self.chunk, self.edge = aligner, chunk, edge
-        sides = [[pair[side] for pair in coded] for side in (0, 1)]
-        self.ids_a, self.ids_b = (np.frombuffer(b"".join(side), np.int32).astype(np.int64) for side in sides)
-        self.edge_a, self.edge_b = (_edges([len(x) // 4 for x in side]) for side in sides)
+        both = np.frombuffer(b"".join(coded), np.int32).astype(np.int64)
+        edge, first = _edges(list(map(len, coded))) // 4, both >= 0
+        self.ids_a, self.ids_b = both[first], ~both[~first]
+        self.edge_a = _edges(first)[edge]
+        self.edge_b = edge - self.edge_a
         size_a, size_b = aligner.size_a[self.ids_a], aligner.size_b[self.ids_b]
         n = int(size_a.sum())
         ones = np.ones(n, np.int64)

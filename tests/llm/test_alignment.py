@@ -130,3 +130,22 @@ def test_pre_tokens_are_encoded_together():
     pieces = [" a", " ÿÀé", "!?", " Straße", " " + "x" * 300]
     assert [np.frombuffer(i, np.int32).tolist() for i in aligner._first(pieces)] == [
         aligner.first.encode(p, add_special_tokens=False).ids for p in pieces]
+
+
+def test_chunks_of_odd_spaces_and_marks_are_those_of_whole_texts(by_hand):
+    with open(FIRST, encoding="utf-8") as a, open(SECOND, "rb") as b:
+        aligner = alignment.Aligner(a.read(), b.read())
+    rnd = random.Random(6)
+    pool = [" ", " ", "\n", "\t", "\u00a0", "\u2003", "the", "Été", "a,", "word.", "x--", "'s", "12", "漢", "\x00", "<|endoftext|>"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 9))) for _ in range(1500)] + ["", " ", "a b", " a", "a ", "a \n b", "the the, the"]
+    for at in range(0, len(texts), 400):
+        own = texts[at:at + 400]
+        found = aligner.align([t.encode() for t in own])
+        n_a, n_b, n_groups, _ = found.totals()
+        written = found.written()
+        for k, text in enumerate(own):
+            a, b = by_hand(text)
+            grouped = groups(a, b)
+            assert (n_a[k], n_b[k], n_groups[k]) == (len(a), len(b), len(grouped)), repr(text)
+            assert written[k] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in grouped)
+    assert not hasattr(aligner, "words")  # a word is remembered once, as a chunk
