@@ -118,47 +118,76 @@ def _level(by: list[str], kept: list[str]) -> int:
 
 
 def _with_item_totals(tables: Tables, by: list[str], filters: Filters, totals: str) -> DataFrame:
-    """Order parts once per grouping set, with ``level``: everything is read and joined once.
+    """Sums of order parts and customers per grouping set, marked by ``level``: everything is read and joined once.
 
-    A total over categories or sellers counts an order once. So the orders' item attributes are first reduced to one
-    row per order and kept combination for each choice of kept item attributes; orders join that, and each
-    row is then repeated for the grouping sets that keep the same item attributes.
+    A total over categories or sellers counts an order once. So orders meet one row per kept combination of their items'
+    attributes for each choice of kept item attributes, and the first of these rows stands for the total over all. An order has
+    one value of each order attribute, so sums are made for the finest set of each choice only and added up for its other
+    sets from the grouped rows. Distinct customers do not add up: those of a delivered order get rows of their own, without
+    parts, for each set.
     """
     sets = _grouping_sets(by, totals)
     of_items, of_orders = ([c for c in by if (c in ITEM_ATTRIBUTES) == wanted] for wanted in (True, False))
     choices = list(dict.fromkeys(tuple(c for c in kept if c in of_items) for kept in sets))
-    bridge = _bridge(tables, of_items, filters, _months_between(filters))
-    pick = lambda names, kept: [F.when(F.lit(c in kept), F.col(c)).alias(c) for c in names]
-    chosen = F.array(*(F.struct(*pick(of_items, kept), F.lit(i).alias("_choice")) for i, kept in enumerate(choices)))
-    reduced = bridge.select("order_id", F.inline(chosen)).distinct()
+    sets_of = [[kept for kept in sets if tuple(c for c in kept if c in of_items) == choice] for choice in choices]
+    pick = lambda names, kept, name="{}": [F.when(F.lit(c in kept), F.col(c)).alias(name.format(c)) for c in names]
+
+    reduced = _bridge(tables, of_items, filters, _months_between(filters))
+    told = [(i, kept) for i, kept in enumerate(choices) if kept]
+    if len(told) == 1:
+        reduced = reduced.withColumn("_choice", F.lit(told[0][0]))
+    else:
+        chosen = F.array(*(F.struct(*pick(of_items, kept), F.lit(i).alias("_choice")) for i, kept in told))
+        reduced = reduced.select("order_id", F.inline(chosen)).distinct()
+    place = F.row_number().over(Window.partitionBy("order_id").orderBy("_choice", *of_items))
+    reduced = reduced.withColumn("_first", place == 1)
     rows = order_parts(tables, of_orders, {k: v for k, v in filters.items() if k not in ITEM_ATTRIBUTES})
     # An order without items counts in the totals, unless items are filtered.
-    loose = () in choices and not set(filters) & set(ITEM_ATTRIBUTES)
-    rows = rows.join(reduced, "order_id", "left" if loose else "inner")
-    if loose:
-        rows = rows.withColumn("_choice", F.coalesce("_choice", F.lit(choices.index(()))))
-
-    def repeated(choice: tuple[str, ...]) -> Column:
-        return F.array(*(F.struct(*(c.alias(f"_{n}") for n, c in zip(of_orders, pick(of_orders, kept))),
-                                  F.lit(_level(by, kept)).cast("bigint").alias("level"))
-                         for kept in sets if tuple(c for c in kept if c in of_items) == choice))
-
-    each = F.element_at(F.array(*map(repeated, choices)), F.col("_choice") + 1)
-    spread = rows.select("*", F.inline(each)).select(
-        *(c for c in rows.columns if c not in by), *of_items, *(F.col(f"_{c}").alias(c) for c in of_orders), "level",
-        *(F.col(c).alias(f"_own_{c}") for c in of_orders))
-    return spread
-
-
-def _measures(own: str = "") -> list[Column]:
+    rows = rows.join(reduced, "order_id", "inner" if set(filters) & set(ITEM_ATTRIBUTES) else "left")
+
+    counted = (F.col("order_status") == fr.DELIVERED) & F.col("customer_unique_id").isNotNull()
+
+    def repeated(choice: int) -> Column:
+        finest = {c for kept in sets_of[choice] for c in kept}
+        one = F.struct(*pick(by, finest, "_{}"), F.lit(choice).alias("_of"), F.lit(None).cast("bigint").alias("level"),
+                       F.lit(None).cast("string").alias("_person"))
+        of_person = [F.struct(*pick(by, kept, "_{}"), F.lit(None).cast("int").alias("_of"),
+                              F.lit(_level(by, kept)).cast("bigint").alias("level"),
+                              F.col("customer_unique_id").cast("string").alias("_person")) for kept in sets_of[choice]]
+        return F.when(counted, F.array(one, *of_person)).otherwise(F.array(one))
+
+    own = F
+    for i, _ in told:
+        own = own.when(F.col("_choice") == i, repeated(i))
+    total = repeated(choices.index(()))
+    each = F.when(F.col("_choice").isNull(), total).when(F.col("_first"), F.concat(own, total)).otherwise(own)
+    parts = ["order_status", "is_late", "order_value", "delivery_days", "reviews", "scored", "points", "low",
+             "labelled", "negative", "urgent"]
+    spread = rows.select(*parts, "customer_unique_id", *by, "_choice", "_first").select(*parts, F.inline(each)).select(
+        *(F.when(F.col("_of").isNotNull(), F.col(c)).alias(c) for c in parts), *(f"_{c}" for c in by), "_of", "level", "_person")
+    grouped = spread.groupBy(*(f"_{c}" for c in by), "_of", "level").agg(
+        *_sums(), F.count_distinct("_person").alias("customers"))
+    sums = [c for c in grouped.columns if c not in {"_of", "level", *(f"_{c}" for c in by)}]
+
+    def added(choice: int) -> Column:
+        return F.array(*(F.struct(*(F.when(F.lit(c in kept), F.col(f"_{c}")).alias(c) for c in by),
+                                  F.lit(_level(by, kept)).cast("bigint").alias("level")) for kept in sets_of[choice]))
+
+    wanted = F.when(F.col("level").isNotNull(), F.array(F.struct(*(F.col(f"_{c}").alias(c) for c in by), "level")))
+    for i in range(len(choices)):
+        wanted = wanted.when(F.col("_of") == i, added(i))
+    return grouped.select(*sums, F.inline(wanted)).groupBy(*by, "level").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def _measures() -> list[Column]:
     """Sums of order parts, and the customers with a delivered order."""
-    delivered = F.col(own + "order_status") == fr.DELIVERED
-    return [*_sums(own), F.count_distinct(F.when(delivered, F.col("customer_unique_id"))).alias("customers")]
+    delivered = F.col("order_status") == fr.DELIVERED
+    return [*_sums(), F.count_distinct(F.when(delivered, F.col("customer_unique_id"))).alias("customers")]
 
 
-def _sums(own: str = "") -> list[Column]:
-    """Sums of order parts. ``own`` prefixes the order attributes where the plain names are grouping columns."""
-    status, is_late = F.col(own + "order_status"), F.col(own + "is_late")
+def _sums() -> list[Column]:
+    """Sums of order parts."""
+    status, is_late = F.col("order_status"), F.col("is_late")
     delivered = status == fr.DELIVERED
     return [
         F.count_if(delivered).alias("delivered_orders"),
@@ -182,11 +211,7 @@ def measures(tables: Tables, by: Sequence[str] = (), filters: Filters | None = N
     the grouping number (0 for a full group)."""
     by = list(by)
     if totals and set(by) & set(ITEM_ATTRIBUTES):
-        spread = _with_item_totals(tables, by, filters or {}, totals)
-        for c in ("order_status", "is_late"):
-            if c not in by:
-                spread = spread.withColumn(f"_own_{c}", F.col(c))
-        grouped, keys = spread.groupBy(*by, "level").agg(*_measures("_own_")), [*by, "level"]
+        grouped, keys = _with_item_totals(tables, by, filters or {}, totals), [*by, "level"]
     else:
         parts = order_parts(tables, by, filters)
         if totals:

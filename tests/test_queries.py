@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from stallmark.plans import measures as M
@@ -147,3 +149,42 @@ def test_an_order_of_several_categories_counts_once_in_a_total(spark):
     assert fx.rows(both, "delivered_orders") == [(1,)]
     pairs = M.measures(tables, ["category", "seller_id"])
     assert sorted(fx.rows(pairs, "category", "seller_id", "delivered_orders")) == [("a", "s1", 1), ("b", "s2", 1)]
+
+
+def _item_cube(spark):
+    """Orders with two categories and sellers, with one of each twice, without items, not delivered, and a person with two orders."""
+    orders = [fx.order(1), fx.order(2, arrived="2018-02-01 00:00:00"), fx.order(3, status="shipped", arrived=None), fx.order(4),
+              fx.order(5, arrived="2018-01-25 00:00:00")]
+    items = [fx.item(1), fx.item(1, 2, product="p2", seller="s2"), fx.item(1, 3, product="p2"), fx.item(2), fx.item(2, 2),
+             fx.item(3), fx.item(3, 2, product="p2"), fx.item(5, product="p3", seller=None)]
+    tables = fx.star(spark, orders=orders, items=items, products=[("p1", "a", 1.0, 1), ("p2", "b", 1.0, 1), ("p3", None, 1.0, 1)],
+                     customers=[fx.customer(1, "u"), fx.customer(2, "u"), fx.customer(3, "v"), fx.customer(4, "w"),
+                                ("c5", None, "x", "SP")],
+                     reviews=[fx.review(1, 1), fx.review(1, 5), fx.review(3, 2), fx.review(4, None)])
+    tables["review_ai_labels"] = fx.labels(
+        spark, ("r1-1", "o1", "negative", "other", "high"), ("r3-2", "o3", "negative", "other", "low"))
+    return tables
+
+
+@pytest.mark.parametrize("by, totals, filters", [
+    (["category", "lateness_bucket"], "cube", {}), (["category", "lateness_bucket"], "rollup", {"seller_id": ["s1", "s2"]}),
+    (["order_status", "seller_id", "category"], "cube", {})], ids=str)
+def test_each_level_of_item_totals_is_that_grouping_alone(spark, by, totals, filters):
+    tables = _item_cube(spark)
+    every = M.measures(tables, by, filters, totals=totals)
+    values = [c for c in every.columns if c not in {*by, "level"}]
+    got = sorted(fx.rows(every, *by, "level", *values), key=str)
+    want = []
+    for kept in M._grouping_sets(by, totals):
+        for row in M.measures(tables, kept, filters).collect():
+            alone = row.asDict()
+            want.append((*(alone.get(c) for c in by), M._level(by, kept), *(alone[v] for v in values)))
+    assert got == sorted(want, key=str)
+
+
+def test_items_of_an_order_are_not_shuffled_per_grouping_set(spark, stored_star):
+    """Orders meet (order, category) rows; the total takes the first of them and is no row of its own before the join."""
+    plan = M.measures(stored_star, ["category", "lateness_bucket"], totals="cube")._jdf.queryExecution().executedPlan().toString()
+    keys = [re.sub(r"#\d+", "", k) for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+    assert any(k.startswith("order_id, category") for k in keys)
+    assert not any(k.startswith("order_id") and "_choice" in k for k in keys)
