@@ -1,19 +1,22 @@
 """Exact top-k search by inner product of integer vectors.
 
-Vectors are packed into blocks: queries by hash into blocks of BLOCK rows about, candidates into tiles of the same
-kind, both within tasks. Every tile meets every block of queries once: tiles are spread over twice as many groups as
-there are shuffle partitions, and the blocks, which are the smaller side, go to each group. A task multiplies a tile with a block, keeps the k best of each
+Vectors are packed into blocks of up to BLOCK rows, in the narrowest integers that hold them: queries into blocks, candidates
+into tiles, both within tasks. Every tile meets every block of queries once, in a grid of about twice as many cells as there are shuffle
+partitions: a tile goes to the cells of its row, a block to those of its column, and the sides of the grid are chosen so that
+both kinds of copies take about as much room. Both sides are shuffled: copies are many times the rows they are made of, which
+statistics do not show, so none may be broadcast. A task multiplies a tile with a block, keeps the k best of each
 query, and merges what it has by query before it passes them on. The lists of the tasks are merged in a tree: a node takes about FAN lists
 of a query, which its number of tasks does not change. Nothing but one tile, one block and k results a query is in a search at once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -33,31 +36,46 @@ def whole(vector: Column) -> Column:
     return F.when(~bad, F.transform(wide, lambda x: F.floor(x.cast("double") * 256)))
 
 
+def _bytes(matrix: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest type that holds them all."""
+    low, high = int(matrix.min(initial=0)), int(matrix.max(initial=0))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return matrix.astype(kind).tobytes()
+
+
+def _matrix(packed: bytes, rows: int, length: int) -> np.ndarray:
+    """What ``_bytes`` was made of; the width shows its type."""
+    if not length:
+        return np.zeros((rows, 0), np.int64)
+    return np.frombuffer(packed, f"i{len(packed) // (rows * length)}").reshape(rows, length).astype(np.int64)
+
+
 def _pack(rows: DataFrame) -> DataFrame:
-    """(length, ids, vectors): blocks of up to BLOCK rows of one length; vectors are rows of 8-byte integers."""
+    """(length, part, ids, nths, vectors): blocks of up to BLOCK rows of one length and part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[int, list[tuple]] = {}
+        waiting: dict[tuple[int, int], list[tuple]] = {}
 
-        def block(n: int) -> pa.RecordBatch:
-            ids, vectors = zip(*waiting.pop(n))
-            matrix = np.concatenate(vectors) if n else np.zeros(0, np.int64)
+        def block(n: int, part: int) -> pa.RecordBatch:
+            ids, nths, vectors = zip(*waiting.pop((n, part)))
             return pa.RecordBatch.from_arrays(
-                [pa.array([n]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([matrix.tobytes()])],
-                ["length", "ids", "vectors"])
+                [pa.array([n]), pa.array([part]), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(nths)], pa.list_(pa.int32())),
+                 pa.array([_bytes(np.concatenate(vectors))])],
+                ["length", "part", "ids", "nths", "vectors"])
 
         for batch in batches:
             offsets = batch["v"].offsets.to_numpy()
             values = batch["v"].values.to_numpy(zero_copy_only=False)
-            for i, vec_id in enumerate(batch["vec_id"].to_pylist()):
-                n = int(offsets[i + 1] - offsets[i])
-                own = waiting.setdefault(n, [])
-                own.append((vec_id, values[offsets[i]:offsets[i + 1]]))
+            for i, (vec_id, nth, part) in enumerate(zip(*(batch[c].to_pylist() for c in ("vec_id", "nth", "part")))):
+                key = (int(offsets[i + 1] - offsets[i]), part)
+                own = waiting.setdefault(key, [])
+                own.append((vec_id, nth, values[offsets[i]:offsets[i + 1]]))
                 if len(own) == BLOCK:
-                    yield block(n)
-        for n in list(waiting):
-            yield block(n)
+                    yield block(*key)
+        for key in list(waiting):
+            yield block(*key)
 
-    return rows.mapInArrow(run, "length long, ids array<long>, vectors binary")
+    return rows.select("vec_id", "nth", "part", "v").mapInArrow(
+        run, "length long, part long, ids array<long>, nths array<int>, vectors binary")
 
 
 def _order(ids: np.ndarray) -> np.ndarray:
@@ -89,23 +107,22 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each query over the tiles of a task, or of a stretch of them."""
+    """(query_id, nth, vec_id, score): the k best of each query over the tiles of a task, or of a stretch of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
         def merged() -> pa.RecordBatch:
             rows = [(q, v, -s, i) for (q, v), found in best.items() for s, i in found]
             best.clear()
             q, v, s, i = zip(*rows) if rows else ((), (), (), ())
             return pa.RecordBatch.from_arrays(
-                [pa.array(q, pa.int64()), pa.array(v, pa.binary()), pa.array([None if x == LONG else x for x in i], pa.int64()),
-                 pa.array(s, pa.int64())], ["query_id", "query", "vec_id", "score"])
+                [pa.array(q, pa.int64()), pa.array(v, pa.int32()), pa.array([None if x == LONG else x for x in i], pa.int64()),
+                 pa.array(s, pa.int64())], ["query_id", "nth", "vec_id", "score"])
 
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(len(batch))):
-                n = row["length"]
-                query = np.frombuffer(row["q_vectors"], np.int64).reshape(-1, n) if n else np.zeros((len(row["q_ids"]), 0), np.int64)
-                tile = np.frombuffer(row["vectors"], np.int64).reshape(-1, n) if n else np.zeros((len(row["ids"]), 0), np.int64)
+                query = _matrix(row["q_vectors"], len(row["q_ids"]), row["length"])
+                tile = _matrix(row["vectors"], len(row["ids"]), row["length"])
                 ids = _order(row["ids"])
                 by_id = np.argsort(ids, kind="stable")
                 ids, scores = ids[by_id], _products(query, tile[by_id])
@@ -113,15 +130,14 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
                 # A row is no candidate of its own; lists are one longer for each own row that must go.
                 own = np.searchsorted(ids, names, "right") - np.searchsorted(ids, names, "left")
                 chosen = _best(scores, ids, min(len(ids), k + int(own.max(initial=0))))
-                for r, name in enumerate(names.tolist()):
-                    found = [(-int(scores[r, c]), int(ids[c])) for c in chosen[r] if ids[c] != name][:k]
-                    key = (name, query[r].tobytes())
+                for r, key in enumerate(zip(names.tolist(), row["q_nths"])):
+                    found = [(-int(scores[r, c]), int(ids[c])) for c in chosen[r] if ids[c] != key[0]][:k]
                     best[key] = sorted(best.get(key, []) + found)[:k]
                 if len(best) * k > HELD:
                     yield merged()
         yield merged()
 
-    return pairs.mapInArrow(run, "query_id long, query binary, vec_id long, score long")
+    return pairs.mapInArrow(run, "query_id long, nth int, vec_id long, score long")
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -134,22 +150,32 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_i
     its end. Other columns are not read. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole(F.col(vector)).alias("v")).filter("v is not null")
-    tiles = _pack(rows)
-    queries = _pack(rows.filter(F.col("vec_id") % every == 0).distinct())
-    spread = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiles.withColumn("part", F.pmod(F.xxhash64("vectors", "ids"), F.lit(spread)))
-    blocks = queries.select("length", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("part"))
-    found = _searched(tiles.join(blocks, ["length", "part"]), k)
-    lists = spread
+    cells = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # There are about 1 / every as many queries as candidates.
+    wide = max(1, round(math.sqrt(cells / every)))
+    high = -(-cells // wide)
+    # An id may come with several vectors; nth tells them apart, whatever the partitions.
+    asked = rows.filter(F.col("vec_id") % every == 0).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
+    blocks = _pack(asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "nth"), F.lit(wide)))).select(
+        "length", F.col("ids").alias("q_ids"), F.col("nths").alias("q_nths"), F.col("vectors").alias("q_vectors"),
+        F.col("part").alias("column"), _all(high).alias("row"))
+    tiles = _pack(rows.withColumns({"nth": F.lit(0), "part": F.lit(0).cast("long")})).select(
+        "length", "ids", "vectors", F.pmod(F.xxhash64("vectors", "ids"), F.lit(high)).alias("row"), _all(wide).alias("column"))
+    found = _searched(tiles.join(blocks.hint("merge"), ["length", "row", "column"]).select(
+        "length", "ids", "vectors", "q_ids", "q_nths", "q_vectors"), k)
+    lists = high
     while lists > FAN:
         lists = -(-lists // FAN)
         node = F.pmod(F.xxhash64("vec_id", "score"), F.lit(lists)).alias("node")
-        found = _top(found, k, "query_id", "query", node).select("query_id", "query", F.inline("top")).drop("s", "n")
-    return _top(found, k, "query_id", "query").select("query_id", F.posexplode("top")).select(
+        found = _top(found, k, "query_id", "nth", node).select("query_id", "nth", F.inline("top")).drop("s", "n")
+    return _top(found, k, "query_id", "nth").select("query_id", F.posexplode("top")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), "col.vec_id", "col.score")
 
 
+def _all(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def _top(found: DataFrame, k: int, *keys) -> DataFrame:
     """``top``, the k best of each group."""
     one = F.struct((-F.col("score")).alias("s"), F.col("vec_id").isNull().alias("n"), "vec_id", "score")

@@ -95,6 +95,36 @@ def test_search_is_exact(spark, monkeypatch, block):
     assert got == best(rows, 5, 50)
 
 
+def test_copies_of_the_queries_are_never_broadcast(spark):
+    """Statistics see the queries, not their copies for the groups of tiles."""
+    df = spark.range(400).selectExpr("id AS vec_id", "transform(sequence(1, 8), x -> float((id * x) % 5)) AS embedding").repartition(4)
+    found = topk.search(df, every=10)
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_blocks_are_as_narrow_as_their_numbers():
+    for high, width in ((127, 1), (128, 2), (-129, 2), (1 << 15, 4), (1 << 40, 8), (-(1 << 63), 8)):
+        matrix = np.array([[high, 1, 2], [3, 4, 5]], np.int64)
+        packed = topk._bytes(matrix)
+        assert len(packed) == 6 * width and topk._matrix(packed, 2, 3).tolist() == matrix.tolist()
+    assert topk._matrix(topk._bytes(np.zeros((2, 0), np.int64)), 2, 0).shape == (2, 0)
+
+
+@pytest.mark.parametrize("parts", ["1", "300"])
+def test_search_in_a_grid_of_any_size(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rnd = random.Random(5)
+    rows = [(i % 90, [rnd.choice([-1.0, 0.5, 0.3]) for _ in range(rnd.choice([2, 3]))]) for i in range(180)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        assert sorted((tuple(r) for r in topk.search(df, 4, 5).collect()), key=repr) == best(rows, 4, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_search_with_few_or_no_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(empty).collect() == []
