@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -178,27 +179,45 @@ def _answers(prompts: DataFrame, ask: Callable[[str], str | None]) -> DataFrame:
     return prompts.mapInPandas(run, "batch bigint, n int, reply string, error string")
 
 
-def _asked(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
-    """Labels of numbered reviews, and the kept replies. Reviews are dealt out before they are packed: a batch lies in one
+def _asked(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> DataFrame:
+    """The kept replies to numbered reviews. Reviews are dealt out before they are packed: a batch lies in one
     task then, and what is shuffled has no instructions yet."""
     prompts = pack_prompts(dealt(sent, options["parallelism"]), options["text"], options["instructions"], options["max_text"])
-    said = keep(_answers(prompts, ask))
-    return keep(parse_replies(said, options["max_summary"])), said
+    return keep(_answers(prompts, ask))
 
 
-def _two_rounds(sent: DataFrame, ask: Callable[[str], str | None], options: dict) -> tuple[DataFrame, DataFrame]:
-    """Labels (key, fields) of numbered reviews after a second round for what is missing, and all replies."""
-    first, said = _asked(sent, ask, options)
-    again = keep(number_batches(retry_set(sent, first).select(*REVIEW_KEY, options["text"]), 1))
-    second, said_again = _asked(again, ask, options)
-    both = (sent.join(first, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)
-            .unionByName(again.join(second, ["batch", "id"]).select(*REVIEW_KEY, *_LABEL_FIELDS)))
-    return both, said.unionByName(said_again)
+def _two_rounds(sent: DataFrame, ask: Callable[[str], str | None], options: dict, tasks: int | None = None) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Labels (batch, id, fields) of numbered reviews after a second round for what is missing, and the replies and labels of each
+    round. Replies are read by ``tasks`` tasks; with None by as many as their files need, which are one or two for a wave.
 
+    In the second round a review is a batch of its own; its number tells its first batch and place."""
+    size = options["size"]
 
-def _options(text, instructions, max_text, max_summary, parallelism) -> dict:
+    def read(said: DataFrame) -> DataFrame:
+        return keep(parse_replies(dealt(said, tasks) if tasks else said, options["max_summary"]))
+
+    said = _asked(sent, ask, options)
+    first = read(said)
+    alone = (F.col("batch") * size + F.col("place")).alias("batch")
+    again = retry_set(sent, first).select(alone, options["text"], F.lit("r0").alias("id"), F.lit(0).alias("place"))
+    said_again = _asked(again, ask, options)
+    second = read(said_again)
+    place = (F.col("batch") % size).cast("string")
+    of_first = second.select(
+        F.call_function("div", F.col("batch"), F.lit(size).cast("bigint")).alias("batch"), F.concat(F.lit("r"), place).alias("id"), *_LABEL_FIELDS)
+    return first.select("batch", "id", *_LABEL_FIELDS).unionByName(of_first), [said, said_again], [first, second]
+
+
+def _options(text, instructions, max_text, max_summary, parallelism, size) -> dict:
     return {"text": text, "instructions": instructions, "max_text": max_text, "max_summary": max_summary,
-            "parallelism": parallelism}
+            "parallelism": parallelism, "size": size}
+
+
+def _counted(kept: list[DataFrame], column: str, at_once: int = 64) -> tuple[int, int]:
+    """Rows, and values of a column, of the kept tables of many waves in few readings."""
+    found = [reduce(DataFrame.unionByName, kept[i:i + at_once]).agg(F.count(F.lit(1)), F.count(column)).first()
+             for i in range(0, len(kept), at_once)]
+    return sum(row[0] for row in found), sum(row[1] for row in found)
 
 
 def label_with(
@@ -214,8 +233,8 @@ def label_with(
     """
     cut = reviews.select(*REVIEW_KEY, cut_text(F.col(text), max_text).alias(text))
     sent = keep(number_batches(cut, size))
-    both, _ = _two_rounds(sent, ask, _options(text, instructions, max_text, max_summary, parallelism))
-    return both.withColumn("provider", F.lit(provider)).select(*LABEL_COLUMNS)
+    both, *_ = _two_rounds(sent, ask, _options(text, instructions, max_text, max_summary, parallelism, size))
+    return sent.join(both, ["batch", "id"]).withColumn("provider", F.lit(provider)).select(*LABEL_COLUMNS)
 
 
 def label_into(
@@ -229,29 +248,34 @@ def label_into(
     next run asks only for the rest. Returns the numbers of calls, of calls that failed, and of labels stored. A wave reads its
     own rows only and not the labels stored before it: nothing else may store labels of this provider meanwhile.
     """
-    options = _options(text, instructions, max_text, max_summary, parallelism)
+    options = _options(text, instructions, max_text, max_summary, parallelism, size)
     dated = label_store.with_month(reviews)
     cut = keep(dated.select(*REVIEW_KEY, "month", cut_text(F.col(text), max_text).alias(text), F.lit(provider).alias("provider")))
     numbered = number_batches(label_store.not_stored(cut, path).drop("provider"), size)
     sent = keep(numbered.withColumn("wave", F.call_function("div", F.col("batch"), F.lit(per_wave).cast("bigint"))), "wave")
     last = sent.agg(F.max("wave")).first()[0]
     keys = sent.groupBy(*REVIEW_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("wave").alias("low"), F.max("wave").alias("high"))
-    repeated = keep(keys.filter("n > 1"))
-    unique = repeated.isEmpty()
+    # A key with a null is asked for and not stored.
+    nulls = F.col(REVIEW_KEY[0]).isNull() | F.col(REVIEW_KEY[1]).isNull()
+    odd = keep(keys.filter((F.col("n") > 1) | nulls))
+    unique = odd.isEmpty()
     # Rows of one key have neighbouring numbers, so few keys reach into a second wave.
-    crossing = repeated.filter("low < high").select(*REVIEW_KEY)
+    crossing = odd.filter("low < high").select(*REVIEW_KEY)
+    context = reviews.sparkSession.sparkContext
     width = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = {"calls": 0, "failed": 0, "labels": 0}
+    said, read, made = [], [], 0
     for wave in range(0 if last is None else last + 1):
         rows = sent.filter(F.col("wave") == wave).drop("wave")
-        both, said = _two_rounds(rows, ask, options)
-        labels = keep(both.withColumn("provider", F.lit(provider)).join(rows.select(*REVIEW_KEY, "month"), REVIEW_KEY)
-                      .select(*LABEL_COLUMNS, "month"))
+        both, replies, found = _two_rounds(rows, ask, options, context.defaultParallelism)
+        said += replies
+        labels = rows.join(both, ["batch", "id"]).withColumn("provider", F.lit(provider))
         if unique:
-            label_store.write_new(labels, path, width)
+            read += found
+            label_store.write_new(labels.select(*LABEL_COLUMNS, "month"), path, width)
         else:
+            labels = keep(labels.select(*LABEL_COLUMNS).join(rows.select(*REVIEW_KEY, "month"), REVIEW_KEY).select(*LABEL_COLUMNS, "month"))
             label_store.append_labels(labels.join(crossing, REVIEW_KEY, "left_semi"), path)
             label_store.write_new(label_store.first_per_key(labels.join(crossing, REVIEW_KEY, "left_anti")), path, width)
-        calls, failed = said.agg(F.count(F.lit(1)), F.count("error")).first()
-        total = {"calls": total["calls"] + calls, "failed": total["failed"] + failed, "labels": total["labels"] + labels.count()}
-    return total
+            made += labels.count()
+    calls, failed = _counted(said, "error")
+    return {"calls": calls, "failed": failed, "labels": made + _counted(read, "id")[0]}

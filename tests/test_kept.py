@@ -34,6 +34,26 @@ def test_a_wave_does_not_read_the_labels_before_it(spark, tmp_path, monkeypatch,
         assert len(looked) == 1
 
 
+def test_a_wave_is_numbered_and_kept_once(spark, tmp_path, monkeypatch):
+    """Four results of a wave are kept, its replies and what they say, and nothing is numbered or counted in it."""
+    kept, numbered = [], []
+    keep, number = replies.keep, replies.number_rows
+    monkeypatch.setattr(replies, "keep", lambda df, *a: kept.append(df.columns) or keep(df, *a))
+    monkeypatch.setattr(replies, "number_rows", lambda *a: numbered.append(a) or number(*a))
+    path = str(tmp_path / "s")
+    assert replies.label_into(_texts(spark, range(95)), registry.second_labeller, "x", path, per_wave=4) == {
+        "calls": 19, "failed": 0, "labels": 95}
+    assert len(numbered) == 1 and len(kept) == 3 + 3 * 4
+    assert label_store.load_labels(spark, path).select("review_id").distinct().count() == 95
+
+
+def test_a_review_without_a_whole_key_is_asked_for_and_not_stored(spark, tmp_path):
+    texts = spark.createDataFrame([("r1", None, "a"), (None, "o1", "b"), ("r2", "o2", "c")], "review_id string, order_id string, comment_message string")
+    path = str(tmp_path / "s")
+    assert replies.label_into(texts, registry.second_labeller, "x", path) == {"calls": 1, "failed": 0, "labels": 1}
+    assert [r[0] for r in label_store.load_labels(spark, path).select("order_id").collect()] == ["o2"]
+
+
 @pytest.mark.parametrize("name", ["v04_summary", "v07_improvement", "s06_best_labels"])
 def test_texts_are_not_searched_again_for_scores(spark, name):
     plan = _plan(registry.queries()[name](spark, SMALL))
