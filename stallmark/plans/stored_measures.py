@@ -18,7 +18,7 @@ from itertools import chain, combinations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.durable import settle
+from ..operators.durable import keep, settle
 from . import frames as fr
 from . import measures as M
 from .frames import Tables
@@ -28,6 +28,7 @@ PERSON = "customer_unique_id"
 WORD = 64
 _COUNTS = ["delivered_orders", "late_orders", "_known", "_timed", "_reviews", "_scored", "_points", "_low",
            "labelled_reviews", "negative_reviews", "high_urgency_reviews"]
+_PARTS = ["order_status", "is_late", "order_value", "delivery_days", "reviews", "scored", "points", "low", "labelled", "negative", "urgent"]
 _SUMS = ["_revenue", "_days", "_scored_0", "_scored_1", "_points_0", "_points_1"]
 
 
@@ -46,7 +47,8 @@ def _parts(tables: Tables, by: list[str], months: Sequence[str] | None) -> DataF
     span = M._months_between(filters)
     chosen = F.array(*(F.struct(*(F.when(F.lit(c in own), F.col(c)).alias(c) for c in items), F.lit(i).alias("choice"))
                        for i, own in enumerate(kept)))
-    reduced = M._bridge(tables, items, {}, span).select("order_id", F.inline(chosen)).distinct()
+    # Dealt out by order before they multiply: neither the choices nor the join with the orders move them again.
+    reduced = M._bridge(tables, items, {}, span).repartition("order_id").select("order_id", F.inline(chosen)).distinct()
     # An order without items counts where none of their attributes is told apart.
     return rows.join(reduced, "order_id", "left").withColumn("choice", F.coalesce("choice", F.lit(0)))
 
@@ -64,17 +66,20 @@ def _numbered(people: DataFrame, after: int) -> DataFrame:
 
 
 def _write(tables: Tables, path: str, by: list[str], months: Sequence[str] | None, people: DataFrame) -> None:
-    rows = _parts(tables, by, months)
+    # Customers go by their numbers from here on.
+    numbered = tables["dim_customer"].join(people, PERSON, "left").drop(PERSON).withColumnRenamed("person", PERSON)
     keys = ["choice", *by]
+    # Both tables are made of these rows, which come of joins of all facts.
+    rows = keep(_parts({**tables, "dim_customer": numbered}, by, months).select(*dict.fromkeys(["year_month", *keys, *_PARTS, PERSON])))
     mode = {} if months is None else {"partitionOverwriteMode": "dynamic"}
 
     def store(df: DataFrame, name: str) -> None:
         (df.hint("rebalance", "year_month").write.mode("overwrite").options(**mode).partitionBy("year_month").parquet(f"{path}/{name}"))
 
     store(rows.groupBy("year_month", *keys).agg(*M._sums()), "cells")
-    delivered = rows.filter(F.col("order_status") == fr.DELIVERED).join(people, PERSON)
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("person") % WORD).cast("int"))
-    store(delivered.groupBy("year_month", *keys, F.call_function("div", F.col("person"), F.lit(WORD).cast("bigint")).alias("word"))
+    delivered = rows.filter((F.col("order_status") == fr.DELIVERED) & F.col(PERSON).isNotNull())
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(PERSON) % WORD).cast("int"))
+    store(delivered.groupBy("year_month", *keys, F.call_function("div", F.col(PERSON), F.lit(WORD).cast("bigint")).alias("word"))
           .agg(F.bit_or(one).alias("bits")), "buyers")
 
 

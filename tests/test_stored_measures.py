@@ -8,6 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from stallmark.operators.durable import keep
 from stallmark.plans import measures as M
 from stallmark.plans import stored_measures as S
 
@@ -47,6 +48,17 @@ def test_orders_are_not_read(spark, store):
     assert "PartitionFilters: [isnotnull(year_month" in pruned
 
 
+def test_orders_are_joined_once_for_both_tables(spark, stored_star, tmp_path, monkeypatch):
+    """Rows are kept before they are grouped, with numbers for customers; choices and orders meet without another shuffle."""
+    kept = []
+    monkeypatch.setattr(S, "keep", lambda df: kept.append(df) or keep(df), raising=False)
+    S.store_measures(stored_star, str(tmp_path / "m"), ["category", "state"])
+    assert len(kept) == 1 and dict(kept[0].dtypes)["customer_unique_id"] == "bigint"
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "choice" in plan and "Exchange hashpartitioning(order_id" in plan
+    assert not [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "choice" in line]
+
+
 def test_what_cannot_be_merged_is_refused(spark, store):
     with pytest.raises(ValueError, match="not stored: payment_type"):
         S.stored_measures(spark, store, ["payment_type"])
